@@ -5,7 +5,7 @@ marks, line lengths), weighted by logarithmic frequency and the labelled sample'
 of the labelled term matrix gives the latent space.  The labelled vectors (at most ``MAX_LABELLED``, half
 of each class where there are so many, taken by hash of doc_id; the bound is the parameter) are
 broadcast; every document is compared with all of them in exact blocked cosine products, and its
-K nearest vote, weighted by similarity.
+K nearest vote, weighted by similarity and by how many labelled rows of its class each stands for.
 
 Null and empty texts have a score as well (their shape terms).  Labels on null or unknown doc_ids do not
 count; a doc_id with several labels counts once for each; without labels of both classes every score is the
@@ -80,8 +80,9 @@ def latent(counts, rank: int = RANK):
     return idf, (q @ vt.T)[:, :rank].astype(np.float32)
 
 
-def vote(z, known, labels, k: int = K):
-    """Similarity-weighted share of label 1 among the k nearest; ties go to the earlier label row."""
+def vote(z, known, labels, k: int = K, stands_for=None):
+    """Similarity-weighted share of label 1 among the k nearest; ``stands_for`` is how many labelled rows each
+    stands for.  Ties at the k-th place are broken by position."""
     import numpy as np
 
     out = np.empty(len(z))
@@ -90,16 +91,18 @@ def vote(z, known, labels, k: int = K):
         kk = min(k, sims.shape[1])
         top = np.argpartition(-sims, kk - 1, axis=1)[:, :kk]
         w = np.maximum(np.take_along_axis(sims, top, 1), 1e-6) ** 4
+        w = w if stands_for is None else w * stands_for[top]
         out[i : i + 256] = (w * labels[top]).sum(axis=1) / w.sum(axis=1)
     return out
 
 
 def fit(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", max_labelled: int = MAX_LABELLED):
-    """(idf, projection, labelled vectors, labels) from at most max_labelled labelled rows, or the share of 1."""
+    """(idf, projection, labelled vectors, labels, weights) from at most max_labelled labelled rows, or the share of 1."""
     import numpy as np
 
     known = labels.select(F.col(key).cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where("doc_id is not null and y in (0, 1)")
     order = F.xxhash64("doc_id")
+    sizes = {r.y: r.n for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     picked = known.where("y = 0").orderBy(order, "doc_id").limit(max_labelled // 2).unionByName(known.where("y = 1").orderBy(order, "doc_id").limit(max_labelled // 2))
 
     def count(pdf):
@@ -114,7 +117,8 @@ def fit(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
         return float(y.mean()) if len(y) else 0.5
     counts = np.minimum(np.stack([np.frombuffer(r[2], np.float16) for r in rows]).astype(np.float32), 60000)
     idf, proj = latent(counts)
-    return idf, proj, unit(weigh(counts, idf) @ proj).astype(np.float32), y
+    stands_for = np.where(y == 1, sizes[1] / max(1, (y == 1).sum()), sizes[0] / max(1, (y == 0).sum())).astype(np.float32)
+    return idf, proj, unit(weigh(counts, idf) @ proj).astype(np.float32), y, stands_for
 
 
 def score(documents: DataFrame, model, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -129,8 +133,8 @@ def score(documents: DataFrame, model, key: str = "doc_id", text: str = "text")
         if isinstance(m, float):
             s = np.full(len(pdf), m)
         else:
-            idf, proj, known, y = m
-            s = np.concatenate([vote(unit(weigh(np.minimum(np.stack([terms(t) for t in pdf["text"][i : i + 128]]), 60000), idf) @ proj), known, y) for i in range(0, len(pdf), 128)])
+            idf, proj, known, y, stands_for = m
+            s = np.concatenate([vote(unit(weigh(np.minimum(np.stack([terms(t) for t in pdf["text"][i : i + 128]]), 60000), idf) @ proj), known, y, stands_for=stands_for) for i in range(0, len(pdf), 128)])
         return pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "score": np.clip(s, 0, 1).astype(float)})
 
     return rows_of(documents, key, text).mapInPandas(each_batch(run), "doc_id long, score double")
