@@ -1,0 +1,381 @@
+"""Each operator against brute force on small tables with nulls, empty and long texts, ties, repeated rows,
+clashing column names and empty inputs."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import pytest
+
+from lattica.llm import decontaminate, html, linededup, ogg, packing, pii, quality, simhash, tokenfile, urls
+from lattica.llm.tokens import Encoder, vocabulary
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, h long, fp long, salt int, rank int, _i int"
+
+
+def docs(spark, rows):
+    return spark.createDataFrame([(i, t, "en", s, len(t or ""), 1, 2, 3, 4, 5) for i, t, s in rows], SCHEMA)
+
+
+WORDS = [f"w{i}" for i in range(200)]
+
+
+@pytest.fixture(scope="module")
+def rows():
+    r = random.Random(3)
+    say = lambda n: " ".join(r.choice(WORDS) for _ in range(n))
+    long = say(6000)
+    base = say(400)
+    near = base.split()
+    near[200] = "other"
+    out = [(1, base, "a"), (2, base, "b"), (3, " ".join(near), "c"), (4, None, "d"), (5, "", "e"), (6, long, None), (7, say(30), "f"), (7, say(31), "f"), (8, "Ab!! cd\n\nx", "g"), (8, "Ab!! cd\n\nx", "g"), (9, "   ", "a"), (None, say(20), "b"), (10, "é ß 漢字 \u00a0 x\x1cy", "c")]
+    return out + [(20 + i, f"own {i} {say(5)}\nshared line here\n{say(4)}", f"s{i % 7}") for i in range(14)]
+
+
+def test_encoder_equals_library():
+    odd = ["", " ", "  a  b\n\n c \t", "it's  don't, can't!!..", "ÄÖ.  x y z", "Ábc,", "x\x1c!\x1cy", "a <|endoftext|> b", "!!,.", "héllo,wörld. 12,345.6", "\n\n\na", "Σίσυφος. ΣΑΣ.", "e\u0301. x", "İstanbul, IJ."]
+    for f in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        e = Encoder(vocabulary(f))
+        for _ in range(2):
+            assert e.encode(odd) == e._library(odd)
+
+
+def test_plan_is_best_fit_decreasing():
+    for seed in range(300):
+        r = random.Random(seed)
+        w = r.choice([8, 16, 100])
+        lengths = [r.randint(1, w) for _ in range(r.randint(1, 60))]
+        left = []
+        for x in sorted(lengths, reverse=True):
+            fits = [(c, i) for i, c in enumerate(left) if c >= x]
+            if fits:
+                left[min(fits)[1]] -= x
+            else:
+                left.append(w - x)
+        fill = Counter()
+        for x, runs in packing.plan(Counter(lengths), w).items():
+            ranks = [run[0] for run in runs] + [Counter(lengths)[x]]
+            for (lo, start, _), hi in zip(runs, ranks[1:]):
+                for k in range(hi - lo):
+                    fill[start + k] += x
+        assert sorted(w - f for f in fill.values()) == sorted(left)
+
+
+def test_packing(spark, rows):
+    path = vocabulary("byte_bpe_50k.json")
+    got = packing.pack(docs(spark, rows), keep_ids=True).collect()
+    e = Encoder(path)
+    want = Counter()
+    for _, t, _ in rows:
+        ids = e.encode([t or ""])[0] + b"\0\0\0\0"
+        want[(len(ids) // 4, zlib.crc32(ids))] += 1
+    whole = defaultdict(list)
+    for g in got:
+        assert g.length == len(g.ids) and zlib.crc32(b"".join(i.to_bytes(4, "little") for i in g.ids)) == g.ids_crc32
+        whole[g.sequence_id].append(g)
+    for own in whole.values():
+        at = 0
+        for g in sorted(own, key=lambda g: g.offset):
+            assert g.offset == at
+            at += g.length
+        assert at <= 1024
+    assert sum(g.length for g in got) == sum(n * c for (n, _), c in want.items())
+    assert set(whole) == set(range(len(whole)))
+    padded = packing.sequences(packing.pack(docs(spark, rows), keep_ids=True)).collect()
+    assert all(len(p.input_ids) == 1024 or len(p.input_ids) & (len(p.input_ids) - 1) == 0 for p in padded)
+    assert packing.pack(docs(spark, [])).count() == 0
+
+
+@pytest.mark.parametrize("encoding", ["delta", "dictionary"])
+def test_token_file(spark, rows, tmp_path, encoding):
+    path = vocabulary("word_bpe_49k.json")
+    got = sorted(tokenfile.store(docs(spark, rows), path, 1, encoding=encoding).collect(), key=lambda r: r.start)
+    e, at = Encoder(path), 0
+    keys = [r.doc_id if r.doc_id is not None else -1 for r in got]
+    assert keys == sorted(keys) and len(got) == len(rows)
+    left = Counter((i, e.encode([t or ""])[0] + b"\1\0\0\0") for i, t, _ in rows)
+    for g in got:
+        assert g.start == at
+        at += g.n_tokens
+    assert Counter((g.doc_id, g.n_tokens, g.ids_crc32) for g in got) == Counter({(i, len(x) // 4, zlib.crc32(x)): n for (i, x), n in left.items()})
+    to = f"file://{tmp_path}/x"
+    tokenfile.write(docs(spark, rows), to, path, 1, encoding=encoding)
+    assert tokenfile.metadata(spark, to).count() == len(rows)
+    assert {r.doc_id for r in tokenfile.read(spark, to, [1, 7]).collect()} == {1, 7}
+    assert tokenfile.store(docs(spark, []), path, 1).count() == 0
+
+
+def test_token_file_has_delta_pages_and_indexes(spark, rows, tmp_path):
+    import glob
+
+    import pyarrow.parquet as pq
+
+    tokenfile.write(docs(spark, rows), f"file://{tmp_path}/x", vocabulary("word_bpe_49k.json"), 1)
+    meta = pq.ParquetFile(glob.glob(f"{tmp_path}/x/*.parquet")[0]).metadata.row_group(0)
+    column = next(meta.column(i) for i in range(meta.num_columns) if meta.column(i).path_in_schema.startswith("ids"))
+    assert "DELTA_BINARY_PACKED" in column.encodings and meta.column(0).has_column_index and meta.column(0).has_offset_index
+
+
+def test_ogg():
+    def slow(data):
+        c = 0
+        for x in data:
+            c ^= x << 24
+            for _ in range(8):
+                c = ((c << 1) ^ 0x04C11DB7) & 0xFFFFFFFF if c & 0x80000000 else (c << 1) & 0xFFFFFFFF
+        return c
+
+    assert slow(b"OggS123abc") == ogg.ogg_crc(b"OggS123abc")
+    for n in (192, 1920, 3840, 255 * 64, 300_096):
+        data = bytes(i * 7 % 256 for i in range(n))
+        media = ogg.encode(data)
+        assert ogg.features(media)[0] == data
+        packets = ogg.decode(media)[ogg.SERIALS[0]]
+        stamps = [g for _, g, _ in packets if g >= 0]
+        assert stamps == sorted(stamps) and stamps[-1] == n
+        broken = bytearray(media)
+        broken[-1] ^= 1
+        with pytest.raises(ValueError):
+            ogg.decode(bytes(broken))
+
+
+def test_media_table(spark, rows):
+    got = ogg.media_table(docs(spark, rows)).collect()
+    assert len(got) == len(rows)
+    want = Counter()
+    for i, t, _ in rows:
+        raw = (t or "").encode()
+        data = raw + b" " * (max(192, -(-len(raw) // 192) * 192) - len(raw))
+        want[(i, len(raw), len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-16:]))] += 1
+    assert Counter((g.doc_id, g.n_bytes, g.payload_bytes, g.payload_sha256, g.tail_crc32) for g in got) == want
+    assert all(g.error is None for g in got) and len({g.media_sha256 for g in got if g.doc_id in (1, 2)}) == 1
+    assert ogg.media_table(docs(spark, [])).count() == 0
+
+
+def brute_fingerprint(text):
+    import xxhash
+
+    w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
+    if not w:
+        return 0
+    s = [" ".join(w[i : i + 3]) for i in range(max(1, len(w) - 2))]
+    h = [xxhash.xxh64_intdigest(x.encode(), 42) for x in s]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def brute_components(fps, bits=3):
+    """fps: list of (id, fp); the least id reachable for each index."""
+    root = list(range(len(fps)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(fps)):
+        for j in range(i):
+            if (fps[i][1] ^ fps[j][1]).bit_count() <= bits:
+                root[find(i)] = find(j)
+    least = {}
+    for i, (d, _) in enumerate(fps):
+        if d is not None:
+            least[find(i)] = min(least.get(find(i), d), d)
+    return [(d, f"{fp:016x}", least.get(find(i))) for i, (d, fp) in enumerate(fps)]
+
+
+def test_simhash(spark, rows):
+    got = Counter(map(tuple, simhash.near_duplicates(docs(spark, rows)).collect()))
+    assert got == Counter(brute_components([(i, brute_fingerprint(t or "")) for i, t, _ in rows]))
+    assert simhash.near_duplicates(docs(spark, [])).count() == 0
+
+
+@pytest.mark.parametrize("hot", [64, 3])
+def test_simhash_links_with_and_without_hot_halves(spark, monkeypatch, hot):
+    monkeypatch.setattr(simhash, "HOT", hot)
+    monkeypatch.setattr(simhash, "BLOCK", 8)
+    r = random.Random(5)
+    fps = set()
+    for _ in range(12):
+        seed = r.getrandbits(64)
+        for _ in range(25):
+            x = seed
+            for _ in range(r.randint(0, 5)):
+                x ^= 1 << r.randrange(64)
+            fps.add(x)
+    fps = sorted(fps)
+    df = spark.createDataFrame([(x - (1 << 64) if x >> 63 else x,) for x in fps], "fp long")
+    roots = {a: b for a, b in simhash.components(simhash.links(df)).collect()}
+    got = defaultdict(set)
+    for x in fps:
+        s = x - (1 << 64) if x >> 63 else x
+        got[roots.get(s, s)].add(x)
+    want = defaultdict(set)
+    for x, c in zip(fps, brute_components([(i, x) for i, x in enumerate(fps)])):
+        want[c[2]].add(x)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+
+
+def brute_lines(rows, sites, times):
+    at, n = defaultdict(set), Counter()
+    for _, t, s in rows:
+        for x in (t or "").split("\n"):
+            if x.strip(" "):
+                at[x.strip(" ")].add(s)
+                n[x.strip(" ")] += 1
+    gone = {x for x in at if len(at[x]) >= sites and n[x] >= times}
+    return Counter((i, None if t is None else "\n".join(x for x in t.split("\n") if x.strip(" ") not in gone)) for i, t, _ in rows), gone
+
+
+@pytest.mark.parametrize(("sites", "times", "most"), [(5, 10, 50_000), (7, 3, 0), (8, 2, 50_000), (1, 2, 50_000)])
+def test_line_dedup(spark, rows, sites, times, most):
+    d = docs(spark, rows)
+    lines = linededup.boilerplate(d, sites=sites, times=times)
+    out = linededup.remove(d, lines, broadcast_lines=most)
+    want, gone = brute_lines(rows, sites, times)
+    assert lines.count() == len(gone)
+    assert Counter((r.doc_id, r.text) for r in out.collect()) == want
+    assert set(d.columns) <= set(out.columns)
+    assert linededup.dedup_lines(docs(spark, [])).count() == 0
+
+
+def brute_hits(text, items, window=13):
+    fold = lambda t: re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", re.sub("[A-Z]", lambda m: m[0].lower(), t))
+    w, hit, who = fold(text or ""), set(), set()
+    for i, t in items:
+        x = fold(t or "")
+        for k in range(max(1, len(x) - window + 1) if x else 0):
+            y = x[k : k + window]
+            for a in range(len(w) - len(y) + 1):
+                if w[a : a + len(y)] == y:
+                    hit.update(range(a, a + len(y)))
+                    who.add(i)
+    return len(w), len(hit), len(who), hashlib.sha256(",".join(sorted(map(str, who))).encode()).hexdigest(), len(hit) > 0 and 20 * len(hit) >= len(w)
+
+
+def test_decontaminate(spark, rows):
+    long = rows[5][1].split()
+    items = [(1, " ".join(long[100:130])), (2, "w1 w2"), (10, "W1, w2!"), (3, None), (4, " .. "), (5, rows[6][1]), (6, "é ß 漢字"), (5, "w3"), (7, "cd x")]
+    bench = spark.createDataFrame([(i, t, "x") for i, t in items], "item_id long, text string, doc_id string")
+    out = decontaminate.decontaminate(docs(spark, rows), bench)
+    got = Counter(map(tuple, decontaminate.digest(out).collect()))
+    assert got == Counter((i, *brute_hits(t, items)) for i, t, _ in rows)
+    spans = {r.doc_id: r.spans for r in out.collect()}
+    a, b = map(int, spans[10].split(",")[0].split(":"))
+    assert rows[12][1][a:b] == "é ß 漢字"
+    none = spark.createDataFrame([], bench.schema)
+    assert not any(r.contaminated for r in decontaminate.decontaminate(docs(spark, rows), none).collect())
+    assert decontaminate.decontaminate(docs(spark, []), bench).count() == 0
+
+
+def test_pii_patterns_equal_regular_expressions():
+    r = random.Random(9)
+    alphabet = ["a", "b1", "@", ".", "-", " ", "+", "12", "255", "4111111111111111", "(555)", "1.2.3.4", "x.y@z.co", "é", "\n", "+1 (235) 555-3833", "4111 1111 1111 1111", "300.1.1.1"]
+
+    def brute(t):
+        out = [(0, *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+        out += [(1, *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(p) <= 255 for p in m[0].split("."))]
+        for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t):
+            d = re.sub("[^0-9]", "", m[0])
+            if 16 <= len(d) <= 19 and sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(d))) % 10 == 0:
+                out.append((2, *m.span()))
+        return out + [(3, *m.span()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 8 <= len(re.sub("[^0-9]", "", m[0])) <= 15]
+
+    for _ in range(3000):
+        t = "".join(r.choice(alphabet) for _ in range(r.randint(0, 14)))
+        assert pii.pattern_spans(t) == brute(t), t
+
+
+def test_crf_finds_held_out_spans():
+    model = pii.default_model()
+    found = right = total = 0
+    for text, spans in pii.labelled_table(200, seed=99):
+        _, every = pii.find_all([text], model)[0]
+        want = {(pii.KINDS.index(k), a, b) for k, a, b in spans}
+        total, found, right = total + len(want), found + len(every), right + len(want & set(every))
+    assert right / total > 0.85 and right / found > 0.9
+
+
+def test_viterbi_equals_enumeration():
+    import itertools
+
+    import numpy as np
+
+    w, t = pii.default_model()
+    text = "call (555) 123-4567"
+    tokens, word = pii.runs(text)[0]
+    f = pii.featurise(text, tokens, word)[:4]
+    e = np.array([w[x].sum(axis=0) for x in f])
+    score = lambda p: e[range(len(p)), list(p)].sum() + pii._first()[p[0]] + sum(t[a, b] for a, b in zip(p, p[1:]))
+    best = max(itertools.product(range(9), repeat=len(f)), key=score)
+    assert abs(score(best) - score(tuple(pii.viterbi([f], (w, t))[0]))) < 1e-3
+
+
+def test_pii_query_shape(spark, rows):
+    more = [*rows, (50, "mail a.b@c.example.com or +1 (235) 555-3833, card 4111 1111 1111 1111 at 10.0.0.1", "a")]
+    got = {r.doc_id: r for r in pii.find(docs(spark, more)).collect()}
+    g = got[50]
+    assert (g.n_email, g.n_ip, g.n_card, g.n_phone) == (1, 1, 1, 1) and g.spans.startswith("email:5:22,ip:")
+    assert got[4].spans == "" and got[4].base_sha256 == hashlib.sha256(b"").hexdigest()
+    assert pii.find(docs(spark, [])).count() == 0
+    table = spark.createDataFrame([("id 12", [("phone", 3, 5)])], "text string, spans array<struct<kind: string, a: int, b: int>>")
+    assert pii.fit(table)[0].shape[1] == 9
+
+
+def test_quality(spark):
+    r = random.Random(1)
+    good = lambda: " ".join(r.choice(WORDS) for _ in range(80))
+    bad = lambda: " ".join([r.choice(WORDS)] * 40).upper() + "!!!"
+    rows = [(i, good() if i % 2 else bad(), "s") for i in range(240)] + [(500, None, "s"), (501, "", "s"), (None, good(), "s"), (3, good(), "s")]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(160)] + [(None, 1, 0), (160, None, 0), (9999, 1, 0)], "doc_id long, quality int, toxic int")
+    d = docs(spark, rows)
+    got = {r_.doc_id: r_.score for r_ in quality.score(d, quality.fit(d, labels, max_labelled=100)).collect()}
+    assert sum((got[i] >= 0.7) == (i % 2 == 1) for i in range(160, 240)) >= 76
+    assert all(0 <= x <= 1 for x in got.values()) and 500 in got
+    assert quality.fit(d, labels.where("quality = 1")) == 1.0
+    assert quality.score(docs(spark, []), 0.5).count() == 0
+
+
+def test_vote_is_exact():
+    import numpy as np
+
+    g = np.random.default_rng(0)
+    z, known, y = quality.unit(g.standard_normal((300, 8))), quality.unit(g.standard_normal((90, 8))), g.integers(0, 2, 90).astype(float)
+    got = quality.vote(z, known, y, 5)
+    for i in (0, 7, 299):
+        s = known @ z[i]
+        top = np.argsort(-s)[:5]
+        w = np.maximum(s[top], 1e-6) ** 4
+        assert abs(got[i] - (w * y[top]).sum() / w.sum()) < 1e-9
+
+
+def test_urls(spark):
+    us = [f"https://{'spam' if i % 3 else 'fine'}.example.com/en/{i}" for i in range(60)] + [None, "", "no scheme", "http://A.ORG/es/x?y", "http://de.example.net/de/80", "http://x.net/de/1", "http://spam.example.com/en/7", "x://host", "http://spam.example.de/en/3", "http://notcom/en/3"]
+    pages = spark.createDataFrame([(i, u, "h", "z") for i, u in enumerate(us)] + [(0, us[0], "h", "z")], "page_id long, url string, host string, verdict string")
+    got = {r.page_id: r for r in urls.judge(pages, min_support=0.05).collect()}
+    assert len(got) == len(us) and urls.judge(pages, min_support=0.05).count() == len(us) + 1
+    want = {0: ("com/en/", "block"), 7: ("example.com/en/7", "allow"), 63: ("org/es/", "block"), 64: ("example.net/de/8", "block"), 65: ("net/de/", "allow"), 66: ("example.com/en/7", "allow")}
+    for i, (rule, verdict) in want.items():
+        assert (got[i].rule, got[i].verdict) == (rule, verdict)
+    assert (got[60].host, got[60].path, got[60].rule, got[60].verdict) == ("", "", None, "allow") and (got[67].host, got[67].path) == ("host", "")
+    assert got[63].host == "a.org" and got[63].path == "/es/x"
+    assert urls.judge(pages.limit(0)).count() == 0
+
+
+def test_rules_match_as_brute_force(spark):
+    sets = [["a"], ["a", "b"], ["b", "c"], ["a", "b", "c"], ["d"]]
+    rules = [("1", ["a"], "block", 0.8, 0.1), ("2", ["b", "c"], "allow", 0.9, 0.1), ("3", ["e"], "block", 1.0, 0.2)]
+    got = {tuple(r["items"]): r["mined"] for r in urls.match(spark.createDataFrame([(s,) for s in sets], "items array<string>"), spark.createDataFrame(rules, "id string, items array<string>, verdict string, confidence double, support double")).collect()}
+    assert got == {("a",): "block", ("a", "b"): "block", ("b", "c"): "allow", ("a", "b", "c"): "allow"}
+
+
+def test_html(spark):
+    body = "<p>First long paragraph of the article, with words &amp; marks.<p>Second <b>long</b> paragraph\n of   it here, words and words.</p>"
+    page = f"<html><head><title>t</title><style>x</style></head><body><header>top</header><nav><a href=x>menu</a></nav><div class='cookie-notice'>we use</div><article><h1>Head</h1>{body}<form>f</form></article><aside>side</aside><div id=comments>c</div><footer>foot</footer><script>s</script></body></html>"
+    want = "Head First long paragraph of the article, with words & marks. Second long paragraph of it here, words and words."
+    rows = [(1, "u", page), (1, "u", page), (2, None, None), (3, "u", ""), (4, "u", "plain"), (5, "u", "<div>" * 3000 + "deep" + "</p>"), (None, "u", "<p>a<p>b")]
+    got = html.extract_pages(spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, text string")).collect()
+    by = {r.page_id: r.text for r in got}
+    assert len(got) == len(rows) and by[1] == want and by[2] == by[3] == "" and by[4] == "plain" and by[5] == "deep" and by[None] == "a b"
+    assert html.extract_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
