@@ -299,8 +299,10 @@ def labelled_table(n: int = 500, seed: int = 11) -> list[tuple[str, list[tuple[s
         return r.choice((f"({dd(3)}) {dd(3)}-{dd(4)}", f"{dd(3)}{s}{dd(3)}{s}{dd(4)}", f"+{r.randint(1, 99)} ({dd(3)}) {dd(3)}-{dd(4)}", f"+{dd(2)} {dd(2)} {dd(4)} {dd(4)}", f"00{dd(2)} {dd(3)} {dd(7)}", f"1-{dd(3)}-{dd(3)}-{dd(4)}"))
 
     def card():
-        s = r.choice((" ", "-", ""))
-        return r.choice((s.join(dd(4) for _ in range(4)), f"{dd(4)}{s}{dd(6)}{s}{dd(5)}", dd(16)))
+        body = dd(r.choice((14, 15, 15, 15)))
+        own = next(body + c for c in "0123456789" if luhn(body + c))
+        cuts = (4, 10) if len(own) == 15 else (4, 8, 12)
+        return r.choice((" ", "-", "")).join(own[x:y] for x, y in zip((0, *cuts), (*cuts, len(own))))
 
     kinds = {"email": lambda: f"{ww()}{r.choice(('', '.' + ww(), dd(2), '.' + dd(2)))}@{ww()}{r.choice(('', dd(1)))}.{r.choice(('', ww() + '.'))}{r.choice(('com', 'org', 'net', 'de'))}", "ip": lambda: ".".join(str(r.randint(0, 255)) for _ in range(4)), "card": card, "phone": phone}
     nothing = (lambda: f"{r.randint(1900, 2030)}-{dd(2)}-{dd(2)}", lambda: f"{dd(2)}:{dd(2)}", lambda: f"${dd(1)},{dd(3)}.{dd(2)}", lambda: dd(r.randint(1, 6)), lambda: f"{dd(1)}.{dd(1)}", lambda: f"v{dd(1)}.{dd(1)}.{dd(1)}", lambda: f"{dd(1)} + {dd(1)}", lambda: f"{dd(2)}%", lambda: f"978-{dd(1)}-{dd(4)}-{dd(4)}-{dd(1)}", lambda: ww() + dd(2), lambda: dd(r.randint(20, 30)), lambda: "@" + ww(), lambda: f"{dd(1)}e{dd(4)}f{dd(3)}ab{dd(5)}", lambda: "AKIA" + code(16).upper(), lambda: code(32), lambda: f"{ww()}={code(20)}", lambda: f"{dd(1)}.", lambda: f"{dd(4)}.{dd(2)}")
