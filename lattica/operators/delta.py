@@ -171,3 +171,63 @@ def external_boundaries(s: Snapshots, pairs: DataFrame) -> DataFrame:
     new = edges(s, pairs).where((F.col("change") == "added") & P.notable(F.col("dst"), F.col("kind")))
     out = new.join(own.withColumnRenamed("path", "dst"), ["pair_id", "dst"], "left_anti")
     return out.groupBy("pair_id", "src").agg(F.array_sort(F.collect_set("dst")).alias("targets"))
+
+
+def triage(s: Snapshots, pairs: DataFrame) -> DataFrame:
+    """(pair_id, label, item): what a reviewer should look at first, one row an item; labels in ``TRIAGE`` order."""
+    e = edges(s, pairs).where("change = 'added'")
+    tags = {"service:": "services", "api:": "endpoints", "env:": "config keys", "flag:": "config keys", "cap:": "capabilities"}
+    label = None
+    for prefix, name in tags.items():
+        hit = F.startswith("dst", F.lit(prefix))
+        label = F.when(hit, name) if label is None else label.when(hit, name)
+    out = packages(s, pairs).where("internal and change = 'added'").select("pair_id", F.lit("new packages").alias("label"), P.short("path").alias("item"))
+    out = out.unionByName(e.select("pair_id", label.alias("label"), F.col("dst").alias("item")).where("label is not null").distinct())
+    new = contracts(s, pairs).select("pair_id", "iface", "covered", F.explode("added").alias("impl"))
+    bare = ~F.array_contains("covered", F.col("impl"))
+    out = out.unionByName(new.select("pair_id", F.lit("contracts").alias("label"), F.concat(P.short("impl"), F.lit(" ⊨ "), P.short("iface"), F.when(bare, " [UNCOVERED]").otherwise("")).alias("item")))
+    for axis, name in (("surface", "surface +"), ("schema", "schema +")):
+        out = out.unionByName(symbols(s, pairs, axis).where("change = 'added'").select("pair_id", F.lit(name).alias("label"), F.concat_ws(".", P.short("path"), "name").alias("item")))
+    return out.unionByName(touched_promises(s, pairs).select("pair_id", F.lit("invariant").alias("label"), F.col("iface").alias("item")).distinct())
+
+
+TRIAGE = ("new packages", "services", "endpoints", "config keys", "capabilities", "contracts", "surface +", "schema +", "invariant")
+
+
+def surface_summary(s: Snapshots, pairs: DataFrame) -> DataFrame:
+    """(pair_id, added, removed, modified, breaking, shape): symbols of all axes; any removal or modification needs review."""
+    all_ = packages(s, pairs).select("pair_id", "change").unionByName(edges(s, pairs).select("pair_id", "change")).unionByName(invariants(s, pairs).select("pair_id", "change"))
+    for axis in ("surface", "schema"):
+        all_ = all_.unionByName(symbols(s, pairs, axis).select("pair_id", "change"))
+    n = all_.groupBy("pair_id").agg(*[F.count_if(F.col("change") == c).alias(c) for c in ("added", "removed", "modified")])
+    breaking = F.col("removed") + F.col("modified") > 0
+    out = pairs.select("pair_id").join(n, "pair_id", "left").fillna(0)
+    return out.withColumn("breaking", breaking).withColumn("shape", F.when(breaking, "changed").when(F.col("added") > 0, "widened").otherwise("none"))
+
+
+def painted_packages(s: Snapshots, pairs: DataFrame) -> DataFrame:
+    """(pair_id, path, change) by the stricter rule of the component report: uncovered implementers count as boundary,
+    tests that were only modified do not count."""
+    own = both(s.package.where("internal").select("snapshot_id", "path"), pairs, ["path"]).select("pair_id", "path")
+    c = contracts(s, pairs).select("pair_id", F.explode(F.transform(F.concat("added", "removed", "uncovered"), lambda x: F.regexp_replace(x, r"\.[^.]*$", ""))).alias("path"))
+    strong = edges(s, pairs).select("pair_id", F.explode(F.array("src", "dst")).alias("path")).unionByName(c)
+    weak = invariants(s, pairs).where("change <> 'modified'").select("pair_id", "path")
+    for axis in ("surface", "schema"):
+        weak = weak.unionByName(symbols(s, pairs, axis).select("pair_id", "path"))
+    marks = strong.withColumn("m", F.lit(2)).unionByName(weak.withColumn("m", F.lit(1))).groupBy("pair_id", "path").agg(F.max("m").alias("m"))
+    return own.join(marks, ["pair_id", "path"]).select("pair_id", "path", F.when(F.col("m") == 2, "boundary").otherwise("minor").alias("change"))
+
+
+def context_edges(s: Snapshots, pairs: DataFrame) -> DataFrame:
+    """(pair_id, src, kind, dst): internal arrows of b with a painted end, but for pairs whose arrow was removed."""
+    b = of(flt.internal_edges(s), pairs, "b").where(F.col("kind").isin("call", "import", "implements") & (F.col("src") != F.col("dst"))).distinct()
+    drawn = edges(s, pairs).where("change = 'removed'").select("pair_id", "src", "dst").distinct()
+    hot = painted_packages(s, pairs).select("pair_id", "path")
+    ends = b.withColumn("path", F.explode(F.array("src", "dst"))).join(hot, ["pair_id", "path"], "left_semi")
+    return ends.join(drawn, ["pair_id", "src", "dst"], "left_anti").select("pair_id", "src", "kind", "dst").distinct()
+
+
+def select_witnesses(rows: DataFrame, src: str = "", dst: str = "", kind: str = "") -> DataFrame:
+    """Rows of ``witnesses`` by parts of the short names of both ends, and by kind."""
+    want = F.contains(P.short_package(F.col("src")), F.lit(src)) & F.contains(P.short_package(F.col("dst")), F.lit(dst))
+    return rows.where(want & (F.col("kind") == kind if kind else F.lit(True)))

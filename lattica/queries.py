@@ -91,9 +91,9 @@ def flt_focus_changed(s, pairs):
     return flt.focus(nodes, arrows)[1]
 
 
-@query("SELECT sid, path FROM pkg WHERE path LIKE '%/CHINA' OR path = 'CHINA'")
+@query("SELECT sid, path FROM pkg WHERE path LIKE '%/NATION_2' OR path = 'NATION_2'")
 def flt_resolve_target(s, _):
-    return flt.resolve_target(s, "CHINA")
+    return flt.resolve_target(s, "NATION_2")
 
 
 @query("""SELECT sid, path, CASE WHEN path = 'tpch' THEN '' ELSE substr(path, 6) END AS rel, split_part(path, '/', 2) AS comp, split_part(path, '/', -1) AS short, '' AS tag,
@@ -211,6 +211,41 @@ def agg_counts(s, pairs):
     return dl.counts(s, pairs)
 
 
+_ALL = "SELECT change FROM d_pkg UNION ALL SELECT change FROM d_edge UNION ALL SELECT change FROM d_inv UNION ALL SELECT change FROM d_sym"
+
+
+@query(f"SELECT *, removed + modified > 0 AS breaking, CASE WHEN removed + modified > 0 THEN 'changed' WHEN added > 0 THEN 'widened' ELSE 'none' END AS shape FROM (SELECT count(*) FILTER (change = 'added') AS added, count(*) FILTER (change = 'removed') AS removed, count(*) FILTER (change = 'modified') AS modified FROM ({_ALL}))")
+def dl_surface_verdict_py(s, pairs):
+    return dl.surface_summary(s, pairs)
+
+
+_PAINT = """, dcon AS (SELECT iface, impl FROM impl GROUP BY ALL HAVING count(*) = 1),
+strong AS (SELECT src AS path FROM d_edge UNION SELECT dst FROM d_edge UNION SELECT regexp_replace(impl, '\\.[^.]*$', '') FROM dcon UNION SELECT regexp_replace(impl, '\\.[^.]*$', '') FROM cov WHERE sid = 'B' AND NOT covered AND iface IN (SELECT iface FROM dcon)),
+paint AS (SELECT path, CASE WHEN path IN (FROM strong) THEN 'boundary' ELSE 'minor' END AS change FROM (SELECT DISTINCT path FROM pkg) WHERE path IN (FROM strong) OR path IN (SELECT path FROM d_sym UNION SELECT path FROM d_inv WHERE change <> 'modified'))"""
+
+
+@query(_PAINT + " SELECT path, change FROM paint", 50, 0.10)
+def dl_component_paint_py(s, pairs):
+    return dl.painted_packages(s, pairs)
+
+
+@query(_PAINT + " SELECT src, kind, dst FROM edge WHERE sid = 'B' AND src <> dst AND (src IN (SELECT path FROM paint) OR dst IN (SELECT path FROM paint)) AND (src, dst) NOT IN (SELECT (src, dst) FROM d_edge WHERE change = 'removed')", 50, 0.10)
+def dl_context_edges(s, pairs):
+    return dl.context_edges(s, pairs)
+
+
+@query("""SELECT 'new packages' AS label, split_part(path, '/', -1) AS item FROM d_pkg WHERE change = 'added' UNION ALL SELECT CASE axis WHEN 'surface' THEN 'surface +' ELSE 'schema +' END, split_part(path, '/', -1) || '.' || name FROM d_sym WHERE change = 'added'
+UNION ALL SELECT DISTINCT 'invariant', iface FROM guard JOIN d_inv USING (path, name) WHERE change <> 'added'
+UNION ALL SELECT 'contracts', split_part(i.impl, '/', -1) || ' ⊨ ' || split_part(i.iface, '/', -1) || CASE WHEN c.covered THEN '' ELSE ' [UNCOVERED]' END FROM (SELECT iface, impl FROM impl GROUP BY ALL HAVING count(*) = 1 AND min(sid) = 'B') i JOIN cov c ON c.sid = 'B' AND c.iface = i.iface AND c.impl = i.impl""")
+def dl_triage(s, pairs):
+    return dl.triage(s, pairs)
+
+
+@query(f"SELECT src, kind, dst, status FROM ({_WIT}) WHERE src LIKE '%NATION_2%' AND kind = 'call'")
+def flt_witness_select(s, pairs):
+    return dl.select_witnesses(dl.witnesses(s, pairs), "NATION_2", "", "call").select("pair_id", "src", "kind", "dst", "status")
+
+
 # Conformance
 
 
@@ -304,9 +339,9 @@ def gr_closure(s, _):
     return gr.closure(flt.dep_pairs(s))
 
 
-@_sparse("SELECT sid, src AS path, (sid, src, dst) IN (SELECT (sid, src, dst) FROM dep) AS direct FROM reach WHERE dst = 'tpch/ASIA/CHINA' AND src <> dst")
+@_sparse("SELECT sid, src AS path, (sid, src, dst) IN (SELECT (sid, src, dst) FROM dep) AS direct FROM reach WHERE dst = 'tpch/ASIA/NATION_2' AND src <> dst")
 def gr_dependents(s, _):
-    return gr.dependents(flt.dep_pairs(s), "tpch/ASIA/CHINA")
+    return gr.dependents(flt.dep_pairs(s), "tpch/ASIA/NATION_2")
 
 
 @_sparse("SELECT sid, dst AS path, count(*) AS blast_radius FROM reach WHERE src <> dst GROUP BY ALL")
@@ -319,10 +354,10 @@ def gr_scc(s, _):
     return gr.cycles(gr.closure(flt.dep_pairs(s)))
 
 
-@_sparse("""SELECT sid, path, min(hop)::INT AS hop FROM (SELECT sid, 'tpch/ASIA/CHINA' AS path, 0 AS hop FROM dep UNION ALL SELECT sid, n, 1 FROM und WHERE m = 'tpch/ASIA/CHINA' UNION ALL SELECT x.sid, y.n, 2 FROM und x JOIN und y ON x.sid = y.sid AND x.n = y.m WHERE x.m = 'tpch/ASIA/CHINA') GROUP BY ALL""".replace("SELECT sid, path, min", ", und AS (SELECT sid, src AS m, dst AS n FROM dep UNION SELECT sid, dst, src FROM dep) SELECT sid, path, min", 1))
+@_sparse("""SELECT sid, path, min(hop)::INT AS hop FROM (SELECT sid, 'tpch/ASIA/NATION_2' AS path, 0 AS hop FROM dep UNION ALL SELECT sid, n, 1 FROM und WHERE m = 'tpch/ASIA/NATION_2' UNION ALL SELECT x.sid, y.n, 2 FROM und x JOIN und y ON x.sid = y.sid AND x.n = y.m WHERE x.m = 'tpch/ASIA/NATION_2') GROUP BY ALL""".replace("SELECT sid, path, min", ", und AS (SELECT sid, src AS m, dst AS n FROM dep UNION SELECT sid, dst, src FROM dep) SELECT sid, path, min", 1))
 def gr_khop(s, _):
     d = flt.dep_pairs(s)
-    return gr.hops(d, d.select("snapshot_id").distinct().withColumn("path", F.lit("tpch/ASIA/CHINA")), 2)
+    return gr.hops(d, d.select("snapshot_id").distinct().withColumn("path", F.lit("tpch/ASIA/NATION_2")), 2)
 
 
 @query("SELECT DISTINCT sid, split_part(src, '/', 2) AS src, kind, split_part(dst, '/', 2) AS dst FROM edge WHERE split_part(src, '/', 2) <> split_part(dst, '/', 2)")
@@ -486,3 +521,34 @@ def prj_stratum(spark, d):
 
 _add("agg_strata", prj_stratum, "SELECT ['feat','fix','refactor','test','hardening','perf','docs','chore','build','other'][o_orderkey % 10 + 1] AS stratum, count(*) AS n, round(avg((o_custkey % 2 = 0)::INT), 6) AS empty_share FROM orders GROUP BY 1")
 _add("agg_collect_witness", lambda spark, d: base(spark, d).groupBy("src", "kind", "dst").agg(P.joined("witness").alias("witnesses")), trade_sql() + "SELECT src, kind, dst, string_agg(DISTINCT witness, ',' ORDER BY witness) AS witnesses FROM wit GROUP BY ALL")
+
+
+def ev_outcomes(spark, d):
+    """Recorded outcomes by test name: the last event of a name counts."""
+    ev = spark.read.parquet(f"{d}/events.parquet").select(F.col("event_id").alias("seq"), F.when(F.col("event_type") == "purchase", "fail").otherwise("pass").alias("Action"), (F.col("user_id") % 50).cast("string").alias("Test"))
+    tests = spark.range(60).select(F.lit("A").alias("snapshot_id"), F.lit("p").alias("path"), F.col("id").cast("string").alias("name"), F.lit("i").alias("iface"))
+    return cf.outcomes(Snapshots.of(spark, guard=tests), ev).drop("snapshot_id")
+
+
+_add("ev_outcomes", ev_outcomes, "WITH e AS (SELECT CAST(user_id % 50 AS VARCHAR) AS test, arg_max(CASE event_type WHEN 'purchase' THEN 'fail' ELSE 'pass' END, event_id) AS outcome FROM events GROUP BY 1) SELECT CAST(t AS VARCHAR) AS test, coalesce(outcome, 'not run') AS outcome FROM range(60) r(t) LEFT JOIN e ON e.test = CAST(t AS VARCHAR)")
+
+
+def agg_numstat(spark, d):
+    o = spark.read.parquet(f"{d}/orders.parquet")
+    path = F.get(F.array(*[F.lit(x) for x in ("a.go", "a_test.go", "b.png", "c.md")]), (F.col("o_orderkey") % 4).cast("int"))
+    n = F.when(F.col("o_orderkey") % 4 == 2, "-").otherwise((F.col("o_orderkey") % 100).cast("string"))
+    return hs.numstat(o.select(F.year("o_orderdate").cast("string").alias("pair_id"), F.concat_ws("\t", n, (F.col("o_custkey") % 10).cast("string"), path).alias("text")))
+
+
+_add("agg_numstat", agg_numstat, "SELECT CAST(year(o_orderdate) AS VARCHAR) AS pair_id, count(*) AS files, sum(i)::BIGINT AS insertions, sum(x)::BIGINT AS deletions, count(*) FILTER (k = 0) AS go_files, sum(CASE WHEN k = 0 THEN i ELSE 0 END)::BIGINT AS go_insertions, sum(CASE WHEN k = 0 THEN x ELSE 0 END)::BIGINT AS go_deletions FROM (SELECT o_orderdate, o_orderkey % 4 AS k, CASE WHEN o_orderkey % 4 = 2 THEN 0 ELSE o_orderkey % 100 END AS i, o_custkey % 10 AS x FROM orders) GROUP BY 1")
+
+
+def win_diff_file(spark, d):
+    """Hunks of saved diffs, with the file that each line stands under."""
+    o = spark.read.parquet(f"{d}/orders.parquet").select((F.col("o_orderkey") % 20).cast("string").alias("diff_id"), F.col("o_orderkey").alias("line_no"), F.col("o_custkey").alias("c"))
+    c = F.col("c").cast("string")
+    text = F.when(F.col("c") % 3 == 0, F.concat(F.lit("+++ b/f"), c, F.lit(".go"))).otherwise(F.concat(F.lit("@@ -1 +"), c, F.lit(","), (F.col("c") % 7).cast("string"), F.lit(" @@")))
+    return flt.changed_files(o.select("diff_id", "line_no", text.alias("text")))
+
+
+_add("win_diff_file", win_diff_file, "SELECT diff_id, file, c::INT AS lo, (c + greatest(c % 7, 1) - 1)::INT AS hi FROM (SELECT CAST(o_orderkey % 20 AS VARCHAR) AS diff_id, o_custkey AS c, last_value(CASE WHEN o_custkey % 3 = 0 THEN 'f' || o_custkey || '.go' END IGNORE NULLS) OVER (PARTITION BY o_orderkey % 20 ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING) AS file FROM orders) WHERE c % 3 <> 0")
