@@ -102,8 +102,8 @@ def token_pieces(documents: DataFrame, path: str, end_id: int, window: int = WIN
             if not len(pdf):
                 continue
             rows = []
-            for d, t in zip(pdf["doc_id"], pdf["text"], strict=True):
-                ids = enc.encode([t])[0] + end
+            for d, ids in zip(pdf["doc_id"], enc.encode(list(pdf["text"])), strict=True):
+                ids += end
                 n = len(ids) // 4
                 for at in range(0, n, window):
                     own = ids[4 * at : 4 * (at + window)]

@@ -13,15 +13,21 @@ all texts if a vocabulary splits in some other way.
 
 from __future__ import annotations
 
+import itertools
 import json
 import os
 import re
+import sys
+from array import array
 
+if array("I").itemsize != 4 or sys.byteorder != "little":
+    raise ImportError("ids are kept as little-endian 32-bit numbers")
 _PIECES = re.compile(r"\s*\S+|\s+\Z")
 _ODD = re.compile("[\x1c-\x1f]")
+_MARKS = re.compile("[\u0300-\u036f]")
 _TAIL = re.compile(r"[.,!?;:]+\Z")
 #: Pieces remembered by a worker at most (about 150 bytes each) before it starts anew.
-MEMO = 900_000
+MEMO = 1_300_000
 
 
 class _Memo(dict):
@@ -68,7 +74,6 @@ class Encoder:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import numpy as np
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
@@ -76,30 +81,24 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [x["content"] for x in spec.get("added_tokens") or []]
         self.kind = _kind(spec)
-        self.np = np
         self.memo = _Memo(self._library, lower=self.kind == "words")
 
     def _library(self, texts: list[str]) -> list[bytes]:
-        np = self.np
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.kind:
             return self._library(texts)
-        out: list[bytes] = []
-        memo = self.memo
-        split = str.split if self.kind == "words" else _PIECES.findall
-        for text in texts:
-            if _ODD.search(text) or any(a in text for a in self.added):
-                out += self._library([text])
-                continue
-            pieces = split(text)
-            try:
-                out.append(b"".join([memo[p] for p in pieces]))
-            except KeyError:
-                memo.learn(pieces)
-                out.append(b"".join([memo[p] for p in pieces]))
-        return out
+        memo, split = self.memo, _lowered if self.kind == "words" else _PIECES.findall
+        cut = [None if _ODD.search(t) or any(a in t for a in self.added) else split(t) for t in texts]
+        memo.learn(itertools.chain.from_iterable(filter(None, cut)))
+        return [self._library([t])[0] if pieces is None else b"".join([memo[p] for p in pieces]) for t, pieces in zip(texts, cut, strict=True)]
+
+
+def _lowered(text: str) -> list[str]:
+    """Words in ASCII lower case, as the vocabulary has them; not where a mark could join a letter
+    (NFC comes before lower case there, and some letters have joined forms in one case only)."""
+    return (text if _MARKS.search(text) else text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")).split()
 
 
 def _kind(spec: dict) -> str:
