@@ -37,11 +37,23 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/lattica-{name}-{uuid.uuid4().hex}"
 
 
+#: Stands for a null id in Python workers, where a null would turn a column of whole numbers into floats.
+NO_ID = -(1 << 63)
+
+
+def known(c):
+    return F.coalesce(c, F.lit(NO_ID))
+
+
+def ids_back(df: DataFrame, name: str = "doc_id") -> DataFrame:
+    return df.withColumn(name, F.nullif(F.col(name), F.lit(NO_ID)))
+
+
 def rows_of(df: DataFrame, key: str, text: str) -> DataFrame:
     """Just the key and the text, under fixed names, so that no other column can clash.
     Python workers get few rows at a time, as some texts are very long."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
-    return df.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    return df.select(known(F.col(key).cast("long")).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
 
 def sha(text: str) -> str:

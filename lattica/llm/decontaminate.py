@@ -17,7 +17,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import each_batch, rows_of, sha
+from .common import each_batch, ids_back, rows_of, sha
 
 WINDOW = 13
 MAX_ITEM_CHARS = 200_000_000
@@ -104,7 +104,7 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id
             out.append((d, n, hit, len(who), ",".join(sorted(map(str, who))), spans, hit > 0 and 20 * hit >= n))
         return pd.DataFrame(out, columns=["doc_id", "n_words", "n_hit", "n_items", "items", "spans", "contaminated"]).astype({"doc_id": "Int64"})
 
-    return rows_of(documents, key, text).mapInPandas(each_batch(judge), "doc_id long, n_words long, n_hit long, n_items long, items string, spans string, contaminated boolean")
+    return ids_back(rows_of(documents, key, text).mapInPandas(each_batch(judge), "doc_id long, n_words long, n_hit long, n_items long, items string, spans string, contaminated boolean"))
 
 
 def digest(found: DataFrame) -> DataFrame:

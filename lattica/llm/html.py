@@ -20,7 +20,7 @@ from html.parser import HTMLParser
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import each_batch
+from .common import each_batch, ids_back, known
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
@@ -206,5 +206,5 @@ def extract_pages(pages: DataFrame, key: str = "page_id", url: str = "url", html
         text = [extract(h) for h in pdf["html"]]
         return pd.DataFrame({"page_id": pdf["page_id"].astype("Int64"), "url": pdf["url"], "text": text, "n_chars": [len(t) for t in text]})
 
-    p = pages.select(F.col(key).cast("long").alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html"))
-    return p.mapInPandas(each_batch(run), "page_id long, url string, text string, n_chars long")
+    p = pages.select(known(F.col(key).cast("long")).alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html"))
+    return ids_back(p.mapInPandas(each_batch(run), "page_id long, url string, text string, n_chars long"), "page_id")

@@ -19,7 +19,7 @@ import zlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import each_batch, fresh_path, rows_of
+from .common import each_batch, fresh_path, ids_back, known, rows_of
 
 UNIT = 192
 PACKET = 1920
@@ -141,7 +141,7 @@ def encode_column(documents: DataFrame, key: str = "doc_id", text: str = "text")
         made = [(n, encode(data)) for n, data in map(payload, pdf["text"])]
         return pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "n_bytes": [n for n, _ in made], "media": [m for _, m in made]})
 
-    return rows_of(documents, key, text).mapInPandas(each_batch(run), "doc_id long, n_bytes long, media binary")
+    return ids_back(rows_of(documents, key, text).mapInPandas(each_batch(run), "doc_id long, n_bytes long, media binary"))
 
 
 def inspect_column(media: DataFrame) -> DataFrame:
@@ -161,7 +161,8 @@ def inspect_column(media: DataFrame) -> DataFrame:
                 out.append((d, n, 0, "", 0, len(m), hashlib.sha256(m).hexdigest(), "", str(e)))
         return pd.DataFrame(out, columns=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "error"]).astype({"doc_id": "Int64"})
 
-    return media.select("doc_id", "n_bytes", "media").where(F.col("media").isNotNull()).mapInPandas(each_batch(run), "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, error string")
+    rows = media.select(known(F.col("doc_id")).alias("doc_id"), "n_bytes", "media").where(F.col("media").isNotNull())
+    return ids_back(rows.mapInPandas(each_batch(run), "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, error string"))
 
 
 def media_table(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -20,7 +20,7 @@ from bisect import bisect_right
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, rows_of
+from .common import cut, ids_back, known, rows_of
 from .tokens import encoder, vocabulary
 
 WINDOW = 1024
@@ -110,14 +110,14 @@ def token_pieces(documents: DataFrame, path: str, end_id: int, window: int = WIN
                     rows.append((d, at, len(own) // 4, zlib.crc32(own), n, *([np.frombuffer(own, "<u4").astype("int32")] if keep_ids else [])))
             yield pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", *(["ids"] if keep_ids else [])]).astype({"doc_id": "Int64"})
 
-    return rows_of(documents, key, text).mapInPandas(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * keep_ids)
+    return ids_back(rows_of(documents, key, text).mapInPandas(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * keep_ids))
 
 
 def place(pieces: DataFrame, window: int = WINDOW) -> DataFrame:
     """Adds sequence_id and offset to pieces of 1 to ``window`` ids.  Reads its input twice."""
     spark = pieces.sparkSession
     salt = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(SALTS)).cast("int")
-    p = pieces.withColumn("salt", salt)
+    p = pieces.withColumn("doc_id", known(F.col("doc_id"))).withColumn("salt", salt)
     by = cut(p.groupBy("length", "salt").agg(F.count("*").alias("n")))
     counts = {r.length: r.n for r in by.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     # Full windows come first, then the rest, by length.
@@ -142,7 +142,7 @@ def place(pieces: DataFrame, window: int = WINDOW) -> DataFrame:
             yield pdf.assign(sequence_id=seq, offset=off)
 
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fields)
-    return ranked.mapInPandas(settle, kinds + ", sequence_id long, offset long").drop("rank")
+    return ids_back(ranked.mapInPandas(settle, kinds + ", sequence_id long, offset long").drop("rank"))
 
 
 def pack(documents: DataFrame, path: str | None = None, end_id: int = 0, window: int = WINDOW, key: str = "doc_id", text: str = "text", keep_ids: bool = False) -> DataFrame:

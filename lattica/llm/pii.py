@@ -20,7 +20,7 @@ import zlib
 
 from pyspark.sql import DataFrame
 
-from .common import each_batch, rows_of, sha
+from .common import each_batch, ids_back, rows_of, sha
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
@@ -355,4 +355,4 @@ def find(documents: DataFrame, model=None, key: str = "doc_id", text: str = "tex
         return pd.DataFrame(out, columns=["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added"]).assign(doc_id=pdf["doc_id"].astype("Int64").to_numpy())
 
     kinds = "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long, doc_id long"
-    return rows_of(documents, key, text).mapInPandas(each_batch(run), kinds).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added")
+    return ids_back(rows_of(documents, key, text).mapInPandas(each_batch(run), kinds)).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added")

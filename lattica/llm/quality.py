@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import each_batch, rows_of
+from .common import each_batch, ids_back, rows_of
 
 TERMS = 2048
 SHAPES = 64
@@ -137,7 +137,7 @@ def score(documents: DataFrame, model, key: str = "doc_id", text: str = "text")
             s = np.concatenate([vote(unit(weigh(np.minimum(np.stack([terms(t) for t in pdf["text"][i : i + 128]]), 60000), idf) @ proj), known, y, stands_for=stands_for) for i in range(0, len(pdf), 128)])
         return pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "score": np.clip(s, 0, 1).astype(float)})
 
-    return rows_of(documents, key, text).mapInPandas(each_batch(run), "doc_id long, score double")
+    return ids_back(rows_of(documents, key, text).mapInPandas(each_batch(run), "doc_id long, score double"))
 
 
 def held_out(doc_id):

@@ -25,7 +25,7 @@ import functools
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, each_batch, rows_of
+from .common import cut, each_batch, ids_back, rows_of
 
 BITS = 3
 SHINGLE = 3
@@ -66,7 +66,7 @@ def fingerprints(documents: DataFrame, key: str = "doc_id", text: str = "text",
         fp = np.array([fingerprint(t, k) for t in pdf["text"]], dtype=np.uint64).view(np.int64)
         return pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "fp": fp})
 
-    return rows_of(documents, key, text).mapInPandas(each_batch(make), "doc_id long, fp long")
+    return ids_back(rows_of(documents, key, text).mapInPandas(each_batch(make), "doc_id long, fp long"))
 
 
 def _forest(table, probes, bits: int):

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import fresh_path, rows_of
+from .common import fresh_path, ids_back, rows_of
 from .tokens import encoder
 
 ROW_GROUP = 16 << 20
@@ -42,7 +42,7 @@ def write(documents: DataFrame, to: str, path: str, end_id: int, key: str = "doc
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n), pa.array(first + ends - n), pa.array(np.full(len(n), part, np.int32)), lists], names=["doc_id", "n_tokens", "first", "part", "ids"])
             first += int(n.sum())
 
-    ranged = rows_of(documents, key, text).withColumn("h", F.xxhash64("text"))
+    ranged = ids_back(rows_of(documents, key, text)).withColumn("h", F.xxhash64("text"))
     ranged = ranged.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "text")
     out = ranged.mapInArrow(run, FIELDS).write.option("parquet.block.size", ROW_GROUP).option("parquet.page.size", PAGE).option("compression", "zstd")
     out = out.option("parquet.enable.dictionary", "true") if encoding == "dictionary" else out.option("parquet.enable.dictionary", "false").option("parquet.writer.version", "PARQUET_2_0")
