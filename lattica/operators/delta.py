@@ -1,7 +1,7 @@
 """What changed between pairs of snapshots.
 
-``pairs`` has (pair_id, a, b) with two snapshot ids, so that one job compares a whole history.  Both sides of an
-axis are united and grouped once by key, which needs one shuffle where two anti-joins need four.
+``pairs`` has (pair_id, a, b) with two snapshot ids, so that one job compares a whole history.  A table is
+read once for both ends and grouped once by key, which needs one shuffle where two anti-joins need four.
 """
 
 from __future__ import annotations
@@ -25,7 +25,8 @@ def of(df: DataFrame, pairs: DataFrame, end: str) -> DataFrame:
 
 def both(df: DataFrame, pairs: DataFrame, keys: list[str], *extra) -> DataFrame:
     """(pair_id, keys, in_a, in_b, further aggregates over the column ``in_b`` of united rows)."""
-    u = of(df, pairs, "a").withColumn("_b", F.lit(False)).unionByName(of(df, pairs, "b").withColumn("_b", F.lit(True)))
+    ends = pairs.select("pair_id", F.inline(F.array(F.struct(F.col("a").alias("snapshot_id"), F.lit(False).alias("_b")), F.struct(F.col("b").alias("snapshot_id"), F.lit(True).alias("_b")))))
+    u = df.join(ends, "snapshot_id").drop("snapshot_id")
     return u.groupBy("pair_id", *keys).agg(F.max(~F.col("_b")).alias("in_a"), F.max("_b").alias("in_b"), *extra)
 
 
