@@ -1,22 +1,19 @@
-"""Five stages from raw documents to packed sequences; each is written and read again."""
+"""Five stages from raw documents to packed sequences; each is written and read again.
+
+Rows are judged one by one, not by doc_id: rows without an id, or with one id and different texts, stand for themselves."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from lattica.llm import decontaminate, linededup, packing, quality, simhash
-from lattica.llm.common import fresh_path, table
-
-
-def _keep(docs, verdicts):
-    """The documents (all their rows and columns) whose doc_id has a verdict row."""
-    return docs.join(verdicts.select(F.col("doc_id").alias("_kept")).distinct(), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+from lattica.llm.common import fresh_path, numbered, table
 
 
 def quality_stage(spark, docs, sf_dir):
     """Documents that the classifier rejects go.  All labels train it: nothing is held out here."""
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return _keep(docs, quality.score(docs, model).where(F.col("score") >= quality.THRESHOLD))
+    return quality.accepted(docs, model)
 
 
 def line_stage(spark, docs, sf_dir):
@@ -26,14 +23,14 @@ def line_stage(spark, docs, sf_dir):
 
 
 def near_duplicate_stage(spark, docs, sf_dir):
-    """One document of each component stays: the one that names it."""
-    first = simhash.near_duplicates(docs).where("doc_id = component_id or component_id is null")
-    return _keep(docs, first)
+    """One row of each component stays: the one that names it, or any of one without ids."""
+    rows = numbered(docs)
+    return rows.join(simhash.one_of_each(rows, "_row"), "_row", "left_semi").select(*docs.columns)
 
 
 def benchmark_stage(spark, docs, sf_dir):
-    """Contaminated documents go."""
-    return _keep(docs, decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark")).where("not contaminated"))
+    """Contaminated rows go."""
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def packing_stage(spark, docs, sf_dir):

@@ -49,17 +49,40 @@ def ids_back(df: DataFrame, name: str = "doc_id") -> DataFrame:
     return df.withColumn(name, F.nullif(F.col(name), F.lit(NO_ID)))
 
 
-def rows_of(df: DataFrame, key: str, text: str) -> DataFrame:
-    """Just the key and the text, under fixed names, so that no other column can clash.
+def rows_of(df: DataFrame, key: str, text: str, more: list[str] = []) -> DataFrame:  # noqa: B006
+    """Just the key and the text, under fixed names, so that no other column can clash (and ``more`` columns).
     Python workers get few rows at a time, as some texts are very long."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
-    return df.select(known(F.col(key).cast("long")).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    return df.select(known(F.col(key).cast("long")).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), *more)
 
 
 def sha(text: str) -> str:
     return hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()
 
 
+def rows_where(df: DataFrame, text: str, accept) -> DataFrame:
+    """The rows, with all their columns, whose text ``accept`` says yes to; it takes a list of texts (null as
+    the empty string).  Each row is judged by itself, so ids may be null or repeat."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
+    at = df.columns.index(text)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            if b.num_rows:
+                yield b.filter(pa.array([bool(x) for x in accept([t or "" for t in b.column(at).to_pylist()])], pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
+def numbered(df: DataFrame, name: str = "_row") -> DataFrame:
+    """``df`` written to the shared folder with a number for each row: every later read has the same numbers."""
+    at = fresh_path(df.sparkSession, "rows")
+    df.withColumn(name, F.monotonically_increasing_id()).write.parquet(at)
+    return df.sparkSession.read.parquet(at)
+
+
 def each_batch(fn):
     """A ``mapInPandas`` function from one that takes and returns a pandas frame."""
 

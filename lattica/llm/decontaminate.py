@@ -17,7 +17,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import each_batch, ids_back, rows_of, sha
+from .common import each_batch, ids_back, rows_of, rows_where, sha
 
 WINDOW = 13
 MAX_ITEM_CHARS = 200_000_000
@@ -80,15 +80,36 @@ def original_spans(text: str, ranges: list[tuple[int, int]]) -> list[tuple[int,
     return [(words[a][0], words[b - 1][1]) for a, b in ranges]
 
 
-def decontaminate(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
-    """Per document: doc_id, n_words, n_hit, n_items, items (sorted as strings, comma-joined),
-    spans (``start:end`` code points of the original, comma-joined), contaminated."""
+def contaminated(n: int, ranges: list[tuple[int, int]]) -> bool:
+    hit = sum(b - a for a, b in ranges)
+    return hit > 0 and 20 * hit >= n
+
+
+def benchmark_windows(benchmark: DataFrame, item: str = "item_id", item_text: str = "text", window: int = WINDOW) -> dict[str, set[int]]:
     items = benchmark.select(F.col(item).cast("long").alias("i"), F.col(item_text).alias("t")).where("t is not null and i is not null")
     size = items.agg(F.sum(F.length("t"))).first()[0] or 0
     if size > MAX_ITEM_CHARS:
         raise ValueError(f"benchmark of {size} characters; an automaton is made for {MAX_ITEM_CHARS} at most")
-    found = windows([(r.i, r.t) for r in items.collect()], window)
-    sent = documents.sparkSession.sparkContext.broadcast(found)
+    return windows([(r.i, r.t) for r in items.collect()], window)
+
+
+def clean(documents: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
+    """The rows, with all their columns, whose text is not contaminated."""
+    sent = documents.sparkSession.sparkContext.broadcast(benchmark_windows(benchmark))
+    made: list = []
+
+    def accept(texts):
+        if not made:
+            made.append(automaton(sent.value))
+        return [not contaminated(*scan(made[0], t)[:2]) for t in texts]
+
+    return rows_where(documents, text, accept)
+
+
+def decontaminate(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
+    """Per document: doc_id, n_words, n_hit, n_items, items (sorted as strings, comma-joined),
+    spans (``start:end`` code points of the original, comma-joined), contaminated."""
+    sent = documents.sparkSession.sparkContext.broadcast(benchmark_windows(benchmark, item, item_text, window))
     made: list = []
 
     def judge(pdf):
@@ -101,7 +122,7 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id
             n, ranges, who = scan(made[0], t)
             hit = sum(b - a for a, b in ranges)
             spans = ",".join(f"{a}:{b}" for a, b in original_spans(t, ranges))
-            out.append((d, n, hit, len(who), ",".join(sorted(map(str, who))), spans, hit > 0 and 20 * hit >= n))
+            out.append((d, n, hit, len(who), ",".join(sorted(map(str, who))), spans, contaminated(n, ranges)))
         return pd.DataFrame(out, columns=["doc_id", "n_words", "n_hit", "n_items", "items", "spans", "contaminated"]).astype({"doc_id": "Int64"})
 
     return ids_back(rows_of(documents, key, text).mapInPandas(each_batch(judge), "doc_id long, n_words long, n_hit long, n_items long, items string, spans string, contaminated boolean"))

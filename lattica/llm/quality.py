@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import each_batch, ids_back, rows_of
+from .common import each_batch, ids_back, rows_of, rows_where
 
 TERMS = 2048
 SHAPES = 64
@@ -121,21 +121,32 @@ def fit(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     return idf, proj, unit(weigh(counts, idf) @ proj).astype(np.float32), y, stands_for
 
 
+def scores(m, texts):
+    """The score of each text."""
+    import numpy as np
+
+    if isinstance(m, float):
+        s = np.full(len(texts), m)
+    else:
+        idf, proj, known, y, stands_for = m
+        s = np.concatenate([vote(unit(weigh(np.minimum(np.stack([terms(t) for t in texts[i : i + 128]]), 60000), idf) @ proj), known, y, stands_for=stands_for) for i in range(0, len(texts), 128)])
+    return np.clip(s, 0, 1).astype(float)
+
+
+def accepted(documents: DataFrame, model, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows, with all their columns, whose text scores ``threshold`` or more."""
+    sent = documents.sparkSession.sparkContext.broadcast(model)
+    return rows_where(documents, text, lambda texts: scores(sent.value, texts) >= threshold)
+
+
 def score(documents: DataFrame, model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, score."""
     sent = documents.sparkSession.sparkContext.broadcast(model)
 
     def run(pdf):
-        import numpy as np
         import pandas as pd
 
-        m = sent.value
-        if isinstance(m, float):
-            s = np.full(len(pdf), m)
-        else:
-            idf, proj, known, y, stands_for = m
-            s = np.concatenate([vote(unit(weigh(np.minimum(np.stack([terms(t) for t in pdf["text"][i : i + 128]]), 60000), idf) @ proj), known, y, stands_for=stands_for) for i in range(0, len(pdf), 128)])
-        return pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "score": np.clip(s, 0, 1).astype(float)})
+        return pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "score": scores(sent.value, pdf["text"])})
 
     return ids_back(rows_of(documents, key, text).mapInPandas(each_batch(run), "doc_id long, score double"))
 

@@ -56,17 +56,18 @@ def fingerprint(text: str, k: int = SHINGLE) -> int:
     return int(bits.view("<u8")[0])
 
 
-def fingerprints(documents: DataFrame, key: str = "doc_id", text: str = "text", k: int = SHINGLE) -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed long)."""
+def fingerprints(documents: DataFrame, key: str = "doc_id", text: str = "text", k: int = SHINGLE, row: str | None = None) -> DataFrame:
+    """doc_id, fp (the 64 bits as a signed long), and the rows' numbers if ``row`` names a column of them."""
+    carried = [row] if row else []
 
     def make(pdf):
         import numpy as np
         import pandas as pd
 
         fp = np.array([fingerprint(t, k) for t in pdf["text"]], dtype=np.uint64).view(np.int64)
-        return pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "fp": fp})
+        return pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "fp": fp, **{c: pdf[c] for c in carried}})
 
-    return ids_back(rows_of(documents, key, text).mapInPandas(each_batch(make), "doc_id long, fp long"))
+    return ids_back(rows_of(documents, key, text, carried).mapInPandas(each_batch(make), "doc_id long, fp long" + "".join(f", {c} long" for c in carried)))
 
 
 def _forest(table, probes, bits: int):
@@ -152,13 +153,24 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
+def _rooted(classes: DataFrame, bits: int) -> DataFrame:
+    """classes(fp, ...) with the root of each fingerprint's component."""
+    roots = components(links(classes.select("fp"), bits))
+    return classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
+def one_of_each(documents: DataFrame, row: str, key: str = "doc_id", text: str = "text", k: int = SHINGLE, bits: int = BITS) -> DataFrame:
+    """The rows' numbers, one for each component: the row of the least doc_id (nulls last), and of its rows the first."""
+    docs = cut(fingerprints(documents, key, text, k, row))
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", row)
+    named = _rooted(cut(docs.groupBy("fp").agg(F.min(order).alias("first"))), bits)
+    return named.groupBy("root").agg(F.min("first").alias("first")).select(F.col(f"first.{row}").alias(row))
+
+
 def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text", k: int = SHINGLE, bits: int = BITS) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (least doc_id reachable)."""
     docs = cut(fingerprints(documents, key, text, k))
-    classes = cut(docs.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    found = links(classes.select("fp"), bits)
-    roots = components(found)
-    named = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    named = _rooted(cut(docs.groupBy("fp").agg(F.min("doc_id").alias("first"))), bits)
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
     named = named.join(least, "root").select("fp", "component_id")
     return docs.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

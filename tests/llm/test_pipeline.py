@@ -49,3 +49,35 @@ def test_stages_keep_columns_and_take_effect(spark, tmp_path):
     packed = cp.STAGES[-1][1](spark, docs, d)
     assert {x.doc_id for x in packed.collect()} == {x[0] for x in state}
     assert simhash.SHINGLE == 3 and cp.run(spark, d).count() == packed.count()
+
+
+def test_stages_judge_rows_not_ids(spark, tmp_path):
+    """Rows without an id, or that share one, are each kept or dropped for their own text."""
+    import corpus_pipeline as cp
+
+    from .test_operators import WORDS, brute_components, brute_fingerprint
+
+    import random
+
+    r = random.Random(4)
+    say = lambda n: " ".join(r.choice(WORDS) for _ in range(n))
+    bad = lambda: " ".join([r.choice(WORDS)] * 50).upper() + "!!!"
+    d, item = str(tmp_path), say(20)
+    labelled = [(i, say(60) if i % 2 else bad()) for i in range(80)]
+    good, rejected, copy, leak = say(60), bad(), say(60), f"{item} {say(10)}"
+    odd = [(i, t) for i in (None, 900) for t in (good + f" {i}", rejected, copy, copy, leak)]
+    frame = lambda rows: spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], COLUMNS)
+    frame(labelled + odd).write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame([(i, i % 2, 0) for i, _ in labelled], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    of = lambda df: sorted(((x.doc_id, x.text) for x in df.where("doc_id is null or doc_id = 900").collect()), key=repr)
+    assert of(cp.quality_stage(spark, docs, d)) == sorted((x for x in odd if x[1] != rejected), key=repr)
+    assert of(cp.benchmark_stage(spark, docs, d)) == sorted((x for x in odd if x[1] != leak), key=repr)
+    out = [(x.doc_id, x.text) for x in cp.near_duplicate_stage(spark, docs, d).collect()]
+    fp = lambda t: brute_fingerprint(t)
+    rows = list(enumerate(labelled + odd))
+    comps = {c for _, _, c in brute_components([(n, fp(t)) for n, (_, t) in rows])}
+    assert len(out) == len(comps) and out.count((900, copy)) == 1 and (None, copy) not in out
+    alone = frame([(None, copy), (None, copy), (None, good), (None, "")])
+    assert sorted(x.text for x in cp.near_duplicate_stage(spark, alone, d).collect()) == sorted([copy, good, ""])
