@@ -36,8 +36,8 @@ def windows(items: list[tuple[int, str]], size: int = WINDOW) -> dict[str, set[i
     """window -> the items that hold it."""
     out: dict[str, set[int]] = {}
     for item, text in items:
-        words = normalised(text or "").split()
-        for i in range(max(1, len(words) - size + 1) if words else 0):
+        words = normalised(text or "").strip(" ").split(" ")
+        for i in range(max(1, len(words) - size + 1) if words[0] else 0):
             out.setdefault(f" {' '.join(words[i : i + size])} ", set()).add(item)
     return out
 

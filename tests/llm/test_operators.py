@@ -379,3 +379,17 @@ def test_html(spark):
     by = {r.page_id: r.text for r in got}
     assert len(got) == len(rows) and by[1] == want and by[2] == by[3] == "" and by[4] == "plain" and by[5] == "deep" and by[None] == "a b"
     assert html.extract_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_decontaminate_cuts_items_at_ascii_only(spark):
+    """No-break and ideographic spaces are word characters, in items as in documents."""
+    words = [f"w{i}" for i in range(30)]
+    for i, c in ((3, "\u00a0"), (9, "\u3000"), (14, "\u00a0"), (21, "\x85")):
+        words[i] += c
+    short = "mot\u00a0: deux\u3000trois"
+    items = [(1, " ".join(words)), (2, short), (3, "\u00a0")]
+    texts = [(1, " ".join(words), "a"), (2, f"un {short}", "a"), (3, "mot deux trois", "a"), (4, "x \u00a0 y", "a")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = Counter(map(tuple, decontaminate.digest(decontaminate.decontaminate(docs(spark, texts), bench)).collect()))
+    assert got == Counter((i, *brute_hits(t, items)) for i, t, _ in texts)
+    assert {g[0]: g[2] for g in got} == {1: 30, 2: 2, 3: 0, 4: 1}
