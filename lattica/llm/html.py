@@ -3,7 +3,8 @@
 The page becomes a tree of blocks (inline tags count as tags of their block).  A node's density is its
 characters per tag, adjusted by how much of it is link text; a node's density sum adds up its children's.
 The node with the greatest sum is the article; the least density on its way up to ``body`` is the
-threshold by which further subtrees are let in.  Scripts, styles, forms, menus, headers, footers, sidebars,
+threshold by which further subtrees are let in, down to single blocks and the text that a block has of its own.
+Where the article's node stands in an ``article``, that is taken whole; a heading goes with the text after it.  Scripts, styles, forms, menus, headers, footers, sidebars,
 notices, adverts and reader comments are known by tag, role, class or id and never count.
 
 Null and empty pages, and pages without text, give the empty string; broken or unclosed markup is read as
@@ -22,6 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import each_batch, ids_back, known
 
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 DROPPED = frozenset("aside button canvas datalist dialog footer form frameset head iframe input menu nav noframes noscript object script select style svg template textarea title".split())
@@ -105,7 +107,7 @@ def _dropped(n: Node, inside: bool) -> bool:
 
 
 class _Block:
-    __slots__ = ("best", "chars", "density", "end", "kids", "links", "linked", "own", "parent", "start", "sum", "tags")
+    __slots__ = ("best", "chars", "density", "end", "kids", "links", "linked", "own", "parent", "start", "sum", "tag", "tags")
 
 
 def extract(html: str) -> str:
@@ -115,9 +117,11 @@ def extract(html: str) -> str:
     # The page in order: text pieces, None at block borders; and the tree of blocks over it.
     pieces: list[str | None] = []
     blocks: list[_Block] = []
+    texts: list[tuple[_Block, int]] = []
 
-    def new(parent):
+    def new(parent, tag="body"):
         b = _Block()
+        b.tag = tag
         b.parent, b.kids, b.chars, b.tags, b.links, b.linked, b.own, b.start = parent, [], 0, 0, 0, 0, 0, len(pieces)
         blocks.append(b)
         if parent is not None:
@@ -139,6 +143,7 @@ def extract(html: str) -> str:
             block.own += n
             if in_link:
                 block.linked += n
+            texts.append((block, len(pieces)))
             pieces.append(x)
         elif not _dropped(x, inside):
             if x.tag in INLINE:
@@ -149,11 +154,12 @@ def extract(html: str) -> str:
                 stack.append((iter(x.kids), block, in_link or x.tag == "a", inside))
             else:
                 pieces.append(None)
-                own = new(block)
+                own = new(block, x.tag)
                 own.tags = 1
                 stack.append((iter(x.kids), own, in_link, inside or x.tag in ("article", "main")))
+    unlinked = {}
     for b in blocks:
-        b.chars = b.own
+        b.chars, unlinked[id(b)] = b.own, b.own - b.linked
     for b in reversed(blocks):
         if b.parent is not None:
             for k in ("chars", "tags", "links", "linked"):
@@ -172,19 +178,27 @@ def extract(html: str) -> str:
         path.append(n)
         n = n.parent
     threshold = min(x.density for x in path)
-    chosen = {id(b.best): b.best for b in blocks if b.kids and b.density >= threshold and b.best.sum > 0} or {0: top}
-    taken, until = [], 0
-    for b in sorted(chosen.values(), key=lambda x: (x.start, -x.end)):
-        if b.start >= until:
-            taken += ["" if x is None else x for x in _bordered(pieces[b.start : b.end])]
-            until = b.end
-    return " ".join("".join(taken).split())
-
-
-def _bordered(pieces):
-    for x in pieces:
-        yield " " if x is None else x
-    yield " "
+    # The logarithm grows with a node's size, so single blocks are held against the path by unlinked characters per tag.
+    plain = min(x.chars / max(1, x.tags) for x in path)
+    article = next((b for b in path if b.tag == "article"), main)
+    chosen = {id(b.best): b.best for b in blocks if b.kids and b.density >= threshold and b.best.sum > 0} | {id(article): article}
+    chosen |= {id(b): b for b in blocks if not b.kids and b.chars and (b.density >= threshold or (b.chars - b.linked) / max(1, b.tags) >= plain)}
+    taken = bytearray(len(pieces))
+    for b in chosen.values():
+        taken[b.start : b.end] = b"\1" * (b.end - b.start)
+    direct = {id(b) for b in blocks if b.kids and b.own and unlinked[id(b)] >= plain}
+    for b, i in texts:
+        if id(b) in direct:
+            taken[i] = 1
+    after = None
+    for b in sorted((b for b in blocks if not b.kids and b.chars), key=lambda x: -x.start):
+        if b.tag in HEADINGS and after is not None and taken[after.start]:
+            scope = b.parent.parent if b.parent.tag in ("header", "hgroup") else b.parent
+            if after.start < scope.end:
+                taken[b.start : b.end] = b"\1" * (b.end - b.start)
+        after = b
+    # What is left out stands between blocks, as a border does.
+    return " ".join("".join(" " if x is None or not t else x for x, t in zip(pieces, taken, strict=True)).split())
 
 
 def _density(chars: int, linked: int, tags: int, links: int, share: float) -> float:

@@ -393,3 +393,14 @@ def test_decontaminate_cuts_items_at_ascii_only(spark):
     got = Counter(map(tuple, decontaminate.digest(decontaminate.decontaminate(docs(spark, texts), bench)).collect()))
     assert got == Counter((i, *brute_hits(t, items)) for i, t, _ in texts)
     assert {g[0]: g[2] for g in got} == {1: 30, 2: 2, 3: 0, 4: 1}
+
+
+def test_html_keeps_blocks_beside_the_densest():
+    say = lambda k: f"Paragraph {k} of the story, long enough to count as text of the page and not as a menu."
+    inner = "<div>" + "".join(f"<p>{say(k)}</p>" for k in range(5)) + "</div>"
+    rest = " ".join(say(k) for k in range(5))
+    for tag in ("article", "div"):
+        page = f"<body><nav><a href=x>menu</a></nav><{tag}><h1>Head line</h1><p>{say('lead')}</p>{inner}<div><p>{say('second')}</p></div></{tag}><footer>f</footer></body>"
+        assert html.extract(page) == f"Head line {say('lead')} {rest} {say('second')}", tag
+    assert html.extract(f"<body><div>{say('own')}{inner}</div></body>") == f"{say('own')} {rest}"
+    assert html.extract(f"<body><article><p>Short.</p>{inner}</article></body>") == f"Short. {rest}"
