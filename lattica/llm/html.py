@@ -35,6 +35,9 @@ DROPPED_NAMES = frozenset(
 )
 #: Names and tags that drop a node only outside of the article itself.
 OUTSIDE = frozenset("header masthead banner topbar".split())
+#: Words that say only where a named part stands: ``site-footer`` is a footer, ``has-sidebar`` is no sidebar.
+PLACES = frozenset("area bar block bottom box button buttons container global inner left link links list main outer page post posts primary right section secondary site top wrap wrapper".split())
+COMMENTS = frozenset("comment comments disqus respond".split())
 #: What a start tag closes if it is open in the same container.
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SCOPES = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
@@ -42,10 +45,12 @@ _NAME = re.compile("[a-z0-9]+")
 
 
 class Node:
-    __slots__ = ("kids", "names", "parent", "role", "tag")
+    __slots__ = ("articles", "free", "kids", "main", "names", "parent", "role", "tag", "text")
 
     def __init__(self, tag, parent=None, names=frozenset(), role=""):
         self.tag, self.parent, self.names, self.role, self.kids = tag, parent, names, role, []
+        self.articles = self.free = self.main = False
+        self.text = 0
 
 
 class Tree(HTMLParser):
@@ -61,7 +66,7 @@ class Tree(HTMLParser):
         if tag in CLOSES:
             self._close(CLOSES[tag], SCOPES[tag])
         a = {k: v or "" for k, v in attrs}
-        node = Node(tag, self.at, frozenset(_NAME.findall(f"{a.get('class', '')} {a.get('id', '')}".lower())), a.get("role", "").lower())
+        node = Node(tag, self.at, frozenset(f"{a.get('class', '')} {a.get('id', '')}".lower().split()), a.get("role", "").lower())
         self.at.kids.append(node)
         if tag not in VOID:
             self.at = node
@@ -98,12 +103,57 @@ def parse(html: str) -> Node:
     return t.root
 
 
-def _dropped(n: Node, inside: bool) -> bool:
+def _named(n: Node, inside: bool) -> frozenset:
+    """The words by which a node's class or id drops it; all words of a name must be such words, or places."""
+    found = set()
+    for name in n.names:
+        words = set(_NAME.findall(name))
+        if words <= DROPPED_NAMES | PLACES:
+            found |= words & DROPPED_NAMES
+    return frozenset() if inside and found <= OUTSIDE else frozenset(found)
+
+
+def _unseen(n: Node, inside: bool) -> bool:
+    """Dropped by tag or role, whatever it holds."""
+    return n.tag not in ("article", "main") and (n.tag in DROPPED or (n.tag == "header" and not inside) or n.role in DROPPED_ROLES)
+
+
+def survey(root: Node) -> None:
+    """Per node: unlinked characters, whether it holds a main or an article, and whether one that no name drops."""
+    order, todo = [], [(root, False, False)]
+    while todo:
+        n, inside, linked = todo.pop()
+        order.append((n, inside))
+        linked = linked or n.tag == "a"
+        for x in n.kids:
+            if isinstance(x, str):
+                n.text += 0 if linked else len("".join(x.split()))
+            elif not _unseen(x, inside):
+                todo.append((x, inside or x.tag in ("article", "main"), linked))
+    for n, inside in reversed(order):
+        p = n.parent
+        if p is not None:
+            own = n.tag in ("article", "main")
+            p.text += n.text
+            p.main = p.main or n.main or n.tag == "main"
+            p.articles = p.articles or n.articles or own
+            p.free = p.free or own or (n.free and not _named(n, inside))
+
+
+def _dropped(n: Node, inside: bool, scope: Node) -> bool:
+    """A name does not drop a node that holds main, the scope's only articles, or most of its unlinked text;
+    the scope is the article, or the last such node, that it stands in."""
     if n.tag in ("article", "main"):
         return False
-    if n.tag in DROPPED or (n.tag == "header" and not inside) or n.role in DROPPED_ROLES:
+    if _unseen(n, inside):
         return True
-    return bool(names := n.names & DROPPED_NAMES) and not (inside and names <= OUTSIDE)
+    words = _named(n, inside)
+    if not words or n.main:
+        return False
+    if words & COMMENTS:
+        return True
+    most = 2 * n.text > scope.text
+    return not (most if inside else not scope.free and (n.articles or most))
 
 
 class _Block:
@@ -129,9 +179,11 @@ def extract(html: str) -> str:
         return b
 
     top = new(None)
-    stack: list[tuple] = [(iter(parse(html).kids), top, False, False)]
+    root = parse(html)
+    survey(root)
+    stack: list[tuple] = [(iter(root.kids), top, False, False, root)]
     while stack:
-        kids, block, in_link, inside = stack[-1]
+        kids, block, in_link, inside, scope = stack[-1]
         x = next(kids, stack)
         if x is stack:
             stack.pop()
@@ -145,18 +197,20 @@ def extract(html: str) -> str:
                 block.linked += n
             texts.append((block, len(pieces)))
             pieces.append(x)
-        elif not _dropped(x, inside):
+        elif not _dropped(x, inside, scope):
+            if x.tag in ("article", "main") or _named(x, inside):
+                scope = x
             if x.tag in INLINE:
                 block.tags += 1
                 block.links += x.tag == "a"
                 if x.tag == "br":
                     pieces.append(None)
-                stack.append((iter(x.kids), block, in_link or x.tag == "a", inside))
+                stack.append((iter(x.kids), block, in_link or x.tag == "a", inside, scope))
             else:
                 pieces.append(None)
                 own = new(block, x.tag)
                 own.tags = 1
-                stack.append((iter(x.kids), own, in_link, inside or x.tag in ("article", "main")))
+                stack.append((iter(x.kids), own, in_link, inside or x.tag in ("article", "main"), scope))
     unlinked = {}
     for b in blocks:
         b.chars, unlinked[id(b)] = b.own, b.own - b.linked

@@ -404,3 +404,14 @@ def test_html_keeps_blocks_beside_the_densest():
         assert html.extract(page) == f"Head line {say('lead')} {rest} {say('second')}", tag
     assert html.extract(f"<body><div>{say('own')}{inner}</div></body>") == f"{say('own')} {rest}"
     assert html.extract(f"<body><article><p>Short.</p>{inner}</article></body>") == f"Short. {rest}"
+
+
+def test_html_names_do_not_drop_the_article():
+    text = " ".join(f"Sentence {k} of the story, long enough to count." for k in range(6))
+    around = "<div class='site-footer'>foot</div><div class='cookie-notice'>we use</div>"
+    for name in ("has-sidebar", "no-comments", "elementor-widget-text", "widget", "page social", "banner"):
+        assert html.extract(f"<body><div id='page' class='{name}'><article><p>{text}</p></article></div>{around}</body>") == text, name
+        assert html.extract(f"<body><article><div class='{name}'><p>{text}</p></div></article>{around}</body>") == text, name
+        assert html.extract(f"<body><div class='{name}'><p>{text}</p></div>{around}</body>") == text, name
+    assert html.extract(f"<body><div class=widget><article><p>{text}</p></article><div id=comments><article><p>{text} says a reader</p></article></div></div></body>") == text
+    assert html.extract(f"<body><article><p>{text}</p></article><div class='sidebar widget-area'><p>{text * 3}</p></div></body>") == text
