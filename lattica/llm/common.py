@@ -8,6 +8,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,12 +18,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, named by ``spark.checkpoint.dir``.
-    Only where that is unset (tests on one machine) a temporary folder is taken."""
+    Where that is unset, a run on one machine (``local[...]``) takes a temporary folder; on a cluster it is an error."""
     sc = spark.sparkContext
     at = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not at:
         held = sc._jsc.sc().getCheckpointDir()
-        at = held.get() if held.isDefined() else f"file://{tempfile.mkdtemp(prefix='lattica-')}"
+        if held.isDefined():
+            at = held.get()
+        elif sc.master.startswith("local") and not sc.master.startswith("local-cluster"):
+            at = f"file://{tempfile.mkdtemp(prefix='lattica-')}"
+        else:
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(at)
     return at
@@ -56,6 +63,38 @@ def rows_of(df: DataFrame, key: str, text: str, more: list[str] = []) -> DataFra
     return df.select(known(F.col(key).cast("long")).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), *more)
 
 
+#: Texts that an operator's function sees at once.  Spark bounds the bytes of a batch, not the work on it.
+SLICE = 512
+
+
+def per_text(df: DataFrame, text: str, fn, kinds: str, carried: dict | None = None) -> DataFrame:
+    """One row for each row of ``df``: the ``carried`` columns (name -> column; they may be null and have any
+    type), and what ``fn`` makes of the texts: from a list of texts (null as the empty string) a list of
+    columns, of the types in ``kinds``."""
+    kept = df.select(*[c.alias(n) for n, c in (carried or {}).items()], F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    own = StructType.fromDDL(kinds)
+    whole = StructType([*kept.schema.fields[:-1], *own.fields])
+    types = [f.type for f in to_arrow_schema(own)]
+    names = whole.names
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                b = batch.slice(at, SLICE)
+                made = fn(b.column(b.num_columns - 1).to_pylist())
+                arrays = [x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip(made, types, strict=True)]
+                yield pa.RecordBatch.from_arrays([*b.columns[:-1], *arrays], names=names)
+
+    return kept.mapInArrow(run, whole)
+
+
+def id_of(key: str):
+    """A key as a whole number under a fixed name, so that no other column can clash."""
+    return {"doc_id": F.col(key).cast("long")}
+
+
 def sha(text: str) -> str:
     return hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()
 
@@ -63,14 +102,14 @@ def sha(text: str) -> str:
 def rows_where(df: DataFrame, text: str, accept) -> DataFrame:
     """The rows, with all their columns, whose text ``accept`` says yes to; it takes a list of texts (null as
     the empty string).  Each row is judged by itself, so ids may be null or repeat."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
     at = df.columns.index(text)
 
     def run(batches):
         import pyarrow as pa
 
-        for b in batches:
-            if b.num_rows:
+        for batch in batches:
+            for i in range(0, batch.num_rows, SLICE):
+                b = batch.slice(i, SLICE)
                 yield b.filter(pa.array([bool(x) for x in accept([t or "" for t in b.column(at).to_pylist()])], pa.bool_()))
 
     return df.mapInArrow(run, df.schema)

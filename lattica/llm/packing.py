@@ -6,8 +6,9 @@ pieces of one length are interchangeable: the decision needs only how many piece
 each length (a histogram of ``window`` entries at most, whatever the input).  The driver packs
 that histogram with a segment tree indexed by remaining capacity, moving runs of equal windows at
 once, which gives just what packing piece by piece gives.  Each piece then finds its place by its
-rank among the pieces of its length; ranks come from counts per (length, salt), so that a length
-which a third of all documents share is not gathered anywhere.
+rank among the pieces of its length; ranks come from counts per (length, salt).  A length of n pieces has
+about sqrt(n) salts of sqrt(n) pieces, so that a length which most pieces share (that of a full window) is
+gathered nowhere, whatever the input's size.
 
 Null and empty texts are one piece, the end id alone.  Repeated rows are packed as often as given;
 rows without doc_id are packed too; an empty table gives no pieces; other columns are ignored.
@@ -15,16 +16,19 @@ rows without doc_id are packed too; an empty table gives no pieces; other column
 
 from __future__ import annotations
 
-from bisect import bisect_right
+from math import isqrt
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, ids_back, known, rows_of
+from .common import cut, id_of
 from .tokens import encoder, vocabulary
 
 WINDOW = 1024
-SALTS = 64
+#: Texts that are encoded at once.
+TEXTS = 1024
+#: Keys of (length, rank): ranks take so many bits.
+RANK_BITS = 48
 
 
 class CapacityTree:
@@ -90,59 +94,74 @@ def plan(counts: dict[int, int], window: int = WINDOW) -> dict[int, list[tuple[i
 
 def token_pieces(documents: DataFrame, path: str, end_id: int, window: int = WINDOW, key: str = "doc_id", text: str = "text", keep_ids: bool = False) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens (and ids, if asked for) of each piece."""
+    rows = documents.select(*[c.alias(n) for n, c in id_of(key).items()], F.coalesce(F.col(text), F.lit("")).alias("text"))
 
-    def run(frames):
+    def run(batches):
         import zlib
 
         import numpy as np
-        import pandas as pd
+        import pyarrow as pa
 
         enc, end = encoder(path), np.array([end_id], dtype="<u4").tobytes()
-        for pdf in frames:
-            if not len(pdf):
-                continue
-            rows = []
-            for d, ids in zip(pdf["doc_id"], enc.encode(list(pdf["text"])), strict=True):
-                ids += end
-                n = len(ids) // 4
-                for at in range(0, n, window):
-                    own = ids[4 * at : 4 * (at + window)]
-                    rows.append((d, at, len(own) // 4, zlib.crc32(own), n, *([np.frombuffer(own, "<u4").astype("int32")] if keep_ids else [])))
-            yield pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", *(["ids"] if keep_ids else [])]).astype({"doc_id": "Int64"})
-
-    return ids_back(rows_of(documents, key, text).mapInPandas(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * keep_ids))
+        for batch in batches:
+            for i in range(0, batch.num_rows, TEXTS):
+                b = batch.slice(i, TEXTS)
+                row, start, length, crc, whole, own = [], [], [], [], [], []
+                for j, ids in enumerate(enc.encode(b.column("text").to_pylist())):
+                    ids += end
+                    n = len(ids) // 4
+                    for at in range(0, n, window):
+                        piece = ids[4 * at : 4 * (at + window)]
+                        row.append(j)
+                        start.append(at)
+                        length.append(len(piece) // 4)
+                        crc.append(zlib.crc32(piece))
+                        whole.append(n)
+                        own.append(piece)
+                columns = [b.column("doc_id").take(pa.array(row, pa.int64())), *[pa.array(x, pa.int64()) for x in (start, length, crc, whole)]]
+                if keep_ids:
+                    ends = np.cumsum([0, *length]).astype(np.int32)
+                    columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(own), "<i4"))))
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", *["ids"] * keep_ids])
+
+    return rows.mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * keep_ids)
 
 
 def place(pieces: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Adds sequence_id and offset to pieces of 1 to ``window`` ids.  Reads its input twice."""
+    """Adds sequence_id and offset to pieces of 1 to ``window`` ids.  Reads its input three times."""
     spark = pieces.sparkSession
-    salt = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(SALTS)).cast("int")
-    p = pieces.withColumn("doc_id", known(F.col("doc_id"))).withColumn("salt", salt)
-    by = cut(p.groupBy("length", "salt").agg(F.count("*").alias("n")))
-    counts = {r.length: r.n for r in by.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-    # Full windows come first, then the rest, by length.
+    counts = {r.length: r.n for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # ``window`` rows at most
+    salts = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for n, c in sorted(counts.items()) for x in (n, isqrt(c))]), F.col("length").cast("int")), F.lit(1)) if counts else F.lit(1)
+    p = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), salts.cast("long")))
+    by = p.groupBy("length", "salt").agg(F.count("*").alias("n"))
     runs = plan(counts, window)
-    sent = spark.sparkContext.broadcast({k: ([r[0] for r in v], v) for k, v in runs.items()})
-    base = by.withColumn("base", F.sum("n").over(Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)))
+    base = by.select("length", "salt", F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
     rank = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "start", "ids_crc32")) - 1
-    ranked = p.withColumn("rank", rank).join(F.broadcast(base.select("length", "salt", F.coalesce("base", F.lit(0)).alias("base"))), ["length", "salt"])
-    ranked = ranked.withColumn("rank", F.col("rank") + F.col("base")).drop("base", "salt")
-    fields = ranked.schema
+    ranked = p.withColumn("rank", rank).join(base, ["length", "salt"])
+    ranked = ranked.select(*pieces.columns, (F.col("rank") + F.col("base")).alias("rank"))
+    # All runs, in order of (length, first rank); a piece is in the last that begins at or before it.
+    flat = sorted((length << RANK_BITS | lo, start, offset) for length, own in runs.items() for lo, start, offset in own)
+    sent = spark.sparkContext.broadcast(flat)
+    at, places = ranked.columns.index("length"), len(ranked.columns) - 1
+    made: list = []
+
+    def settle(batches):
+        import numpy as np
+        import pyarrow as pa
 
-    def settle(frames):
-        for pdf in frames:
-            if not len(pdf):
+        if not made and sent.value:
+            made.extend(np.array(x, np.int64) for x in zip(*sent.value))
+        for b in batches:
+            if not b.num_rows:
                 continue
-            seq, off = [], []
-            for length, r in zip(pdf["length"], pdf["rank"], strict=True):
-                first, own = sent.value[length]
-                lo, start, offset = own[bisect_right(first, r) - 1]
-                seq.append(start + r - lo)
-                off.append(offset)
-            yield pdf.assign(sequence_id=seq, offset=off)
-
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fields)
-    return ids_back(ranked.mapInPandas(settle, kinds + ", sequence_id long, offset long").drop("rank"))
+            keys, first, offsets = made
+            want = b.column(at).to_numpy() << RANK_BITS | b.column(places).to_numpy()
+            k = np.searchsorted(keys, want, side="right") - 1
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(first[k] + want - keys[k]), pa.array(offsets[k])], names=[*pieces_columns, "sequence_id", "offset"])
+
+    pieces_columns = pieces.columns
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema)
+    return ranked.mapInArrow(settle, kinds + ", sequence_id long, offset long")
 
 
 def pack(documents: DataFrame, path: str | None = None, end_id: int = 0, window: int = WINDOW, key: str = "doc_id", text: str = "text", keep_ids: bool = False) -> DataFrame:

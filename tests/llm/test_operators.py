@@ -42,6 +42,22 @@ def test_encoder_equals_library():
             assert e.encode(odd) == e._library(odd)
 
 
+def test_encoder_cuts_where_the_library_does():
+    """Random mixtures of what its cuts, its memory and its blocks could get wrong, and parts of long texts."""
+    r = random.Random(5)
+    odd = ["\u00a0", "\u2003", "\u3000", "\x85", "\u0301", "\u0338", "\x1c", "\x1f", "<|endoftext|>"]
+    alphabet = [*"ab cZ'  \n\n\t\r.,;!$#*|-_()09é É ßçñÀ×÷", "'s", "'t", "'re", "'LL", "漢字", "İ", "Σ", "ς", "ſ", "K", "\x0b", "\x0c", " '", "''s", "²", "Ⅷ", "½", "\u200b", "👍", "\n\n"]
+    for f in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        small = Encoder(vocabulary(f), memo_bytes=100_000, block=500)
+        whole = Encoder(vocabulary(f))
+        for k in range(400):
+            texts = ["".join(r.choices(alphabet + odd * (k % 3 == 0), k=r.randint(0, 30))) for _ in range(r.randint(1, 6))]
+            want = whole._library(texts)
+            assert whole.encode(texts) == want and small.encode(texts) == want, texts
+        long = " ".join("".join(r.choices("abcdefgé", k=r.randint(1, 9))) + r.choice(("", ".", "\n", "\u00a0")) for _ in range(3000))
+        assert small.encode([long, "", long[:700]]) == whole._library([long, "", long[:700]])
+
+
 def test_plan_is_best_fit_decreasing():
     for seed in range(300):
         r = random.Random(seed)
@@ -82,6 +98,11 @@ def test_packing(spark, rows):
             at += g.length
         assert at <= 1024
     assert sum(g.length for g in got) == sum(n * c for (n, _), c in want.items())
+    left = Counter()
+    for i, t, _ in rows:
+        ids = e.encode([t or ""])[0] + b"\0\0\0\0"
+        left.update((i, at, zlib.crc32(ids[4 * at : 4 * at + 4096]), len(ids) // 4) for at in range(0, len(ids) // 4, 1024))
+    assert Counter((g.doc_id, g.start, g.ids_crc32, g.doc_tokens) for g in got) == left
     assert set(whole) == set(range(len(whole)))
     padded = packing.sequences(packing.pack(docs(spark, rows), keep_ids=True)).collect()
     assert all(len(p.input_ids) == 1024 or len(p.input_ids) & (len(p.input_ids) - 1) == 0 for p in padded)
