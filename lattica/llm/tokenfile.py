@@ -18,11 +18,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import fresh_path, ids_back, rows_of
+from .common import fresh_path, id_of
 from .tokens import encoder
 
 ROW_GROUP = 16 << 20
 PAGE = 64 << 10
+#: Texts that are encoded at once.
+TEXTS = 1024
 FIELDS = "doc_id long, n_tokens long, first long, part int, ids array<int>"
 
 
@@ -34,15 +36,17 @@ def write(documents: DataFrame, to: str, path: str, end_id: int, key: str = "doc
 
         enc, end, first = encoder(path), np.array([end_id], dtype="<u4").tobytes(), 0
         part = TaskContext.get().partitionId()
-        for b in batches:
-            ids = [x + end for x in enc.encode(b.column("text").to_pylist())]
-            n = np.array([len(x) // 4 for x in ids], dtype=np.int64)
-            ends = np.cumsum(n)
-            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(np.frombuffer(b"".join(ids), dtype="<i4")))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n), pa.array(first + ends - n), pa.array(np.full(len(n), part, np.int32)), lists], names=["doc_id", "n_tokens", "first", "part", "ids"])
-            first += int(n.sum())
-
-    ranged = ids_back(rows_of(documents, key, text)).withColumn("h", F.xxhash64("text"))
+        for batch in batches:
+            for i in range(0, batch.num_rows, TEXTS):
+                b = batch.slice(i, TEXTS)
+                ids = [x + end for x in enc.encode(b.column("text").to_pylist())]
+                n = np.array([len(x) // 4 for x in ids], dtype=np.int64)
+                ends = np.cumsum(n)
+                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(np.frombuffer(b"".join(ids), dtype="<i4")))
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n), pa.array(first + ends - n), pa.array(np.full(len(n), part, np.int32)), lists], names=["doc_id", "n_tokens", "first", "part", "ids"])
+                first += int(n.sum())
+
+    ranged = documents.select(*[c.alias(n) for n, c in id_of(key).items()], F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
     ranged = ranged.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "text")
     out = ranged.mapInArrow(run, FIELDS).write.option("parquet.block.size", ROW_GROUP).option("parquet.page.size", PAGE).option("compression", "zstd")
     out = out.option("parquet.enable.dictionary", "true") if encoding == "dictionary" else out.option("parquet.enable.dictionary", "false").option("parquet.writer.version", "PARQUET_2_0")
