@@ -40,27 +40,24 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/lattica-{name}-{uuid.uuid4().hex}"
-
-
-#: Stands for a null id in Python workers, where a null would turn a column of whole numbers into floats.
-NO_ID = -(1 << 63)
-
-
-def known(c):
-    return F.coalesce(c, F.lit(NO_ID))
+#: A key of over one in so many rows is hot; there are at most so many of those.
+HOT_SHARE = 1000
 
 
-def ids_back(df: DataFrame, name: str = "doc_id") -> DataFrame:
-    return df.withColumn(name, F.nullif(F.col(name), F.lit(NO_ID)))
+def lookup(rows: DataFrame, table: DataFrame, on: list[str], n: str, how: str = "left") -> DataFrame:
+    """``rows`` joined with ``table``, which has a row for each key and how often the key stands among ``rows``
+    (column ``n``, left out).  Hot keys, of which there are ``HOT_SHARE`` at most, are broadcast, so that their rows
+    stay where they are; only the others are shuffled.  ``how``: left or inner.  Reads ``rows`` and ``table`` twice."""
+    total = table.agg(F.sum(n)).first()[0] or 0
+    hot, more = F.col(n) * HOT_SHARE > total, [c for c in table.columns if c not in (*on, n)]
+    few = table.where(hot).select(*on, *more, F.lit(True).alias("_hot"))
+    told = rows.join(F.broadcast(few), on, "left")
+    rest = told.where("_hot is null").drop("_hot", *more).join(table.where(~hot).select(*on, *more), on, how)
+    return told.where("_hot").drop("_hot").unionByName(rest)
 
 
-def rows_of(df: DataFrame, key: str, text: str, more: list[str] = []) -> DataFrame:  # noqa: B006
-    """Just the key and the text, under fixed names, so that no other column can clash (and ``more`` columns).
-    Python workers get few rows at a time, as some texts are very long."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
-    return df.select(known(F.col(key).cast("long")).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), *more)
+def fresh_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/lattica-{name}-{uuid.uuid4().hex}"
 
 
 #: Texts that an operator's function sees at once.  Spark bounds the bytes of a batch, not the work on it.
@@ -120,14 +117,3 @@ def numbered(df: DataFrame, name: str = "_row") -> DataFrame:
     at = fresh_path(df.sparkSession, "rows")
     df.withColumn(name, F.monotonically_increasing_id()).write.parquet(at)
     return df.sparkSession.read.parquet(at)
-
-
-def each_batch(fn):
-    """A ``mapInPandas`` function from one that takes and returns a pandas frame."""
-
-    def run(frames):
-        for pdf in frames:
-            if len(pdf):
-                yield fn(pdf)
-
-    return run

@@ -1,14 +1,22 @@
 """Line dedup by the number of distinct sites, with DataFrame functions only.
 
-A line (trimmed; blank ones are left alone) is boilerplate if it stands on SITES or more distinct sites
-(``source``) and in TIMES or more places.  Lines are counted by a 128-bit hash.  A first aggregation keeps the lines seen
-on two sites at least (by least and greatest site); for those, HyperLogLog sketches of their sites are made
-per line and partition of the sites and merged by aggregation.  Where the estimate is within MARGIN of the
-threshold, the exact number of distinct sites decides; a sketch decides only far from it.  Boilerplate lines are then removed from every
-document, all places alike.  Nothing is gathered per line: only sketches and counts move.
-
-Null texts stay null, null sites are one site of their own, repeated rows count as often as they stand, and an
-empty table stays empty.  Other columns are kept as they are.
+A line (trimmed; blank ones are left alone) is judged by how many distinct sites (``source``) it stands on:
+
+* a line of at most SHORT_WORDS words on SITES or more sites, and in TIMES or more places, goes everywhere;
+* a longer line on SITES or more sites stays in its first document only;
+* so does a passage of over LONG_WORDS words on LONG_SITES or more sites.
+
+The first document is the one of the least doc_id (where no place has one, of the least text hash).
+
+Lines are counted by a 128-bit hash.  A first aggregation keeps the lines seen on two sites at least (by least and
+greatest site hash).  For those, places are counted per line and site, HyperLogLog sketches of the sites are made per
+line and part of the sites, and merged by aggregation.  Where the estimate is within MARGIN of the threshold, the exact
+number of distinct sites decides; a sketch decides only far from it.  Nothing is gathered per line: only sketches and
+counts move, and a line that very many documents share is joined by broadcast.
+
+Null texts stay null, null sites are one site of their own, null doc_ids come last, repeated rows count as often as they
+stand and are the same document, and an empty table stays empty.  Other columns are kept as they are; names that begin
+with ``_`` are used on the way.
 """
 
 from __future__ import annotations
@@ -16,13 +24,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, lookup
 
 SITES = 5
 TIMES = 10
+SHORT_WORDS = 6
+LONG_WORDS = 50
+LONG_SITES = 2
 MARGIN = 0.25
 LG_K = 12
-#: Boilerplate lines that are sent to every executor (16 bytes each); with more, the documents are joined.
+#: Parts that the sites of a line are sketched in before the sketches are merged.
+PARTS = 16
+#: Lines that are sent to every executor at most (some 40 bytes each); with more, they are joined by shuffle.
 BROADCAST_LINES = 50_000
 
 
@@ -30,34 +43,50 @@ def line_key(line):
     return F.struct(F.xxhash64(line, F.lit(1)).alias("h1"), F.xxhash64(F.lit(2), line).alias("h2"))
 
 
-def boilerplate(documents: DataFrame, text: str = "text", site: str = "source", sites: int = SITES, times: int = TIMES) -> DataFrame:
-    """The (h1, h2) of boilerplate lines."""
-    rows = documents.select(F.coalesce(F.col(site).cast("string"), F.lit("\0")).alias("site"), F.explode(F.split(F.col(text), "\n")).alias("line"))
-    rows = rows.select("site", F.trim("line").alias("line")).where("line <> ''").select("site", line_key(F.col("line")).alias("k")).select("site", "k.h1", "k.h2")
-    # Each line and site once, with its number of places: what sketches and exact counts both need.
-    spread = rows.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("site").alias("a"), F.max("site").alias("b")).where((F.col("n") >= times) & ((F.col("a") < F.col("b")) | F.lit(sites <= 1))).select("h1", "h2")
-    spread = cut(spread)
-    once = rows.join(spread, ["h1", "h2"], "left_semi").groupBy("h1", "h2", "site").agg(F.count("*").alias("n"))
-    salted = once.groupBy("h1", "h2", F.pmod(F.xxhash64("site"), F.lit(16)).alias("salt")).agg(F.hll_sketch_agg("site", LG_K).alias("s"))
-    merged = cut(salted.groupBy("h1", "h2").agg(F.hll_sketch_estimate(F.hll_union_agg("s")).alias("est")))
+def repeated(documents: DataFrame, text: str = "text", site: str = "source", key: str = "doc_id", sites: int = SITES, times: int = TIMES, broadcast_lines: int = BROADCAST_LINES) -> DataFrame:
+    """(h1, h2, n, all, first, first_text) of lines to remove: places, whether all go, and else the first document's id or text hash."""
+    rows = documents.select(F.xxhash64(F.coalesce(F.col(site).cast("string"), F.lit("\0"))).alias("site"), F.col(key).cast("long").alias("id"), F.when(F.col(key).isNull(), F.xxhash64(text)).alias("t"), F.explode(F.split(F.col(text), "\n")).alias("line"))
+    rows = rows.withColumn("line", F.trim("line")).where("line <> ''").withColumn("words", F.size(F.split("line", " +")))
+    size = F.when(F.col("words") > LONG_WORDS, 2).when(F.col("words") > SHORT_WORDS, 1).otherwise(0).alias("size")
+    rows = rows.select("site", "id", "t", size, line_key(F.col("line")).alias("k")).select("site", "id", "t", "size", "k.h1", "k.h2")
+    # All aggregates are numbers, so that partial sums fit a hash table whatever the number of lines.
+    spread = rows.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("site").alias("a"), F.max("site").alias("b"), F.max("size").alias("size"), F.min("id").alias("first"), F.min("t").alias("first_text"))
+    several = (F.col("a") < F.col("b")) | F.lit(sites <= 1)
+    spread = cut(spread.where((several & ((F.col("size") > 0) | (F.col("n") >= times)))).drop("a", "b"))
+    keys = spread.select("h1", "h2")
+    places = rows.select("h1", "h2", "site")
+    # Each line and site once: what sketches and exact counts both need.  Few lines are picked before that, many after.
+    if spread.count() <= broadcast_lines:
+        once = places.join(F.broadcast(keys), ["h1", "h2"], "left_semi").groupBy("h1", "h2", "site").agg(F.lit(1).alias("one"))
+    else:
+        once = places.groupBy("h1", "h2", "site").agg(F.lit(1).alias("one")).join(keys, ["h1", "h2"], "left_semi")
+    once = cut(once.select("h1", "h2", "site"))
+    parts = once.groupBy("h1", "h2", F.pmod("site", F.lit(PARTS)).alias("part")).agg(F.hll_sketch_agg("site", LG_K).alias("s"))
+    merged = cut(parts.groupBy("h1", "h2").agg(F.hll_sketch_estimate(F.hll_union_agg("s")).alias("est")))
     low, high = sites * (1 - MARGIN), sites * (1 + MARGIN)
     near = merged.where((F.col("est") >= low) & (F.col("est") <= high)).select("h1", "h2")
-    exact = rows.join(near, ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.count_distinct("site").alias("d")).where(F.col("d") >= sites).select("h1", "h2")
-    return cut(merged.where(F.col("est") > high).select("h1", "h2").unionByName(exact))
+    exact = once.join(near, ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.count("*").alias("d")).where(F.col("d") >= sites).select("h1", "h2")
+    wide = merged.where(F.col("est") > high).select("h1", "h2").unionByName(exact).withColumn("wide", F.lit(True))
+    found = spread.join(wide, ["h1", "h2"], "left").where(F.col("wide") | (F.col("size") == 2) & F.lit(LONG_SITES <= 2))
+    return cut(found.select("h1", "h2", "n", (F.col("size") == 0).alias("all"), "first", "first_text"))
 
 
-def remove(documents: DataFrame, lines: DataFrame, text: str = "text", broadcast_lines: int = BROADCAST_LINES) -> DataFrame:
+def remove(documents: DataFrame, lines: DataFrame, text: str = "text", key: str = "doc_id", broadcast_lines: int = BROADCAST_LINES) -> DataFrame:
     """documents, with ``_lines`` and ``_removed`` counts and the text without the given lines."""
     n = lines.count()
-    marked = documents.withColumn("_t", F.xxhash64(text)).withColumn("_u", F.xxhash64(F.lit(3), text))
-    places = marked.select("_t", "_u", F.posexplode(F.split(F.col(text), "\n")).alias("_i", "_line")).select("_t", "_u", "_i", line_key(F.trim("_line")).alias("_k"))
-    side = F.broadcast(lines) if n <= broadcast_lines else lines
-    hit = places.join(side, (F.col("_k.h1") == side["h1"]) & (F.col("_k.h2") == side["h2"]))
-    gone = hit.groupBy("_t", "_u").agg(F.collect_set("_i").alias("_gone"))
-    out = marked.join(gone, ["_t", "_u"], "left").withColumn("_all", F.split(F.col(text), "\n"))
+    own = F.col(key).cast("long")
+    # A document is known by two hashes of its id and text.
+    marked = documents.withColumn("_t", F.xxhash64(own, text)).withColumn("_u", F.xxhash64(F.lit(3), text, own))
+    places = marked.select("_t", "_u", own.alias("_id"), F.when(own.isNull(), F.xxhash64(text)).alias("_text"), F.posexplode(F.split(F.col(text), "\n")).alias("_i", "_line"))
+    places = places.withColumn("_k", line_key(F.trim("_line"))).select("_t", "_u", "_i", "_id", "_text", F.col("_k.h1").alias("h1"), F.col("_k.h2").alias("h2"))
+    hit = places.join(F.broadcast(lines), ["h1", "h2"]) if n <= broadcast_lines else lookup(places, lines, ["h1", "h2"], "n", "inner")
+    stays = ~F.col("all") & F.coalesce(F.col("first") == F.col("_id"), F.col("first").isNull() & (F.col("first_text") == F.col("_text")), F.lit(False))
+    gone = hit.where(~stays).groupBy("_t", "_u").agg(F.collect_set("_i").alias("_gone"))
+    # Kept, so that the join deals both sides anew and Spark may split the rows of one text that stands very often.
+    out = marked.join(cut(gone), ["_t", "_u"], "left").withColumn("_all", F.split(F.col(text), "\n"))
     kept = F.when(F.col("_gone").isNull(), F.col(text)).otherwise(F.array_join(F.filter("_all", lambda x, i: ~F.array_contains("_gone", i)), "\n"))
     return out.withColumn("_lines", F.coalesce(F.size("_all"), F.lit(0))).withColumn("_removed", F.coalesce(F.size("_gone"), F.lit(0))).withColumn(text, kept).drop("_t", "_u", "_gone", "_all")
 
 
-def dedup_lines(documents: DataFrame, text: str = "text", site: str = "source", sites: int = SITES, times: int = TIMES) -> DataFrame:
-    return remove(documents, boilerplate(documents, text, site, sites, times), text)
+def dedup_lines(documents: DataFrame, text: str = "text", site: str = "source", key: str = "doc_id", sites: int = SITES, times: int = TIMES) -> DataFrame:
+    return remove(documents, repeated(documents, text, site, key, sites, times), text, key)

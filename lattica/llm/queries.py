@@ -26,7 +26,7 @@ def op4_url_rules(spark, sf_dir):
 
 
 def op5_ogg(spark, sf_dir):
-    return ogg.media_table(table(spark, sf_dir, "documents")).drop("error")
+    return ogg.media_table(table(spark, sf_dir, "documents"))
 
 
 def op6_quality_knn(spark, sf_dir):
@@ -64,8 +64,9 @@ QUERIES = {f.__name__: f for f in (op1_pii_crf, op2_packing, op3_token_file, op4
 ORACLE = {
     "op8_line_dedup": """
 WITH lines AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
-boiler AS (SELECT trim(line) AS k FROM lines WHERE trim(line) <> '' GROUP BY 1 HAVING count(*) >= 10 AND count(DISTINCT coalesce(source, chr(1))) >= 5),
-marked AS (SELECT l.*, b.k IS NOT NULL AS gone FROM lines l LEFT JOIN boiler b ON trim(l.line) = b.k),
+counted AS (SELECT trim(line) AS k, count(*) AS n, count(DISTINCT coalesce(source, chr(1))) AS sites, len(regexp_split_to_array(trim(line), ' +')) AS words, min(doc_id) AS first FROM lines WHERE trim(line) <> '' GROUP BY ALL),
+boiler AS (SELECT k, words <= 6 AS everywhere, first FROM counted WHERE sites >= 5 AND (words > 6 OR n >= 10) OR sites >= 2 AND words > 50),
+marked AS (SELECT l.*, b.k IS NOT NULL AND (b.everywhere OR b.first <> l.doc_id) AS gone FROM lines l LEFT JOIN boiler b ON trim(l.line) = b.k),
 t AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '') AS text FROM marked GROUP BY doc_id)
 SELECT doc_id, n_lines, n_removed, sha256(text) AS text_sha256, length(text) AS n_chars FROM t""",
     "op10_decontaminate": """
