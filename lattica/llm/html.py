@@ -17,11 +17,12 @@ from __future__ import annotations
 import math
 import re
 from html.parser import HTMLParser
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import each_batch, ids_back, known
+from .common import per_text
 
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -54,9 +55,13 @@ class Node:
 
 
 class Tree(HTMLParser):
+    """Open elements are a stack, with the depths at which each tag is open: closing takes no walk, so that a page is
+    read in linear time however many tags it leaves open."""
+
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.root = self.at = Node("body")
+        self.root = Node("body")
+        self.stack, self.open = [self.root], {}
 
     def handle_starttag(self, tag, attrs):
         if tag in ("html", "body"):
@@ -66,34 +71,35 @@ class Tree(HTMLParser):
         if tag in CLOSES:
             self._close(CLOSES[tag], SCOPES[tag])
         a = {k: v or "" for k, v in attrs}
-        node = Node(tag, self.at, frozenset(f"{a.get('class', '')} {a.get('id', '')}".lower().split()), a.get("role", "").lower())
-        self.at.kids.append(node)
+        node = Node(tag, self.stack[-1], frozenset(f"{a.get('class', '')} {a.get('id', '')}".lower().split()), a.get("role", "").lower())
+        self.stack[-1].kids.append(node)
         if tag not in VOID:
-            self.at = node
+            self.open.setdefault(tag, []).append(len(self.stack))
+            self.stack.append(node)
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
-        if tag not in VOID and self.at.tag == tag:
-            self.at = self.at.parent
+        if tag not in VOID and self.stack[-1].tag == tag:
+            self._down_to(len(self.stack) - 1)
 
     def handle_endtag(self, tag):
-        n = self.at
-        while n.parent is not None:
-            if n.tag == tag:
-                self.at = n.parent
-                return
-            n = n.parent
+        if self.open.get(tag):
+            self._down_to(self.open[tag][-1])
 
     def handle_data(self, data):
-        self.at.kids.append(data)
+        self.stack[-1].kids.append(data)
+
+    def _down_to(self, depth):
+        while len(self.stack) > depth:
+            self.open[self.stack.pop().tag].pop()
+
+    def _deepest(self, tags):
+        return max((self.open[t][-1] for t in tags if self.open.get(t)), default=0)
 
     def _close(self, tags, scopes):
-        n = self.at
-        while n.parent is not None and n.tag not in scopes:
-            if n.tag in tags:
-                self.at = n.parent
-                return
-            n = n.parent
+        depth = self._deepest(tags)
+        if depth > self._deepest(scopes):
+            self._down_to(depth)
 
 
 def parse(html: str) -> Node:
@@ -237,9 +243,11 @@ def extract(html: str) -> str:
     article = next((b for b in path if b.tag == "article"), main)
     chosen = {id(b.best): b.best for b in blocks if b.kids and b.density >= threshold and b.best.sum > 0} | {id(article): article}
     chosen |= {id(b): b for b in blocks if not b.kids and b.chars and (b.density >= threshold or (b.chars - b.linked) / max(1, b.tags) >= plain)}
-    taken = bytearray(len(pieces))
+    covers = [0] * (len(pieces) + 1)
     for b in chosen.values():
-        taken[b.start : b.end] = b"\1" * (b.end - b.start)
+        covers[b.start] += 1
+        covers[b.end] -= 1
+    taken = bytearray(n > 0 for n in accumulate(covers[:-1]))
     direct = {id(b) for b in blocks if b.kids and b.own and unlinked[id(b)] >= plain}
     for b, i in texts:
         if id(b) in direct:
@@ -266,13 +274,9 @@ def _density(chars: int, linked: int, tags: int, links: int, share: float) -> fl
 
 def extract_pages(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """page_id, url, text, n_chars."""
-    pages.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
-
-    def run(pdf):
-        import pandas as pd
 
-        text = [extract(h) for h in pdf["html"]]
-        return pd.DataFrame({"page_id": pdf["page_id"].astype("Int64"), "url": pdf["url"], "text": text, "n_chars": [len(t) for t in text]})
+    def run(texts):
+        found = [extract(t) for t in texts]
+        return [found, [len(t) for t in found]]
 
-    p = pages.select(known(F.col(key).cast("long")).alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html"))
-    return ids_back(p.mapInPandas(each_batch(run), "page_id long, url string, text string, n_chars long"), "page_id")
+    return per_text(pages, html, run, "text string, n_chars long", {"page_id": F.col(key).cast("long"), "url": F.col(url)})
