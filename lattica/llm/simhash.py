@@ -9,11 +9,15 @@ fingerprint looks up the 33 values of the Hamming ball of radius 1 around each o
 in a table keyed by half, and whole distances are verified on the matches.
 
 A half that very many distinct fingerprints share would make the number of matches grow with
-the square of the group.  Those (more than ``HOT`` under one half) leave the join and are
-compared in numpy blocks instead; a block pair returns only the links that its spanning
-forest needs, so what is emitted grows linearly, and no link's effect is lost.
-
-Components come from alternating large-star and small-star rounds on the links.  Nulls count
+the square of the group, and so would a half beside it, whose few entries meet all its probes.
+Halves with more than ``HOT`` entries, and all halves within one bit of such, leave the join and
+are compared in numpy blocks instead, cut by the number of entries and by the number of probes
+alike; a block pair returns only the links that its spanning forest needs, so what is emitted
+grows linearly, and no link's effect is lost.  All other halves have at most ``HOT`` entries and
+33 ``HOT`` probes.
+
+Components come from alternating large-star and small-star rounds on the links, until a round
+changes nothing.  Rows of a fingerprint that very many texts share are not gathered.  Nulls count
 as empty texts, rows without doc_id are classed like others but never name a component;
 repeated rows are returned as often as given; an empty table gives an empty result.
 """
@@ -25,13 +29,16 @@ import functools
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, each_batch, ids_back, rows_of
+from .common import cut, id_of, lookup, per_text
 
 BITS = 3
 SHINGLE = 3
 #: A half value with more distinct fingerprints than this is compared in blocks of BLOCK.
 HOT = 64
 BLOCK = 2048
+#: Hot halves that are sent to every executor at most (24 bytes each), so that their entries are dealt to blocks where
+#: they stand; with more, they are joined by shuffle.
+BROADCAST_HALVES = 100_000
 
 
 def fingerprint(text: str, k: int = SHINGLE) -> int:
@@ -58,16 +65,14 @@ def fingerprint(text: str, k: int = SHINGLE) -> int:
 
 def fingerprints(documents: DataFrame, key: str = "doc_id", text: str = "text", k: int = SHINGLE, row: str | None = None) -> DataFrame:
     """doc_id, fp (the 64 bits as a signed long), and the rows' numbers if ``row`` names a column of them."""
-    carried = [row] if row else []
 
-    def make(pdf):
+    def make(texts):
         import numpy as np
-        import pandas as pd
+        import pyarrow as pa
 
-        fp = np.array([fingerprint(t, k) for t in pdf["text"]], dtype=np.uint64).view(np.int64)
-        return pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "fp": fp, **{c: pdf[c] for c in carried}})
+        return [pa.array(np.array([fingerprint(t, k) for t in texts], dtype=np.uint64).view(np.int64))]
 
-    return ids_back(rows_of(documents, key, text, carried).mapInPandas(each_batch(make), "doc_id long, fp long" + "".join(f", {c} long" for c in carried)))
+    return per_text(documents, text, make, "fp long", id_of(key) | ({row: F.col(row)} if row else {}))
 
 
 def _forest(table, probes, bits: int):
@@ -93,27 +98,31 @@ def links(fps: DataFrame, bits: int = BITS) -> DataFrame:
     hot halves, whose blocks return spanning forests."""
     if bits > 3:
         raise ValueError("halves with balls of radius 1 find distances up to 3")
-    spark = fps.sparkSession
     halves = F.array(F.struct(F.lit(0).alias("s"), F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF)).alias("h")), F.struct(F.lit(1).alias("s"), F.shiftrightunsigned("fp", 32).alias("h")))
     entries = fps.select("fp", F.inline(halves))
-    hot = cut(entries.groupBy("s", "h").count().where(F.col("count") > HOT).select("s", "h", F.col("count").alias("n")))
-    ball = F.array(F.lit(0).cast("long"), *[F.lit(1 << i) for i in range(32)])
-    probes = entries.select("fp", "s", "h", F.explode(ball).alias("m")).select(F.col("fp").alias("a"), "s", F.col("h").bitwiseXOR(F.col("m")).alias("h"))
-    keys = hot.select("s", "h")
-    cold = entries.join(keys, ["s", "h"], "left_anti") if hot.count() else entries
+    ball = F.explode(F.array(F.lit(0).cast("long"), *[F.lit(1 << i) for i in range(32)])).alias("m")
+    moved = F.col("h").bitwiseXOR(F.col("m")).alias("h")
+    probes = entries.select("fp", "s", "h", ball).select(F.col("fp").alias("a"), "s", moved)
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("fp"))) <= bits
-    found = probes.join(cold, ["s", "h"]).where((F.col("a") < F.col("fp")) & near).select("a", F.col("fp").alias("b"))
-    if not hot.count():
-        return found.distinct()
-    # Hot halves: the table's blocks against themselves, and against probes from outside.
-    blocked = entries.join(hot, ["s", "h"])
-    n = F.ceil(F.col("n") / BLOCK).cast("int")
-    own = blocked.select("fp", "s", "h", n.alias("n"), F.pmod(F.xxhash64("fp"), n).cast("int").alias("k"), F.lit(True).alias("own"))
-    outside = probes.join(hot, ["s", "h"]).withColumnRenamed("a", "fp")
-    outside = outside.select("fp", "s", "h", n.alias("n"), F.pmod(F.xxhash64("fp"), n).cast("int").alias("k"), F.lit(False).alias("own"))
-    # A block pair (i, j), i <= j, gets table block i and probe block j.
-    table = own.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).withColumn("i", F.col("k"))
-    probe = outside.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).withColumn("j", F.col("k"))
+    sizes = entries.groupBy("s", "h").agg(F.count("*").alias("n"))
+    most = cut(sizes.where(F.col("n") > HOT))
+    if most.isEmpty():
+        return probes.join(entries, ["s", "h"]).where((F.col("a") < F.col("fp")) & near).select("a", F.col("fp").alias("b")).distinct()
+    # Hot halves and what is within one bit of them, with their entries and their probes.
+    around = most.select("s", "h", ball).select("s", moved).distinct()
+    around = cut(around.join(sizes, ["s", "h"]))
+    probed = around.select("s", "h", ball).select("s", F.col("h").alias("own"), moved).join(sizes, ["s", "h"]).groupBy("s", F.col("own").alias("h")).agg(F.sum("n").alias("p"))
+    blocks = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
+    hot = cut(around.join(probed, ["s", "h"]).select("s", "h", blocks("n").alias("nt"), blocks("p").alias("np")))
+    if hot.count() <= BROADCAST_HALVES:
+        hot = F.broadcast(hot)
+    keys = hot.select("s", "h")
+    # The probes of hot halves are cut off before the join, so that they meet in no task of it.
+    found = probes.join(keys, ["s", "h"], "left_anti").join(entries.join(keys, ["s", "h"], "left_anti"), ["s", "h"]).where((F.col("a") < F.col("fp")) & near).select("a", F.col("fp").alias("b"))
+    block = lambda n: F.pmod(F.xxhash64("fp"), F.col(n)).cast("int")
+    # A block pair (i, j) gets table block i and probe block j.
+    table = entries.join(hot, ["s", "h"]).select("fp", "s", "h", block("nt").alias("i"), F.explode(F.sequence(F.lit(0), F.col("np") - 1)).alias("j"), F.lit(True).alias("own"))
+    probe = probes.withColumnRenamed("a", "fp").join(hot, ["s", "h"]).select("fp", "s", "h", F.explode(F.sequence(F.lit(0), F.col("nt") - 1)).alias("i"), block("np").alias("j"), F.lit(False).alias("own"))
 
     def compare(pdf):
         import numpy as np
@@ -130,12 +139,12 @@ def links(fps: DataFrame, bits: int = BITS) -> DataFrame:
     return found.unionByName(forests).distinct()
 
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root) of each node that has an edge (a, b): the least node of its component.
-    Alternating stars; each round is kept in the shared folder."""
+    Alternating stars until nothing changes; each round is kept in the shared folder."""
     e = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     before = None
-    for _ in range(rounds):
+    while True:
         # Large star: the greater neighbours of a node join its least neighbour.
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -146,11 +155,8 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         e = cut(small)
         now = e.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long"))).first()
         if now == before:
-            break
+            return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
         before = now
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
-    return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
 def _rooted(classes: DataFrame, bits: int) -> DataFrame:
@@ -170,7 +176,7 @@ def one_of_each(documents: DataFrame, row: str, key: str = "doc_id", text: str =
 def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text", k: int = SHINGLE, bits: int = BITS) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (least doc_id reachable)."""
     docs = cut(fingerprints(documents, key, text, k))
-    named = _rooted(cut(docs.groupBy("fp").agg(F.min("doc_id").alias("first"))), bits)
+    named = cut(_rooted(cut(docs.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))), bits))
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = named.join(least, "root").select("fp", "component_id")
-    return docs.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = cut(named.join(least, "root").select("fp", "component_id", "n"))
+    return lookup(docs, named, ["fp"], "n").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
