@@ -1,4 +1,4 @@
-"""Personal data: fixed patterns, and a linear-chain CRF over word shapes that adds to them.
+"""Personal data and secrets: fixed patterns, and a linear-chain CRF over word shapes that adds to them.
 
 Tokens are runs of letters, runs of digits, and single marks.  Tokens of a white-space-free chunk that holds
 no digit and no ``@`` can only be outside of personal data; the chain falls apart at them, so that Viterbi
@@ -7,7 +7,8 @@ exactly.  Runs are decoded in numpy batches of like lengths.  The CRF is trained
 labelled table (``MAX_ROWS`` at most) by gradient ascent on the log likelihood.
 
 Spans of the CRF that overlap a pattern's span, or whose digits cannot be of their kind, are not
-added.  Null and empty texts have no spans; rows without doc_id and repeated rows are answered each; an
+added.  Besides the four kinds that patterns know, the CRF finds secrets (keys, passwords, tokens); these are reported
+by themselves.  Null and empty texts have no spans; rows without doc_id and repeated rows are answered each; an
 empty table gives an empty result; other columns are ignored.
 """
 
@@ -20,10 +21,12 @@ import zlib
 
 from pyspark.sql import DataFrame
 
-from .common import each_batch, ids_back, rows_of, sha
+from .common import id_of, per_text, sha
 
 KINDS = ("email", "ip", "card", "phone")
-LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
+#: What the CRF knows: the kinds of the patterns, and secrets.
+FOUND = (*KINDS, "secret")
+LABELS = ("O", *(f"{p}-{k}" for k in FOUND for p in "BI"))
 SLOTS = 1 << 13
 MAX_ROWS = 5000
 
@@ -34,6 +37,7 @@ _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _KEY = re.compile(r"[0-9@]")
 _TOKEN = re.compile(r"[^\W\d_]+|[0-9]+|\S")
+_CODE = re.compile(r"[A-Za-z0-9_+/-]+")
 
 
 def luhn(digits: str) -> bool:
@@ -81,7 +85,8 @@ def runs(text: str) -> list[tuple[list[tuple[int, int]], str]]:
             if tokens:
                 out.append((tokens, word))
             tokens, before = [], text[max(0, lo - 40) : lo].split()
-            word = before[-1].lower() if before else ""
+            # A mark alone (``token = "..."``) says little without the word that it follows.
+            word = "".join(before[-2:] if before and not any(map(str.isalnum, before[-1])) else before[-1:]).lower()
         tokens += [t.span() for t in _TOKEN.finditer(text, lo, hi)]
         done = hi
     if tokens:
@@ -102,7 +107,7 @@ def _slot(name: str) -> int:
     return zlib.crc32(name.encode("utf-8", "surrogatepass")) % SLOTS
 
 
-WIDTH = 12
+WIDTH = 14
 
 
 def featurise(text: str, tokens: list[tuple[int, int]], word: str) -> list[list[int]]:
@@ -117,12 +122,16 @@ def featurise(text: str, tokens: list[tuple[int, int]], word: str) -> list[list[
         chunks[-1] += shapes[i][0] if len(chunks[-1]) < 14 else ""
         chunk[i] = len(chunks) - 1
     context = word.strip(".,:;()") if len(word) < 14 else "long"
+    heads, sizes = {}, {}
+    for (a, b), c in zip(tokens, chunk):
+        heads.setdefault(c, text[a:b][:4].lower() if shape(text[a:b])[0] in "aA" else "")
+        sizes[c] = sizes.get(c, 0) + b - a
     out = []
     for i, s in enumerate(shapes):
         p, q = shapes[i - 1] if i else "^", shapes[i + 1] if i + 1 < n else "$"
         g, h = int(glued[i]), int(i + 1 < n and glued[i + 1])
         pp, qq = shapes[i - 2] if i > 1 else "^", shapes[i + 2] if i + 2 < n else "$"
-        names = (f"0{s}", f"1{p}|{s}{g}", f"2{s}|{q}{h}", f"3{p}|{s}|{q}", f"4{pp}|{p}|{s}", f"5{s}|{q}|{qq}", f"6{chunks[chunk[i]]}", f"7{s}|{chunks[chunk[i]]}", f"8{context}|{s}" if i < 3 else "8", f"9{min(total, 20)}|{s}", f"a{int('@' in chunks[chunk[i]])}{s[0]}", f"b{g}{h}{s[0]}")
+        names = (f"0{s}", f"1{p}|{s}{g}", f"2{s}|{q}{h}", f"3{p}|{s}|{q}", f"4{pp}|{p}|{s}", f"5{s}|{q}|{qq}", f"6{chunks[chunk[i]]}", f"7{s}|{chunks[chunk[i]]}", f"8{context}|{s}" if i < 3 else "8", f"9{min(total, 20)}|{s}", f"a{int('@' in chunks[chunk[i]])}{s[0]}", f"b{g}{h}{s[0]}", f"c{heads[chunk[i]]}|{s[0]}", f"d{min(sizes[chunk[i]] // 4, 11)}|{s[0]}{g}")
         out.append([_slot(x) for x in names])
     return out
 
@@ -144,7 +153,7 @@ def train(rows: list[tuple[str, list[tuple[str, int, int]]]], steps: int = 90, r
             gold = []
             for a, b in tokens:
                 s = next((s for s in spans if s[1] <= a and b <= s[2]), None)
-                gold.append(0 if s is None else 1 + 2 * KINDS.index(s[0]) + (a > s[1]))
+                gold.append(0 if s is None else 1 + 2 * FOUND.index(s[0]) + (a > s[1]))
             feats.append(featurise(text, tokens, word))
             golds.append(gold)
     n_labels = len(LABELS)
@@ -194,7 +203,7 @@ def _forbidden():
     import numpy as np
 
     out = np.zeros((len(LABELS),) * 2, bool)
-    for k in range(len(KINDS)):
+    for k in range(len(FOUND)):
         out[:, 2 + 2 * k] = True
         out[1 + 2 * k, 2 + 2 * k] = out[2 + 2 * k, 2 + 2 * k] = False
     return out
@@ -239,7 +248,7 @@ def viterbi(feats: list, model) -> list:
     return out
 
 
-_ALLOWED = (re.compile(r"[^\s@]+@[^\s@]+\.[^\s@]+"), re.compile(r"[0-9]{1,3}(\.[0-9]{1,3}){3}"), re.compile(r"[0-9][0-9 -]+[0-9]"), re.compile(r"[+(]?[0-9][0-9 ().-]+[0-9]"))
+_ALLOWED = (re.compile(r"[^\s@]+@[^\s@]+\.[^\s@]+"), re.compile(r"[0-9]{1,3}(\.[0-9]{1,3}){3}"), re.compile(r"[0-9][0-9 -]+[0-9]"), re.compile(r"[+(]?[0-9][0-9 ().-]+[0-9]"), re.compile(r"(?=.*[0-9])(?=.*[A-Za-z])[A-Za-z0-9_+/-]{12,}"))
 
 
 def _can_be(kind: int, s: str) -> bool:
@@ -247,7 +256,7 @@ def _can_be(kind: int, s: str) -> bool:
     d = digits_of(s)
     if not _ALLOWED[kind].fullmatch(s):
         return False
-    return (True, all(int(p) <= 255 for p in s.split(".")) if kind == 1 else True, 13 <= len(d) <= 19 and luhn(d), 7 <= len(d) <= 15)[kind]
+    return (True, all(int(p) <= 255 for p in s.split(".")) if kind == 1 else True, 13 <= len(d) <= 19 and luhn(d), 7 <= len(d) <= 15, True)[kind]
 
 
 def find_all(texts: list[str], model) -> list[tuple[list, list]]:
@@ -270,6 +279,8 @@ def find_all(texts: list[str], model) -> list[tuple[list, list]]:
                 while j < len(path) and path[j] == path[k] + 1:
                     j += 1
                 kind, a, b = (int(path[k]) - 1) // 2, tokens[k][0], tokens[j - 1][1]
+                if FOUND[kind] == "secret":
+                    a, b, j = _code_around(texts[i], tokens, k, j)
                 if _can_be(kind, texts[i][a:b]) and not any(x < b and a < y for _, x, y in base[i]):
                     more[i].append((kind, a, b))
                 k = j
@@ -278,6 +289,18 @@ def find_all(texts: list[str], model) -> list[tuple[list, list]]:
     return [(b, sorted(b + m)) for b, m in zip(base, more)]
 
 
+def _code_around(text: str, tokens, k: int, j: int) -> tuple[int, int, int]:
+    """The whole code that tokens k to j are in (a code has no parts of its own), and the token after it."""
+    a, b = tokens[k][0], tokens[j - 1][1]
+    while a > 0 and _CODE.fullmatch(text[a - 1]):
+        a -= 1
+    if m := _CODE.match(text, b):
+        b = m.end()
+    while j < len(tokens) and tokens[j][0] < b:
+        j += 1
+    return a, b, j
+
+
 def _inside(taken, a, b) -> bool:
     from bisect import bisect_right
 
@@ -304,13 +327,28 @@ def labelled_table(n: int = 500, seed: int = 11) -> list[tuple[str, list[tuple[s
         cuts = (4, 10) if len(own) == 15 else (4, 8, 12)
         return r.choice((" ", "-", "")).join(own[x:y] for x, y in zip((0, *cuts), (*cuts, len(own))))
 
+    hexa = lambda k: "".join(r.choice("0123456789abcdef") for _ in range(k))
+    name = lambda: r.choice(("password", "passwd", "pwd", "secret", "token", "api_key", "apikey", "key", "access_token", "client_secret"))
+
+    def secret():
+        """(what stands before, the secret, what stands after)."""
+        code_ = r.choice((hexa(r.choice((16, 18, 20, 24, 32, 40, 64))), code(r.randint(14, 40))))
+        code_ = code_[:2] + dd(1) + code_[3:]
+        return r.choice((("", "AKIA" + code(16).upper()[:15] + dd(1), ""), (name() + "=", code_, ""), (name() + ' = "', code_, '"'), (name() + ": ", code_, ""), ("", r.choice(("ghp_", "sk-", "xoxb-")) + code_, "")))
+
     kinds = {"email": lambda: f"{ww()}{r.choice(('', '.' + ww(), dd(2), '.' + dd(2)))}@{ww()}{r.choice(('', dd(1)))}.{r.choice(('', ww() + '.'))}{r.choice(('com', 'org', 'net', 'de'))}", "ip": lambda: ".".join(str(r.randint(0, 255)) for _ in range(4)), "card": card, "phone": phone}
-    nothing = (lambda: f"{r.randint(1900, 2030)}-{dd(2)}-{dd(2)}", lambda: f"{dd(2)}:{dd(2)}", lambda: f"${dd(1)},{dd(3)}.{dd(2)}", lambda: dd(r.randint(1, 6)), lambda: f"{dd(1)}.{dd(1)}", lambda: f"v{dd(1)}.{dd(1)}.{dd(1)}", lambda: f"{dd(1)} + {dd(1)}", lambda: f"{dd(2)}%", lambda: f"978-{dd(1)}-{dd(4)}-{dd(4)}-{dd(1)}", lambda: ww() + dd(2), lambda: dd(r.randint(20, 30)), lambda: "@" + ww(), lambda: f"{dd(1)}e{dd(4)}f{dd(3)}ab{dd(5)}", lambda: "AKIA" + code(16).upper(), lambda: code(32), lambda: f"{ww()}={code(20)}", lambda: f"{dd(1)}.", lambda: f"{dd(4)}.{dd(2)}")
+    nothing = (lambda: f"{r.randint(1900, 2030)}-{dd(2)}-{dd(2)}", lambda: f"{dd(2)}:{dd(2)}", lambda: f"${dd(1)},{dd(3)}.{dd(2)}", lambda: dd(r.randint(1, 6)), lambda: f"{dd(1)}.{dd(1)}", lambda: f"v{dd(1)}.{dd(1)}.{dd(1)}", lambda: f"{dd(1)} + {dd(1)}", lambda: f"{dd(2)}%", lambda: f"978-{dd(1)}-{dd(4)}-{dd(4)}-{dd(1)}", lambda: ww() + dd(2), lambda: dd(r.randint(20, 30)), lambda: "@" + ww(), lambda: f"{dd(1)}e{dd(4)}f{dd(3)}ab{dd(5)}", lambda: f"{hexa(7)}", lambda: f"{ww()}={dd(3)}", lambda: f"{hexa(8)}-{hexa(4)}-{hexa(4)}-{hexa(4)}-{hexa(12)}", lambda: f"sha1 {hexa(40)}", lambda: f"{dd(1)}.", lambda: f"{dd(4)}.{dd(2)}")
     out = []
     for _ in range(n):
         text, spans = "", []
         for _ in range(r.randint(1, 3)):
             text += " ".join(ww() for _ in range(r.randint(1, 4))) + " "
+            if r.random() < 0.2:
+                before, own, after = secret()
+                text += before
+                spans.append(("secret", len(text), len(text) + len(own)))
+                text += own + after + r.choice((" ", " ", ", ", ". "))
+                continue
             if r.random() < 0.55:
                 kind = r.choice(KINDS)
                 own = kinds[kind]()
@@ -344,15 +382,16 @@ def fit(labelled: DataFrame):
 
 
 def find(documents: DataFrame, model=None, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone (pattern spans), base, spans (``kind:start:end``, joined)."""
+    """doc_id, n_email, n_ip, n_card, n_phone (pattern spans), base_sha256, spans (``kind:start:end``, joined), and of
+    what the CRF adds n_added, n_secret, secrets (likewise), and n_found, the number of all spans and secrets."""
     sent = documents.sparkSession.sparkContext.broadcast(model or default_model())
+    say = lambda spans: ",".join(f"{FOUND[k]}:{a}:{b}" for k, a, b in spans)
 
-    def run(pdf):
-        import pandas as pd
-
-        say = lambda spans: ",".join(f"{KINDS[k]}:{a}:{b}" for k, a, b in spans)
-        out = [(*[sum(k == i for k, _, _ in base) for i in range(4)], sha(say(base)), say(every), len(every) - len(base)) for base, every in find_all(list(pdf["text"]), sent.value)]
-        return pd.DataFrame(out, columns=["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added"]).assign(doc_id=pdf["doc_id"].astype("Int64").to_numpy())
+    def run(texts):
+        out = []
+        for base, every in find_all(texts, sent.value):
+            own, secrets = [x for x in every if x[0] < len(KINDS)], [x for x in every if x[0] >= len(KINDS)]
+            out.append((*[sum(k == i for k, _, _ in base) for i in range(4)], sha(say(base)), say(own), len(own) - len(base), len(secrets), say(secrets), len(every)))
+        return [list(x) for x in zip(*out)]
 
-    kinds = "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long, doc_id long"
-    return ids_back(rows_of(documents, key, text).mapInPandas(each_batch(run), kinds)).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added")
+    return per_text(documents, text, run, "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long, n_secret long, secrets string, n_found long", id_of(key))
