@@ -19,7 +19,7 @@ import zlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import each_batch, fresh_path, ids_back, known, rows_of
+from .common import SLICE, fresh_path, id_of, per_text
 
 UNIT = 192
 PACKET = 1920
@@ -135,34 +135,41 @@ def features(media: bytes) -> tuple[bytes, str]:
 def encode_column(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_bytes, media."""
 
-    def run(pdf):
-        import pandas as pd
+    def run(texts):
+        made = [(n, encode(data)) for n, data in map(payload, texts)]
+        return [[n for n, _ in made], [m for _, m in made]]
 
-        made = [(n, encode(data)) for n, data in map(payload, pdf["text"])]
-        return pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "n_bytes": [n for n, _ in made], "media": [m for _, m in made]})
-
-    return ids_back(rows_of(documents, key, text).mapInPandas(each_batch(run), "doc_id long, n_bytes long, media binary"))
+    return per_text(documents, text, run, "n_bytes long, media binary", id_of(key))
 
 
 def inspect_column(media: DataFrame) -> DataFrame:
     """Of a media column (doc_id, n_bytes, media): what was read back of each."""
+    rows = media.select("doc_id", "n_bytes", "media").where(F.col("media").isNotNull())
 
-    def run(pdf):
+    def run(batches):
         import hashlib
 
-        import pandas as pd
+        import pyarrow as pa
 
-        out = []
-        for d, n, m in zip(pdf["doc_id"], pdf["n_bytes"], pdf["media"], strict=True):
+        def inspect(m: bytes) -> tuple:
+            sha = hashlib.sha256(m).hexdigest()
             try:
-                data, said = features(bytes(m))
-                out.append((d, n, len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-16:]), len(m), hashlib.sha256(m).hexdigest(), said, None))
+                data, said = features(m)
+                return len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-16:]), len(m), sha, said, None
             except ValueError as e:
-                out.append((d, n, 0, "", 0, len(m), hashlib.sha256(m).hexdigest(), "", str(e)))
-        return pd.DataFrame(out, columns=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "error"]).astype({"doc_id": "Int64"})
+                return 0, "", 0, len(m), sha, "", str(e)
+
+        kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string())
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                b = batch.slice(at, SLICE)
+                made = zip(*map(inspect, b.column("media").to_pylist()))
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_bytes"), *[pa.array(x, k) for x, k in zip(made, kinds, strict=True)]], names=READ_BACK)
+
+    return rows.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, error string")
+
 
-    rows = media.select(known(F.col("doc_id")).alias("doc_id"), "n_bytes", "media").where(F.col("media").isNotNull())
-    return ids_back(rows.mapInPandas(each_batch(run), "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, error string"))
+READ_BACK = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "error"]
 
 
 def media_table(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
