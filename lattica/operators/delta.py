@@ -115,26 +115,25 @@ def violations(s: Snapshots, pairs: DataFrame, declared: DataFrame, permitted: D
     return off.join(new, ["pair_id", "src", "kind", "dst"], "left").select("pair_id", "src", "kind", "dst", F.coalesce("new", F.lit(False)).alias("introduced"))
 
 
-def verdict(s: Snapshots, pairs: DataFrame, off_list: DataFrame | None = None) -> DataFrame:
-    """(pair_id, empty, verdict): empty where no internal box, no arrow and no surface symbol changed; a dependency
-    off the allow-list is a change by itself."""
+def verdict(s: Snapshots, pairs: DataFrame) -> DataFrame:
+    """(pair_id, empty, verdict): empty where no internal box, no arrow and no surface symbol changed; nothing else
+    counts, breaches of an allow-list neither."""
     moved = packages(s, pairs).where("internal").select("pair_id").unionByName(edges(s, pairs).select("pair_id")).unionByName(symbols(s, pairs, "surface").select("pair_id")).distinct().withColumn("moved", F.lit(True))
     out = pairs.select("pair_id").join(moved, "pair_id", "left").withColumn("empty", F.col("moved").isNull())
-    off = (off_list.select("pair_id") if off_list is not None else moved.select("pair_id").limit(0)).distinct().withColumn("off", F.lit(True))
-    return out.join(off, "pair_id", "left").select("pair_id", "empty", F.when(F.col("empty") & F.col("off").isNull(), "NO_CHANGE").otherwise("ARCHITECTURAL_CHANGE").alias("verdict"))
+    return out.select("pair_id", "empty", F.when(F.col("empty"), "NO_CHANGE").otherwise("ARCHITECTURAL_CHANGE").alias("verdict"))
 
 
 def witnesses(s: Snapshots, pairs: DataFrame) -> DataFrame:
     """(pair_id, src, kind, dst, status, removed, added, remaining) of internal edges whose witnesses moved; arrays."""
     own = flt.internal_edges(s).distinct()
     w = own.join(s.witness.where("scope = 'cross'").select("snapshot_id", "src", "kind", "dst", "witness"), ["snapshot_id", "src", "kind", "dst"], "left")
-    none = F.array().cast("array<string>")
-    got = lambda b: F.collect_set(F.when(F.col("_b") == b, F.col("witness")))
-    j = both(w, pairs, ["src", "kind", "dst"], got(False).alias("wa"), got(True).alias("wb"))
-    j = j.select("pair_id", "src", "kind", "dst", "in_a", "in_b", *[F.array_sort(x).alias(n) for x, n in ((F.array_except("wa", "wb"), "removed"), (F.array_except("wb", "wa"), "added"), (F.array_intersect("wa", "wb"), "remaining"))])
+    # Witnesses are compared one by one; only those of one arrow come together, in its row.
+    each = both(w, pairs, ["src", "kind", "dst", "witness"])
+    pick = lambda a, b: F.array_sort(F.collect_list(F.when((F.col("in_a") == a) & (F.col("in_b") == b), F.col("witness"))))
+    j = each.groupBy("pair_id", "src", "kind", "dst").agg(pick(True, False).alias("removed"), pick(False, True).alias("added"), pick(True, True).alias("remaining"), F.bool_or("in_a").alias("in_a"), F.bool_or("in_b").alias("in_b"))
     less, more = F.size("removed") > 0, F.size("added") > 0
     status = F.when(~F.col("in_b"), "REMOVED").when(~F.col("in_a"), "ADDED").when(less & more, "CHURNED").when(less, "WEAKENED").when(more, "STRENGTHENED")
-    return j.withColumn("status", status).where("status is not null").select("pair_id", "src", "kind", "dst", "status", "removed", "added", F.coalesce("remaining", none).alias("remaining"))
+    return j.withColumn("status", status).where("status is not null").select("pair_id", "src", "kind", "dst", "status", "removed", "added", "remaining")
 
 
 STATUS_RANK = {"REMOVED": 0, "WEAKENED": 1, "CHURNED": 2, "STRENGTHENED": 3, "ADDED": 4}
@@ -145,20 +144,25 @@ def witness_verdict(rows: DataFrame) -> DataFrame:
     return rows.groupBy("pair_id").agg(F.count_if(F.col("status") == "REMOVED").alias("full"), F.count_if(F.col("status") == "WEAKENED").alias("partial"))
 
 
-def counts(s: Snapshots, pairs: DataFrame) -> DataFrame:
-    """One row a pair: sizes of all axes; surface, schema and invariants count packages."""
+def counts(s: Snapshots, pairs: DataFrame, off_list: DataFrame | None = None, widenings: DataFrame | None = None) -> DataFrame:
+    """One row a pair: sizes of all axes; surface, schema and invariants count packages.  ``violations`` counts the rows
+    of off_list(pair_id, ...), ``surface_widenings`` those of widenings(pair_id, ...), as far as they are given."""
     p, e, w, c = packages(s, pairs), edges(s, pairs), witnesses(s, pairs), contracts(s, pairs)
+    total = lambda df, name: df.groupBy("pair_id").agg(F.count("*").alias(name))
     parts = [
         p.groupBy("pair_id").agg(F.count_if(F.col("change") == "added").alias("packages_added"), F.count_if(F.col("change") == "removed").alias("packages_removed")),
         e.groupBy("pair_id").agg(F.count_if(F.col("change") == "added").alias("edges_added"), F.count_if(F.col("change") == "removed").alias("edges_removed")),
         *[symbols(s, pairs, axis).groupBy("pair_id").agg(F.count_distinct("path").alias(axis)) for axis in ("surface", "schema")],
         invariants(s, pairs).groupBy("pair_id").agg(F.count_distinct("path").alias("invariants")),
-        c.groupBy("pair_id").agg(F.count("*").alias("contracts")),
+        total(c, "contracts"),
         witness_verdict(w).withColumnsRenamed({"full": "decoupled", "partial": "weakened"}),
+        *[total(df, name) for df, name in ((off_list, "violations"), (widenings, "surface_widenings")) if df is not None],
     ]
     out = pairs.select("pair_id")
     for x in parts:
         out = out.join(x, "pair_id", "left")
+    for df, name in ((off_list, "violations"), (widenings, "surface_widenings")):
+        out = out if df is not None else out.withColumn(name, F.lit(0).cast("long"))
     return out.fillna(0)
 
 
@@ -195,6 +199,16 @@ def triage(s: Snapshots, pairs: DataFrame) -> DataFrame:
 TRIAGE = ("new packages", "services", "endpoints", "config keys", "capabilities", "contracts", "surface +", "schema +", "invariant")
 
 
+def triage_summary(s: Snapshots, pairs: DataFrame, off_list: DataFrame | None = None) -> DataFrame:
+    """(pair_id, verdict, breaches, gaps, touched): FAST-TRACK where the delta is empty, else NEEDS ARCHITECTURE REVIEW; rows of
+    off_list(pair_id, ...); new implementers without a contract test; contracts whose guarding tests changed, short and joined."""
+    new = contracts(s, pairs).select("pair_id", F.size(F.array_except("added", "covered")).alias("n")).groupBy("pair_id").agg(F.sum("n").alias("gaps"))
+    touched = touched_promises(s, pairs).groupBy("pair_id").agg(P.joined(P.short("iface"), ", ").alias("touched"))
+    off = (off_list.select("pair_id") if off_list is not None else pairs.select("pair_id").limit(0)).groupBy("pair_id").agg(F.count("*").alias("breaches"))
+    out = verdict(s, pairs).join(off, "pair_id", "left").join(new, "pair_id", "left").join(touched, "pair_id", "left")
+    return out.select("pair_id", F.when(F.col("empty"), "FAST-TRACK").otherwise("NEEDS ARCHITECTURE REVIEW").alias("verdict"), F.coalesce("breaches", F.lit(0)).alias("breaches"), F.coalesce("gaps", F.lit(0)).alias("gaps"), F.coalesce("touched", F.lit("")).alias("touched"))
+
+
 def surface_summary(s: Snapshots, pairs: DataFrame) -> DataFrame:
     """(pair_id, added, removed, modified, breaking, shape): symbols of all axes; any removal or modification needs review."""
     all_ = packages(s, pairs).select("pair_id", "change").unionByName(edges(s, pairs).select("pair_id", "change")).unionByName(invariants(s, pairs).select("pair_id", "change"))

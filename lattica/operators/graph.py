@@ -1,35 +1,50 @@
-"""Graph kernels: each runs over all snapshots at once, and keeps every round in the checkpoint folder."""
+"""Graph kernels: each runs over all snapshots at once, and keeps every round in the shared folder.  No kernel has a
+bound on its rounds: each ends when a round brings nothing new."""
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-ROUNDS = 200
+from ..shared import keep
+
+#: Rounds that are read side by side before they are written together.
+ROUNDS_KEPT = 6
+_PAIR = ["snapshot_id", "src", "dst"]
+
 
+class _Seen:
+    """Rows found so far: the last rounds as they were kept, merged into one table now and then."""
 
-def keep(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a checkpoint in the folder of ``spark.checkpoint.dir`` (a temporary one where unset)."""
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lattica-"))
-    return df.checkpoint(eager=True)
+    def __init__(self, first: DataFrame):
+        self.rounds = [first]
+
+    def add(self, new: DataFrame) -> None:
+        self.rounds.append(new)
+        if len(self.rounds) > ROUNDS_KEPT:
+            self.rounds = [keep(self.all())]
+
+    def all(self) -> DataFrame:
+        out = self.rounds[0]
+        for x in self.rounds[1:]:
+            out = out.unionByName(x)
+        return out
 
 
 def closure(pairs: DataFrame, seeds: DataFrame | None = None) -> DataFrame:
-    """(snapshot_id, src, dst) reachable in one step or more, semi-naively; from seeds(snapshot_id, path) only, if given."""
-    step = keep(pairs.select("snapshot_id", "src", "dst").distinct())
-    new = step if seeds is None else step.join(seeds.select("snapshot_id", F.col("path").alias("src")), ["snapshot_id", "src"], "left_semi")
-    new = seen = keep(new)
-    for _ in range(ROUNDS):
-        ahead = new.select("snapshot_id", "src", F.col("dst").alias("mid")).join(step.select("snapshot_id", F.col("src").alias("mid"), "dst"), ["snapshot_id", "mid"]).select("snapshot_id", "src", "dst").distinct()
-        new = keep(ahead.join(seen, ["snapshot_id", "src", "dst"], "left_anti"))
-        if new.isEmpty():
-            return seen
-        seen = keep(seen.unionByName(new))
-    raise RuntimeError(f"no fixed point in {ROUNDS} rounds")
+    """(snapshot_id, src, dst) reachable in one step or more; from seeds(snapshot_id, path) only, if given.
+
+    Without seeds, path lengths double: what a round found joins everything found so far, so that rounds grow with the
+    logarithm of the longest path.  From seeds, each round takes one step from what the last one reached."""
+    step = keep(pairs.select(*_PAIR).distinct())
+    new = step if seeds is None else keep(step.join(seeds.select("snapshot_id", F.col("path").alias("src")), ["snapshot_id", "src"], "left_semi"))
+    seen = _Seen(new)
+    while not new.isEmpty():
+        onward = step if seeds is not None else seen.all()
+        ahead = new.select("snapshot_id", "src", F.col("dst").alias("mid")).join(onward.select("snapshot_id", F.col("src").alias("mid"), "dst"), ["snapshot_id", "mid"]).select(*_PAIR).distinct()
+        new = keep(ahead.join(seen.all(), _PAIR, "left_anti"))
+        seen.add(new)
+    return seen.all()
 
 
 def dependents(pairs: DataFrame, target: str) -> DataFrame:
@@ -45,11 +60,56 @@ def blast(reach: DataFrame) -> DataFrame:
     return reach.where("src <> dst").groupBy("snapshot_id", F.col("dst").alias("path")).agg(F.count("*").alias("blast_radius"))
 
 
-def cycles(reach: DataFrame) -> DataFrame:
+def _trimmed(edges: DataFrame) -> DataFrame:
+    """Edges without the nodes that nothing leads to, or that lead nowhere; again and again."""
+    n = edges.count()
+    while n:
+        heads, tails = (edges.select("snapshot_id", F.col(c).alias(o)).distinct() for c, o in (("dst", "src"), ("src", "dst")))
+        edges = keep(edges.join(heads, ["snapshot_id", "src"], "left_semi").join(tails, ["snapshot_id", "dst"], "left_semi").select(*_PAIR))
+        left = edges.count()
+        if left == n:
+            break
+        n = left
+    return edges
+
+
+def cycles(pairs: DataFrame) -> DataFrame:
     """(snapshot_id, path, cycle): members of strongly connected components of two nodes or more; a component is named
-    by its least member."""
-    mutual = reach.join(reach.select("snapshot_id", F.col("dst").alias("src"), F.col("src").alias("dst")), ["snapshot_id", "src", "dst"], "left_semi").where("src <> dst")
-    return mutual.groupBy("snapshot_id", F.col("src").alias("path")).agg(F.least(F.min("dst"), F.col("src")).alias("cycle"))
+    by its least member.
+
+    Forward and backward colouring, without the closure: nodes in no cycle are trimmed; each other node takes the least
+    name that reaches it; what leads back to a node that kept its own name, through nodes of that name, is its
+    component.  Components leave the graph, and what remains goes round again."""
+    edges = _trimmed(keep(pairs.where("src <> dst").select(*_PAIR).distinct()))
+    found: _Seen | None = None
+    while not edges.isEmpty():
+        nodes = edges.select("snapshot_id", F.col("src").alias("path")).distinct()  # each has an arrow out, or it were trimmed
+        names = keep(nodes.withColumn("cycle", F.col("path")))
+        news = names
+        while not news.isEmpty():
+            told = edges.join(news.withColumnRenamed("path", "src"), ["snapshot_id", "src"]).groupBy("snapshot_id", F.col("dst").alias("path")).agg(F.min("cycle").alias("told"))
+            after = keep(names.join(told, ["snapshot_id", "path"], "left").select("snapshot_id", "path", F.least("cycle", F.coalesce("told", "cycle")).alias("cycle"), (F.col("told") < F.col("cycle")).alias("moved")))
+            names, news = after.drop("moved"), after.where("moved").drop("moved")
+        name = lambda end, c: names.select("snapshot_id", F.col("path").alias(end), F.col("cycle").alias(c))
+        within = keep(edges.join(name("src", "cs"), ["snapshot_id", "src"]).join(name("dst", "cd"), ["snapshot_id", "dst"]).where("cs = cd").select(*_PAIR, F.col("cs").alias("cycle")))
+        new = keep(names.where("path = cycle"))
+        mine = _Seen(new)
+        while not new.isEmpty():
+            back = within.join(new.select("snapshot_id", "cycle", F.col("path").alias("dst")), ["snapshot_id", "cycle", "dst"]).select("snapshot_id", F.col("src").alias("path"), "cycle").distinct()
+            new = keep(back.join(mine.all(), ["snapshot_id", "path"], "left_anti"))
+            mine.add(new)
+        done = keep(mine.all())
+        found = _Seen(done) if found is None else found
+        if found.rounds[0] is not done:
+            found.add(done)
+        for end in ("src", "dst"):
+            edges = edges.join(done.select("snapshot_id", F.col("path").alias(end)), ["snapshot_id", end], "left_anti")
+        edges = _trimmed(keep(edges.select(*_PAIR)))
+    if found is None:
+        return pairs.select("snapshot_id", F.col("src").alias("path"), F.col("src").alias("cycle")).limit(0)
+    every = found.all()
+    several = every.groupBy("snapshot_id", "cycle").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    return every.join(several, ["snapshot_id", "cycle"], "left_semi").select("snapshot_id", "path", "cycle")
 
 
 def hops(calls: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:

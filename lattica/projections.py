@@ -1,80 +1,119 @@
-"""Graphs made of the star-schema tables, so that every operator runs at any scale.
+"""Graphs made of the star-schema tables, so that every operator runs over whole tables at any scale.
 
-Boxes are nations (``tpch/<region>/<nation>``); an arrow leads from a customer's nation to a supplier's, its kind
-told by the return flag, its witness a brand; orders before the cut are snapshot A, the others B.
+Each part is a cluster of six boxes (``tpch/<region>/p<part>/<box>``): every line of the part is an arrow from the box of its
+line number to the box of its supplier, its kind told by the return flag, its witness by the buyer's segment, and
+an arrow from the former box to something outside (configuration, services, endpoints, capabilities, libraries), told by the tax.
+Graphs thus stay sparse however many rows there are: arrows, boxes and clusters grow with the tables, degrees do not.
+Orders before the cut are snapshot A, the others B; or each year is a snapshot.
+
+The projection is written once for each session and folder, in the shared folder, partitioned by snapshot.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .schema import Snapshots
+from .shared import shared_dir
 
 MODULE = "tpch"
+#: What the tax of a line (in hundredths) makes it reach outside: kind and target.
+OUTSIDE = [("config", "env:HOME"), ("service", "service:Postgres"), ("protocol", "api:GET /items"), ("capability", "cap:net"), ("import", "github.com/lib/pq"), ("import", "fmt"), ("import", "net/http"), ("config", "flag:verbose"), ("service", "service:Redis")]
 
 
 def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-def base(spark: SparkSession, d: str, quantity: float = 48, discount: float = 0.09, by_year: bool = False) -> DataFrame:
+def base(spark: SparkSession, d: str, by_year: bool = False) -> DataFrame:
+    """One row for each line: snapshot_id, src, dst, kind, witness, the target outside, and names for symbols and tests."""
     t = lambda n: _table(spark, d, n)
-    places = t("nation").join(t("region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", F.concat_ws("/", F.lit(MODULE), "r_name", "n_name").alias("path"))
-    buyer = t("customer").join(F.broadcast(places), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "c_mktsegment", F.col("path").alias("src"))
-    seller = t("supplier").join(F.broadcast(places), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", F.col("path").alias("dst"))
-    lines = t("lineitem").where((F.col("l_quantity") >= quantity) & (F.col("l_discount") >= discount - 1e-9)).select("l_orderkey", "l_partkey", "l_suppkey", "l_returnflag")
+    regions = t("region").select(F.col("r_regionkey").alias("key"), "r_name")
+    lines = t("lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", (F.round(F.col("l_tax") * 100).cast("int") % len(OUTSIDE)).alias("tax"))
+    lines = lines.withColumn("i", F.pmod("l_linenumber", F.lit(6)).cast("int")).withColumn("j", F.pmod("l_suppkey", F.lit(6)).cast("int"))
+    buyers = t("customer").select("c_custkey", "c_mktsegment")
+    j = lines.join(t("orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderstatus", "o_orderpriority"), F.col("l_orderkey") == F.col("o_orderkey")).join(buyers, F.col("o_custkey") == F.col("c_custkey"))
+    j = j.join(t("part").select("p_partkey", "p_type"), F.col("l_partkey") == F.col("p_partkey"))
+    for end, k in (("src", "i"), ("dst", "j")):
+        leaf = F.when(F.col("l_partkey") % 2 == 0, F.concat(F.lit("u"), k)).otherwise(F.concat(F.lit("x"), "l_partkey", F.lit("k"), k))
+        j = j.join(regions, F.pmod(F.col("l_partkey") + F.col(k), F.lit(5)) == F.col("key")).withColumn(end, F.concat_ws("/", F.lit(MODULE), "r_name", F.concat(F.lit("p"), "l_partkey"), leaf)).drop("key", "r_name")
     snap = F.year("o_orderdate").cast("string") if by_year else F.when(F.col("o_orderdate") < F.expr("TIMESTAMP_NTZ'1998-04-01'"), "A").otherwise("B")
     kind = F.when(F.col("l_returnflag") == "R", "import").when(F.col("l_returnflag") == "A", "call").otherwise("implements")
-    j = lines.join(t("orders").select("o_orderkey", "o_custkey", "o_orderdate"), F.col("l_orderkey") == F.col("o_orderkey")).join(buyer, F.col("o_custkey") == F.col("c_custkey")).join(seller, F.col("l_suppkey") == F.col("s_suppkey"))
-    j = j.join(t("part").select("p_partkey", "p_name", "p_brand", "p_type"), F.col("l_partkey") == F.col("p_partkey"))
-    return j.select(snap.alias("snapshot_id"), "src", "dst", kind.alias("kind"), F.when(kind == "implements", F.concat_ws(" |= ", "p_brand", "p_type")).otherwise(F.col("p_brand")).alias("witness"), "p_name", "p_brand", "p_type", "c_mktsegment")
+    priority = F.substring("o_orderpriority", 3, 40)
+    # A kind of change that pairs of versions have in common: the names after the cut of a line number.
+    outside = F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(x).alias("dst")) for k, x in OUTSIDE])[F.col("tax")]
+    witness = F.when(kind == "implements", F.concat_ws(" |= ", priority, "p_type")).otherwise(F.concat_ws("#", "c_mktsegment", F.col("l_linenumber") % 2))
+    return j.select(snap.alias("snapshot_id"), "src", "dst", kind.alias("kind"), witness.alias("witness"), outside.alias("outside"), "p_type", "c_mktsegment", "l_linenumber", priority.alias("priority"), "o_orderstatus")
 
 
-def trade(spark: SparkSession, d: str, quantity: float = 48, discount: float = 0.09, by_year: bool = False) -> Snapshots:
-    b = base(spark, d, quantity, discount, by_year)
+def _trade(b: DataFrame) -> dict[str, DataFrame]:
     zero = F.lit(0)
     ends = b.select("snapshot_id", F.explode(F.array("src", "dst")).alias("path")).distinct()
-    segment = F.col("c_mktsegment").alias("name")
-    own = [F.col("snapshot_id"), F.col("src").alias("path"), segment]
+    out = b.select("snapshot_id", "src", "outside.kind", "outside.dst").distinct()
+    box = lambda df, name, own: df.select("snapshot_id", "path", name.alias("name"), F.lit(own).alias("internal"), F.lit(False).alias("hole"), zero.alias("pos"))
     sym = lambda path, axis, kind, name: b.select("snapshot_id", F.col(path).alias("path"), F.lit(axis).alias("axis"), kind.alias("kind"), name.alias("name"), F.lit(None).cast("string").alias("sig"), zero.alias("pos")).distinct()
-    return Snapshots.of(
-        spark,
-        snapshot=b.select("snapshot_id").distinct().select("snapshot_id", F.lit(MODULE).alias("module"), F.lit("").alias("commit")),
-        package=ends.select("snapshot_id", "path", F.substring_index("path", "/", -1).alias("name"), F.lit(True).alias("internal"), F.lit(False).alias("hole"), zero.alias("pos")),
-        symbol=sym("dst", "surface", F.col("p_type"), F.col("p_name")).unionByName(sym("src", "schema", F.lit("field"), F.concat_ws(".", "p_type", "p_brand"))),
-        invariant=b.groupBy("snapshot_id", F.col("src").alias("path"), segment).agg((F.count("*") % 3).cast("string").alias("hash")).select("snapshot_id", "path", "name", F.lit("t").alias("file"), "hash", zero.alias("pos")),
-        guard=b.where("kind = 'implements'").select(*own, F.concat_ws(".", "dst", "p_type").alias("iface")).distinct(),
-        exercise=b.where("kind = 'implements'").select(*own, F.concat_ws(".", "src", "p_brand").alias("concrete")).distinct(),
-        edge=b.select("snapshot_id", "src", "kind", "dst", F.lit("cross").alias("scope"), zero.alias("pos")).distinct(),
-        witness=b.select("snapshot_id", "src", "kind", "dst", F.lit("cross").alias("scope"), "witness").distinct(),
-    )
-
-
-#: The same projection as SQL common table expressions.
-def trade_sql(quantity: float = 48, discount: float = 0.09, by_year: bool = False) -> str:
+    own = [F.col("snapshot_id"), F.col("src").alias("path"), F.col("c_mktsegment").alias("name")]
+    arrow = lambda df: df.select("snapshot_id", "src", "kind", "dst", F.lit("cross").alias("scope"), zero.alias("pos")).distinct()
+    return {
+        "snapshot": b.select("snapshot_id").distinct().select("snapshot_id", F.lit(MODULE).alias("module"), F.lit("").alias("commit")),
+        "package": box(ends, F.substring_index("path", "/", -1), True).unionByName(box(out.select("snapshot_id", F.col("dst").alias("path")).distinct(), F.col("path"), False)),
+        "symbol": sym("dst", "surface", F.lit("func"), F.concat("c_mktsegment", "l_linenumber")).unionByName(sym("src", "schema", F.lit("field"), F.concat_ws(".", "p_type", "o_orderstatus"))),
+        "invariant": b.groupBy("snapshot_id", F.col("src").alias("path"), F.col("c_mktsegment").alias("name")).agg((F.count("*") % 3).cast("string").alias("hash")).select("snapshot_id", "path", "name", F.lit("t").alias("file"), "hash", zero.alias("pos")),
+        "guard": b.where("kind = 'implements'").select(*own, F.concat_ws(".", "dst", "p_type").alias("iface")).distinct(),
+        "exercise": b.where("kind = 'implements' and o_orderstatus <> 'F'").select(*own, F.concat_ws(".", "src", "priority").alias("concrete")).distinct(),
+        "edge": arrow(b).unionByName(arrow(out)),
+        "witness": b.select("snapshot_id", "src", "kind", "dst", F.lit("cross").alias("scope"), "witness").distinct(),
+    }
+
+
+_WRITTEN: dict[tuple, str] = {}
+
+
+def trade(spark: SparkSession, d: str, by_year: bool = False) -> Snapshots:
+    key = (spark.sparkContext.applicationId, d, by_year)
+    if key not in _WRITTEN:
+        at = f"{shared_dir(spark)}/lattica-trade-{uuid.uuid4().hex}"
+        lines = f"{at}/base"
+        base(spark, d, by_year).write.parquet(lines)
+        Snapshots.of(spark, **_trade(spark.read.parquet(lines))).write(at)
+        _WRITTEN[key] = at
+    return Snapshots.read(spark, _WRITTEN[key])
+
+
+#: The same projection as SQL common table expressions; ``edge`` and ``pkg`` are internal, ``aedge`` and ``apkg`` have all.
+def trade_sql(by_year: bool = False) -> str:
     snap = "CAST(year(o_orderdate) AS VARCHAR)" if by_year else "CASE WHEN o_orderdate < TIMESTAMP '1998-04-01' THEN 'A' ELSE 'B' END"
+    leaf = lambda k: f"CASE WHEN l_partkey % 2 = 0 THEN 'u' || {k} ELSE 'x' || l_partkey || 'k' || {k} END"
+    outside = ", ".join(f"({n}, '{k}', '{x}')" for n, (k, x) in enumerate(OUTSIDE))
     return f"""
-WITH RECURSIVE places AS (SELECT n_nationkey, 'tpch/' || r_name || '/' || n_name AS path FROM nation JOIN region ON n_regionkey = r_regionkey),
-base AS (SELECT {snap} AS sid, x.path AS src, y.path AS dst,
+WITH RECURSIVE outside AS (SELECT * FROM (VALUES {outside}) o(tax, okind, target)),
+lines AS (SELECT *, l_linenumber % 6 AS i, l_suppkey % 6 AS j, CAST(round(l_tax * 100) AS INT) % {len(OUTSIDE)} AS tax FROM lineitem),
+base AS (SELECT {snap} AS sid, 'tpch/' || x.r_name || '/p' || l_partkey || '/' || {leaf("i")} AS src, 'tpch/' || y.r_name || '/p' || l_partkey || '/' || {leaf("j")} AS dst,
   CASE l_returnflag WHEN 'R' THEN 'import' WHEN 'A' THEN 'call' ELSE 'implements' END AS kind,
-  CASE WHEN l_returnflag IN ('R', 'A') THEN p_brand ELSE p_brand || ' |= ' || p_type END AS witness, p_name, p_brand, p_type, c_mktsegment
-  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey
-  JOIN part ON l_partkey = p_partkey JOIN places x ON c_nationkey = x.n_nationkey JOIN places y ON s_nationkey = y.n_nationkey
-  WHERE l_quantity >= {quantity} AND l_discount >= {discount} - 1e-9),
+  CASE WHEN l_returnflag IN ('R', 'A') THEN c_mktsegment || '#' || (l_linenumber % 2) ELSE substr(o_orderpriority, 3) || ' |= ' || p_type END AS witness, okind, target, p_type, c_mktsegment, l_linenumber, substr(o_orderpriority, 3) AS priority, o_orderstatus
+  FROM lines JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN part ON l_partkey = p_partkey
+  JOIN region x ON (l_partkey + i) % 5 = x.r_regionkey JOIN region y ON (l_partkey + j) % 5 = y.r_regionkey JOIN outside USING (tax)),
 edge AS (SELECT DISTINCT sid, src, kind, dst FROM base),
+xedge AS (SELECT DISTINCT sid, src, okind AS kind, target AS dst FROM base),
+aedge AS (FROM edge UNION ALL FROM xedge),
 wit AS (SELECT DISTINCT sid, src, kind, dst, witness FROM base),
 pkg AS (SELECT DISTINCT sid, src AS path FROM base UNION SELECT DISTINCT sid, dst FROM base),
-sym AS (SELECT DISTINCT sid, dst AS path, 'surface' AS axis, p_type AS kind, p_name AS name FROM base UNION SELECT DISTINCT sid, src, 'schema', 'field', p_type || '.' || p_brand FROM base),
+xpkg AS (SELECT DISTINCT sid, dst AS path FROM xedge),
+apkg AS (SELECT sid, path, true AS internal FROM pkg UNION ALL SELECT sid, path, false FROM xpkg),
+sym AS (SELECT DISTINCT sid, dst AS path, 'surface' AS axis, 'func' AS kind, c_mktsegment || l_linenumber AS name FROM base UNION SELECT DISTINCT sid, src, 'schema', 'field', p_type || '.' || o_orderstatus FROM base),
 inv AS (SELECT sid, src AS path, c_mktsegment AS name, count(*) % 3 AS hash FROM base GROUP BY ALL),
 guard AS (SELECT DISTINCT sid, src AS path, c_mktsegment AS name, dst || '.' || p_type AS iface FROM base WHERE kind = 'implements'),
-exer AS (SELECT DISTINCT sid, src AS path, c_mktsegment AS name, src || '.' || p_brand AS concrete FROM base WHERE kind = 'implements'),
+exer AS (SELECT DISTINCT sid, src AS path, c_mktsegment AS name, src || '.' || priority AS concrete FROM base WHERE kind = 'implements' AND o_orderstatus <> 'F'),
 dep AS (SELECT DISTINCT sid, src, dst FROM edge WHERE kind IN ('import', 'call') AND src <> dst),
 reach AS (SELECT sid, src, dst FROM dep UNION SELECT r.sid, r.src, d.dst FROM reach r JOIN dep d ON r.sid = d.sid AND r.dst = d.src),
 impl AS (SELECT DISTINCT sid, dst || '.' || split_part(witness, ' |= ', 2) AS iface, src || '.' || split_part(witness, ' |= ', 1) AS impl FROM wit WHERE kind = 'implements'),
 cov AS (SELECT i.sid, i.iface, i.impl, h.iface IS NOT NULL AS covered FROM impl i LEFT JOIN (SELECT DISTINCT g.sid, g.iface, e.concrete FROM guard g JOIN exer e USING (sid, path, name)) h ON i.sid = h.sid AND i.iface = h.iface AND i.impl = h.concrete),
-d_edge AS (SELECT src, kind, dst, CASE WHEN bool_or(sid = 'A') THEN 'removed' ELSE 'added' END AS change FROM edge GROUP BY ALL HAVING count(*) = 1),
-d_pkg AS (SELECT path, CASE WHEN bool_or(sid = 'A') THEN 'removed' ELSE 'added' END AS change FROM pkg GROUP BY ALL HAVING count(*) = 1),
+d_edge AS (SELECT src, kind, dst, CASE WHEN bool_or(sid = 'A') THEN 'removed' ELSE 'added' END AS change FROM aedge GROUP BY ALL HAVING count(*) = 1),
+d_apkg AS (SELECT path, internal, CASE WHEN bool_or(sid = 'A') THEN 'removed' ELSE 'added' END AS change FROM apkg GROUP BY ALL HAVING count(*) = 1),
+d_pkg AS (SELECT path, change FROM d_apkg WHERE internal),
 common AS (SELECT path FROM pkg GROUP BY path HAVING count(*) = 2),
 d_sym AS (SELECT path, axis, kind, name, CASE WHEN bool_or(sid = 'A') THEN 'removed' ELSE 'added' END AS change FROM sym WHERE path IN (FROM common) GROUP BY ALL HAVING count(*) = 1),
 d_inv AS (SELECT path, name, CASE WHEN count(*) = 2 THEN 'modified' WHEN bool_or(sid = 'A') THEN 'removed' ELSE 'added' END AS change FROM inv WHERE path IN (FROM common) GROUP BY path, name HAVING count(*) = 1 OR count(DISTINCT hash) = 2)

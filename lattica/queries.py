@@ -13,7 +13,7 @@ from .operators import graph as gr
 from .operators import history as hs
 from .operators import metrics as me
 from .plans import distance as pd
-from .projections import base, trade, trade_sql
+from .projections import trade, trade_sql
 from .schema import Snapshots
 
 QUERIES, ORACLE = {}, {}
@@ -24,31 +24,31 @@ def _strings(df):
     return df.select(*[F.array_join(c, ",").alias(c) if k.startswith("array") else F.col(c) for c, k in df.dtypes])
 
 
-def query(sql: str | None = None, quantity: float = 48, discount: float = 0.09, by_year: bool = False):
+def query(sql: str | None = None, by_year: bool = False):
     """Register ``f(snapshots, pairs)`` over the trade graph with its SQL."""
 
     def add(f):
         def run(spark, sf_dir):
-            s = trade(spark, sf_dir, quantity, discount, by_year)
+            s = trade(spark, sf_dir, by_year)
             out = f(s, dl.pair(spark))
             return _strings(out.drop("pair_id")).withColumnsRenamed({"snapshot_id": "sid"})
 
         QUERIES[f.__name__] = run
         if sql:
-            ORACLE[f.__name__] = trade_sql(quantity, discount, by_year) + sql
+            ORACLE[f.__name__] = trade_sql(by_year) + sql
         return f
 
     return add
 
 
-def _sparse(sql):
-    return query(sql, 49, 0.10)
-
-
 def _yearly(sql):
     return query(sql, by_year=True)
 
 
+def _comp(path: str) -> str:
+    return f"split_part({path}, '/', 2) || '/' || split_part({path}, '/', 3)"
+
+
 # Filters and projections
 
 
@@ -77,13 +77,13 @@ def flt_import_collapse(s, _):
     return flt.collapse_imports(flt.internal_edges(s))
 
 
-@query("SELECT sid, path, true AS internal FROM pkg")
+@query("SELECT sid, path, internal FROM apkg WHERE internal OR path LIKE 'env:%' OR path LIKE 'flag:%'")
 def flt_select_nodes(s, _):
     return flt.drawn_nodes(s)
 
 
-@_sparse("""SELECT src, kind, dst, change FROM (SELECT e.src, e.kind, e.dst, coalesce(d.change, '') AS change FROM (SELECT DISTINCT src, kind, dst FROM edge) e LEFT JOIN d_edge d USING (src, kind, dst))
-WHERE src IN (SELECT src FROM d_edge UNION SELECT dst FROM d_edge UNION SELECT path FROM d_pkg) AND dst IN (SELECT src FROM d_edge UNION SELECT dst FROM d_edge UNION SELECT path FROM d_pkg)""")
+@query("""SELECT src, kind, dst, change FROM (SELECT e.src, e.kind, e.dst, coalesce(d.change, '') AS change FROM (SELECT DISTINCT src, kind, dst FROM aedge) e LEFT JOIN d_edge d USING (src, kind, dst))
+WHERE src IN (SELECT src FROM d_edge UNION SELECT dst FROM d_edge UNION SELECT path FROM d_apkg) AND dst IN (SELECT src FROM d_edge UNION SELECT dst FROM d_edge UNION SELECT path FROM d_apkg)""")
 def flt_focus_changed(s, pairs):
     change = F.when(~F.col("in_a"), "added").when(~F.col("in_b"), "removed").otherwise("")
     nodes = dl.both(s.package.select("snapshot_id", "path"), pairs, ["path"]).select("pair_id", "path", change.alias("change"))
@@ -91,24 +91,24 @@ def flt_focus_changed(s, pairs):
     return flt.focus(nodes, arrows)[1]
 
 
-@query("SELECT sid, path FROM pkg WHERE path LIKE '%/NATION_2' OR path = 'NATION_2'")
+@query("SELECT sid, path FROM pkg WHERE path LIKE '%/p7/x7k2'")
 def flt_resolve_target(s, _):
-    return flt.resolve_target(s, "NATION_2")
+    return flt.resolve_target(s, "p7/x7k2")
 
 
-@query("""SELECT sid, path, CASE WHEN path = 'tpch' THEN '' ELSE substr(path, 6) END AS rel, split_part(path, '/', 2) AS comp, split_part(path, '/', -1) AS short, '' AS tag,
-substr(sha256(path), 1, 12) AS digest FROM pkg""")
+@query("""SELECT sid, path, CASE WHEN path LIKE 'tpch/%' THEN substr(path, 6) ELSE path END AS rel, split_part(CASE WHEN path LIKE 'tpch/%' THEN substr(path, 6) ELSE path END, '/', 1) AS comp, split_part(path, '/', -1) AS short,
+CASE WHEN path LIKE 'api:%' THEN 'endpoint' WHEN path LIKE 'service:%' THEN 'service' WHEN path LIKE 'cap:%' THEN 'capability' WHEN path LIKE 'env:%' OR path LIKE 'flag:%' THEN 'config' WHEN NOT internal THEN 'external' ELSE '' END AS tag, substr(sha256(path), 1, 12) AS digest FROM apkg""")
 def prj_paths(s, _):
     rel = P.rel(F.col("path"), F.lit("tpch"))
     return s.package.select("snapshot_id", "path", rel.alias("rel"), P.component(rel, 1).alias("comp"), P.short("path").alias("short"), P.node_tag(F.col("path"), F.col("internal")).alias("tag"), P.digest12("path").alias("digest"))
 
 
-@query("SELECT sid, path, split_part(path, '/', -1) AS label FROM pkg")
+@query("SELECT sid, path, CASE WHEN count(*) OVER (PARTITION BY sid, split_part(path, '/', -1)) > 1 THEN path ELSE split_part(path, '/', -1) END AS label FROM apkg")
 def win_label_collision(s, _):
     return flt.short_labels(s)
 
 
-@query("SELECT sid, path, 'n' || CAST(row_number() OVER (PARTITION BY sid ORDER BY path) - 1 AS VARCHAR) AS node FROM pkg")
+@query("SELECT sid, path, 'n' || CAST(row_number() OVER (PARTITION BY sid ORDER BY path) - 1 AS VARCHAR) AS node FROM apkg")
 def win_node_ids(s, _):
     return flt.node_ids(s)
 
@@ -116,7 +116,7 @@ def win_node_ids(s, _):
 # Deltas
 
 
-@query("SELECT path, change, true AS internal FROM d_pkg", 50, 0.10)
+@query("SELECT path, change, internal FROM d_apkg")
 def dl_packages(s, pairs):
     return dl.packages(s, pairs)
 
@@ -179,7 +179,7 @@ def _allowed(s):
     return a.select(F.col("src").alias("path")).distinct(), a.select(F.col("src").alias("path"), F.col("dst").alias("target"))
 
 
-@_sparse(_OFF)
+@query(_OFF)
 def dl_violations(s, pairs):
     return dl.violations(s, pairs, *_allowed(s))
 
@@ -194,24 +194,38 @@ SELECT src, kind, dst, bool_or(ina) AS ina, bool_or(inb) AS inb, coalesce(string
 FROM (SELECT src, kind, dst, witness, bool_or(sid = 'A') AS ina, bool_or(sid = 'B') AS inb FROM wit GROUP BY ALL) GROUP BY src, kind, dst) WHERE r <> '' OR a <> ''"""
 
 
+_WIDER = "SELECT path, kind, name FROM d_sym WHERE axis = 'surface' AND change = 'added' AND path LIKE 'tpch/ASIA/%' AND name < 'G'"
+
+
+def _widenings(s, pairs):
+    fixed = s.package.where("path like 'tpch/ASIA/%'").select("path").distinct()
+    return cf.surface_widenings(s, pairs, fixed, s.symbol.where("axis = 'surface' and name >= 'G'").select("path", "name"))
+
+
 @query(_WIT)
 def dl_witness(s, pairs):
     return dl.witnesses(s, pairs)
 
 
+@query("SELECT src, kind, dst, string_agg(DISTINCT witness, ',' ORDER BY witness) AS witnesses FROM wit GROUP BY ALL")
+def agg_collect_witness(s, _):
+    return s.witness.groupBy("src", "kind", "dst").agg(P.joined("witness").alias("witnesses"))
+
+
 @query(f"SELECT count(*) FILTER (status = 'REMOVED') AS full, count(*) FILTER (status = 'WEAKENED') AS partial FROM ({_WIT})")
 def dl_witness_verdict(s, pairs):
     return dl.witness_verdict(dl.witnesses(s, pairs))
 
 
-@query(f"""SELECT (SELECT count(*) FROM d_pkg WHERE change = 'added') AS packages_added, (SELECT count(*) FROM d_pkg WHERE change = 'removed') AS packages_removed, (SELECT count(*) FROM d_edge WHERE change = 'added') AS edges_added, (SELECT count(*) FROM d_edge WHERE change = 'removed') AS edges_removed,
+@query(f"""SELECT (SELECT count(*) FROM d_apkg WHERE change = 'added') AS packages_added, (SELECT count(*) FROM d_apkg WHERE change = 'removed') AS packages_removed, (SELECT count(*) FROM d_edge WHERE change = 'added') AS edges_added, (SELECT count(*) FROM d_edge WHERE change = 'removed') AS edges_removed,
 (SELECT count(DISTINCT path) FROM d_sym WHERE axis = 'surface') AS surface, (SELECT count(DISTINCT path) FROM d_sym WHERE axis = 'schema') AS schema, (SELECT count(DISTINCT path) FROM d_inv) AS invariants, (SELECT count(DISTINCT iface) FROM (SELECT iface FROM impl GROUP BY iface, impl HAVING count(*) = 1)) AS contracts,
-(SELECT count(*) FROM ({_WIT}) WHERE status = 'REMOVED') AS decoupled, (SELECT count(*) FROM ({_WIT}) WHERE status = 'WEAKENED') AS weakened""")
+(SELECT count(*) FROM ({_WIT}) WHERE status = 'REMOVED') AS decoupled, (SELECT count(*) FROM ({_WIT}) WHERE status = 'WEAKENED') AS weakened,
+(SELECT count(*) FROM ({_OFF})) AS violations, (SELECT count(*) FROM ({_WIDER})) AS surface_widenings""")
 def agg_counts(s, pairs):
-    return dl.counts(s, pairs)
+    return dl.counts(s, pairs, dl.violations(s, pairs, *_allowed(s)), _widenings(s, pairs))
 
 
-_ALL = "SELECT change FROM d_pkg UNION ALL SELECT change FROM d_edge UNION ALL SELECT change FROM d_inv UNION ALL SELECT change FROM d_sym"
+_ALL = "SELECT change FROM d_apkg UNION ALL SELECT change FROM d_edge UNION ALL SELECT change FROM d_inv UNION ALL SELECT change FROM d_sym"
 
 
 @query(f"SELECT *, removed + modified > 0 AS breaking, CASE WHEN removed + modified > 0 THEN 'changed' WHEN added > 0 THEN 'widened' ELSE 'none' END AS shape FROM (SELECT count(*) FILTER (change = 'added') AS added, count(*) FILTER (change = 'removed') AS removed, count(*) FILTER (change = 'modified') AS modified FROM ({_ALL}))")
@@ -224,40 +238,73 @@ strong AS (SELECT src AS path FROM d_edge UNION SELECT dst FROM d_edge UNION SEL
 paint AS (SELECT path, CASE WHEN path IN (FROM strong) THEN 'boundary' ELSE 'minor' END AS change FROM (SELECT DISTINCT path FROM pkg) WHERE path IN (FROM strong) OR path IN (SELECT path FROM d_sym UNION SELECT path FROM d_inv WHERE change <> 'modified'))"""
 
 
-@query(_PAINT + " SELECT path, change FROM paint", 50, 0.10)
+@query(_PAINT + " SELECT path, change FROM paint")
 def dl_component_paint_py(s, pairs):
     return dl.painted_packages(s, pairs)
 
 
-@query(_PAINT + " SELECT src, kind, dst FROM edge WHERE sid = 'B' AND src <> dst AND (src IN (SELECT path FROM paint) OR dst IN (SELECT path FROM paint)) AND (src, dst) NOT IN (SELECT (src, dst) FROM d_edge WHERE change = 'removed')", 50, 0.10)
+@query(_PAINT + " SELECT src, kind, dst FROM edge WHERE sid = 'B' AND src <> dst AND (src IN (SELECT path FROM paint) OR dst IN (SELECT path FROM paint)) AND (src, dst) NOT IN (SELECT (src, dst) FROM d_edge WHERE change = 'removed')")
 def dl_context_edges(s, pairs):
     return dl.context_edges(s, pairs)
 
 
 @query("""SELECT 'new packages' AS label, split_part(path, '/', -1) AS item FROM d_pkg WHERE change = 'added' UNION ALL SELECT CASE axis WHEN 'surface' THEN 'surface +' ELSE 'schema +' END, split_part(path, '/', -1) || '.' || name FROM d_sym WHERE change = 'added'
+UNION ALL SELECT DISTINCT CASE WHEN dst LIKE 'service:%' THEN 'services' WHEN dst LIKE 'api:%' THEN 'endpoints' WHEN dst LIKE 'cap:%' THEN 'capabilities' ELSE 'config keys' END, dst FROM d_edge WHERE change = 'added' AND (dst LIKE 'service:%' OR dst LIKE 'api:%' OR dst LIKE 'cap:%' OR dst LIKE 'env:%' OR dst LIKE 'flag:%')
 UNION ALL SELECT DISTINCT 'invariant', iface FROM guard JOIN d_inv USING (path, name) WHERE change <> 'added'
 UNION ALL SELECT 'contracts', split_part(i.impl, '/', -1) || ' ⊨ ' || split_part(i.iface, '/', -1) || CASE WHEN c.covered THEN '' ELSE ' [UNCOVERED]' END FROM (SELECT iface, impl FROM impl GROUP BY ALL HAVING count(*) = 1 AND min(sid) = 'B') i JOIN cov c ON c.sid = 'B' AND c.iface = i.iface AND c.impl = i.impl""")
 def dl_triage(s, pairs):
     return dl.triage(s, pairs)
 
 
-@query(f"SELECT src, kind, dst, status FROM ({_WIT}) WHERE src LIKE '%NATION_2%' AND kind = 'call'")
+@query(f"""SELECT CASE WHEN (SELECT count(*) FROM d_edge) + (SELECT count(*) FROM d_pkg) + (SELECT count(*) FROM d_sym WHERE axis = 'surface') = 0 THEN 'FAST-TRACK' ELSE 'NEEDS ARCHITECTURE REVIEW' END AS verdict, (SELECT count(*) FROM ({_OFF})) AS breaches,
+(SELECT count(*) FROM (SELECT iface, impl FROM impl GROUP BY ALL HAVING count(*) = 1 AND min(sid) = 'B') i JOIN cov c ON c.sid = 'B' AND c.iface = i.iface AND c.impl = i.impl WHERE NOT covered) AS gaps,
+(SELECT coalesce(string_agg(DISTINCT x, ', ' ORDER BY x), '') FROM (SELECT split_part(iface, '/', -1) AS x FROM guard JOIN d_inv USING (path, name) WHERE change <> 'added')) AS touched""")
+def dl_fast_track(s, pairs):
+    return dl.triage_summary(s, pairs, dl.violations(s, pairs, *_allowed(s)))
+
+
+_NOTABLE = "(kind IN ('config', 'service', 'capability', 'protocol') OR contains(split_part(dst, '/', 1), '.') OR dst IN ('net', 'net/http', 'database/sql', 'os/exec', 'syscall', 'unsafe', 'plugin', 'crypto/tls', 'net/rpc', 'os', 'reflect'))"
+
+
+@query(f"SELECT sid, src, kind, dst FROM aedge WHERE {_NOTABLE}")
+def flt_notable_external(s, _):
+    return s.edge.where(P.notable(F.col("dst"), F.col("kind"))).select("snapshot_id", "src", "kind", "dst")
+
+
+@query(f"SELECT src, string_agg(DISTINCT dst, ',' ORDER BY dst) AS targets FROM d_edge WHERE change = 'added' AND {_NOTABLE} AND dst NOT IN (SELECT path FROM pkg WHERE sid = 'B') GROUP BY src")
+def dl_ext_boundaries(s, pairs):
+    return dl.external_boundaries(s, pairs)
+
+
+@query("SELECT DISTINCT dst FROM d_edge WHERE change = 'added' AND dst LIKE 'service:%'")
+def dl_synthetic_added(s, pairs):
+    return dl.synthetic_added(s, pairs, "service:")
+
+
+@query(f"SELECT src, kind, dst, status FROM ({_WIT}) WHERE src LIKE '%/p2%' AND kind = 'call'")
 def flt_witness_select(s, pairs):
-    return dl.select_witnesses(dl.witnesses(s, pairs), "NATION_2", "", "call").select("pair_id", "src", "kind", "dst", "status")
+    return dl.select_witnesses(dl.witnesses(s, pairs), "/p2", "", "call").select("pair_id", "src", "kind", "dst", "status")
 
 
 # Conformance
 
 
-@query("SELECT sid, p.path, coalesce(string_agg(DISTINCT dst, ',' ORDER BY dst), '') AS targets FROM pkg p LEFT JOIN dep d USING (sid) WHERE d.src = p.path OR d.src IS NULL GROUP BY ALL UNION ALL SELECT sid, path, '' FROM pkg WHERE (sid, path) NOT IN (SELECT (sid, src) FROM dep)", 49, 0.10)
+@query("SELECT sid, p.path, coalesce(string_agg(DISTINCT dst, ',' ORDER BY dst), '') AS targets FROM pkg p LEFT JOIN dep d USING (sid) WHERE d.src = p.path OR d.src IS NULL GROUP BY ALL UNION ALL SELECT sid, path, '' FROM pkg WHERE (sid, path) NOT IN (SELECT (sid, src) FROM dep)")
 def agg_contract_snapshot(s, _):
     return cf.allow_snapshot(s)
 
 
-@query("SELECT path, kind, name FROM d_sym WHERE axis = 'surface' AND change = 'added' AND path LIKE 'tpch/ASIA/%' AND name < 'm'")
+@query(_WIDER)
 def gt_surface(s, pairs):
-    fixed = s.package.where("path like 'tpch/ASIA/%'").select("path").distinct()
-    return cf.surface_widenings(s, pairs, fixed, s.symbol.where("axis = 'surface' and name >= 'm'").select("path", "name"))
+    return _widenings(s, pairs)
+
+
+@query("""SELECT path, false AS filled FROM (SELECT DISTINCT path FROM sym WHERE sid = 'A' AND axis = 'surface') WHERE path NOT LIKE '%/ASIA/%'
+UNION ALL SELECT path, true FROM (SELECT DISTINCT path FROM sym WHERE sid = 'A' AND axis = 'surface')""")
+def gt_policy_from_plan(s, _):
+    a = {k: getattr(s, k).where("snapshot_id = 'A'") for k in ("package", "symbol")}
+    plan = Snapshots.of(s.edge.sparkSession, package=a["package"].withColumn("hole", F.col("path").contains("/ASIA/")), symbol=a["symbol"])
+    return cf.fixed_from_plan(plan).withColumn("filled", F.lit(False)).unionByName(cf.fixed_from_plan(plan, True).withColumn("filled", F.lit(True)))
 
 
 _LAYERS = [("AFRICA", 0), ("AMERICA", 1), ("ASIA", 2), ("EUROPE", 3)]
@@ -309,11 +356,19 @@ def cs_smell(s, _):
     return cf.smells(_facts(s)).select("snapshot_id", "iface", "smell")
 
 
-@query(f""", {_SMELL}, j AS (SELECT coalesce(a.iface, b.iface) AS iface, a.iface IS NULL AS na, b.iface IS NULL AS nb, coalesce(a.impls, '') AS ia, coalesce(b.impls, '') AS ib, coalesce(a.cons, '') AS ca, coalesce(b.cons, '') AS cb, coalesce(a.smell, '') AS sa, coalesce(b.smell, '') AS sb
+@query(f""", {_SMELL} SELECT sid, iface, smell FROM sm WHERE smell <> '' OR (sid, iface) IN (SELECT (i.sid, i.iface) FROM impl i WHERE regexp_replace(impl, '\\.[^.]*$', '') <> regexp_replace(iface, '\\.[^.]*$', ''))
+OR (sid, iface) IN (SELECT (sid, iface) FROM guard WHERE name <> 'BUILDING' AND path <> regexp_replace(iface, '\\.[^.]*$', ''))""")
+def flt_interesting_contract(s, _):
+    return cf.interesting(_facts(s)).select("snapshot_id", "iface", "smell")
+
+
+@query(f""", {_SMELL}, j AS (SELECT coalesce(a.iface, b.iface) AS iface, a.iface IS NULL AS na, b.iface IS NULL AS nb, coalesce(a.impls, '') AS ia, coalesce(b.impls, '') AS ib, coalesce(a.cons, '') AS ca, coalesce(b.cons, '') AS cb, coalesce(a.smell, '') AS sa, coalesce(b.smell, '') AS sb,
+  array_to_string(list_sort(list_filter(string_split(coalesce(b.impls, ''), ','), lambda x: NOT list_contains(string_split(coalesce(a.impls, ''), ','), x))), ',') AS ip, array_to_string(list_sort(list_filter(string_split(coalesce(a.impls, ''), ','), lambda x: NOT list_contains(string_split(coalesce(b.impls, ''), ','), x))), ',') AS im,
+  array_to_string(list_sort(list_filter(string_split(coalesce(b.cons, ''), ','), lambda x: NOT list_contains(string_split(coalesce(a.cons, ''), ','), x))), ',') AS cp, array_to_string(list_sort(list_filter(string_split(coalesce(a.cons, ''), ','), lambda x: NOT list_contains(string_split(coalesce(b.cons, ''), ','), x))), ',') AS cm
   FROM (FROM sm WHERE sid = 'A') a FULL JOIN (FROM sm WHERE sid = 'B') b USING (iface))
-SELECT iface, CASE WHEN na THEN 'ADDED' WHEN nb THEN 'REMOVED' WHEN ia <> ib OR ca <> cb THEN 'MODIFIED' ELSE 'unchanged' END AS status, sa AS smell_a, sb AS smell_b, sb = 'STRANDED' AND sa <> 'STRANDED' AS newly_stranded, sa = 'STRANDED' AND sb <> 'STRANDED' AS unstranded FROM j WHERE na OR nb OR ia <> ib OR ca <> cb OR sa <> sb""")
+SELECT iface, CASE WHEN na THEN 'ADDED' WHEN nb THEN 'REMOVED' WHEN ia <> ib OR ca <> cb THEN 'MODIFIED' ELSE 'unchanged' END AS status, sa AS smell_a, sb AS smell_b, ip AS impl_added, im AS impl_removed, cp AS cons_added, cm AS cons_removed, sb = 'STRANDED' AND sa <> 'STRANDED' AS newly_stranded, sa = 'STRANDED' AND sb <> 'STRANDED' AS unstranded FROM j WHERE na OR nb OR ia <> ib OR ca <> cb OR sa <> sb""")
 def cs_delta(s, pairs):
-    return cf.interface_delta(_facts(s), pairs).drop("impl_added", "impl_removed", "cons_added", "cons_removed")
+    return cf.interface_delta(_facts(s), pairs)
 
 
 # Metrics and kernels
@@ -334,38 +389,43 @@ def agg_percentile_floor(s, _):
     return me.cutoffs(me.fan(s), "fan_in", 0.75)
 
 
-@_sparse("SELECT sid, src, dst FROM reach")
+@query("SELECT sid, src, dst FROM reach")
 def gr_closure(s, _):
     return gr.closure(flt.dep_pairs(s))
 
 
-@_sparse("SELECT sid, src AS path, (sid, src, dst) IN (SELECT (sid, src, dst) FROM dep) AS direct FROM reach WHERE dst = 'tpch/ASIA/NATION_2' AND src <> dst")
+@query("SELECT sid, src AS path, (sid, src, dst) IN (SELECT (sid, src, dst) FROM dep) AS direct FROM reach WHERE dst = 'tpch/ASIA/p2/u0' AND src <> dst")
 def gr_dependents(s, _):
-    return gr.dependents(flt.dep_pairs(s), "tpch/ASIA/NATION_2")
+    return gr.dependents(flt.dep_pairs(s), "tpch/ASIA/p2/u0")
 
 
-@_sparse("SELECT sid, dst AS path, count(*) AS blast_radius FROM reach WHERE src <> dst GROUP BY ALL")
+@query("SELECT sid, dst AS path, count(*) AS blast_radius FROM reach WHERE src <> dst GROUP BY ALL")
 def gr_all_blast(s, _):
     return gr.blast(gr.closure(flt.dep_pairs(s)))
 
 
-@_sparse("SELECT a.sid, a.src AS path, least(a.src, min(a.dst)) AS cycle FROM reach a JOIN reach b ON a.sid = b.sid AND a.src = b.dst AND a.dst = b.src WHERE a.src <> a.dst GROUP BY a.sid, a.src")
+@query("SELECT a.sid, a.src AS path, least(a.src, min(a.dst)) AS cycle FROM reach a JOIN reach b ON a.sid = b.sid AND a.src = b.dst AND a.dst = b.src WHERE a.src <> a.dst GROUP BY a.sid, a.src")
 def gr_scc(s, _):
     return gr.cycles(gr.closure(flt.dep_pairs(s)))
 
 
-@_sparse("""SELECT sid, path, min(hop)::INT AS hop FROM (SELECT sid, 'tpch/ASIA/NATION_2' AS path, 0 AS hop FROM dep UNION ALL SELECT sid, n, 1 FROM und WHERE m = 'tpch/ASIA/NATION_2' UNION ALL SELECT x.sid, y.n, 2 FROM und x JOIN und y ON x.sid = y.sid AND x.n = y.m WHERE x.m = 'tpch/ASIA/NATION_2') GROUP BY ALL""".replace("SELECT sid, path, min", ", und AS (SELECT sid, src AS m, dst AS n FROM dep UNION SELECT sid, dst, src FROM dep) SELECT sid, path, min", 1))
+@query("""SELECT sid, path, min(hop)::INT AS hop FROM (SELECT sid, 'tpch/ASIA/p2/u0' AS path, 0 AS hop FROM dep UNION ALL SELECT sid, n, 1 FROM und WHERE m = 'tpch/ASIA/p2/u0' UNION ALL SELECT x.sid, y.n, 2 FROM und x JOIN und y ON x.sid = y.sid AND x.n = y.m WHERE x.m = 'tpch/ASIA/p2/u0') GROUP BY ALL""".replace("SELECT sid, path, min", ", und AS (SELECT sid, src AS m, dst AS n FROM dep UNION SELECT sid, dst, src FROM dep) SELECT sid, path, min", 1))
 def gr_khop(s, _):
     d = flt.dep_pairs(s)
-    return gr.hops(d, d.select("snapshot_id").distinct().withColumn("path", F.lit("tpch/ASIA/NATION_2")), 2)
+    return gr.hops(d, d.select("snapshot_id").distinct().withColumn("path", F.lit("tpch/ASIA/p2/u0")), 2)
+
+
+@query("SELECT sid, src, kind, dst FROM aedge WHERE dst LIKE 'tpch/%' OR dst LIKE 'env:%' OR dst LIKE 'flag:%'")
+def gr_visible_subgraph(s, _):
+    return gr.induced(s.edge.select("snapshot_id", "src", "kind", "dst"), flt.drawn_nodes(s))
 
 
-@query("SELECT DISTINCT sid, split_part(src, '/', 2) AS src, kind, split_part(dst, '/', 2) AS dst FROM edge WHERE split_part(src, '/', 2) <> split_part(dst, '/', 2)")
+@query(f"SELECT DISTINCT sid, {_comp('src')} AS src, kind, {_comp('dst')} AS dst FROM edge WHERE {_comp('src')} <> {_comp('dst')}")
 def gr_rollup(s, _):
-    return cp.rolled(s, 1)
+    return cp.rolled(s, 2)
 
 
-@_sparse("""SELECT h.sid, h.path, fan_in, fan_out, round(CASE WHEN fan_in + fan_out > 0 THEN fan_out / (fan_in + fan_out) ELSE 0 END, 6) AS instability, surface, blast AS blast_radius, fan_in >= cf AND surface >= cs AND cf > 0 AS god, cyc IS NOT NULL AS in_cycle FROM h JOIN cut USING (sid)""".replace("SELECT h.sid", """, h AS (SELECT sid, path, (SELECT count(*) FROM dep WHERE dep.sid = p.sid AND dst = path) AS fan_in, (SELECT count(*) FROM dep WHERE dep.sid = p.sid AND src = path) AS fan_out, (SELECT count(*) FROM sym WHERE sym.sid = p.sid AND sym.path = p.path AND axis = 'surface') AS surface,
+@query("""SELECT h.sid, h.path, fan_in, fan_out, round(CASE WHEN fan_in + fan_out > 0 THEN fan_out / (fan_in + fan_out) ELSE 0 END, 6) AS instability, surface, blast AS blast_radius, fan_in >= cf AND surface >= cs AND cf > 0 AS god, cyc IS NOT NULL AS in_cycle FROM h JOIN cut USING (sid)""".replace("SELECT h.sid", """, h AS (SELECT sid, path, (SELECT count(*) FROM dep WHERE dep.sid = p.sid AND dst = path) AS fan_in, (SELECT count(*) FROM dep WHERE dep.sid = p.sid AND src = path) AS fan_out, (SELECT count(*) FROM sym WHERE sym.sid = p.sid AND sym.path = p.path AND axis = 'surface') AS surface,
  (SELECT count(*) FROM reach r WHERE r.sid = p.sid AND r.dst = p.path AND r.src <> r.dst) AS blast, (SELECT min(a.dst) FROM reach a JOIN reach b ON a.sid = b.sid AND a.src = b.dst AND a.dst = b.src WHERE a.sid = p.sid AND a.src = p.path AND a.src <> a.dst) AS cyc FROM pkg p),
 cut AS (SELECT sid, list_sort(list(fan_in))[CAST(floor(0.75 * (count(*) - 1)) AS INT) + 1] AS cf, list_sort(list(surface))[CAST(floor(0.75 * (count(*) - 1)) AS INT) + 1] AS cs FROM h GROUP BY sid) SELECT h.sid""", 1))
 def he_report(s, _):
@@ -375,30 +435,35 @@ def he_report(s, _):
 # Components
 
 
-@query("SELECT sid, split_part(path, '/', 2) AS comp, string_agg(substr(path, 6), ',' ORDER BY path) AS members FROM pkg GROUP BY ALL")
+@query(f"SELECT sid, {_comp('path')} AS comp, string_agg(substr(path, 6), ',' ORDER BY path) AS members FROM pkg GROUP BY ALL")
 def agg_component_members(s, _):
-    return cp.members(s, 1)
+    return cp.members(s, 2)
 
 
-_CE = """ce AS (SELECT DISTINCT sid, split_part(src, '/', 2) AS src, kind, split_part(dst, '/', 2) AS dst FROM edge WHERE split_part(src, '/', 2) <> split_part(dst, '/', 2)),
+@query(f"SELECT sid, comp, array_to_string(m[:2], ', ') || CASE WHEN len(m) > 2 THEN ', …(+' || (len(m) - 2) || ' more)' ELSE '' END AS members FROM (SELECT sid, {_comp('path')} AS comp, list(substr(path, 6) ORDER BY path) AS m FROM pkg GROUP BY ALL)")
+def lim_cap(s, _):
+    return cp.members(s, 2).select("snapshot_id", "comp", P.capped(F.col("members"), 2).alias("members"))
+
+
+_CE = f"""ce AS (SELECT DISTINCT sid, {_comp('src')} AS src, kind, {_comp('dst')} AS dst FROM edge WHERE {_comp('src')} <> {_comp('dst')}),
 cc AS (SELECT src, kind, dst, CASE WHEN count(*) = 2 THEN '' WHEN min(sid) = 'A' THEN 'removed' ELSE 'added' END AS change FROM ce GROUP BY ALL)"""
 
 
-@_sparse(f", {_CE} SELECT src, dst, change, string_agg(kind, ', ' ORDER BY kind) AS kinds FROM cc GROUP BY ALL")
+@query(f", {_CE} SELECT src, dst, change, string_agg(kind, ', ' ORDER BY kind) AS kinds FROM cc GROUP BY ALL")
 def agg_component_edges(s, pairs):
-    return cp.edge_changes(s, pairs, 1)
+    return cp.edge_changes(s, pairs, 2)
 
 
 @query(f""", {_CE}, cr AS (SELECT DISTINCT src, dst FROM cc UNION SELECT r.src, c.dst FROM cr r JOIN (SELECT DISTINCT src, dst FROM cc) c ON r.dst = c.src),
 dc AS (SELECT iface, impl FROM impl GROUP BY ALL HAVING count(*) = 1), touched AS (SELECT src AS path FROM d_edge UNION SELECT dst FROM d_edge UNION SELECT regexp_replace(iface, '\\.[^.]*$', '') FROM dc UNION SELECT regexp_replace(impl, '\\.[^.]*$', '') FROM dc UNION SELECT path FROM d_pkg WHERE change = 'added'),
 small AS (SELECT path FROM d_sym UNION SELECT path FROM d_inv)
-SELECT split_part(path, '/', 2) AS comp, string_agg(DISTINCT substr(path, 6), ',' ORDER BY substr(path, 6)) AS members, split_part(path, '/', 2) IN (SELECT a.src FROM cr a JOIN cr b ON a.src = b.dst AND a.dst = b.src WHERE a.src <> a.dst) AS in_cycle,
-CASE WHEN bool_or(path IN (FROM touched)) THEN 'boundary' WHEN bool_or(path IN (FROM small)) THEN 'minor' ELSE '' END AS change FROM pkg GROUP BY 1""", 50, 0.10)
+SELECT {_comp('path')} AS comp, string_agg(DISTINCT substr(path, 6), ',' ORDER BY substr(path, 6)) AS members, {_comp('path')} IN (SELECT a.src FROM cr a JOIN cr b ON a.src = b.dst AND a.dst = b.src WHERE a.src <> a.dst) AS in_cycle,
+CASE WHEN bool_or(path IN (FROM touched)) THEN 'boundary' WHEN bool_or(path IN (FROM small)) THEN 'minor' ELSE '' END AS change FROM pkg GROUP BY 1""")
 def dl_components(s, pairs):
-    return cp.painted(s, pairs, 1)
+    return cp.painted(s, pairs, 2)
 
 
-# Plans: snapshot A of a sparser graph, with its imports allowed, is the plan for the others
+# Plans: snapshot A, with its imports allowed and the surface of its Asian boxes promised, is the plan for the others
 
 
 def _plan(s: Snapshots) -> Snapshots:
@@ -411,32 +476,60 @@ def _plan(s: Snapshots) -> Snapshots:
     return Snapshots.of(spark, **a, allow=allow)
 
 
-_UNMET = """want AS (SELECT path, name FROM sym WHERE sid = 'A' AND axis = 'surface' AND path LIKE '%/ASIA/%'),
-miss AS (SELECT DISTINCT s.sid, path FROM (SELECT DISTINCT sid FROM pkg) s, want WHERE (s.sid, path, name) NOT IN (SELECT (sid, path, name) FROM sym WHERE axis = 'surface')),
-nh AS (SELECT sid, path, count(*) AS n FROM sym WHERE axis = 'surface' GROUP BY ALL), nw AS (SELECT path, count(*) AS n FROM sym WHERE axis = 'surface' AND sid = 'A' AND path LIKE '%/ASIA/%' GROUP BY ALL),
-b1 AS (SELECT s.sid, p.path, (s.sid, p.path) IN (SELECT (sid, path) FROM pkg) AS here, (s.sid, p.path) IN (SELECT (sid, path) FROM miss) AS mis, coalesce(nh.n, 0) AS have, coalesce(nw.n, 0) AS wnt FROM (SELECT DISTINCT sid FROM pkg) s CROSS JOIN (SELECT path FROM pkg WHERE sid = 'A') p LEFT JOIN nh ON nh.sid = s.sid AND nh.path = p.path LEFT JOIN nw ON nw.path = p.path),
+_UNMET = """ids AS (SELECT DISTINCT sid FROM PKG),
+want AS (SELECT path, name FROM SYM WHERE sid = 'A' AND axis = 'surface' AND path LIKE '%/ASIA/%'),
+miss AS (SELECT DISTINCT i.sid, path FROM ids i, want w WHERE NOT EXISTS (FROM SYM h WHERE h.sid = i.sid AND h.path = w.path AND h.name = w.name AND h.axis = 'surface')),
+nh AS (SELECT sid, path, count(*) AS n FROM SYM WHERE axis = 'surface' GROUP BY ALL), nw AS (SELECT path, count(*) AS n FROM want GROUP BY ALL),
+b1 AS (SELECT i.sid, p.path, q.path IS NOT NULL AS here, m.path IS NOT NULL AS mis, coalesce(nh.n, 0) AS have, coalesce(nw.n, 0) AS wnt FROM ids i CROSS JOIN (SELECT path FROM PKG WHERE sid = 'A') p
+  LEFT JOIN PKG q ON q.sid = i.sid AND q.path = p.path LEFT JOIN miss m ON m.sid = i.sid AND m.path = p.path LEFT JOIN nh ON nh.sid = i.sid AND nh.path = p.path LEFT JOIN nw ON nw.path = p.path),
 unmet AS (SELECT sid, 'C1' AS class, path AS package, CASE WHEN NOT here THEN 'hole declared, package absent in actual' WHEN have = 0 THEN 'hole declared, package exists but has no interior' ELSE format('hole filled but surface mismatch: declared {}, actual {}', wnt, have) END AS detail FROM b1 WHERE path LIKE '%/ASIA/%' AND (NOT here OR have = 0 OR mis)
 UNION ALL SELECT sid, 'C2', path, 'declared box absent from actual' FROM b1 WHERE path NOT LIKE '%/ASIA/%' AND NOT here
-UNION ALL SELECT s.sid, 'C3', e.src, 'declared arrow ' || e.src || ' -> ' || e.dst || ' (' || e.kind || ') absent' FROM (SELECT DISTINCT sid FROM pkg) s, (FROM edge WHERE sid = 'A') e WHERE (s.sid, e.src, e.kind, e.dst) NOT IN (SELECT (sid, src, kind, dst) FROM edge)
-UNION ALL SELECT sid, 'C4', src, 'arrow ' || src || ' -> ' || dst || ' (import) not in Allow' FROM edge e WHERE kind = 'import' AND src IN (SELECT path FROM pkg WHERE sid = 'A') AND dst IN (SELECT path FROM pkg WHERE sid = 'A') AND src IN (SELECT src FROM edge WHERE sid = 'A' AND kind = 'import') AND (src, dst) NOT IN (SELECT (src, dst) FROM edge WHERE sid = 'A' AND kind = 'import'))"""
+UNION ALL SELECT i.sid, 'C3', e.src, 'declared arrow ' || e.src || ' -> ' || e.dst || ' (' || e.kind || ') absent' FROM ids i, (FROM EDGE WHERE sid = 'A') e WHERE NOT EXISTS (FROM EDGE x WHERE x.sid = i.sid AND x.src = e.src AND x.kind = e.kind AND x.dst = e.dst)
+UNION ALL SELECT sid, 'C4', src, 'arrow ' || src || ' -> ' || dst || ' (import) not in Allow' FROM EDGE e WHERE kind = 'import' AND src IN (SELECT path FROM PKG WHERE sid = 'A') AND dst IN (SELECT path FROM PKG WHERE sid = 'A') AND src IN (SELECT src FROM EDGE WHERE sid = 'A' AND kind = 'import') AND NOT EXISTS (FROM EDGE x WHERE x.sid = 'A' AND x.kind = 'import' AND x.src = e.src AND x.dst = e.dst))"""
+_UNMET, _UNMET3 = (_UNMET.replace("PKG", p).replace("EDGE", e).replace("SYM", y) for p, e, y in (("apkg", "aedge", "sym"), ("p3", "e3", "s3")))
 
 
-@query(f", {_UNMET} SELECT sid, class, package, detail FROM unmet", 50, 0.10)
+@query(f", {_UNMET} SELECT sid, class, package, detail FROM unmet")
 def pl_dist(s, _):
     return pd.unmet(_plan(s), s)
 
 
-@query(f", {_UNMET} SELECT (SELECT count(*) FROM unmet WHERE sid = 'A') AS before, (SELECT count(*) FROM unmet WHERE sid = 'B') AS after, (SELECT count(*) FROM unmet WHERE sid = 'B') <= (SELECT count(*) FROM unmet WHERE sid = 'A') AS ok, (SELECT count(*) FROM unmet WHERE sid = 'B' AND class = 'C4') > (SELECT count(*) FROM unmet WHERE sid = 'A' AND class = 'C4') AS more_disallowed", 50, 0.10)
+@query(f", {_UNMET} SELECT (SELECT count(*) FROM unmet WHERE sid = 'A') AS before, (SELECT count(*) FROM unmet WHERE sid = 'B') AS after, (SELECT count(*) FROM unmet WHERE sid = 'B') <= (SELECT count(*) FROM unmet WHERE sid = 'A') AS ok, (SELECT count(*) FROM unmet WHERE sid = 'B' AND class = 'C4') > (SELECT count(*) FROM unmet WHERE sid = 'A' AND class = 'C4') AS more_disallowed")
 def pl_ratchet(s, pairs):
     return pd.ratchet(_plan(s), s, pairs)
 
 
-@query(f", {_UNMET} SELECT CASE WHEN (SELECT count(*) FROM unmet WHERE sid = 'B') > (SELECT count(*) FROM unmet WHERE sid = 'A') THEN 'CONFLICTS' ELSE '?' END AS class", 50, 0.10)
-def pl_classify(s, pairs):
-    return pd.classify(_plan(s), s, pairs)
+def _three(s: Snapshots) -> Snapshots:
+    """A, B, and C: A with the calls that B has between A's boxes."""
+    as_c = lambda df: df.withColumn("snapshot_id", F.lit("C"))
+    a = {k: getattr(s, k).where("snapshot_id = 'A'") for k in ("snapshot", "package", "symbol", "edge")}
+    boxes, calls = a["package"].where("internal").select("path"), s.edge.where("snapshot_id = 'B' and kind = 'call'")
+    for end in ("src", "dst"):
+        calls = calls.join(boxes.withColumnRenamed("path", end), end, "left_semi")
+    more = {k: as_c(df) for k, df in a.items()}
+    more["edge"] = as_c(a["edge"].unionByName(calls)).distinct()
+    return Snapshots.of(s.edge.sparkSession, **{k: getattr(s, k).unionByName(more[k]) for k in more})
+
+
+_THREE = """more AS (SELECT DISTINCT src, kind, dst FROM edge WHERE sid = 'B' AND kind = 'call' AND src IN (SELECT path FROM pkg WHERE sid = 'A') AND dst IN (SELECT path FROM pkg WHERE sid = 'A')),
+e3 AS (FROM aedge UNION ALL SELECT 'C', src, kind, dst FROM (SELECT src, kind, dst FROM aedge WHERE sid = 'A' UNION FROM more)),
+p3 AS (SELECT sid, path FROM apkg UNION ALL SELECT 'C', path FROM apkg WHERE sid = 'A'),
+s3 AS (FROM sym UNION ALL SELECT 'C', path, axis, kind, name FROM sym WHERE sid = 'A')"""
 
 
-@query(f", {_UNMET} SELECT sid, path FROM miss", 50, 0.10)
+@query(f""", {_THREE}, {_UNMET3}, pr AS (SELECT * FROM (VALUES ('A', 'B'), ('A', 'A'), ('B', 'A'), ('A', 'C')) v(a, b)),
+n AS (SELECT sid, (SELECT count(*) FROM unmet u WHERE u.sid = i.sid) AS t, (SELECT count(*) FROM unmet u WHERE u.sid = i.sid AND class = 'C4') AS d FROM ids i),
+fresh AS (SELECT a, b, e.src, e.dst, x.src IS NOT NULL AS planned FROM pr JOIN e3 e ON e.sid = b LEFT JOIN e3 x ON x.sid = 'A' AND x.src = e.src AND x.kind = e.kind AND x.dst = e.dst WHERE NOT EXISTS (FROM e3 y WHERE y.sid = a AND y.src = e.src AND y.kind = e.kind AND y.dst = e.dst)),
+arrows AS (SELECT a, b, bool_or(planned) AS planned, bool_or(NOT planned AND (src IN (SELECT path FROM p3 WHERE sid = 'A') OR dst IN (SELECT path FROM p3 WHERE sid = 'A'))) AS beyond FROM fresh GROUP BY ALL),
+boxes AS (SELECT DISTINCT a, b FROM pr JOIN p3 q ON q.sid = b WHERE NOT EXISTS (FROM p3 y WHERE y.sid = a AND y.path = q.path) AND EXISTS (FROM p3 y WHERE y.sid = 'A' AND y.path = q.path))
+SELECT pr.a || '..' || pr.b AS pair, CASE WHEN nb.d > na.d OR nb.t > na.t THEN 'CONFLICTS' WHEN beyond THEN 'EXCEEDS' WHEN planned OR boxes.a IS NOT NULL OR nb.t < na.t THEN 'REALIZES' ELSE 'UNRELATED' END AS class
+FROM pr JOIN n na ON na.sid = pr.a JOIN n nb ON nb.sid = pr.b LEFT JOIN arrows ON arrows.a = pr.a AND arrows.b = pr.b LEFT JOIN boxes ON boxes.a = pr.a AND boxes.b = pr.b""")
+def pl_classify(s, _):
+    pairs = s.edge.sparkSession.createDataFrame([(f"{a}..{b}", a, b) for a, b in ("AB", "AA", "BA", "AC")], "pair_id string, a string, b string")
+    return pd.classify(_plan(s), _three(s), pairs).withColumnRenamed("pair_id", "pair")
+
+
+@query(f", {_UNMET} SELECT sid, path FROM miss")
 def pl_surface_match(s, _):
     return pd.unmatched_surface(_plan(s), s)
 
@@ -449,10 +542,10 @@ def _years(s):
 
 
 _YEARS = """p AS (SELECT a.sid AS a, b.sid AS b, a.sid || '..' || b.sid AS pair FROM (SELECT DISTINCT sid FROM pkg) a JOIN (SELECT DISTINCT sid FROM pkg) b ON CAST(b.sid AS INT) = CAST(a.sid AS INT) + 1),
-ye AS (SELECT pair, count(*) AS n FROM (SELECT pair, src, kind, dst FROM p JOIN edge ON sid IN (a, b) GROUP BY ALL HAVING count(*) = 1) GROUP BY pair),
-yp AS (SELECT pair, count(*) AS n FROM (SELECT pair, path FROM p JOIN pkg ON sid IN (a, b) GROUP BY ALL HAVING count(*) = 1) GROUP BY pair),
+ye AS (SELECT pair, count(*) AS n FROM (SELECT pair, src, kind, dst FROM p JOIN aedge ON sid IN (a, b) GROUP BY ALL HAVING count(*) = 1) GROUP BY pair),
+yp AS (SELECT pair, count(*) AS n FROM (SELECT pair, path FROM p JOIN apkg ON sid IN (a, b) GROUP BY ALL HAVING count(*) = 1) GROUP BY pair),
 ys AS (SELECT pair, count(*) AS n FROM (SELECT pair, path, kind, name FROM p JOIN sym ON sid IN (a, b) WHERE axis = 'surface' AND (pair, path) IN (SELECT (pair, path) FROM p JOIN pkg ON sid IN (a, b) GROUP BY pair, path HAVING count(*) = 2) GROUP BY ALL HAVING count(*) = 1) GROUP BY pair),
-hist AS (SELECT p.pair, coalesce(yp.n, 0) AS d_boxes, coalesce(ye.n, 0) AS d_arrows, coalesce(ys.n, 0) AS d_surface FROM p LEFT JOIN ye USING (pair) LEFT JOIN yp USING (pair) LEFT JOIN ys USING (pair))"""
+hist AS (SELECT p.pair, p.a, p.b, coalesce(yp.n, 0) AS d_boxes, coalesce(ye.n, 0) AS d_arrows, coalesce(ys.n, 0) AS d_surface FROM p LEFT JOIN ye USING (pair) LEFT JOIN yp USING (pair) LEFT JOIN ys USING (pair))"""
 
 
 @_yearly(f", {_YEARS} SELECT pair, a, b FROM p")
@@ -465,9 +558,20 @@ def hs_history(s, _):
     return hs.sizes(s, _years(s)).withColumnRenamed("pair_id", "pair")
 
 
-@_yearly(f", {_YEARS} SELECT count(*) AS n, count(*) FILTER (d_boxes + d_arrows + d_surface = 0) AS n_empty, CAST(trunc(median(t)) AS INT) AS median_text, max(t) AS max_text, CAST(trunc(median(i)) AS INT) AS median_items, round(median(t / i), 4) AS median_compression FROM (SELECT *, d_boxes + d_arrows + d_surface AS i, d_arrows * 10 AS t FROM hist)")
+# Each year against itself is a change that moves nothing; text lines and errors are made of the years.
+@_yearly(f""", {_YEARS}, every AS (SELECT a, b, d_boxes + d_arrows + d_surface AS items, d_boxes + d_arrows + d_surface = 0 AS empty FROM hist UNION ALL SELECT DISTINCT sid, sid, 0, true FROM pkg),
+r AS (SELECT *, items // 3 + CAST(b AS INT) % 100 AS lines, CAST(a AS INT) % 4 = 3 OR CAST(b AS INT) % 5 = 0 AS unclean FROM every)
+SELECT count(*) AS n, count(*) FILTER (empty) AS n_empty, count(*) FILTER (unclean) AS n_unclean, CAST(trunc(median(lines) FILTER (empty)) AS BIGINT) AS empty_median_text, CAST(max(lines) FILTER (empty) AS BIGINT) AS empty_max_text,
+CAST(trunc(median(lines) FILTER (NOT empty)) AS BIGINT) AS median_text, CAST(trunc(median(items) FILTER (NOT empty)) AS BIGINT) AS median_items, CAST(trunc(median(lines / items) FILTER (NOT empty AND items > 0)) AS BIGINT) AS median_compression FROM r""")
 def agg_median(s, _):
-    return hs.summary(hs.sizes(s, _years(s)).withColumn("text_lines", F.col("d_arrows") * 10))
+    same = s.snapshot.select(F.concat_ws("..", "snapshot_id", "snapshot_id").alias("pair_id"), F.col("snapshot_id").alias("a"), F.col("snapshot_id").alias("b"))
+    pairs = _years(s).unionByName(same)
+    a, b = F.col("a").cast("int"), F.col("b").cast("int")
+    rows = hs.sizes(s, pairs).join(pairs, "pair_id")
+    return hs.summary(rows.select("empty", "d_items", (F.floor(F.col("d_items") / 3) + b % 100).alias("text_lines"), (a % 4 == 3).cast("int").alias("err_a"), (b % 5 == 0).cast("int").alias("err_b")))
+
+
+_STAT = "SELECT (year(o_orderdate) - 1) || '..' || year(o_orderdate) AS pair, sum(o_orderkey % 100)::BIGINT AS ins, sum(o_custkey % 10)::BIGINT AS dels, count(*) AS files FROM orders GROUP BY 1"
 
 
 # Queries over the other tables
@@ -479,38 +583,60 @@ def _add(name, f, sql=None):
         ORACLE[name] = sql
 
 
+def hs_report(spark, d):
+    """Rows of the history's report; the first year was not extracted."""
+    s = trade(spark, d, True)
+    years = s.snapshot.select("snapshot_id", F.col("snapshot_id").cast("int").alias("y"))
+    subject = F.when(F.col("y") % 3 == 0, "feat(x): a").when(F.col("y") % 3 == 1, "Fix: b").otherwise("merge c")
+    commits = years.select("snapshot_id", F.concat("snapshot_id", F.lit("-12-31")).alias("date"), subject.alias("subject"))
+    errors = years.where("y <> 1995").select("snapshot_id", (F.col("y") % 4 == 3).cast("int").alias("n_errors"))
+    o = spark.read.parquet(f"{d}/orders.parquet").withColumn("y", F.year("o_orderdate"))
+    text = F.concat_ws("\t", (F.col("o_orderkey") % 100).cast("string"), (F.col("o_custkey") % 10).cast("string"), F.lit("a.go"))
+    text = hs.numstat(o.select(F.concat_ws("..", (F.col("y") - 1).cast("string"), F.col("y").cast("string")).alias("pair_id"), text.alias("text")))
+    return hs.report(_years(s), hs.sizes(s, _years(s)), text, commits, errors).drop("subject", "go_files", "go_insertions", "go_deletions", "go_lines")
+
+
+_STAT = "SELECT (year(o_orderdate) - 1) || '..' || year(o_orderdate) AS pair, sum(o_orderkey % 100)::BIGINT AS ins, sum(o_custkey % 10)::BIGINT AS dels, count(*) AS files FROM orders GROUP BY 1"
+_add("hs_report", hs_report, trade_sql(True) + f""", {_YEARS} SELECT b AS sha, b || '-12-31' AS date, CASE CAST(b AS INT) % 3 WHEN 0 THEN 'feat' WHEN 1 THEN 'fix' ELSE 'other' END AS stratum, files, ins AS insertions, dels AS deletions, ins + dels AS text_lines, CAST(CAST(a AS INT) % 4 = 3 AS INT) AS err_a, CAST(CAST(b AS INT) % 4 = 3 AS INT) AS err_b, d_boxes, d_arrows, d_surface, d_boxes + d_arrows + d_surface AS d_items, d_boxes + d_arrows + d_surface = 0 AS empty
+FROM hist JOIN ({_STAT}) t USING (pair) WHERE a <> '1995'""")
+
+
 def _events(spark, d):
     return spark.read.parquet(f"{d}/events.parquet")
 
 
-_EV = "WITH pairs AS (SELECT event_type AS src, lead(event_type) OVER w AS dst, value AS a, lead(value) OVER w AS b FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), con AS (SELECT DISTINCT src, dst FROM pairs WHERE a >= 150 AND b >= 150), call AS (SELECT DISTINCT src, dst FROM pairs WHERE a >= 180 AND b >= 180), "
+# An event is a user's type in one of six slots; what a user does next is constructed, or called, by what the user did before.
+_EV = """WITH named AS (SELECT user_id, ts, event_id, event_type || ':' || user_id || ':' || (event_id % 6) AS event FROM events),
+pairs AS (SELECT event AS src, lead(event) OVER w AS dst, event_id % 2 = 0 AS made FROM named WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+con AS (SELECT DISTINCT src, dst FROM pairs WHERE dst IS NOT NULL AND made), call AS (SELECT DISTINCT src, dst FROM pairs WHERE dst IS NOT NULL AND NOT made), """
 
 
 def _flow(spark, d):
     from pyspark.sql import Window
 
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    p = _events(spark, d).select(F.lit("E").alias("snapshot_id"), F.col("event_type").alias("src"), F.lead("event_type").over(w).alias("dst"), F.col("value").alias("a"), F.lead("value").over(w).alias("b"))
-    made = p.where("a >= 150 and b >= 150").select("snapshot_id", F.concat(F.lit("fn:"), "src").alias("fn"), F.col("dst").alias("event")).distinct()
-    calls = p.where("a >= 180 and b >= 180").select("snapshot_id", F.concat(F.lit("fn:"), "src").alias("src"), F.concat(F.lit("fn:"), "dst").alias("dst")).distinct()
-    events = _events(spark, d).select(F.lit("E").alias("snapshot_id"), F.col("event_type").alias("event")).distinct()
+    named = _events(spark, d).select(F.lit("E").alias("snapshot_id"), "user_id", "ts", "event_id", F.concat_ws(":", "event_type", "user_id", F.col("event_id") % 6).alias("event"))
+    p = named.select("snapshot_id", F.col("event").alias("src"), F.lead("event").over(w).alias("dst"), (F.col("event_id") % 2 == 0).alias("made")).where("dst is not null")
+    made = p.where("made").select("snapshot_id", F.concat(F.lit("fn:"), "src").alias("fn"), F.col("dst").alias("event")).distinct()
+    calls = p.where("not made").select("snapshot_id", F.concat(F.lit("fn:"), "src").alias("src"), F.concat(F.lit("fn:"), "dst").alias("dst")).distinct()
+    events = named.select("snapshot_id", "event").distinct()
     return gr.eventflow(events.withColumn("fn", F.concat(F.lit("fn:"), "event")), calls, made), events
 
 
-_FLOW = _EV.replace("WITH pairs", "WITH RECURSIVE pairs") + "cr AS (SELECT src, dst FROM call UNION SELECT r.src, c.dst FROM cr r JOIN call c ON r.dst = c.src), flow AS (SELECT src, dst, 'direct' AS mode FROM con UNION ALL SELECT DISTINCT r.src, c.dst, 'indirect' FROM cr r JOIN con c ON r.dst = c.src WHERE (r.src, c.dst) NOT IN (SELECT (src, dst) FROM con))"
+_FLOW = _EV.replace("WITH named", "WITH RECURSIVE named", 1) + "cr AS (SELECT src, dst FROM call UNION SELECT r.src, c.dst FROM cr r JOIN call c ON r.dst = c.src), flow AS (SELECT src, dst, 'direct' AS mode FROM con UNION ALL SELECT DISTINCT r.src, c.dst, 'indirect' FROM cr r JOIN con c ON r.dst = c.src WHERE (r.src, c.dst) NOT IN (SELECT (src, dst) FROM con))"
 _add("gr_eventflow", lambda spark, d: _flow(spark, d)[0].drop("snapshot_id"), _FLOW + " SELECT src, dst, mode FROM flow")
-_add("gr_event_role", lambda spark, d: gr.event_roles(*_flow(spark, d)).drop("snapshot_id"), _FLOW + """, r AS (SELECT event_type AS event, (SELECT count(*) FROM flow WHERE dst = event_type) AS in_degree, (SELECT count(*) FROM flow WHERE src = event_type) AS out_degree, (SELECT count(*) FROM flow WHERE dst = event_type AND mode = 'direct') AS n FROM (SELECT DISTINCT event_type FROM events))
+_add("gr_event_role", lambda spark, d: gr.event_roles(*_flow(spark, d)).drop("snapshot_id"), _FLOW + """, r AS (SELECT event, (SELECT count(*) FROM flow WHERE dst = event) AS in_degree, (SELECT count(*) FROM flow WHERE src = event) AS out_degree, (SELECT count(*) FROM flow WHERE dst = event AND mode = 'direct') AS n FROM (SELECT DISTINCT event FROM named))
 SELECT event, in_degree, out_degree, CASE WHEN in_degree = 0 THEN 'entry' WHEN out_degree = 0 THEN 'terminal' WHEN n = 0 THEN 'indirect-only' ELSE '' END AS role FROM r""")
 
 
 def jn_interval(spark, d):
-    """Function spans (an order's line numbers) that overlap changed ranges (by part size) of the same supplier nation's orders."""
-    spans = spark.read.parquet(f"{d}/lineitem.parquet").groupBy(F.col("l_orderkey").alias("fn")).agg((F.min("l_linenumber") * 10).alias("lo"), (F.max("l_linenumber") * 10).alias("hi")).withColumn("file", F.col("fn") % 50)
-    ranges = spark.read.parquet(f"{d}/part.parquet").where("p_partkey <= 100").select((F.col("p_partkey") % 50).alias("file"), F.col("p_size").alias("lo"), (F.col("p_size") + 3).alias("hi"))
+    """Function spans (an order's line numbers) that overlap changed ranges (by part size) of the same file (a remainder of the key)."""
+    spans = spark.read.parquet(f"{d}/lineitem.parquet").groupBy(F.col("l_orderkey").alias("fn")).agg((F.min("l_linenumber") * 10).alias("lo"), (F.max("l_linenumber") * 10).alias("hi")).withColumn("file", F.col("fn") % 997)
+    ranges = spark.read.parquet(f"{d}/part.parquet").select((F.col("p_partkey") % 997).alias("file"), F.col("p_size").alias("lo"), (F.col("p_size") + 3).alias("hi"))
     return flt.touched_spans(spans, ranges).select("fn", "file", "lo", "hi")
 
 
-_add("jn_interval", jn_interval, "WITH s AS (SELECT l_orderkey AS fn, min(l_linenumber) * 10 AS lo, max(l_linenumber) * 10 AS hi, l_orderkey % 50 AS file FROM lineitem GROUP BY l_orderkey) SELECT DISTINCT fn, file, s.lo, s.hi FROM s JOIN (SELECT p_partkey % 50 AS f, p_size AS lo, p_size + 3 AS hi FROM part WHERE p_partkey <= 100) r ON f = file AND s.lo <= r.hi AND r.lo <= s.hi")
+_add("jn_interval", jn_interval, "WITH s AS (SELECT l_orderkey AS fn, min(l_linenumber) * 10 AS lo, max(l_linenumber) * 10 AS hi, l_orderkey % 997 AS file FROM lineitem GROUP BY l_orderkey) SELECT DISTINCT fn, file, s.lo, s.hi FROM s JOIN (SELECT p_partkey % 997 AS f, p_size AS lo, p_size + 3 AS hi FROM part) r ON f = file AND s.lo <= r.hi AND r.lo <= s.hi")
 _add("win_last_wins", lambda spark, d: flt.last_wins(spark.read.parquet(f"{d}/orders.parquet").select("o_custkey", "o_orderkey", "o_orderstatus"), ["o_custkey"], "o_orderkey"), "SELECT o_custkey, max(o_orderkey) AS o_orderkey, arg_max(o_orderstatus, o_orderkey) AS o_orderstatus FROM orders GROUP BY o_custkey")
 
 
@@ -520,9 +646,6 @@ def prj_stratum(spark, d):
 
 
 _add("agg_strata", prj_stratum, "SELECT ['feat','fix','refactor','test','hardening','perf','docs','chore','build','other'][o_orderkey % 10 + 1] AS stratum, count(*) AS n, round(avg((o_custkey % 2 = 0)::INT), 6) AS empty_share FROM orders GROUP BY 1")
-_add("agg_collect_witness", lambda spark, d: base(spark, d).groupBy("src", "kind", "dst").agg(P.joined("witness").alias("witnesses")), trade_sql() + "SELECT src, kind, dst, string_agg(DISTINCT witness, ',' ORDER BY witness) AS witnesses FROM wit GROUP BY ALL")
-
-
 def ev_outcomes(spark, d):
     """Recorded outcomes by test name: the last event of a name counts."""
     ev = spark.read.parquet(f"{d}/events.parquet").select(F.col("event_id").alias("seq"), F.when(F.col("event_type") == "purchase", "fail").otherwise("pass").alias("Action"), (F.col("user_id") % 50).cast("string").alias("Test"))

@@ -48,11 +48,29 @@ class Snapshots:
         """Tables that are not given are empty."""
         return cls(**{f.name: tables[f.name] if f.name in tables else spark.createDataFrame([], TABLES[f.name]) for f in fields(cls)})
 
-    def write(self, at: str) -> None:
-        """A Parquet store, partitioned by snapshot."""
-        for f in fields(self):
-            getattr(self, f.name).write.partitionBy("snapshot_id").mode("append").parquet(f"{at}/{f.name}")
+    def write(self, at: str, again: bool = False) -> None:
+        """A Parquet store, partitioned by snapshot.  Snapshots that the store has are left as they are, or written
+        anew if ``again``: writing twice never doubles a snapshot."""
+        tables = {f.name: getattr(self, f.name) for f in fields(self)}
+        held = None if again else stored(self.snapshot.sparkSession, at)
+        if held is not None:
+            tables = {k: t.join(held, "snapshot_id", "left_anti").select(*t.columns) for k, t in tables.items()}
+        # The table of snapshots comes last: what it names is whole, even if a write before it broke off.
+        for name in sorted(tables, key="snapshot".__eq__):
+            tables[name].write.partitionBy("snapshot_id").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(f"{at}/{name}")
 
     @classmethod
     def read(cls, spark, at: str) -> Snapshots:
         return cls(**{f.name: spark.read.schema(TABLES[f.name]).parquet(f"{at}/{f.name}") for f in fields(cls)})
+
+
+def stored(spark, at: str) -> DataFrame | None:
+    """(snapshot_id) of the snapshots that a store has; None if there is no store."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        return spark.read.schema(TABLES["snapshot"]).parquet(f"{at}/snapshot").select("snapshot_id").distinct()
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
