@@ -35,15 +35,13 @@ MARGIN = 0.25
 LG_K = 12
 #: Parts that the sites of a line are sketched in before the sketches are merged.
 PARTS = 16
-#: Lines that are sent to every executor at most (some 40 bytes each); with more, they are joined by shuffle.
-BROADCAST_LINES = 50_000
 
 
 def line_key(line):
     return F.struct(F.xxhash64(line, F.lit(1)).alias("h1"), F.xxhash64(F.lit(2), line).alias("h2"))
 
 
-def repeated(documents: DataFrame, text: str = "text", site: str = "source", key: str = "doc_id", sites: int = SITES, times: int = TIMES, broadcast_lines: int = BROADCAST_LINES) -> DataFrame:
+def repeated(documents: DataFrame, text: str = "text", site: str = "source", key: str = "doc_id", sites: int = SITES, times: int = TIMES) -> DataFrame:
     """(h1, h2, n, all, first, first_text) of lines to remove: places, whether all go, and else the first document's id or text hash."""
     rows = documents.select(F.xxhash64(F.coalesce(F.col(site).cast("string"), F.lit("\0"))).alias("site"), F.col(key).cast("long").alias("id"), F.when(F.col(key).isNull(), F.xxhash64(text)).alias("t"), F.explode(F.split(F.col(text), "\n")).alias("line"))
     rows = rows.withColumn("line", F.trim("line")).where("line <> ''").withColumn("words", F.size(F.split("line", " +")))
@@ -55,12 +53,8 @@ def repeated(documents: DataFrame, text: str = "text", site: str = "source", key
     spread = cut(spread.where((several & ((F.col("size") > 0) | (F.col("n") >= times)))).drop("a", "b"))
     keys = spread.select("h1", "h2")
     places = rows.select("h1", "h2", "site")
-    # Each line and site once: what sketches and exact counts both need.  Few lines are picked before that, many after.
-    if spread.count() <= broadcast_lines:
-        once = places.join(F.broadcast(keys), ["h1", "h2"], "left_semi").groupBy("h1", "h2", "site").agg(F.lit(1).alias("one"))
-    else:
-        once = places.groupBy("h1", "h2", "site").agg(F.lit(1).alias("one")).join(keys, ["h1", "h2"], "left_semi")
-    once = cut(once.select("h1", "h2", "site"))
+    # Each line and site once: what sketches and exact counts both need.  A common line has as many rows as sites here.
+    once = cut(places.groupBy("h1", "h2", "site").agg(F.lit(1).alias("one")).join(keys, ["h1", "h2"], "left_semi").select("h1", "h2", "site"))
     parts = once.groupBy("h1", "h2", F.pmod("site", F.lit(PARTS)).alias("part")).agg(F.hll_sketch_agg("site", LG_K).alias("s"))
     merged = cut(parts.groupBy("h1", "h2").agg(F.hll_sketch_estimate(F.hll_union_agg("s")).alias("est")))
     low, high = sites * (1 - MARGIN), sites * (1 + MARGIN)
@@ -71,15 +65,14 @@ def repeated(documents: DataFrame, text: str = "text", site: str = "source", key
     return cut(found.select("h1", "h2", "n", (F.col("size") == 0).alias("all"), "first", "first_text"))
 
 
-def remove(documents: DataFrame, lines: DataFrame, text: str = "text", key: str = "doc_id", broadcast_lines: int = BROADCAST_LINES) -> DataFrame:
+def remove(documents: DataFrame, lines: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """documents, with ``_lines`` and ``_removed`` counts and the text without the given lines."""
-    n = lines.count()
     own = F.col(key).cast("long")
     # A document is known by two hashes of its id and text.
     marked = documents.withColumn("_t", F.xxhash64(own, text)).withColumn("_u", F.xxhash64(F.lit(3), text, own))
     places = marked.select("_t", "_u", own.alias("_id"), F.when(own.isNull(), F.xxhash64(text)).alias("_text"), F.posexplode(F.split(F.col(text), "\n")).alias("_i", "_line"))
     places = places.withColumn("_k", line_key(F.trim("_line"))).select("_t", "_u", "_i", "_id", "_text", F.col("_k.h1").alias("h1"), F.col("_k.h2").alias("h2"))
-    hit = places.join(F.broadcast(lines), ["h1", "h2"]) if n <= broadcast_lines else lookup(places, lines, ["h1", "h2"], "n", "inner")
+    hit = lookup(places, lines, ["h1", "h2"], "n", "inner")
     stays = ~F.col("all") & F.coalesce(F.col("first") == F.col("_id"), F.col("first").isNull() & (F.col("first_text") == F.col("_text")), F.lit(False))
     gone = hit.where(~stays).groupBy("_t", "_u").agg(F.collect_set("_i").alias("_gone"))
     # Kept, so that the join deals both sides anew and Spark may split the rows of one text that stands very often.

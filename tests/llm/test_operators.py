@@ -286,12 +286,15 @@ def brute_lines(rows, sites, times):
     return Counter((i, None if t is None else kept(i, t)) for i, t, _ in rows), everywhere | but_first
 
 
-@pytest.mark.parametrize(("sites", "times", "most"), [(5, 10, 50_000), (7, 3, 0), (8, 2, 50_000), (1, 2, 50_000)])
-def test_line_dedup(spark, rows, sites, times, most):
+@pytest.mark.parametrize(("sites", "times", "share"), [(5, 10, 1000), (7, 3, 1), (8, 2, 1000), (1, 2, 10)])
+def test_line_dedup(spark, rows, monkeypatch, sites, times, share):
+    from lattica.llm import common
+
+    monkeypatch.setattr(common, "HOT_SHARE", share)
     more = [(60 + i, f"{LONG}\nseven words that stand on many sites\nown {i}", f"s{i % 6}") for i in range(12)] + [(40, LONG, "z"), (80, f"x\n{OTHER}", "one"), (81, OTHER, "one"), (82, f"{OTHER} ", None)]
     d = docs(spark, rows + more)
-    lines = linededup.repeated(d, sites=sites, times=times, broadcast_lines=most)
-    out = linededup.remove(d, lines, broadcast_lines=most)
+    lines = linededup.repeated(d, sites=sites, times=times)
+    out = linededup.remove(d, lines)
     want, gone = brute_lines(rows + more, sites, times)
     assert lines.count() == len(gone)
     assert Counter((r.doc_id, r.text) for r in out.collect()) == want
@@ -306,10 +309,10 @@ def test_line_dedup_of_rows_without_ids_and_hot_lines(spark, monkeypatch):
     """Without any id one document keeps the passage; the shuffled join splits off hot lines."""
     from lattica.llm import common
 
-    monkeypatch.setattr(common, "HOT_SHARE", 3)
     d = docs(spark, [(None, f"{LONG}\n{i}", f"s{i}") for i in range(8)] + [(i, f"hot line\n{OTHER if i < 3 else i}", f"s{i % 7}") for i in range(40)])
-    for most in (0, 50_000):
-        out = linededup.remove(d, linededup.repeated(d, broadcast_lines=most), broadcast_lines=most).collect()
+    for share in (1, 3, 1000):
+        monkeypatch.setattr(common, "HOT_SHARE", share)
+        out = linededup.remove(d, linededup.repeated(d)).collect()
         assert sum(LONG in x.text for x in out) == 1 and [x.doc_id for x in out if OTHER in x.text] == [0] and not any("hot line" in x.text for x in out)
         assert len(out) == 48
 
