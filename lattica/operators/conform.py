@@ -90,6 +90,13 @@ def interesting(facts: DataFrame) -> DataFrame:
     return smells(facts).where((F.size(F.array_except(F.array_union(impl_pkgs, F.col("consumer_pkgs")), F.array("pkg"))) > 0) | (F.col("smell") != ""))
 
 
+def select_contracts(facts: DataFrame, part: str = "", every: bool = False) -> DataFrame:
+    """Contracts, with their smells: by a part of the id; else all, or the interesting ones."""
+    if part:
+        return smells(facts).where(F.contains("iface", F.lit(part)))
+    return smells(facts) if every else interesting(facts)
+
+
 def interface_delta(facts: DataFrame, pairs: DataFrame) -> DataFrame:
     """(pair_id, iface, status, impl_added, impl_removed, cons_added, cons_removed, smell_a, smell_b, newly_stranded,
     unstranded) of interfaces whose facts or smell moved."""

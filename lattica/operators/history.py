@@ -73,3 +73,8 @@ def numstat(lines: DataFrame) -> DataFrame:
     go = F.endswith("path", F.lit(".go")) & ~F.contains("path", F.lit("_test.go"))
     own = lambda c: F.sum(F.when(go, F.col(c)).otherwise(0))
     return x.groupBy("pair_id").agg(F.count("*").alias("files"), F.sum("i").alias("insertions"), F.sum("d").alias("deletions"), F.count_if(go).alias("go_files"), own("i").alias("go_insertions"), own("d").alias("go_deletions"))
+
+
+def write_csv(rows: DataFrame, to: str) -> None:
+    """The report as CSV with a header, by Spark's writer."""
+    rows.write.mode("overwrite").option("header", True).csv(to)

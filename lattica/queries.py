@@ -463,6 +463,17 @@ def dl_components(s, pairs):
     return cp.painted(s, pairs, 2)
 
 
+@query(f""", {_CE}, sr AS (SELECT DISTINCT sid, src, dst FROM ce UNION SELECT r.sid, r.src, c.dst FROM sr r JOIN (SELECT DISTINCT sid, src, dst FROM ce) c ON r.sid = c.sid AND r.dst = c.src)
+SELECT sid, src, kind, dst, EXISTS (FROM sr WHERE sr.sid = ce.sid AND sr.src = ce.dst AND sr.dst = ce.src) AS in_cycle FROM ce""")
+def gr_component_cycle_py(s, _):
+    return cp.single_cycles(s, 2)
+
+
+@query(f", {_SMELL} SELECT sid, iface, smell FROM sm WHERE contains(iface, '/p3')")
+def flt_contract_select(s, _):
+    return cf.select_contracts(_facts(s), "/p3").select("snapshot_id", "iface", "smell")
+
+
 # Plans: snapshot A, with its imports allowed and the surface of its Asian boxes promised, is the plan for the others
 
 

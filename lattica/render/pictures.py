@@ -94,20 +94,165 @@ def contract_picture(rows: DataFrame, form: str = "mermaid") -> str:
     return coloured(nodes, [(x, r.iface, "implements", c) for r in got for c, xs in (("added", r.added), ("removed", r.removed)) for x in xs], form)
 
 
+#: Classes of a plan's picture (fixed values).
+PLAN_CLASSES = {"hole": "fill:#ffeccc,stroke:#b45309,stroke-width:3px,stroke-dasharray:6 3,color:#3b2200", "box": "fill:#dbe7f8,stroke:#3b5f8f,color:#0d1b2e"}
+
+
 def plan(document: dict) -> str:
-    """A plan as Mermaid: holes are stadiums."""
-    ids = {p["path"]: f"n{i}" for i, p in enumerate(sorted(document["packages"], key=lambda p: p["path"]))}
-    for e in document["edges"]:
-        for end in (e["from"], e["to"]):
-            ids.setdefault(end, f"n{len(ids)}")
-    holes = {p["path"] for p in document["packages"] if p.get("hole")}
-    shape = lambda p: f"([{quoted(p)}])" if p in holes else f"[{quoted(p)}]"
-    return "\n".join(["graph LR", *[f"  {i}{shape(p)}" for p, i in ids.items()], *[f"  {ids[e['from']]} -->|{e['kind']}| {ids[e['to']]}" for e in document["edges"]], *[f"  style {ids[p]} stroke-dasharray: 5 5" for p in sorted(holes)]]) + "\n"
+    """A plan as Mermaid: holes are stadiums; arrows to what is no box of the plan are not drawn."""
+    own = document["packages"]
+    ids, kind = {p["path"]: f"n{i}" for i, p in enumerate(own)}, {p["path"]: "hole" if p.get("hole") else "box" for p in own}
+    label = lambda p: p["path"].rsplit("/", 1)[-1]
+    boxes = [f'  {ids[p["path"]]}' + (f'(["{label(p)}"])' if p.get("hole") else f'["{label(p)}"]') for p in own]
+    arrows = [f"  {ids[e['from']]} --> {ids[e['to']]}" for e in document["edges"] if e["from"] in ids and e["to"] in ids]
+    classes = [x for c, look in PLAN_CLASSES.items() if c in kind.values() for x in (f"  classDef {c} {look}", f"  class {','.join(i for p, i in ids.items() if kind[p] == c)} {c}")]
+    return "\n".join(["graph LR", *boxes, "", *arrows, "", *classes]) + "\n"
+
+
+def _last(path: str) -> str:
+    return path.rsplit("/", 1)[-1]
 
 
 def health(report: DataFrame, top: int = 12) -> str:
-    rows = me.health_order(report).limit(top).collect()
-    return "\n".join([f"{'package':40} {'in':>4} {'out':>4} {'inst':>5} {'surf':>5} {'blast':>6}", *[f"{r.path:40} {r.fan_in:4} {r.fan_out:4} {r.instability:5.2f} {r.surface:5} {r.blast_radius:6}{'  god' if r.god else ''}{'  cycle' if r.cycle else ''}" for r in rows]]) + "\n"
+    """Cycles, god modules in order of their paths, and the ``top`` packages by blast radius."""
+    cycles: dict[str, list[str]] = {}
+    for r in _rows(report.where("cycle is not null").select("path", "cycle"), "path"):
+        cycles.setdefault(r.cycle, []).append(_last(r.path))
+    out = ["ARCHITECTURE HEALTH", f"  cycles: {len(cycles)} dependency cycle(s) found:" if cycles else "  cycles: none — internal dependency graph is an acyclic DAG (healthy)"]
+    out += [f"    ! {' <-> '.join(cycles[c])}" for c in sorted(cycles)]
+    if gods := [_last(r.path) for r in _rows(report.where("god").select("path"), "path")]:
+        out.append(f"  god-modules (high fan-in + large surface): {', '.join(gods)}")
+    out += ["  coupling (top by blast radius):", "    " + " ".join((f"{'package':<28}", f"{'fanIn':>6}", f"{'fanOut':>7}", f"{'surf':>6}", f"{'instab':>8}", f"{'blast':>6}"))]
+    for r in me.health_order(report).limit(top).collect():
+        out.append(f"    {_last(r.path):<28} {r.fan_in:6} {r.fan_out:7} {r.surface:6} {r.instability:8.2f} {r.blast_radius:6}{'  <god>' if r.god else ''}")
+    return "\n".join(out) + "\n"
+
+
+def impact(target: str, dependents: DataFrame) -> str:
+    """dependents(path, direct) of one target: direct ones first, then the others, each in order."""
+    rows = _rows(dependents, "path")
+    direct, further = [r for r in rows if r.direct], [r for r in rows if not r.direct]
+    out = [f"BLAST RADIUS of {target}", f"  {len(direct)} direct dependent(s), {len(rows)} total (transitive)"]
+    out += [f"  direct:   {_last(r.path)}" for r in direct] + [f"  indirect: {_last(r.path)}" for r in further]
+    return "\n".join(out + ([] if rows else ["  → nothing depends on it; safe to change in isolation."])) + "\n"
+
+
+def reflexion(layers: list[str], counts: DataFrame, report: DataFrame, unmapped: DataFrame) -> str:
+    """layer_counts, upward rows and unmapped segments of one snapshot."""
+    n = {r.direction: r.n for r in counts.groupBy("direction").agg(F.sum("count").alias("n")).collect()}
+    down, up = n.get("down", 0), n.get("up", 0)
+    share = f"  ({up * 100 // (up + down)}% of cross-layer deps)" if up + down else ""
+    out = ["REFLEXION MODEL — declared layering vs actual code", f"  layers (top→bottom): {' → '.join(layers)}", f"  convergent (downward) deps: {down}", f"  DIVERGENT (upward, layering violations): {up}{share}"]
+    out += [f"    ! {r['from']} depends on higher layer {r['to']}  ×{r['count']} edge(s)" for r in report.orderBy(F.desc("count"), "from", "to").collect()]
+    loose = [r.seg for r in _rows(unmapped.select("seg").distinct(), "seg")]
+    out += [f"  unmapped components (no layer assigned): {', '.join(loose)}"] if loose else []
+    return "\n".join(out + ([] if up else ["  → code conforms to the declared layering."])) + "\n"
+
+
+def evidence(where: str, coverage: DataFrame, outcomes: dict[str, str] | None = None) -> str:
+    """coverage of one snapshot, with recorded outcomes of tests by name (pass or fail)."""
+    rows = _rows(coverage, "iface")
+    out = [f"CONTRACT EVIDENCE — {where}"] + ([] if rows else ["  (no interface contracts with implementers found)"])
+    for r in rows:
+        out += ["", f"Contract: {_last(r.iface)}", *[f"  implementer {_last(x)} — covered by a contract test" for x in r.covered]]
+        if not r.tests:
+            why = "NOT covered (evidence gap: no contract test binds this interface)"
+        elif r.names_concretes:
+            why = "NOT covered (evidence gap: the contract test names other implementers, not this one)"
+        else:
+            why = "unconfirmed (a contract test exists but drives implementers via a factory, so this one cannot be attributed)"
+        out += [f"  implementer {_last(x)} — {why}" for x in r.uncovered]
+        said = {"pass": "PASS", "fail": "FAIL"}
+        out += [f"  evidence: {t} — CI: {said.get((outcomes or {}).get(t, ''), 'not run')}" for t in r.tests] or ["  evidence: no contract test binds this interface"]
+    return "\n".join(out) + "\n"
+
+
+def triage(s: Snapshots, pairs: DataFrame, off_list: DataFrame | None = None) -> str:
+    """What a reviewer of one pair should look at first."""
+    v = dl.triage_summary(s, pairs, off_list).first()
+    if v.verdict == "FAST-TRACK":
+        return "verdict: FAST-TRACK — empty boundary delta; no architecture review required.\n" + (f"  ⚠ a guarding test changed — promise on {v.touched} touched; confirm it's intended.\n" if v.touched else "")
+    out, items = ["verdict: NEEDS ARCHITECTURE REVIEW — a boundary moved."], {}
+    for r in _rows(dl.triage(s, pairs), "label", "item"):
+        items.setdefault(r.label, []).append(r.item)
+    say = lambda label, what: out.append(f"  {label + ':':<14} {what}")
+    for label in dl.TRIAGE[:-1]:
+        own = items.get(label, [])
+        if own:
+            say(label, ", ".join(own[:8] + [f"…(+{len(own) - 8} more)"] * (len(own) > 8)) if label.endswith("+") else ", ".join(own))
+    if v.breaches:
+        say("violations", f"{v.breaches} allow-list breach(es)")
+    if v.gaps:
+        say("evidence gaps", f"{v.gaps} new implementer(s) with no contract test")
+    if v.touched:
+        say("invariant", f"promise on {v.touched} changed")
+    return "\n".join(out) + "\n"
+
+
+def call_picture(functions: DataFrame, calls: DataFrame, seeds: DataFrame | None = None) -> str:
+    """Functions as DOT clusters of their packages; seeds(path) stand out."""
+    marked = {r.path for r in seeds.collect()} if seeds is not None else set()
+    groups: dict[str, list[str]] = {}
+    own = {r.path for r in functions.select("path").distinct().collect()}
+    for p in sorted(own):
+        folder, name = p.rsplit("/", 1) if "/" in p else ("", p)
+        groups.setdefault(f"{folder}/{name.split('.')[0]}".lstrip("/"), []).append(p)
+    out = ["digraph calls {", "  rankdir=LR;", '  node [shape=box, style="rounded,filled", fontname="Helvetica", fillcolor="#eef3fb", color="#4a6fa5"];']
+    for i, (pkg, members) in enumerate(sorted(groups.items())):
+        out += [f"  subgraph cluster_{i} {{", f"    label={quoted(_last(pkg))};", *[f"    {quoted(_last(p))}{' [fillcolor=' + quoted('#fdf0d5') + ']' if p in marked else ''};" for p in members], "  }"]
+    return "\n".join([*out, *[f"  {quoted(_last(r.src))} -> {quoted(_last(r.dst))};" for r in _rows(calls, "src", "dst")], "}"]) + "\n"
+
+
+def event_picture(flow: DataFrame, roles: DataFrame) -> str:
+    """Events as DOT: indirect construction is dashed; what begins and what ends a flow stands out."""
+    look = {"entry": "#dafbe1", "terminal": "#ffebe9", "indirect-only": "#fdf0d5", "": "#eef3fb"}
+    nodes = [f"  {quoted(_last(r.event))} [style=filled, fillcolor={quoted(look[r.role])}];" for r in _rows(roles, "event")]
+    arrows = [f"  {quoted(_last(r.src))} -> {quoted(_last(r.dst))}{' [style=dashed]' if r.mode == 'indirect' else ''};" for r in _rows(flow, "src", "dst")]
+    return "\n".join(["digraph events {", "  rankdir=LR;", *nodes, *arrows, "}"]) + "\n"
+
+
+def consumption(module: str, usage: DataFrame) -> str:
+    """Interfaces, who implements and who consumes them."""
+    rows = _rows(usage, "fq")
+    n = sum(r.candidate_unconsumed for r in rows)
+    out = ["# Interface consumption (usage altitude)", f"module: {module}", f"{len(rows)} interface(s), {n} candidate unconsumed (<=1 implementer, 0 consumers)", ""]
+    listed = lambda xs: f"[{' '.join(xs)}]"
+    for r in rows:
+        out += [f"{r.fq}{'   [CANDIDATE: unconsumed abstraction]' if r.candidate_unconsumed else ''}", f"  implementers: {len(r.implementers)} {listed(r.implementers)}"]
+        out.append(f"  consumers:    {len(r.consumers)}{'  in ' + listed(r.consumer_pkgs) if r.consumer_pkgs else ''}{'  (cross-package)' if r.consumed_cross_package else ''}")
+        out += [f"    - {c.kind:<11} {c.pkg}  ({c.pos})" for c in r.consumers]
+        out += [f"    ({r.conformance_assertions} conformance assertion(s), not counted as consumers)"] if r.conformance_assertions else []
+        out.append("")
+    return "\n".join(out) + "\n"
+
+
+#: Order of a surface's symbols by kind.
+SYMBOL_RANK = {"type": 0, "func": 1, "method": 2, "const": 3, "var": 4}
+
+
+def symbol_order(kind):
+    """Types, functions, methods, constants, variables, then the rest."""
+    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in SYMBOL_RANK.items() for x in kv]), kind), F.lit(len(SYMBOL_RANK)))
+
+
+def surface_changes(s: Snapshots, pairs: DataFrame, form: str = "text") -> str:
+    """Surface symbols gained and lost by package, kinds in their order; ``text`` or Markdown."""
+    rows = dl.symbols(s, pairs, "surface").withColumn("_k", symbol_order(F.col("kind")))
+    got: dict[str, list] = {}
+    for r in _rows(rows, "path", "_k", "name", "change"):
+        got.setdefault(r.path, []).append(r)
+    sign = {"added": "+", "removed": "-"}
+    if form == "markdown":
+        return "\n".join(["| package | + | − |", "|---|---|---|", *[f"| {p} | {', '.join(r.name for r in rs if r.change == 'added')} | {', '.join(r.name for r in rs if r.change == 'removed')} |" for p, rs in got.items()]]) + "\n"
+    return "\n".join(x for p, rs in got.items() for x in (p, *[f"  {sign[r.change]} {r.kind} {r.name}" for r in rs])) + "\n"
+
+
+def contracts_view(facts: DataFrame, select: str = "", every: bool = False) -> str:
+    """Interfaces as text: those whose name holds ``select``, all of them, or by default the interesting ones; in order."""
+    from ..operators import conform as cf
+
+    rows = cf.select_contracts(facts, select, every)
+    return "\n".join(x for r in _rows(rows, "iface") for x in (f"{r.iface}{'  ' + r.smell if r.smell else ''}", f"  implementers: {', '.join(r.implementers) or 'none'}", f"  consumers: {', '.join(r.consumer_pkgs) or 'none'}")) + "\n"
 
 
 def distance(row, unmet: list) -> str:
@@ -130,10 +275,10 @@ def delta_text(s: Snapshots, pairs: DataFrame) -> str:
     return "\n".join(out) + "\n"
 
 
-def review(s: Snapshots, pairs: DataFrame, depth: int = 2) -> str:
+def review(s: Snapshots, pairs: DataFrame, depth: int = 2, off_list: DataFrame | None = None, widenings: DataFrame | None = None) -> str:
     """The review document of one pair."""
     from ..operators import components as cp
 
-    v, n = dl.verdict(s, pairs).first(), dl.counts(s, pairs).first().asDict()
+    v, n = dl.verdict(s, pairs).first(), dl.counts(s, pairs, off_list, widenings).first().asDict()
     parts = [f"# {v.verdict}", "", "| axis | count |", "|---|---|", *[f"| {k} | {x} |" for k, x in n.items() if k != "pair_id"], "", "## Components", "", "```mermaid", components(cp.painted(s, pairs, depth), cp.edge_changes(s, pairs, depth)).rstrip(), "```"]
     return "\n".join([*parts, "", "## Witnesses", "", witness_table(dl.witnesses(s, pairs)), "## Contracts", "", contract_table(dl.contracts(s, pairs))])

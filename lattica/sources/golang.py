@@ -173,7 +173,11 @@ def _literal(arg: str) -> str:
 def scan(spark: SparkSession, root: str) -> DataFrame:
     """Fact rows of all Go files under a folder."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.go").option("recursiveFileLookup", True).load(root)
-    base = re.sub(r"^file:/+", "/", root.rstrip("/"))
+    return rows_of_files(files.select("path", "content"), re.sub(r"^file:/+", "/", root.rstrip("/")))
+
+
+def rows_of_files(files: DataFrame, base: str = "") -> DataFrame:
+    """Fact rows of files(path, content); ``base`` is what paths begin with."""
 
     def run(frames):
         import pandas as pd
@@ -186,7 +190,7 @@ def scan(spark: SparkSession, root: str) -> DataFrame:
                 rows += [(name, folder, name.endswith("_test.go"), *f) for f in facts(bytes(content).decode("utf-8", "replace"))]
             yield pd.DataFrame(rows, columns=["file", "dir", "test", "fact", "a", "b", "c"])
 
-    return files.select("path", "content").mapInPandas(run, FACT)
+    return files.mapInPandas(run, FACT)
 
 
 def module_of(spark: SparkSession, root: str) -> str:
@@ -271,14 +275,3 @@ def snapshot(rows: DataFrame, module: str, snapshot_id: str) -> Snapshots:
 
 def extract(spark: SparkSession, root: str, snapshot_id: str = "HEAD") -> Snapshots:
     return snapshot(scan(spark, root), module_of(spark, root), snapshot_id)
-
-
-def call_graph(rows: DataFrame, module: str, snapshot_id: str) -> tuple[DataFrame, DataFrame]:
-    """functions(snapshot_id, path, file) and calls(snapshot_id, src, dst) between functions with a body in the module."""
-    code = rows.where("not test").withColumn("pkg", F.when(F.col("dir") == "", F.lit(module)).otherwise(F.concat_ws("/", F.lit(module), "dir")))
-    full = lambda pkg, name: F.concat_ws(".", pkg, name)
-    fn = code.where("fact = 'func'").select(F.lit(snapshot_id).alias("snapshot_id"), full(F.col("pkg"), F.when(F.col("b") == "", F.col("a")).otherwise(F.concat_ws(".", "b", "a"))).alias("path"), "file")
-    imports = code.where("fact = 'import'").select("pkg", "file", F.col("a").alias("target"), F.col("b").alias("alias"))
-    use = code.where("fact = 'use'").select("pkg", "file", F.col("a").alias("alias"), F.col("b").alias("name"), F.col("c").alias("caller")).join(imports, ["pkg", "file", "alias"])
-    calls = use.select(F.lit(snapshot_id).alias("snapshot_id"), full(F.col("pkg"), F.col("caller")).alias("src"), full(F.col("target"), F.col("name")).alias("dst")).distinct()
-    return fn, calls.join(fn.select("snapshot_id", F.col("path").alias("dst")), ["snapshot_id", "dst"], "left_semi")

@@ -16,7 +16,8 @@ from lattica.operators import metrics as me
 from lattica.plans import distance as pd
 from lattica.plans import dsl
 from lattica.render import pictures
-from lattica.sources import documents, golang
+from lattica.schema import Snapshots
+from lattica.sources import documents, git, golang, usage
 
 PLAN = """
 invariant steady {
@@ -236,8 +237,10 @@ def test_go_sources(spark, tmp_path):
     assert [(r.name, r.iface) for r in s.guard.collect()] == [("TestGet", "ex.com/m/store.Store")] and [r.concrete for r in s.exercise.collect()] == ["ex.com/m/mem.Mem"]
     c = dl.coverage(s).first()
     assert (c.iface, c.covered, c.tests) == ("ex.com/m/store.Store", ["ex.com/m/mem.Mem"], ["TestGet"])
-    _, calls = golang.call_graph(golang.scan(spark, f"file://{tmp_path}"), "ex.com/m", "A")
+    at = f"file://{tmp_path}"
+    functions, calls = usage.call_graph(usage.scan(spark, at), golang.scan(spark, at), "ex.com/m", "A")
     assert [(r.src, r.dst) for r in calls.collect()] == [("ex.com/m/mem.Mem.Get", "ex.com/m/store.Open")]
+    assert "subgraph cluster_" in pictures.call_picture(functions, calls)
     doc = documents.document(s, "HEAD")
     again = documents.normalise(documents.from_dicts(spark, {"HEAD": doc}))
     assert {tuple(r) for r in again.edge.select("src", "kind", "dst").collect()} == {tuple(r) for r in s.edge.select("src", "kind", "dst").collect()}
@@ -256,3 +259,197 @@ def test_streamed_snapshots(spark, tmp_path):
 def test_united_keeps_both(spark):
     s = united(snaps(spark, A=graph(["m/a"])), snaps(spark, B=graph(["m/b"])))
     assert s.package.count() == 2
+
+
+USAGE = {
+    "go.mod": "module ex.com/m\n",
+    "store/store.go": """package store
+
+import "fmt"
+
+type Store interface {
+	Get(k string) (int, error)
+	Base
+}
+
+type Base interface{ Close() }
+
+type Idle interface{ Never() }
+
+type Alias = Store
+
+var _ Store = (*Mem)(nil)
+var cur Store
+
+type Server struct {
+	Store Store
+	extra map[string]Base
+}
+
+type Mem struct{ n int }
+
+func (m *Mem) Get(k string) (int, error) { m.touch(); return helper(k), nil }
+func (m *Mem) Close()                    {}
+func (m *Mem) touch()                    {}
+func helper(k string) int                { return 1 }
+
+func Use(s Store, f func(Base) Store) (Store, error) {
+	if x, ok := s.(Store); ok {
+		_ = x
+	}
+	switch v := s.(type) {
+	case Store:
+		fmt.Println(v)
+	}
+	m := NewMem()
+	m.touch()
+	_ = Server{Store: s}
+	return Store(s), nil
+}
+
+func NewMem() *Mem { return &Mem{} }
+""",
+    "flow/flow.go": """package flow
+
+import st "ex.com/m/store"
+
+type Engine struct{}
+
+func (e *Engine) Add(x any) {}
+
+type Tick struct{}
+
+func (t *Tick) Execute(e *Engine) {
+	e.Add(&Tock{})
+	later(e)
+}
+
+type Tock struct{}
+
+func (t *Tock) Execute(e *Engine) {}
+
+type End struct{}
+
+func (x *End) Execute(e *Engine) {}
+
+type Other struct{}
+
+func (o *Other) Execute(a, b *Engine) {}
+
+func later(e *Engine) {
+	e.Add(End{})
+	var s st.Base
+	m := st.NewMem()
+	m.Close()
+	_ = s
+}
+""",
+}
+
+
+def test_usage_of_interfaces_functions_and_events(spark, tmp_path):
+    for name, text in USAGE.items():
+        at = tmp_path / name
+        at.parent.mkdir(exist_ok=True)
+        at.write_text(text)
+    where, module = f"file://{tmp_path}", "ex.com/m"
+    facts, use = golang.scan(spark, where), usage.scan(spark, where)
+    got = {r.fq: r for r in usage.interface_usage(use, facts, dl.implementers(golang.snapshot(facts, module, "A")), module).collect()}
+    assert set(got) == {"store.Store", "store.Base", "store.Idle"}
+    s = got["store.Store"]
+    assert sorted(c.kind for c in s.consumers) == ["alias", "assertion", "field", "param", "result", "result", "type-ref", "type-switch", "var"]
+    assert s.conformance_assertions == 1 and s.consumer_pkgs == ["store"] and not s.consumed_cross_package and s.methods == ["Get(k string)(int, error)"]
+    b = got["store.Base"]
+    assert sorted((c.pkg, c.kind) for c in b.consumers) == [("flow", "var"), ("store", "field"), ("store", "param")] and b.consumed_cross_package
+    assert b.implementers == ["store.Mem"] and got["store.Idle"].candidate_unconsumed and got["store.Idle"].consumers == []
+    assert "[CANDIDATE: unconsumed abstraction]" in pictures.consumption(module, usage.interface_usage(use, facts, dl.implementers(golang.snapshot(facts, module, "A")), module))
+    functions, calls = usage.call_graph(use, facts, module)
+    short = {(r.src.rsplit("/", 1)[1], r.dst.rsplit("/", 1)[1]) for r in calls.collect()}
+    assert short == {("store.Mem.Get", "store.Mem.touch"), ("store.Mem.Get", "store.helper"), ("store.Use", "store.NewMem"), ("store.Use", "store.Mem.touch"), ("flow.Tick.Execute", "flow.Engine.Add"), ("flow.Tick.Execute", "flow.later"), ("flow.later", "flow.Engine.Add"), ("flow.later", "store.NewMem"), ("flow.later", "store.Mem.Close")}
+    executes, made, engines = usage.events(use, facts, module)
+    assert {r.event.rsplit(".", 1)[1] for r in executes.collect()} == {"Tick", "Tock", "End"} and {r.engine for r in engines.collect()} == {"Engine"}
+    flow = gr.eventflow(executes, calls, made)
+    assert {(r.src.rsplit(".", 1)[1], r.dst.rsplit(".", 1)[1], r["mode"]) for r in flow.collect()} == {("Tick", "Tock", "direct"), ("Tick", "End", "indirect")}
+    assert "style=dashed" in pictures.event_picture(flow, gr.event_roles(flow, executes))
+
+
+def test_commits_as_sources(spark, tmp_path):
+    import subprocess
+
+    repo, at = tmp_path / "repo", str(tmp_path / "store")
+    git_ = lambda *a: subprocess.run(["git", "-C", str(repo), "-c", "user.name=t", "-c", "user.email=t@t", *a], check=True, capture_output=True)
+    (repo / "a").mkdir(parents=True)
+    git_("init", "-q", "-b", "main")
+    (repo / "go.mod").write_text("module ex.com/m\n")
+    for i, (subject, text) in enumerate([("feat(a): one", "package a\n\nfunc One() {}\n"), ("fix: inside", "package a\n\nfunc One() { _ = 1 }\n"), ("feat: two", "package a\n\nfunc One() { _ = 1 }\nfunc Two() {}\n")]):
+        (repo / "a" / "a.go").write_text(text)
+        git_("add", ".")
+        git_("commit", "-q", "-m", subject)
+    got = git.history(spark, str(repo), 5, at).orderBy("subject").collect()
+    assert [(r.subject, r.stratum, r.empty, r.d_surface, r.files, r.text_lines, r.go_lines) for r in got] == [("feat: two", "feat", False, 1, 1, 1, 1), ("fix: inside", "fix", True, 0, 1, 2, 2)]
+    assert got[0].sha != got[1].sha and len(got[0].sha) == 8
+    # A second run extracts nothing, and a store never doubles a snapshot.
+    before = Snapshots.read(spark, at)
+    n = before.symbol.count()
+    before.write(at)
+    git.extract_at(spark, str(repo), "HEAD").write(at, again=True)
+    assert git.history(spark, str(repo), 5, at).count() == 2 and Snapshots.read(spark, at).symbol.count() == n
+    with pytest.raises(ValueError):
+        git.extract_at(spark, str(repo), "nothing")
+    one = hs.summary(git.history(spark, str(repo), 5, at)).first()
+    assert (one.n, one.n_empty, one.n_unclean, one.empty_median_text, one.empty_max_text, one.median_text, one.median_items, one.median_compression) == (2, 1, 0, 2, 2, 1, 1, 1)
+    hs.write_csv(git.history(spark, str(repo), 5, at), f"file://{tmp_path}/csv")
+    assert spark.read.option("header", True).csv(f"file://{tmp_path}/csv").count() == 2
+
+
+def test_summary_splits_empty_and_boundary_changes(spark):
+    rows = spark.createDataFrame([(10, 0, True, 0, 0), (40, 0, True, 1, 0), (7, 2, False, 0, 0), (100, 9, False, 0, 2), (9, 2, False, 0, 0)], "text_lines int, d_items int, empty boolean, err_a int, err_b int")
+    assert tuple(hs.summary(rows).first()) == (5, 2, 2, 25, 40, 9, 2, 4)
+
+
+def test_stats_count_every_package():
+    document = {"packages": [{"path": "a", "invariants": [{"name": "x", "hash": "checked: y"}]}, {"path": "b", "hole": True, "invariants": [{"name": "z"}]}], "edges": []}
+    assert dsl.stats(document) == "2 clauses: 1 checked, 0 evidenced, 0 attested:external, 0 attested:design, 1 unclassified"
+
+
+def test_breaches_do_not_turn_the_verdict_and_counts_have_all_fields(spark):
+    g = graph({"m/a": {"surface": [{"kind": "func", "name": "F"}]}, "m/b": {}}, [("m/a", "m/b")])
+    s, pairs = both(spark, g, g)
+    declared, permitted = spark.createDataFrame([("m/a",)], "path string"), spark.createDataFrame([], "path string, target string")
+    off = dl.violations(s, pairs, declared, permitted)
+    assert dl.verdict(s, pairs).first().verdict == "NO_CHANGE" and dl.triage_summary(s, pairs, off).first()[1:] == ("FAST-TRACK", 1, 0, "")
+    n = dl.counts(s, pairs, off).first().asDict()
+    assert n["violations"] == 1 and n["surface_widenings"] == 0 and len(n) == 13
+    assert pictures.triage(s, pairs, off).startswith("verdict: FAST-TRACK")
+    h = graph({"m/a": {"surface": [{"kind": k, "name": n} for k, n in (("func", "F"), ("var", "V"), ("type", "T"), ("func", "G"))]}, "m/b": {}, "m/c": {}}, [("m/a", "m/b"), ("m/a", "service:x", "service")])
+    t, pairs = both(spark, g, h)
+    text = pictures.triage(t, pairs, dl.violations(t, pairs, declared, permitted))
+    assert "new packages:  c" in text and "violations:    1 allow-list breach(es)" in text and "surface +:     a.G, a.T, a.V" in text
+    assert pictures.surface_changes(t, pairs) == "m/a\n  + type T\n  + func G\n  + var V\n"
+
+
+def test_long_chains_and_rings(spark):
+    """More rounds than any bound would allow, and rings among chains."""
+    n = 300
+    chain = [("S", f"a{i:04}", f"a{i + 1:04}") for i in range(n)]
+    ring = [("S", f"r{i}", f"r{(i + 1) % 6}") for i in range(6)] + [("S", "a0005", "r3"), ("S", "r5", "z")]
+    frame = lambda rows: spark.createDataFrame(rows, "snapshot_id string, src string, dst string")
+    assert gr.closure(frame(chain)).count() == n * (n + 1) // 2
+    got = {(r.snapshot_id, r.path): r.cycle for r in gr.cycles(frame(chain[:6] + ring + [("T", "x", "y"), ("T", "y", "x"), ("T", "x", "x")])).collect()}
+    assert got == {("S", f"r{i}"): "r0" for i in range(6)} | {("T", "x"): "x", ("T", "y"): "x"}
+
+
+def test_report_texts(spark):
+    s = snaps(spark, A=graph({f"m/{x}": {"surface": [{"kind": "func", "name": f"F{i}"} for i in range(k)]} for x, k in (("sim", 5), ("kv", 1), ("cmd", 0))}, [("m/cmd", "m/kv"), ("m/kv", "m/sim"), ("m/cmd", "m/sim")]))
+    assert pictures.impact("m/sim", gr.dependents(flt.dep_pairs(s), "m/sim")) == "BLAST RADIUS of m/sim\n  2 direct dependent(s), 2 total (transitive)\n  direct:   cmd\n  direct:   kv\n"
+    lines = pictures.health(me.health(s)).splitlines()
+    assert lines[:4] == ["ARCHITECTURE HEALTH", "  cycles: none — internal dependency graph is an acyclic DAG (healthy)", "  god-modules (high fan-in + large surface): kv, sim", "  coupling (top by blast radius):"]
+    assert lines[5] == "    sim                               2       0      5     0.00      2  <god>"
+    layers = spark.createDataFrame([("high", 0), ("low", 1)], "layer string, ord int")
+    where = spark.createDataFrame([("sim", "high"), ("kv", "low")], "seg string, layer string")
+    rows = cf.layered(s, layers, where)
+    text = pictures.reflexion(["high", "low"], cf.layer_counts(rows), cf.reflexion(s, layers, where), cf.unmapped(rows))
+    assert "  DIVERGENT (upward, layering violations): 1  (100% of cross-layer deps)" in text and "unmapped components (no layer assigned): cmd" in text
+    assert pictures.evidence("x", dl.coverage(s)) == "CONTRACT EVIDENCE — x\n  (no interface contracts with implementers found)\n"
+    loop = cp.single_cycles(snaps(spark, A=graph(["m/a/x", "m/b/y", "m/c/z"], [("m/a/x", "m/b/y"), ("m/b/y", "m/a/x"), ("m/b/y", "m/c/z")])), 1)
+    assert {(r.src, r.dst): r.in_cycle for r in loop.collect()} == {("a", "b"): True, ("b", "a"): True, ("b", "c"): False}
