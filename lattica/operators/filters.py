@@ -99,3 +99,18 @@ def touched_spans(spans: DataFrame, ranges: DataFrame, bucket: int = 64) -> Data
     cells = lambda df: df.withColumn("_c", F.explode(F.sequence(F.floor(F.col("lo") / bucket), F.floor(F.col("hi") / bucket))))
     r = cells(ranges).select(*keys, "_c", F.col("lo").alias("_lo"), F.col("hi").alias("_hi"))
     return cells(spans).join(r, [*keys, "_c"]).where("lo <= _hi and _lo <= hi").drop("_c", "_lo", "_hi").distinct()
+
+
+def by_suffix(files: DataFrame, names: DataFrame, column: str = "file") -> DataFrame:
+    """Pairs of rows whose ``column`` in ``files`` ends with that of names (there called ``name``), by characters: ``b/a.go`` fits
+    ``/x/bb/a.go``.  An equi-join: a name's last segment is looked up among the endings of the files' last segments."""
+    last = F.substring_index(column, "/", -1)
+    endings = F.transform(F.sequence(F.lit(1), F.greatest(F.length(last), F.lit(1))), lambda i: F.substr(last, i))
+    keyed = names.select(*[F.col(c).alias("name" if c == column else c) for c in names.columns]).withColumn("_k", F.substring_index("name", "/", -1))
+    return files.withColumn("_k", F.explode(endings)).join(keyed, "_k").where(F.endswith(column, F.col("name"))).drop("_k")
+
+
+def touched_functions(functions: DataFrame, changed: DataFrame) -> DataFrame:
+    """functions(..., file, lo, hi) that overlap a changed range (file, lo, hi); files are absolute there, relative here."""
+    ranges = changed.select("file", F.col("lo").alias("_lo"), F.col("hi").alias("_hi")).distinct()
+    return by_suffix(functions, ranges).where("lo <= _hi and _lo <= hi").select(*functions.columns).distinct()

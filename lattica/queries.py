@@ -648,6 +648,15 @@ def jn_interval(spark, d):
 
 
 _add("jn_interval", jn_interval, "WITH s AS (SELECT l_orderkey AS fn, min(l_linenumber) * 10 AS lo, max(l_linenumber) * 10 AS hi, l_orderkey % 997 AS file FROM lineitem GROUP BY l_orderkey) SELECT DISTINCT fn, file, s.lo, s.hi FROM s JOIN (SELECT p_partkey % 997 AS f, p_size AS lo, p_size + 3 AS hi FROM part) r ON f = file AND s.lo <= r.hi AND r.lo <= s.hi")
+def jn_suffix(spark, d):
+    """Changed files (by part) against the absolute names of files (by order): a bare suffix test."""
+    files = spark.read.parquet(f"{d}/orders.parquet").select(F.concat(F.lit("/x/q"), "o_custkey", F.lit("/f"), F.col("o_orderkey") % 50, F.lit(".go")).alias("file")).distinct()
+    k = F.col("p_partkey")
+    names = spark.read.parquet(f"{d}/part.parquet").select(F.when(k % 40 == 0, F.concat((k % 10).cast("string"), F.lit(".go"))).otherwise(F.concat(k, F.lit("/f"), k % 50, F.lit(".go"))).alias("file")).distinct()
+    return flt.by_suffix(files, names)
+
+
+_add("jn_suffix", jn_suffix, "SELECT file, name FROM (SELECT DISTINCT '/x/q' || o_custkey || '/f' || (o_orderkey % 50) || '.go' AS file FROM orders) JOIN (SELECT DISTINCT CASE WHEN p_partkey % 40 = 0 THEN (p_partkey % 10) || '.go' ELSE p_partkey || '/f' || (p_partkey % 50) || '.go' END AS name FROM part) ON suffix(file, name)")
 _add("win_last_wins", lambda spark, d: flt.last_wins(spark.read.parquet(f"{d}/orders.parquet").select("o_custkey", "o_orderkey", "o_orderstatus"), ["o_custkey"], "o_orderkey"), "SELECT o_custkey, max(o_orderkey) AS o_orderkey, arg_max(o_orderstatus, o_orderkey) AS o_orderstatus FROM orders GROUP BY o_custkey")
 
 

@@ -12,11 +12,13 @@ ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 
 def ship(spark: SparkSession) -> None:
-    """Once for each context, and only where neither PYTHONPATH nor the working folder leads here: Spark carries
-    a zip of the package (some 100 KB) from the driver to its executors."""
+    """Once for each context: Spark carries a zip of the package (some 100 KB) from the driver to its executors, whatever
+    paths the driver itself has.  On one machine (``local[...]``) workers share the driver's paths, and need it only where those
+    do not lead here."""
     sc = spark.sparkContext
     here = [os.path.abspath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
-    if ROOT in here or os.path.abspath(os.getcwd()) == ROOT or getattr(sc, "_lattica", False):
+    alone = sc.master.startswith("local") and not sc.master.startswith("local-cluster")
+    if getattr(sc, "_lattica", False) or alone and (ROOT in here or os.path.abspath(os.getcwd()) == ROOT):
         return
     at = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="lattica-"), "lattica"), "zip", ROOT, "lattica")
     sc.addPyFile(at)

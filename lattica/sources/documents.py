@@ -77,6 +77,38 @@ def interface_facts(spark: SparkSession, at: str, snapshot_id: str) -> DataFrame
     return p.select(F.lit(snapshot_id).alias("snapshot_id"), F.col("interface").alias("iface"), "pkg", *[F.coalesce(a, none).alias(b) for a, b in (("methods", "methods"), ("implementers", "implementers"), ("consumerPkgs", "consumer_pkgs"))], F.coalesce(F.size("consumers"), F.lit(0)).alias("n_consumers"))
 
 
+_CHANGED = "array<struct<package: string, added: array<struct<kind: string, name: string, sig: string>>, removed: array<struct<kind: string, name: string, sig: string>>>>"
+_ARROWS = "array<struct<`from`: string, `to`: string, kind: string, witnesses: array<string>>>"
+DELTA = (
+    "commitA string, commitB string, packagesAdded array<struct<path: string, internal: boolean>>, packagesRemoved array<struct<path: string, internal: boolean>>, "
+    f"edgesAdded {_ARROWS}, edgesRemoved {_ARROWS}, surface {_CHANGED}, `schema` {_CHANGED}, emptyAtPackageAltitude boolean, "
+    "invariants array<struct<package: string, added: array<string>, removed: array<string>, modified: array<string>>>"
+)
+
+
+def delta_axes(spark: SparkSession, at: str) -> dict[str, DataFrame]:
+    """A delta document as the tables that ``operators.delta`` gives: packages, edges, symbols, invariants."""
+    d = spark.read.schema(DELTA).option("multiLine", True).json(at)
+    either = lambda field, *columns: d.select(F.explode(f"{field}Added").alias("x")).select(*columns, F.lit("added").alias("change")).unionByName(d.select(F.explode(f"{field}Removed").alias("x")).select(*columns, F.lit("removed").alias("change")))
+    symbols, tests = None, None
+    for axis in ("surface", "schema"):
+        for change in ("added", "removed"):
+            rows = d.select(F.explode(axis).alias("x")).select(F.lit(axis).alias("axis"), F.col("x.package").alias("path"), F.explode(f"x.{change}").alias("s")).select("axis", "path", "s.kind", "s.name", F.lit(change).alias("change"))
+            symbols = rows if symbols is None else symbols.unionByName(rows)
+    for change in ("added", "removed", "modified"):
+        rows = d.select(F.explode("invariants").alias("x")).select(F.col("x.package").alias("path"), F.explode(f"x.{change}").alias("name"), F.lit(change).alias("change"))
+        tests = rows if tests is None else tests.unionByName(rows)
+    return {"packages": either("packages", "x.path", "x.internal"), "edges": either("edges", F.col("x.from").alias("src"), "x.kind", F.col("x.to").alias("dst")), "symbols": symbols, "invariants": tests}
+
+
+def component_spec(spark: SparkSession, at: str) -> tuple[DataFrame, DataFrame]:
+    """components(comp, members, in_cycle, change), edges(src, dst, kind, change) of a component document."""
+    kinds = "module string, depth int, components array<struct<name: string, members: array<string>, inCycle: boolean, change: string>>, edges array<struct<`from`: string, `to`: string, kind: string, change: string>>"
+    d = spark.read.schema(kinds).option("multiLine", True).json(at)
+    boxes = d.select(F.explode("components").alias("c")).select(F.col("c.name").alias("comp"), "c.members", F.col("c.inCycle").alias("in_cycle"), F.coalesce("c.change", F.lit("")).alias("change"))
+    return boxes, d.select(F.explode("edges").alias("e")).select(F.col("e.from").alias("src"), F.col("e.to").alias("dst"), "e.kind", F.coalesce("e.change", F.lit("")).alias("change"))
+
+
 def document(s: Snapshots, snapshot_id: str) -> dict:
     """One snapshot back as a canonical nested document (driver side; a document is some MB)."""
     q = lambda df, *order: [r.asDict() for r in df.where(F.col("snapshot_id") == snapshot_id).orderBy(*order).collect()]

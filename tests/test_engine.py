@@ -453,3 +453,15 @@ def test_report_texts(spark):
     assert pictures.evidence("x", dl.coverage(s)) == "CONTRACT EVIDENCE — x\n  (no interface contracts with implementers found)\n"
     loop = cp.single_cycles(snaps(spark, A=graph(["m/a/x", "m/b/y", "m/c/z"], [("m/a/x", "m/b/y"), ("m/b/y", "m/a/x"), ("m/b/y", "m/c/z")])), 1)
     assert {(r.src, r.dst): r.in_cycle for r in loop.collect()} == {("a", "b"): True, ("b", "a"): True, ("b", "c"): False}
+
+
+def test_suffixes_and_documents_of_changes(spark, tmp_path):
+    fns = spark.createDataFrame([("f", "/x/bb/a.go", 1, 9), ("g", "/x/c/a.go", 1, 9), ("h", "/x/ba.go", 5, 6)], "path string, file string, lo int, hi int")
+    hit = lambda *rows: {r.path for r in flt.touched_functions(fns, spark.createDataFrame(rows, "file string, lo int, hi int")).collect()}
+    assert hit(("b/a.go", 9, 12)) == {"f"} and hit(("a.go", 1, 1)) == {"f", "g"} and hit(("a.go", 6, 6), ("z.go", 1, 1)) == {"f", "g", "h"} and hit(("b/a.go", 10, 12)) == set()
+    (tmp_path / "d.json").write_text('{"commitA": "1", "packagesAdded": [{"path": "m/a", "internal": true}], "edgesRemoved": [{"from": "m/a", "to": "m/b", "kind": "call"}], "surface": [{"package": "m/a", "added": [{"kind": "func", "name": "F"}]}], "invariants": [{"package": "m/a", "modified": ["T"]}]}')
+    got = {k: [tuple(r) for r in df.collect()] for k, df in documents.delta_axes(spark, f"file://{tmp_path}/d.json").items()}
+    assert got == {"packages": [("m/a", True, "added")], "edges": [("m/a", "call", "m/b", "removed")], "symbols": [("surface", "m/a", "func", "F", "added")], "invariants": [("m/a", "T", "modified")]}
+    (tmp_path / "c.json").write_text('{"module": "m", "depth": 1, "components": [{"name": "a", "members": ["a/x"], "inCycle": true}], "edges": [{"from": "a", "to": "b", "kind": "dep", "change": "added"}]}')
+    boxes, edges = documents.component_spec(spark, f"file://{tmp_path}/c.json")
+    assert [tuple(r) for r in boxes.collect()] == [("a", ["a/x"], True, "")] and [tuple(r) for r in edges.collect()] == [("a", "b", "dep", "added")]
