@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,35 +10,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from ..shared import keep as cut
+from ..shared import shared_dir
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, named by ``spark.checkpoint.dir``.
-    Where that is unset, a run on one machine (``local[...]``) takes a temporary folder; on a cluster it is an error."""
-    sc = spark.sparkContext
-    at = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if not at:
-        held = sc._jsc.sc().getCheckpointDir()
-        if held.isDefined():
-            at = held.get()
-        elif sc.master.startswith("local") and not sc.master.startswith("local-cluster"):
-            at = f"file://{tempfile.mkdtemp(prefix='lattica-')}"
-        else:
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(at)
-    return at
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """``df``, computed once and kept in the shared folder: later reads survive a lost executor."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 #: A key of over one in so many rows is hot; there are at most so many of those.
 HOT_SHARE = 1000
 
