@@ -15,6 +15,42 @@ ARROWS = {"implements": "-. implements .->", "call": "-->", "import": "-.->", "c
 DOT_EDGE = {"implements": 'style=dashed, arrowhead=onormal, color="#8a5cf6", label="implements"', "call": 'color="#333333"', "import": 'color="#bbbbbb"', "config": 'style=dotted, arrowhead=vee, color="#c9820a", label="config"'}
 CHANGE_COLOUR = {"added": "#1a7f37", "removed": "#cf222e", "boundary": "#1a7f37", "minor": "#0969da", "": "#8c959f", "REMOVED": "#cf222e", "WEAKENED": "#cf222e", "CHURNED": "#c9820a", "STRENGTHENED": "#0969da", "ADDED": "#1a7f37"}
 
+#: Texts of the reports (fixed values).
+SAYS = {
+    "acyclic": "  cycles: none — internal dependency graph is an acyclic DAG (healthy)",
+    "cycles": "  cycles: {} dependency cycle(s) found:",
+    "gods": "  god-modules (high fan-in + large surface): {}",
+    "coupling": "  coupling (top by blast radius):",
+    "health": "ARCHITECTURE HEALTH",
+    "blast": "BLAST RADIUS of {}",
+    "dependents": "  {} direct dependent(s), {} total (transitive)",
+    "alone": "  → nothing depends on it; safe to change in isolation.",
+    "reflexion": "REFLEXION MODEL — declared layering vs actual code",
+    "layers": "  layers (top→bottom): {}",
+    "convergent": "  convergent (downward) deps: {}",
+    "divergent": "  DIVERGENT (upward, layering violations): {}{}",
+    "share": "  ({}% of cross-layer deps)",
+    "upward": "    ! {} depends on higher layer {}  ×{} edge(s)",
+    "unmapped": "  unmapped components (no layer assigned): {}",
+    "conforms": "  → code conforms to the declared layering.",
+    "evidence": "CONTRACT EVIDENCE — {}",
+    "no contracts": "  (no interface contracts with implementers found)",
+    "covered": "  implementer {} — covered by a contract test",
+    "no test": "NOT covered (evidence gap: no contract test binds this interface)",
+    "others": "NOT covered (evidence gap: the contract test names other implementers, not this one)",
+    "factory": "unconfirmed (a contract test exists but drives implementers via a factory, so this one cannot be attributed)",
+    "no evidence": "  evidence: no contract test binds this interface",
+    "fast": "verdict: FAST-TRACK — empty boundary delta; no architecture review required.",
+    "review": "verdict: NEEDS ARCHITECTURE REVIEW — a boundary moved.",
+    "promise": "  ⚠ a guarding test changed — promise on {} touched; confirm it's intended.",
+    "breaches": "{} allow-list breach(es)",
+    "gaps": "{} new implementer(s) with no contract test",
+    "consumption": "# Interface consumption (usage altitude)",
+    "interfaces": "{} interface(s), {} candidate unconsumed (<=1 implementer, 0 consumers)",
+    "candidate": "   [CANDIDATE: unconsumed abstraction]",
+    "conformance": "    ({} conformance assertion(s), not counted as consumers)",
+}
+
 
 def quoted(s: str) -> str:
     return '"' + s.replace("\\", "\\\\").replace('"', '\\"') + '"'
@@ -118,11 +154,11 @@ def health(report: DataFrame, top: int = 12) -> str:
     cycles: dict[str, list[str]] = {}
     for r in _rows(report.where("cycle is not null").select("path", "cycle"), "path"):
         cycles.setdefault(r.cycle, []).append(_last(r.path))
-    out = ["ARCHITECTURE HEALTH", f"  cycles: {len(cycles)} dependency cycle(s) found:" if cycles else "  cycles: none — internal dependency graph is an acyclic DAG (healthy)"]
+    out = [SAYS["health"], SAYS["cycles"].format(len(cycles)) if cycles else SAYS["acyclic"]]
     out += [f"    ! {' <-> '.join(cycles[c])}" for c in sorted(cycles)]
     if gods := [_last(r.path) for r in _rows(report.where("god").select("path"), "path")]:
-        out.append(f"  god-modules (high fan-in + large surface): {', '.join(gods)}")
-    out += ["  coupling (top by blast radius):", "    " + " ".join((f"{'package':<28}", f"{'fanIn':>6}", f"{'fanOut':>7}", f"{'surf':>6}", f"{'instab':>8}", f"{'blast':>6}"))]
+        out.append(SAYS["gods"].format(", ".join(gods)))
+    out += [SAYS["coupling"], "    " + " ".join((f"{'package':<28}", f"{'fanIn':>6}", f"{'fanOut':>7}", f"{'surf':>6}", f"{'instab':>8}", f"{'blast':>6}"))]
     for r in me.health_order(report).limit(top).collect():
         out.append(f"    {_last(r.path):<28} {r.fan_in:6} {r.fan_out:7} {r.surface:6} {r.instability:8.2f} {r.blast_radius:6}{'  <god>' if r.god else ''}")
     return "\n".join(out) + "\n"
@@ -132,38 +168,33 @@ def impact(target: str, dependents: DataFrame) -> str:
     """dependents(path, direct) of one target: direct ones first, then the others, each in order."""
     rows = _rows(dependents, "path")
     direct, further = [r for r in rows if r.direct], [r for r in rows if not r.direct]
-    out = [f"BLAST RADIUS of {target}", f"  {len(direct)} direct dependent(s), {len(rows)} total (transitive)"]
+    out = [SAYS["blast"].format(target), SAYS["dependents"].format(len(direct), len(rows))]
     out += [f"  direct:   {_last(r.path)}" for r in direct] + [f"  indirect: {_last(r.path)}" for r in further]
-    return "\n".join(out + ([] if rows else ["  → nothing depends on it; safe to change in isolation."])) + "\n"
+    return "\n".join(out + ([] if rows else [SAYS["alone"]])) + "\n"
 
 
 def reflexion(layers: list[str], counts: DataFrame, report: DataFrame, unmapped: DataFrame) -> str:
     """layer_counts, upward rows and unmapped segments of one snapshot."""
     n = {r.direction: r.n for r in counts.groupBy("direction").agg(F.sum("count").alias("n")).collect()}
     down, up = n.get("down", 0), n.get("up", 0)
-    share = f"  ({up * 100 // (up + down)}% of cross-layer deps)" if up + down else ""
-    out = ["REFLEXION MODEL — declared layering vs actual code", f"  layers (top→bottom): {' → '.join(layers)}", f"  convergent (downward) deps: {down}", f"  DIVERGENT (upward, layering violations): {up}{share}"]
-    out += [f"    ! {r['from']} depends on higher layer {r['to']}  ×{r['count']} edge(s)" for r in report.orderBy(F.desc("count"), "from", "to").collect()]
+    share = SAYS["share"].format(up * 100 // (up + down)) if up + down else ""
+    out = [SAYS["reflexion"], SAYS["layers"].format(" → ".join(layers)), SAYS["convergent"].format(down), SAYS["divergent"].format(up, share)]
+    out += [SAYS["upward"].format(r["from"], r["to"], r["count"]) for r in report.orderBy(F.desc("count"), "from", "to").collect()]
     loose = [r.seg for r in _rows(unmapped.select("seg").distinct(), "seg")]
-    out += [f"  unmapped components (no layer assigned): {', '.join(loose)}"] if loose else []
-    return "\n".join(out + ([] if up else ["  → code conforms to the declared layering."])) + "\n"
+    out += [SAYS["unmapped"].format(", ".join(loose))] if loose else []
+    return "\n".join(out + ([] if up else [SAYS["conforms"]])) + "\n"
 
 
 def evidence(where: str, coverage: DataFrame, outcomes: dict[str, str] | None = None) -> str:
     """coverage of one snapshot, with recorded outcomes of tests by name (pass or fail)."""
     rows = _rows(coverage, "iface")
-    out = [f"CONTRACT EVIDENCE — {where}"] + ([] if rows else ["  (no interface contracts with implementers found)"])
+    out = [SAYS["evidence"].format(where)] + ([] if rows else [SAYS["no contracts"]])
     for r in rows:
-        out += ["", f"Contract: {_last(r.iface)}", *[f"  implementer {_last(x)} — covered by a contract test" for x in r.covered]]
-        if not r.tests:
-            why = "NOT covered (evidence gap: no contract test binds this interface)"
-        elif r.names_concretes:
-            why = "NOT covered (evidence gap: the contract test names other implementers, not this one)"
-        else:
-            why = "unconfirmed (a contract test exists but drives implementers via a factory, so this one cannot be attributed)"
+        out += ["", f"Contract: {_last(r.iface)}", *[SAYS["covered"].format(_last(x)) for x in r.covered]]
+        why = SAYS["no test" if not r.tests else "others" if r.names_concretes else "factory"]
         out += [f"  implementer {_last(x)} — {why}" for x in r.uncovered]
         said = {"pass": "PASS", "fail": "FAIL"}
-        out += [f"  evidence: {t} — CI: {said.get((outcomes or {}).get(t, ''), 'not run')}" for t in r.tests] or ["  evidence: no contract test binds this interface"]
+        out += [f"  evidence: {t} — CI: {said.get((outcomes or {}).get(t, ''), 'not run')}" for t in r.tests] or [SAYS["no evidence"]]
     return "\n".join(out) + "\n"
 
 
@@ -171,8 +202,8 @@ def triage(s: Snapshots, pairs: DataFrame, off_list: DataFrame | None = None) ->
     """What a reviewer of one pair should look at first."""
     v = dl.triage_summary(s, pairs, off_list).first()
     if v.verdict == "FAST-TRACK":
-        return "verdict: FAST-TRACK — empty boundary delta; no architecture review required.\n" + (f"  ⚠ a guarding test changed — promise on {v.touched} touched; confirm it's intended.\n" if v.touched else "")
-    out, items = ["verdict: NEEDS ARCHITECTURE REVIEW — a boundary moved."], {}
+        return SAYS["fast"] + "\n" + (SAYS["promise"].format(v.touched) + "\n" if v.touched else "")
+    out, items = [SAYS["review"]], {}
     for r in _rows(dl.triage(s, pairs), "label", "item"):
         items.setdefault(r.label, []).append(r.item)
     say = lambda label, what: out.append(f"  {label + ':':<14} {what}")
@@ -181,9 +212,9 @@ def triage(s: Snapshots, pairs: DataFrame, off_list: DataFrame | None = None) ->
         if own:
             say(label, ", ".join(own[:8] + [f"…(+{len(own) - 8} more)"] * (len(own) > 8)) if label.endswith("+") else ", ".join(own))
     if v.breaches:
-        say("violations", f"{v.breaches} allow-list breach(es)")
+        say("violations", SAYS["breaches"].format(v.breaches))
     if v.gaps:
-        say("evidence gaps", f"{v.gaps} new implementer(s) with no contract test")
+        say("evidence gaps", SAYS["gaps"].format(v.gaps))
     if v.touched:
         say("invariant", f"promise on {v.touched} changed")
     return "\n".join(out) + "\n"
@@ -215,13 +246,13 @@ def consumption(module: str, usage: DataFrame) -> str:
     """Interfaces, who implements and who consumes them."""
     rows = _rows(usage, "fq")
     n = sum(r.candidate_unconsumed for r in rows)
-    out = ["# Interface consumption (usage altitude)", f"module: {module}", f"{len(rows)} interface(s), {n} candidate unconsumed (<=1 implementer, 0 consumers)", ""]
+    out = [SAYS["consumption"], f"module: {module}", SAYS["interfaces"].format(len(rows), n), ""]
     listed = lambda xs: f"[{' '.join(xs)}]"
     for r in rows:
-        out += [f"{r.fq}{'   [CANDIDATE: unconsumed abstraction]' if r.candidate_unconsumed else ''}", f"  implementers: {len(r.implementers)} {listed(r.implementers)}"]
+        out += [r.fq + (SAYS["candidate"] if r.candidate_unconsumed else ""), f"  implementers: {len(r.implementers)} {listed(r.implementers)}"]
         out.append(f"  consumers:    {len(r.consumers)}{'  in ' + listed(r.consumer_pkgs) if r.consumer_pkgs else ''}{'  (cross-package)' if r.consumed_cross_package else ''}")
         out += [f"    - {c.kind:<11} {c.pkg}  ({c.pos})" for c in r.consumers]
-        out += [f"    ({r.conformance_assertions} conformance assertion(s), not counted as consumers)"] if r.conformance_assertions else []
+        out += [SAYS["conformance"].format(r.conformance_assertions)] if r.conformance_assertions else []
         out.append("")
     return "\n".join(out) + "\n"
 
