@@ -15,6 +15,7 @@ from .operators import metrics as me
 from .plans import distance as pd
 from .projections import trade, trade_sql
 from .schema import Snapshots
+from .sources import golang, usage
 
 QUERIES, ORACLE = {}, {}
 
@@ -585,6 +586,134 @@ def agg_median(s, _):
 _STAT = "SELECT (year(o_orderdate) - 1) || '..' || year(o_orderdate) AS pair, sum(o_orderkey % 100)::BIGINT AS ins, sum(o_custkey % 10)::BIGINT AS dels, count(*) AS files FROM orders GROUP BY 1"
 
 
+# Go sources made of the parts, a package each; ten parts share a head package and the name of a method
+
+
+_GO = """package pKEY
+
+import (
+	"os"
+HTTP	PQ
+	HEADIMPORT
+)
+
+type Store interface {
+	GetHEAD(x string) error
+}
+
+type Row struct {
+	Name string `json:"name"`
+	hidden int `json:"hidden"`
+}
+
+type Mem struct{}
+
+var _ Store = (*Mem)(nil)
+CURRENT
+
+func (m *Mem) GetHEAD(x string) error { return step(x) }
+
+func step(x string) error { return nil }
+
+func New() *Mem { return &Mem{} }
+
+func Open(s Store) Store {
+	_ = os.Getenv("KSIZE")
+	m := New()
+	m.GetHEAD("a")
+	HEADCALL
+	return s
+}
+
+type Engine struct{}
+
+func (e *Engine) post(x any) {}
+
+type Tick struct{}
+
+func (t *Tick) Execute(e *Engine) {
+	e.post(&Tock{})
+	later(e)
+}
+
+type Tock struct{}
+
+func (t *Tock) Execute(e *Engine) {}
+
+type Done struct{}
+
+func (t *Done) Execute(e *Engine) {}
+
+func later(e *Engine) {
+	e.post(Done{})
+}
+"""
+_PARTS = "WITH g AS (SELECT p_partkey AS k, p_partkey - p_partkey % 10 AS t, p_size AS z, p_brand AS b FROM part), "
+
+
+def _go_files(spark, d):
+    k = F.col("p_partkey")
+    head = (k - k % 10).cast("string")
+    own = k % 10 == 0
+    text = F.lit(_GO)
+    for word, value in (
+        ("HTTP", F.when(F.col("p_size") % 2 == 0, '\t"net/http"\n').otherwise("")),
+        ("PQ", F.when(F.col("p_brand") == "Brand#1", '"github.com/lib/pq"').otherwise("")),
+        ("HEADIMPORT", F.when(own, "").otherwise(F.concat(F.lit('top "tpch/p'), head, F.lit('"')))),
+        ("CURRENT", F.when(own, "").otherwise("var cur top.Store")),
+        ("HEADCALL", F.when(own, "").otherwise("top.Open(nil)")),
+        ("GetHEAD", F.concat(F.lit("Get"), head)),
+        ("KSIZE", F.concat(F.lit("K"), F.col("p_size").cast("string"))),
+        ("KEY", k.cast("string")),
+    ):
+        text = F.replace(text, F.lit(word), value)
+    return spark.read.parquet(f"{d}/part.parquet").select(F.concat(F.lit("/p"), k, F.lit("/a.go")).alias("path"), text.cast("binary").alias("content"))
+
+
+def _go(spark, d):
+    files = _go_files(spark, d)
+    return golang.rows_of_files(files), usage.rows_of_files(files)
+
+
+def _go_query(name, f, sql):
+    def run(spark, d):
+        facts, use = _go(spark, d)
+        return _strings(f(facts, use).drop("snapshot_id"))
+
+    QUERIES[name], ORACLE[name] = run, _PARTS + sql
+
+
+_go_query("ext_edges", lambda facts, _: golang.snapshot(facts, "tpch", "A").edge.where("scope = 'cross'").select("src", "kind", "dst"), """e AS (SELECT k, 'import' AS kind, 'os' AS dst FROM g UNION ALL SELECT k, 'import', 'net/http' FROM g WHERE z % 2 = 0 UNION ALL SELECT k, 'capability', 'cap:net' FROM g WHERE z % 2 = 0
+UNION ALL SELECT k, 'import', 'github.com/lib/pq' FROM g WHERE b = 'Brand#1' UNION ALL SELECT k, 'service', 'service:Postgres' FROM g WHERE b = 'Brand#1' UNION ALL SELECT k, 'import', 'tpch/p' || t FROM g WHERE k <> t UNION ALL SELECT k, 'call', 'tpch/p' || t FROM g WHERE k <> t
+UNION ALL SELECT k, 'config', 'env:K' || z FROM g UNION ALL SELECT x.k, 'implements', 'tpch/p' || y.k FROM g x JOIN g y ON x.t = y.t AND x.k <> y.k) SELECT 'tpch/p' || k AS src, kind, dst FROM e""")
+_go_query("ext_packages", lambda facts, _: golang.snapshot(facts, "tpch", "A").package.select("path", "name", "internal"), """e AS (SELECT 'os' AS dst FROM g UNION SELECT 'net/http' FROM g WHERE z % 2 = 0 UNION SELECT 'cap:net' FROM g WHERE z % 2 = 0 UNION SELECT unnest(['github.com/lib/pq', 'service:Postgres']) FROM g WHERE b = 'Brand#1' UNION SELECT 'env:K' || z FROM g)
+SELECT 'tpch/p' || k AS path, 'p' || k AS name, true AS internal FROM g UNION ALL SELECT dst, split_part(dst, '/', -1), false FROM e""")
+_go_query("ext_symbols", lambda facts, _: golang.snapshot(facts, "tpch", "A").symbol.select("path", "axis", "kind", "name"), """s AS (SELECT * FROM (VALUES ('surface', 'type', 'Store'), ('surface', 'type', 'Row'), ('surface', 'type', 'Mem'), ('surface', 'type', 'Engine'), ('surface', 'type', 'Tick'), ('surface', 'type', 'Tock'), ('surface', 'type', 'Done'), ('surface', 'func', 'New'), ('surface', 'func', 'Open'), ('surface', 'method', 'Mem.Get'),
+('surface', 'method', 'Tick.Execute'), ('surface', 'method', 'Tock.Execute'), ('surface', 'method', 'Done.Execute'), ('schema', 'field', 'Row.Name')) v(axis, kind, name)) SELECT 'tpch/p' || k AS path, axis, kind, CASE WHEN name = 'Mem.Get' THEN name || t ELSE name END AS name FROM g, s""")
+_go_query("ext_callgraph", lambda facts, use: usage.call_graph(use, facts, "tpch")[1], """c AS (SELECT k, 'Mem.Get' || t AS f, 'tpch/p' || k || '.step' AS dst FROM g UNION ALL SELECT k, 'Open', 'tpch/p' || k || '.New' FROM g UNION ALL SELECT k, 'Open', 'tpch/p' || k || '.Mem.Get' || t FROM g UNION ALL SELECT k, 'Open', 'tpch/p' || t || '.Open' FROM g WHERE k <> t
+UNION ALL SELECT k, 'Tick.Execute', 'tpch/p' || k || '.Engine.post' FROM g UNION ALL SELECT k, 'Tick.Execute', 'tpch/p' || k || '.later' FROM g UNION ALL SELECT k, 'later', 'tpch/p' || k || '.Engine.post' FROM g) SELECT 'tpch/p' || k || '.' || f AS src, dst FROM c""")
+
+
+def _consumed(facts, use):
+    got = usage.interface_usage(use, facts, dl.implementers(golang.snapshot(facts, "tpch", "A")), "tpch")
+    kinds = F.array_sort(F.transform("consumers", lambda c: F.concat_ws(" ", c["pkg"], c["kind"])))
+    return got.select("fq", "methods", "implementers", kinds.alias("consumers"), "consumer_pkgs", "conformance_assertions", "consumed_cross_package", "candidate_unconsumed")
+
+
+_go_query("ext_consumes", _consumed, """i AS (SELECT t, string_agg('p' || k || '.Mem', ',' ORDER BY 'p' || k || '.Mem') AS impls FROM g GROUP BY t),
+c AS (SELECT k, 'p' || k AS pkg, unnest(['param', 'result']) AS kind FROM g UNION ALL SELECT t, 'p' || k, 'var' FROM g WHERE k <> t),
+u AS (SELECT k, string_agg(pkg || ' ' || kind, ',' ORDER BY pkg || ' ' || kind) AS consumers, string_agg(DISTINCT pkg, ',' ORDER BY pkg) AS pkgs, bool_or(pkg <> 'p' || k) AS crossing FROM c GROUP BY k)
+SELECT 'p' || k || '.Store' AS fq, 'Get' || t || '(x string)error' AS methods, impls AS implementers, consumers, pkgs AS consumer_pkgs, 1 AS conformance_assertions, crossing AS consumed_cross_package, false AS candidate_unconsumed FROM g JOIN i USING (t) JOIN u USING (k)""")
+
+
+def _go_flow(facts, use):
+    executes, made, _ = usage.events(use, facts, "tpch")
+    return gr.eventflow(executes, usage.call_graph(use, facts, "tpch")[1], made)
+
+
+_go_query("ext_events", _go_flow, "f AS (SELECT * FROM (VALUES ('Tock', 'direct'), ('Done', 'indirect')) v(x, mode)) SELECT 'tpch/p' || k || '.Tick' AS src, 'tpch/p' || k || '.' || x AS dst, mode FROM g, f")
+
+
 # Queries over the other tables
 
 

@@ -297,7 +297,11 @@ def usage_rows(source: str) -> list[tuple]:
 def scan(spark: SparkSession, root: str) -> DataFrame:
     """Usage rows of all Go files under a folder."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.go").option("recursiveFileLookup", True).load(root)
-    base = re.sub(r"^file:/+", "/", root.rstrip("/"))
+    return rows_of_files(files.select("path", "content"), re.sub(r"^file:/+", "/", root.rstrip("/")))
+
+
+def rows_of_files(files: DataFrame, base: str = "") -> DataFrame:
+    """Usage rows of files(path, content); ``base`` is what paths begin with."""
 
     def run(frames):
         import pandas as pd
@@ -310,7 +314,7 @@ def scan(spark: SparkSession, root: str) -> DataFrame:
                 rows += [(name, folder, name.endswith("_test.go"), *f) for f in usage_rows(bytes(content).decode("utf-8", "replace"))]
             yield pd.DataFrame(rows, columns=["file", "dir", "test", "fact", "a", "b", "c", "line"])
 
-    return files.select("path", "content").mapInPandas(run, USE)
+    return files.mapInPandas(run, USE)
 
 
 def _packages(rows: DataFrame, module: str) -> DataFrame:

@@ -388,6 +388,7 @@ def test_commits_as_sources(spark, tmp_path):
     got = git.history(spark, str(repo), 5, at).orderBy("subject").collect()
     assert [(r.subject, r.stratum, r.empty, r.d_surface, r.files, r.text_lines, r.go_lines) for r in got] == [("feat: two", "feat", False, 1, 1, 1, 1), ("fix: inside", "fix", True, 0, 1, 2, 2)]
     assert got[0].sha != got[1].sha and len(got[0].sha) == 8
+    rows = spark.createDataFrame(got)
     # A second run extracts nothing, and a store never doubles a snapshot.
     before = Snapshots.read(spark, at)
     n = before.symbol.count()
@@ -396,9 +397,9 @@ def test_commits_as_sources(spark, tmp_path):
     assert git.history(spark, str(repo), 5, at).count() == 2 and Snapshots.read(spark, at).symbol.count() == n
     with pytest.raises(ValueError):
         git.extract_at(spark, str(repo), "nothing")
-    one = hs.summary(git.history(spark, str(repo), 5, at)).first()
+    one = hs.summary(rows).first()
     assert (one.n, one.n_empty, one.n_unclean, one.empty_median_text, one.empty_max_text, one.median_text, one.median_items, one.median_compression) == (2, 1, 0, 2, 2, 1, 1, 1)
-    hs.write_csv(git.history(spark, str(repo), 5, at), f"file://{tmp_path}/csv")
+    hs.write_csv(rows, f"file://{tmp_path}/csv")
     assert spark.read.option("header", True).csv(f"file://{tmp_path}/csv").count() == 2
 
 
