@@ -51,22 +51,31 @@ class Automaton:
         for window, items in found.items():
             keys = tuple(self.numbers.setdefault(w, len(self.numbers) + 1) for w in window.encode("utf-8", "surrogatepass").split(b" "))
             self.trie.add_word(keys, (len(keys), tuple(items)))
+        self.least = min((w.count(" ") + 1 for w in found), default=0)
         if found:
             self.trie.make_automaton()
 
     def scan(self, text: str) -> tuple[int, list[tuple[int, int]], set]:
         """Number of words, hit word ranges (merged, end exclusive), items."""
+        import numpy as np
+
         words, number = words_of(text), self.numbers.get
         ranges, items = [], set()
-        if not words or not self.numbers:
+        if len(words) < self.least or not self.least:
             return len(words), ranges, items
-        for end, (k, who) in self.trie.iter(tuple([number(w, 0) for w in words])):
-            items.update(who)
-            lo, hi = end + 1 - k, end + 1
-            while ranges and ranges[-1][1] >= lo:
-                p = ranges.pop()
-                lo, hi = min(lo, p[0]), max(hi, p[1])
-            ranges.append((lo, hi))
+        numbers = [number(w, 0) for w in words]
+        # A window has none but known words: only their runs of a window's length or more can hold one.
+        strange = np.flatnonzero(np.array(numbers) == 0)
+        begins, ends = np.concatenate([[0], strange + 1]), np.concatenate([strange, [len(words)]])
+        for k in np.flatnonzero(ends - begins >= self.least):
+            at = int(begins[k])
+            for end, (size, who) in self.trie.iter(tuple(numbers[at : ends[k]])):
+                items.update(who)
+                lo, hi = at + end + 1 - size, at + end + 1
+                while ranges and ranges[-1][1] >= lo:
+                    p = ranges.pop()
+                    lo, hi = min(lo, p[0]), max(hi, p[1])
+                ranges.append((lo, hi))
         return len(words), ranges, items
 
 
