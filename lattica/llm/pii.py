@@ -161,31 +161,41 @@ def train(rows: list[tuple[str, list[tuple[str, int, int]]]], steps: int = 90, r
     t[_forbidden()] = -1e4
     if not feats:
         return w.astype(np.float32), t.astype(np.float32)
+    # Longest runs first: at each place of a run only the first so many rows are still there.
+    longest = sorted(range(len(feats)), key=lambda i: -len(feats[i]))
+    feats, golds = [feats[i] for i in longest], [golds[i] for i in longest]
     size, most = len(feats), max(map(len, feats))
+    lengths = np.array([len(x) for x in feats])
+    there = [int((lengths > k).sum()) for k in range(most)]
     f, y, on = np.zeros((size, most, WIDTH), int), np.zeros((size, most), int), np.zeros((size, most), bool)
     for i, (x, g) in enumerate(zip(feats, golds)):
         f[i, : len(x)], y[i, : len(g)], on[i, : len(g)] = x, g, True
     free = ~_forbidden()
     moments = [np.zeros_like(w), np.zeros_like(w), np.zeros_like(t), np.zeros_like(t)]
     eye = np.eye(n_labels)
+    # Each slot's gradient is a sum over the tokens that have it: sorted once, added up in every step.
+    slots = f[on].reshape(-1)
+    order = np.argsort(slots, kind="stable")
+    used, starts = np.unique(slots[order], return_index=True)
+    who = order // WIDTH
     for step in range(1, steps + 1):
         e = w[f].sum(axis=2)
         alpha, beta = np.zeros_like(e), np.zeros_like(e)
         alpha[:, 0] = e[:, 0] + _first()
         for k in range(1, most):
-            nxt = _lse(alpha[:, k - 1, :, None] + t, 1) + e[:, k]
-            alpha[:, k] = np.where(on[:, k, None], nxt, alpha[:, k - 1])
-        z = _lse(alpha[:, -1], 1)
+            m = there[k]
+            alpha[:m, k] = _lse(alpha[:m, k - 1, :, None] + t, 1) + e[:m, k]
+        z = _lse(alpha[np.arange(size), lengths - 1], 1)
         for k in range(most - 2, -1, -1):
-            back = _lse(t + (e[:, k + 1] + beta[:, k + 1])[:, None, :], 2)
-            beta[:, k] = np.where(on[:, k + 1, None], back, 0)
+            m = there[k + 1]
+            beta[:m, k] = _lse(t + (e[:m, k + 1] + beta[:m, k + 1])[:, None, :], 2)
         p = np.exp(np.minimum(alpha + beta - z[:, None, None], 0)) * on[..., None]
         diff = (eye[y] - p) * on[..., None]
         gw = np.zeros_like(w)
-        np.add.at(gw, f[on].reshape(-1), np.repeat(diff[on], WIDTH, axis=0))
+        gw[used] = np.add.reduceat(diff[on][who], starts, axis=0)
         gt = np.zeros_like(t)
         for k in range(1, most):
-            live = on[:, k]
+            live = slice(there[k])
             pair = np.exp(np.minimum(alpha[live, k - 1, :, None] + t + (e[live, k] + beta[live, k])[:, None, :] - z[live, None, None], 0))
             gt -= pair.sum(axis=0)
             np.add.at(gt, (y[live, k - 1], y[live, k]), 1)
