@@ -32,7 +32,8 @@ MAX_ROWS = 5000
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-_IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+#: Runs of digits joined by dots: read once from the left, whatever their length.
+_DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*+")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _KEY = re.compile(r"[0-9@]")
@@ -49,6 +50,29 @@ def digits_of(s: str) -> str:
     return "".join(c for c in s if "0" <= c <= "9")
 
 
+def addresses(text: str) -> list[tuple[int, int]]:
+    """Spans of four numbers of at most 255 joined by dots.  Four runs of digits from the left of a chain make a match, fitting or
+    not, and the search goes on behind it; a match begins nowhere else, so that a text is read once."""
+    out, at = [], text.find(".")
+    while at >= 0:
+        lo = at
+        while lo > 0 and "0" <= text[lo - 1] <= "9":
+            lo -= 1
+        m = _DOTTED.match(text, lo) if lo < at else None
+        if m is None:
+            at = text.find(".", at + 1)
+            continue
+        start, parts = lo, m[0].split(".")
+        for k in range(0, len(parts) - 3, 4):
+            four = parts[k : k + 4]
+            end = start + sum(map(len, four)) + 3
+            if all(len(own := p.lstrip("0")) <= 3 and int(own or 0) <= 255 for p in four):
+                out.append((start, end))
+            start = end + 1
+        at = text.find(".", m.end() + 1 if text[m.end() : m.end() + 1] == "." else m.end())
+    return out
+
+
 def pattern_spans(text: str) -> list[tuple[int, int, int]]:
     """(kind, start, end) of the fixed patterns, by kind, then start."""
     out, done, at = [], 0, text.find("@")
@@ -60,7 +84,7 @@ def pattern_spans(text: str) -> list[tuple[int, int, int]]:
             out.append((0, lo, m.end()))
             done = m.end()
         at = text.find("@", max(at + 1, done))
-    out += [(1, *m.span()) for m in _IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
+    out += [(1, *x) for x in addresses(text)]
     for m in _CARD.finditer(text):
         if m.end() - m.start() >= 16 and 16 <= len(d := digits_of(m[0])) <= 19 and luhn(d):
             out.append((2, *m.span()))
