@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import math
 import re
-from html.parser import HTMLParser
+from html import unescape
 from itertools import accumulate
 
 from pyspark.sql import DataFrame
@@ -54,15 +54,110 @@ class Node:
         self.text = 0
 
 
-class Tree(HTMLParser):
-    """Open elements are a stack, with the depths at which each tag is open: closing takes no walk, so that a page is
-    read in linear time however many tags it leaves open."""
+#: A start tag's inside, piece by piece.
+_TAG = re.compile(r"[^\s/>]*")
+_GAP = re.compile(r"[\s/]*")
+_ATTRIBUTE = re.compile(r"=?[^\s/>=]*")
+_EQUALS = re.compile(r"\s*=\s*")
+_BARE = re.compile(r"[^\s>]*")
+#: Elements whose content is text up to their own end tag.
+RAW = {t: re.compile(rf"</{t}(?=[\s/>])", re.IGNORECASE) for t in "iframe noembed noframes script style textarea title xmp".split()}
+_NUMBER = re.compile(r"&#(?:([xX])0*([0-9a-fA-F]+)|0*([0-9]+));?")
+
+
+def decoded(text: str) -> str:
+    """Character references replaced; numbers beyond all characters, however long, are the replacement character."""
+    if "&" not in text:
+        return text
+    if "&#" in text:
+        text = _NUMBER.sub(lambda m: m[0] if len(m[2] or m[3]) < 8 else "\ufffd", text)
+    return unescape(text)
+
+
+class Tree:
+    """Open elements are a stack, with the depths at which each tag is open: closing takes no walk.  The page is cut into tags and
+    texts in one pass that never looks at a place again: what is not there any more (a further ``>``, a further quote) is
+    remembered.  Both are linear in the page's length, whatever it leaves open.
+
+    A tag that no ``>`` follows is text; a quote that is not closed is a part of the value; a comment or script that is
+    not closed reaches to the end."""
 
     def __init__(self):
-        super().__init__(convert_charrefs=True)
         self.root = Node("body")
         self.stack, self.open = [self.root], {}
 
+    def feed(self, page: str) -> None:
+        n, i = len(page), 0
+        last = page.rfind(">")
+        ends = {q: page.rfind(q) for q in "\"'"}
+        text = 0
+        while True:
+            i = page.find("<", i)
+            if i < 0 or i >= last:
+                break
+            c = page[i + 1]
+            if c.isascii() and c.isalpha():
+                self._text(page[text:i])
+                i = text = self._start(page, i + 1, ends)
+            elif c == "/":
+                self._text(page[text:i])
+                m = _TAG.match(page, i + 2)
+                i = text = page.find(">", m.end()) + 1
+                if m[0][:1].isascii() and m[0][:1].isalpha():
+                    self.handle_endtag(m[0].lower())
+            elif page.startswith("!--", i + 1):
+                self._text(page[text:i])
+                if page.startswith((">", "->"), i + 4):
+                    i = text = page.find(">", i) + 1
+                else:
+                    stop = page.find("-->", i + 4)
+                    i = text = n if stop < 0 else stop + 3
+            elif c in "!?":
+                self._text(page[text:i])
+                i = text = page.find(">", i) + 1
+            else:
+                i += 1
+        self._text(page[text:])
+
+    def _text(self, data: str) -> None:
+        if data:
+            self.stack[-1].kids.append(decoded(data))
+
+    def _start(self, page: str, i: int, ends: dict[str, int]) -> int:
+        """Reads the start tag whose name begins at i; where it ends."""
+        m = _TAG.match(page, i)
+        tag, i, attrs, closed = m[0].lower(), m.end(), {}, False
+        while i < len(page):
+            gap = _GAP.match(page, i)
+            i = gap.end()
+            if i >= len(page) or page[i] == ">":
+                closed = gap[0].endswith("/")
+                break
+            name = _ATTRIBUTE.match(page, i)
+            i, value = name.end(), ""
+            if eq := _EQUALS.match(page, i):
+                i = eq.end()
+                q = page[i : i + 1]
+                if q in ends and q and ends[q] > i:
+                    stop = page.find(q, i + 1)
+                    value, i = page[i + 1 : stop], stop + 1
+                else:
+                    bare = _BARE.match(page, i)
+                    value, i = bare[0].strip("\"'"), bare.end()
+            attrs.setdefault(name[0].lower(), decoded(value))
+        self.handle_starttag(tag, attrs)
+        if closed and tag not in VOID and self.stack[-1].tag == tag:
+            self._down_to(len(self.stack) - 1)
+        elif tag in RAW:
+            end = RAW[tag].search(page, i + 1)
+            stop = end.start() if end else len(page)
+            if tag in ("textarea", "title"):
+                self._text(page[i + 1 : stop])
+            else:
+                self.stack[-1].kids.append(page[i + 1 : stop])
+            return stop
+        return i + 1
+
     def handle_starttag(self, tag, attrs):
         if tag in ("html", "body"):
             return
@@ -70,25 +165,16 @@ class Tree(HTMLParser):
             self._close(("p",), ("table", "button", "div", "section", "article", "blockquote", "li", "td") if tag != "p" else ())
         if tag in CLOSES:
             self._close(CLOSES[tag], SCOPES[tag])
-        a = {k: v or "" for k, v in attrs}
-        node = Node(tag, self.stack[-1], frozenset(f"{a.get('class', '')} {a.get('id', '')}".lower().split()), a.get("role", "").lower())
+        node = Node(tag, self.stack[-1], frozenset(f"{attrs.get('class', '')} {attrs.get('id', '')}".lower().split()), attrs.get("role", "").lower())
         self.stack[-1].kids.append(node)
         if tag not in VOID:
             self.open.setdefault(tag, []).append(len(self.stack))
             self.stack.append(node)
 
-    def handle_startendtag(self, tag, attrs):
-        self.handle_starttag(tag, attrs)
-        if tag not in VOID and self.stack[-1].tag == tag:
-            self._down_to(len(self.stack) - 1)
-
     def handle_endtag(self, tag):
         if self.open.get(tag):
             self._down_to(self.open[tag][-1])
 
-    def handle_data(self, data):
-        self.stack[-1].kids.append(data)
-
     def _down_to(self, depth):
         while len(self.stack) > depth:
             self.open[self.stack.pop().tag].pop()
@@ -105,7 +191,6 @@ class Tree(HTMLParser):
 def parse(html: str) -> Node:
     t = Tree()
     t.feed(html)
-    t.close()
     return t.root
 
 
