@@ -46,8 +46,9 @@ def write(documents: DataFrame, to: str, path: str, end_id: int, key: str = "doc
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n), pa.array(first + ends - n), pa.array(np.full(len(n), part, np.int32)), lists], names=["doc_id", "n_tokens", "first", "part", "ids"])
                 first += int(n.sum())
 
-    ranged = documents.select(*[c.alias(n) for n, c in id_of(key).items()], F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
-    ranged = ranged.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "text")
+    ranged = documents.select(*[c.alias(n) for n, c in id_of(key).items()], F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text")).withColumn("nth", F.monotonically_increasing_id())
+    # The last tells copies of one row apart, so that they can be dealt to several files.
+    ranged = ranged.repartitionByRange("doc_id", "h", "nth").sortWithinPartitions("doc_id", "h").select("doc_id", "text")
     out = ranged.mapInArrow(run, FIELDS).write.option("parquet.block.size", ROW_GROUP).option("parquet.page.size", PAGE).option("compression", "zstd")
     out = out.option("parquet.enable.dictionary", "true") if encoding == "dictionary" else out.option("parquet.enable.dictionary", "false").option("parquet.writer.version", "PARQUET_2_0")
     out.parquet(to)
