@@ -91,7 +91,18 @@ def rows_where(df: DataFrame, text: str, accept) -> DataFrame:
 
 
 def numbered(df: DataFrame, name: str = "_row") -> DataFrame:
-    """``df`` written to the shared folder with a number for each row: every later read has the same numbers."""
+    """``df`` written to the shared folder with a number for each row: every later read has the same numbers.  ``name`` must
+    not be one of its columns."""
+    if name in df.columns:
+        raise ValueError(f"there is a column {name} already")
     at = fresh_path(df.sparkSession, "rows")
     df.withColumn(name, F.monotonically_increasing_id()).write.parquet(at)
     return df.sparkSession.read.parquet(at)
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, or it with as many underscores more as it takes for a name that no column has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

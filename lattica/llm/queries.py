@@ -41,8 +41,8 @@ def op7_simhash(spark, sf_dir):
 
 
 def op8_line_dedup(spark, sf_dir):
-    out = linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
-    return out.select("doc_id", F.col("_lines").cast("long").alias("n_lines"), F.col("_removed").cast("long").alias("n_removed"), F.sha2("text", 256).alias("text_sha256"), F.length("text").cast("long").alias("n_chars"))
+    out = linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), counted=True)
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("text_sha256"), F.length("text").cast("long").alias("n_chars"))
 
 
 def op9_html_density(spark, sf_dir):
@@ -98,9 +98,14 @@ sizes AS (SELECT DISTINCT k FROM bw),
 dw AS (SELECT doc_id, k, i, array_to_string(w[i:i + k - 1], ' ') AS win FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, sizes WHERE len(w) >= k)),
 hits AS (SELECT doc_id, item_id, dw.i, dw.k FROM dw JOIN bw USING (k, win)),
 words AS (SELECT doc_id, count(DISTINCT j) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + k)) AS j FROM (SELECT DISTINCT doc_id, i, k FROM hits)) GROUP BY doc_id),
+hitwords AS (SELECT DISTINCT doc_id, unnest(range(i, i + k)) AS j FROM (SELECT DISTINCT doc_id, i, k FROM hits)),
+runs AS (SELECT doc_id, min(j) AS a, max(j) AS b FROM (SELECT doc_id, j, j - row_number() OVER (PARTITION BY doc_id ORDER BY j) AS g FROM hitwords) GROUP BY doc_id, g),
+pieces AS (SELECT doc_id, unnest(p) AS x, generate_subscripts(p, 1) AS n FROM (SELECT doc_id, regexp_extract_all(text, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+|[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS p FROM documents WHERE doc_id IN (SELECT doc_id FROM runs))),
+placed AS (SELECT doc_id, lo, hi, row_number() OVER (PARTITION BY doc_id ORDER BY n) AS j FROM (SELECT doc_id, x, n, sum(length(x)) OVER (PARTITION BY doc_id ORDER BY n) AS hi, sum(length(x)) OVER (PARTITION BY doc_id ORDER BY n) - length(x) AS lo FROM pieces) WHERE regexp_matches(x, '^[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]')),
+spanned AS (SELECT doc_id, string_agg(u.lo::BIGINT || ':' || v.hi::BIGINT, ',' ORDER BY a) AS spans FROM runs JOIN placed u USING (doc_id) JOIN placed v USING (doc_id) WHERE u.j = a AND v.j = b GROUP BY doc_id),
 its AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS items FROM (SELECT DISTINCT doc_id, item_id FROM hits) GROUP BY doc_id)
-SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
-FROM d LEFT JOIN words USING (doc_id) LEFT JOIN its USING (doc_id)""",
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated, coalesce(spans, '') AS spans
+FROM d LEFT JOIN words USING (doc_id) LEFT JOIN its USING (doc_id) LEFT JOIN spanned USING (doc_id)""",
     "op11_chat_parts": r"""
 WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations
   UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok' UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok')
