@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lattica.llm import decontaminate, linededup, packing, quality, simhash
-from lattica.llm.common import fresh_path, numbered, table
+from lattica.llm.common import fresh_path, numbered, table, unused
 
 
 def quality_stage(spark, docs, sf_dir):
@@ -18,14 +18,14 @@ def quality_stage(spark, docs, sf_dir):
 
 def line_stage(spark, docs, sf_dir):
     """Lines on many sites go; a document that consisted of nothing else stays, empty."""
-    out = linededup.dedup_lines(docs)
-    return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    return linededup.dedup_lines(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def near_duplicate_stage(spark, docs, sf_dir):
     """One row of each component stays: the one that names it, or any of one without ids."""
-    rows = numbered(docs)
-    return rows.join(simhash.one_of_each(rows, "_row"), "_row", "left_semi").select(*docs.columns)
+    name = unused(docs, "_row")
+    rows = numbered(docs, name)
+    return rows.join(simhash.one_of_each(rows, name), name, "left_semi").select(*docs.columns)
 
 
 def benchmark_stage(spark, docs, sf_dir):
