@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import paths as P
 from ..schema import DEP_KINDS, Snapshots
+from .ranks import ranked, running
 
 
 def internal_paths(s: Snapshots) -> DataFrame:
@@ -60,19 +61,24 @@ def focus(nodes: DataFrame, arrows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def resolve_target(s: Snapshots, target: str) -> DataFrame:
     """Internal paths that are the target, else those that end with it after a slash; the caller refuses 0 and over 1."""
-    own = internal_paths(s).where((F.col("path") == target) | F.endswith("path", F.lit("/" + target)))
-    exact = F.max(F.col("path") == target).over(Window.partitionBy("snapshot_id"))
-    return own.withColumn("exact", exact).where(~F.col("exact") | (F.col("path") == target)).drop("exact")
+    own = internal_paths(s)
+    exact = own.where(F.col("path") == target)
+    near = own.where(F.endswith("path", F.lit("/" + target))).join(exact.select("snapshot_id"), "snapshot_id", "left_anti")
+    return exact.unionByName(near)
 
 
 def short_labels(s: Snapshots) -> DataFrame:
-    """The last segment, or the whole path where two nodes share it."""
-    last = P.short("path")
-    return s.package.select("snapshot_id", "path").distinct().withColumn("label", F.when(F.count("*").over(Window.partitionBy("snapshot_id", last)) > 1, F.col("path")).otherwise(last))
+    """The last segment, or the whole path where two nodes share it.  Labels are counted, and only those of one path are joined
+    back, by path: a label that most nodes share gathers nothing."""
+    paths = s.package.select("snapshot_id", "path").distinct()
+    single = paths.groupBy("snapshot_id", P.short("path").alias("label")).agg(F.count("*").alias("n"), F.min("path").alias("path")).where("n = 1").drop("n")
+    return paths.join(single, ["snapshot_id", "path"], "left").select("snapshot_id", "path", F.coalesce("label", "path").alias("label"))
 
 
 def node_ids(s: Snapshots) -> DataFrame:
-    return s.package.select("snapshot_id", "path").distinct().withColumn("node", F.concat(F.lit("n"), (F.row_number().over(Window.partitionBy("snapshot_id").orderBy("path")) - 1).cast("string")))
+    """n0, n1, ... in order of paths, numbered within ranges."""
+    own = ranked(s.package.select("snapshot_id", "path").distinct(), ["snapshot_id"], [F.col("path")], "n")
+    return own.select("snapshot_id", "path", F.concat(F.lit("n"), (F.col("n") - 1).cast("string")).alias("node"))
 
 
 def last_wins(df: DataFrame, keys: list[str], pos: str = "pos") -> DataFrame:
@@ -82,35 +88,43 @@ def last_wins(df: DataFrame, keys: list[str], pos: str = "pos") -> DataFrame:
 
 
 def changed_files(lines: DataFrame) -> DataFrame:
-    """lines(diff_id, line_no, text) of unified-0 diffs -> (diff_id, file, lo, hi); an empty hunk is widened to a line."""
-    w = Window.partitionBy("diff_id").orderBy("line_no")
-    file = F.when(F.startswith("text", F.lit("+++ ")), F.regexp_replace(F.substr("text", F.lit(5)), "^b/", ""))
+    """lines(diff_id, line_no, text) of unified-0 diffs -> (diff_id, file, lo, hi); an empty hunk is widened to a line.
+
+    A diff of any size runs over all tasks: the file that a hunk belongs to is carried forward across ranges of lines."""
     hunk = r"^@@ -\d+(?:,\d+)? \+(\d+)(?:,(\d+))? @@"
-    at = lines.withColumn("file", F.last(file, ignorenulls=True).over(w)).where(F.col("text").rlike(hunk))
+    head = F.startswith("text", F.lit("+++ "))
+    own = lines.where(head | F.col("text").rlike(hunk)).select("diff_id", "line_no", F.when(head, F.regexp_replace(F.substr("text", F.lit(5)), "^b/", "")).alias("name"), F.when(~head, F.col("text")).alias("text"))
+    at = running(own, ["diff_id"], [F.col("line_no")], "name", "file").where("text is not null")
     lo, n = F.regexp_extract("text", hunk, 1).cast("int"), F.regexp_extract("text", hunk, 2)
     count = F.when(n == "", 1).otherwise(F.greatest(F.try_to_number(n, F.lit("999999999")).cast("int"), F.lit(1)))
     return at.select("diff_id", "file", lo.alias("lo"), (lo + count - 1).alias("hi"))
 
 
-def touched_spans(spans: DataFrame, ranges: DataFrame, bucket: int = 64) -> DataFrame:
-    """Interval join of spans(key, lo, hi) and ranges(lo, hi) that share ``key`` columns' names besides: both sides are cut
-    into buckets, so that the join is an equi-join whatever the sizes."""
+def touched_spans(spans: DataFrame, ranges: DataFrame) -> DataFrame:
+    """Distinct spans(key, lo, hi) that overlap one of ranges(key, lo, hi); they share ``key`` columns' names.
+
+    No pairs are made.  Ranges by their begin and spans by their end stand in one order; a span is touched if the greatest end of
+    all ranges that begin at or before its end is not before its begin: one scan, a row out for a row in."""
     keys = [c for c in spans.columns if c in ranges.columns and c not in ("lo", "hi")]
-    cells = lambda df: df.withColumn("_c", F.explode(F.sequence(F.floor(F.col("lo") / bucket), F.floor(F.col("hi") / bucket))))
-    r = cells(ranges).select(*keys, "_c", F.col("lo").alias("_lo"), F.col("hi").alias("_hi"))
-    return cells(spans).join(r, [*keys, "_c"]).where("lo <= _hi and _lo <= hi").drop("_c", "_lo", "_hi").distinct()
+    begin = F.struct(*[F.col(c) for c in spans.columns])
+    own = spans.distinct().select(*keys, F.col("hi").cast("long").alias("_at_line"), F.lit(1).alias("_kind"), F.lit(None).cast("long").alias("_end"), begin.alias("_span"))
+    theirs = ranges.where("lo <= hi").groupBy(*keys, "lo").agg(F.max("hi").alias("hi")).select(*keys, F.col("lo").cast("long").alias("_at_line"), F.lit(0).alias("_kind"), F.col("hi").cast("long").alias("_end"), F.lit(None).cast(own.schema["_span"].dataType).alias("_span"))
+    met = running(own.unionByName(theirs), keys, [F.col("_at_line"), F.col("_kind"), F.col("_span")], "_end", "_reach", "max")
+    return met.where("_kind = 1 and _reach >= _span.lo").select("_span.*")
 
 
 def by_suffix(files: DataFrame, names: DataFrame, column: str = "file") -> DataFrame:
     """Pairs of rows whose ``column`` in ``files`` ends with that of names (there called ``name``), by characters: ``b/a.go`` fits
-    ``/x/bb/a.go``.  An equi-join: a name's last segment is looked up among the endings of the files' last segments."""
-    last = F.substring_index(column, "/", -1)
-    endings = F.transform(F.sequence(F.lit(1), F.greatest(F.length(last), F.lit(1))), lambda i: F.substr(last, i))
-    keyed = names.select(*[F.col(c).alias("name" if c == column else c) for c in names.columns]).withColumn("_k", F.substring_index("name", "/", -1))
-    return files.withColumn("_k", F.explode(endings)).join(keyed, "_k").where(F.endswith(column, F.col("name"))).drop("_k")
+    ``/x/bb/a.go``.  An equi-join without anything left to filter: a file is looked up by its last so many characters, for each
+    length that a name has (as many as lengths of paths, at most)."""
+    keyed = names.select(*[F.col(c).alias("name" if c == column else c) for c in names.columns])
+    lengths = sorted(r.n for r in keyed.select(F.length("name").alias("n")).where("n is not null").distinct().collect())
+    ends = F.transform(F.filter(F.array(*[F.lit(n) for n in lengths]).cast("array<int>"), lambda n: n <= F.length(column)), lambda n: F.substr(column, F.length(column) - n + 1, n))
+    return files.withColumn("name", F.explode(ends)).join(keyed, "name").select(*files.columns, *keyed.columns)
 
 
 def touched_functions(functions: DataFrame, changed: DataFrame) -> DataFrame:
     """functions(..., file, lo, hi) that overlap a changed range (file, lo, hi); files are absolute there, relative here."""
-    ranges = changed.select("file", F.col("lo").alias("_lo"), F.col("hi").alias("_hi")).distinct()
-    return by_suffix(functions, ranges).where("lo <= _hi and _lo <= hi").select(*functions.columns).distinct()
+    ranges = changed.select(F.col("file").alias("name"), "lo", "hi").distinct()
+    known = by_suffix(functions, changed.select("file").distinct())
+    return touched_spans(known, ranges).select(*functions.columns).distinct()

@@ -6,7 +6,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..shared import keep
+from ..shared import forget
+from ..shared import written as keep
+from .ranks import ranked
 
 #: Rounds that are read side by side before they are written together.
 ROUNDS_KEPT = 6
@@ -56,60 +58,227 @@ def dependents(pairs: DataFrame, target: str) -> DataFrame:
 
 
 def blast(reach: DataFrame) -> DataFrame:
-    """(snapshot_id, path, blast_radius): transitive dependents of each package, itself excluded."""
+    """(snapshot_id, path, blast_radius): transitive dependents of each package, itself excluded, from a closure."""
     return reach.where("src <> dst").groupBy("snapshot_id", F.col("dst").alias("path")).agg(F.count("*").alias("blast_radius"))
 
 
-def _trimmed(edges: DataFrame) -> DataFrame:
-    """Edges without the nodes that nothing leads to, or that lead nowhere; again and again."""
-    n = edges.count()
+def _heights(edges: DataFrame) -> DataFrame:
+    """(snapshot_id, path, n_in, n_out, a_in, a_out): arrows in and out, and one end of each."""
+    ends = edges.select("snapshot_id", F.explode(F.array(F.struct(F.col("src").alias("path"), F.lit(0).alias("i"), F.lit(1).alias("o"), F.lit(None).cast("string").alias("p"), F.col("dst").alias("s")), F.struct(F.col("dst").alias("path"), F.lit(1).alias("i"), F.lit(0).alias("o"), F.col("src").alias("p"), F.lit(None).cast("string").alias("s")))).alias("e")).select("snapshot_id", "e.*")
+    return ends.groupBy("snapshot_id", "path").agg(F.sum("i").alias("n_in"), F.sum("o").alias("n_out"), F.min("p").alias("a_in"), F.min("s").alias("a_out"))
+
+
+def jumped(pointers: DataFrame, ends: list[str], least: bool = False, add: str | None = None) -> DataFrame:
+    """Pointer jumping: rows (snapshot_id, path, *ends), each end another row's path or a place that is no row's.  Each round takes
+    every end to where its row's end leads, so that distances double, until all lead to places without a row.  Ends that run in a
+    circle stop after as many rounds as the number of rows allows; with ``least``, column ``m`` is then the least path of the
+    circle.  ``add`` names a number that is summed along the first end."""
+    rows, last, n = pointers, None, pointers.count()
+    rounds = max(1, n).bit_length() + 1
+    for _ in range(rounds if n else 0):
+        after = rows
+        for k, end in enumerate(ends):
+            more = ["m"] if least and k == 0 else []
+            more += [add] if add and k == 0 else []
+            onward = rows.select("snapshot_id", F.col("path").alias(end), F.col(end).alias("_to"), *[F.col(c).alias(f"_{c}") for c in more])
+            after = after.join(onward, ["snapshot_id", end], "left")
+            if "m" in more:
+                after = after.withColumn("m", F.least("m", F.coalesce("_m", "m")))
+            if add in more:
+                after = after.withColumn(add, F.col(add) + F.coalesce(f"_{add}", F.lit(0)))
+            after = after.withColumn(f"_moved{k}", F.col("_to").isNotNull()).withColumn(end, F.coalesce("_to", end)).drop("_to", *[f"_{c}" for c in more])
+        moved = F.lit(False)
+        for k in range(len(ends)):
+            moved = moved | F.col(f"_moved{k}")
+        kept = keep(after.withColumn("_moved", moved).select(*pointers.columns, "_moved"))
+        if last is not None:
+            forget(last)
+        rows, last = kept.drop("_moved"), kept
+        if kept.where("_moved").isEmpty():
+            break
+    return rows
+
+
+def _contracted(edges: DataFrame) -> tuple[DataFrame, list[DataFrame], list[DataFrame]]:
+    """What is left of a graph without loops when boxes that nothing leads to, or that lead nowhere, are taken away, and paths of
+    boxes with one arrow in and one out become one arrow; again and again.  A path of any length goes in one round of
+    pointer jumping.  Also (snapshot_id, path, u, x) for each round: boxes of paths from u to x; and (snapshot_id, path, cycle)
+    of rings that stood alone."""
+    paths, rings, n = [], [], edges.count()
     while n:
-        heads, tails = (edges.select("snapshot_id", F.col(c).alias(o)).distinct() for c, o in (("dst", "src"), ("src", "dst")))
-        edges = keep(edges.join(heads, ["snapshot_id", "src"], "left_semi").join(tails, ["snapshot_id", "dst"], "left_semi").select(*_PAIR))
+        at = keep(_heights(edges))
+        ends = at.where("n_in = 0 or n_out = 0").select("snapshot_id", "path")
+        through = keep(at.where("n_in = 1 and n_out = 1").select("snapshot_id", "path", F.col("a_out").alias("x"), F.col("a_in").alias("u"), F.col("path").alias("m")))
+        some = not through.isEmpty()
+        live = edges
+        for end in ("src", "dst"):
+            live = live.join(ends.withColumnRenamed("path", end), ["snapshot_id", end], "left_anti")
+        if some:
+            far = keep(jumped(through, ["x", "u"], least=True))
+            lone = far.join(far.select("snapshot_id", F.col("path").alias("x")), ["snapshot_id", "x"], "left_semi")  # led nowhere: a ring
+            rings.append(keep(lone.select("snapshot_id", "path", F.col("m").alias("cycle"))))
+            on = keep(far.join(lone.select("snapshot_id", "path"), ["snapshot_id", "path"], "left_anti").select("snapshot_id", "path", "u", "x"))
+            paths.append(on)
+            for end in ("src", "dst"):
+                live = live.join(through.select("snapshot_id", F.col("path").alias(end)), ["snapshot_id", end], "left_anti")
+            live = live.select(*_PAIR).unionByName(on.where("u <> x").select("snapshot_id", F.col("u").alias("src"), F.col("x").alias("dst"))).distinct()
+        edges = keep(live.select(*_PAIR))
         left = edges.count()
-        if left == n:
+        if left == n and not some:
             break
         n = left
-    return edges
+    return edges, paths, rings
 
 
-def cycles(pairs: DataFrame) -> DataFrame:
-    """(snapshot_id, path, cycle): members of strongly connected components of two nodes or more; a component is named
-    by its least member.
-
-    Forward and backward colouring, without the closure: nodes in no cycle are trimmed; each other node takes the least
-    name that reaches it; what leads back to a node that kept its own name, through nodes of that name, is its
-    component.  Components leave the graph, and what remains goes round again."""
-    edges = _trimmed(keep(pairs.where("src <> dst").select(*_PAIR).distinct()))
-    found: _Seen | None = None
-    while not edges.isEmpty():
-        nodes = edges.select("snapshot_id", F.col("src").alias("path")).distinct()  # each has an arrow out, or it were trimmed
-        names = keep(nodes.withColumn("cycle", F.col("path")))
-        news = names
-        while not news.isEmpty():
-            told = edges.join(news.withColumnRenamed("path", "src"), ["snapshot_id", "src"]).groupBy("snapshot_id", F.col("dst").alias("path")).agg(F.min("cycle").alias("told"))
-            after = keep(names.join(told, ["snapshot_id", "path"], "left").select("snapshot_id", "path", F.least("cycle", F.coalesce("told", "cycle")).alias("cycle"), (F.col("told") < F.col("cycle")).alias("moved")))
-            names, news = after.drop("moved"), after.where("moved").drop("moved")
-        name = lambda end, c: names.select("snapshot_id", F.col("path").alias(end), F.col("cycle").alias(c))
-        within = keep(edges.join(name("src", "cs"), ["snapshot_id", "src"]).join(name("dst", "cd"), ["snapshot_id", "dst"]).where("cs = cd").select(*_PAIR, F.col("cs").alias("cycle")))
-        new = keep(names.where("path = cycle"))
-        mine = _Seen(new)
-        while not new.isEmpty():
-            back = within.join(new.select("snapshot_id", "cycle", F.col("path").alias("dst")), ["snapshot_id", "cycle", "dst"]).select("snapshot_id", F.col("src").alias("path"), "cycle").distinct()
-            new = keep(back.join(mine.all(), ["snapshot_id", "path"], "left_anti"))
-            mine.add(new)
-        done = keep(mine.all())
-        found = _Seen(done) if found is None else found
-        if found.rounds[0] is not done:
-            found.add(done)
+def _coloured(edges: DataFrame) -> DataFrame:
+    """(snapshot_id, path, cycle) of components by forward and backward colouring: each box takes the least name that reaches it;
+    what leads back to a box that kept its own name, through boxes of that name, is its component.  Components leave the
+    graph, and what remains is contracted by its caller."""
+    nodes = edges.select("snapshot_id", F.col("src").alias("path")).distinct()  # each has an arrow out, or it were taken away
+    names = keep(nodes.withColumn("cycle", F.col("path")))
+    news = names
+    while not news.isEmpty():
+        told = edges.join(news.withColumnRenamed("path", "src"), ["snapshot_id", "src"]).groupBy("snapshot_id", F.col("dst").alias("path")).agg(F.min("cycle").alias("told"))
+        after = keep(names.join(told, ["snapshot_id", "path"], "left").select("snapshot_id", "path", F.least("cycle", F.coalesce("told", "cycle")).alias("cycle"), (F.col("told") < F.col("cycle")).alias("moved")))
+        names, news = after.drop("moved"), after.where("moved").drop("moved")
+    name = lambda end, c: names.select("snapshot_id", F.col("path").alias(end), F.col("cycle").alias(c))
+    within = keep(edges.join(name("src", "cs"), ["snapshot_id", "src"]).join(name("dst", "cd"), ["snapshot_id", "dst"]).where("cs = cd").select(*_PAIR, F.col("cs").alias("cycle")))
+    new = keep(names.where("path = cycle"))
+    mine = _Seen(new)
+    while not new.isEmpty():
+        back = within.join(new.select("snapshot_id", "cycle", F.col("path").alias("dst")), ["snapshot_id", "cycle", "dst"]).select("snapshot_id", F.col("src").alias("path"), "cycle").distinct()
+        new = keep(back.join(mine.all(), ["snapshot_id", "path"], "left_anti"))
+        mine.add(new)
+    return keep(mine.all())
+
+
+def components(pairs: DataFrame) -> DataFrame:
+    """(snapshot_id, path, cycle): members of strongly connected components of two nodes or more, named by some member.
+
+    Without the closure: the graph is contracted, what is left is coloured, and what that leaves goes round again.  A
+    contracted path belongs to a component if both its ends belong to it, which is told from the last round back."""
+    edges = keep(pairs.where("src <> dst").select(*_PAIR).distinct())
+    paths: list[DataFrame] = []
+    found = [edges.select("snapshot_id", F.col("src").alias("path"), F.col("src").alias("cycle")).limit(0)]
+    while True:
+        edges, more, rings = _contracted(edges)
+        paths += more
+        found += rings
+        if edges.isEmpty():
+            break
+        done = _coloured(edges)
+        found.append(done)
         for end in ("src", "dst"):
+            # Arrows between components end here: what paths stand for needs both ends in one.
             edges = edges.join(done.select("snapshot_id", F.col("path").alias(end)), ["snapshot_id", end], "left_anti")
-        edges = _trimmed(keep(edges.select(*_PAIR)))
-    if found is None:
-        return pairs.select("snapshot_id", F.col("src").alias("path"), F.col("src").alias("cycle")).limit(0)
-    every = found.all()
-    several = every.groupBy("snapshot_id", "cycle").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    return every.join(several, ["snapshot_id", "cycle"], "left_semi").select("snapshot_id", "path", "cycle")
+        edges = keep(edges.select(*_PAIR))
+    whole = found[0]
+    for x in found[1:]:
+        whole = whole.unionByName(x)
+    whole = keep(whole.distinct())
+    for on in reversed(paths):
+        # A box that a path leaves and comes back to is in a component, if by that path alone.
+        lone = on.where("u = x").select("snapshot_id", F.col("u").alias("path")).distinct().join(whole, ["snapshot_id", "path"], "left_anti")
+        whole = keep(whole.unionByName(lone.withColumn("cycle", F.col("path"))))
+        of = lambda end, c: whole.select("snapshot_id", F.col("path").alias(end), F.col("cycle").alias(c))  # noqa: E731, B023
+        inside = on.join(of("u", "cu"), ["snapshot_id", "u"]).join(of("x", "cx"), ["snapshot_id", "x"]).where("cu = cx")
+        whole = keep(whole.unionByName(inside.select("snapshot_id", "path", F.col("cu").alias("cycle"))))
+    several = whole.groupBy("snapshot_id", "cycle").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    return whole.join(several, ["snapshot_id", "cycle"], "left_semi").select("snapshot_id", "path", "cycle")
+
+
+def cycles(pairs: DataFrame) -> DataFrame:
+    """(snapshot_id, path, cycle): ``components``, each named by its least member."""
+    found = keep(components(pairs))
+    least = found.groupBy("snapshot_id", "cycle").agg(F.min("path").alias("least"))
+    return found.join(least, ["snapshot_id", "cycle"]).select("snapshot_id", "path", F.col("least").alias("cycle"))
+
+
+#: Boxes of one word of a set.
+_WORD = 64
+
+
+def blast_radius(pairs: DataFrame, cycle: DataFrame | None = None) -> DataFrame:
+    """(snapshot_id, path, blast_radius) of boxes that others depend on, without all pairs.
+
+    Components are one box each, whose members share all.  In the acyclic rest, a box with one arrow in has what that box
+    has and it: such boxes are counted along their chains by pointer jumping.  Only where arrows meet are sets needed: bits
+    in words, numbered along the chains, that move to where a chain meets the next until nothing is new."""
+    S = "snapshot_id"
+    cycle = keep(cycles(pairs) if cycle is None else cycle)
+    edges = pairs.where("src <> dst").select(*_PAIR).distinct()
+    for end in ("src", "dst"):
+        edges = edges.join(cycle.select(S, F.col("path").alias(end), F.col("cycle").alias(f"c_{end}")), [S, end], "left")
+    edges = keep(edges.select(S, F.coalesce("c_src", "src").alias("src"), F.coalesce("c_dst", "dst").alias("dst")).where("src <> dst").distinct())
+    big = cycle.groupBy(S, F.col("cycle").alias("path")).agg(F.count("*").alias("size"))
+    at = keep(_heights(edges).join(big, [S, "path"], "left").select(S, "path", "n_in", "a_in", F.coalesce("size", F.lit(1)).alias("size")))
+    sizes = at.select(S, F.col("path").alias("up"), F.col("size").alias("above"))
+    # (path, up, above): the nearest box further up with none or several arrows in, and the boxes from there on, itself included.
+    chains = at.where("n_in = 1").select(S, "path", F.col("a_in").alias("up")).join(sizes, [S, "up"])
+    steps = keep(chains.select(S, "path", "up", "above", F.lit(1).cast("long").alias("deep")))
+    far = keep(_summed(steps))
+    met = keep(at.where("n_in > 1").select(S, "path"))
+    counted = at.where("n_in = 0").select(S, "path", F.lit(0).cast("long").alias("radius"))
+    if not met.isEmpty():
+        counted = keep(counted.unionByName(_met_counts(edges, at, steps, far, met)))
+    below = far.join(counted.select(S, F.col("path").alias("up"), "radius"), [S, "up"]).select(S, "path", (F.col("above") + F.col("radius")).alias("radius"))
+    every = counted.unionByName(below)
+    boxes = every.join(cycle.select(S, F.col("cycle").alias("path"), F.col("path").alias("member")), [S, "path"], "left").join(big, [S, "path"], "left")
+    of_boxes = boxes.select(S, F.coalesce("member", "path").alias("path"), (F.col("radius") + F.coalesce("size", F.lit(1)) - 1).alias("blast_radius"))
+    # Components that no arrow leads to or from.
+    alone = cycle.join(at.select(S, F.col("path").alias("cycle")), [S, "cycle"], "left_anti").join(big.withColumnRenamed("path", "cycle"), [S, "cycle"]).select(S, "path", (F.col("size") - 1).alias("blast_radius"))
+    return of_boxes.unionByName(alone).where("blast_radius > 0")
+
+
+def _summed(steps: DataFrame) -> DataFrame:
+    """(snapshot_id, path, up, above, deep): where chains begin, with the sums on the way there."""
+    both = steps.select("snapshot_id", "path", "up", F.struct("above", "deep").alias("w"))
+    rows, last, n = both, None, both.count()
+    while n:
+        onward = rows.select("snapshot_id", F.col("path").alias("up"), F.col("up").alias("to"), F.col("w").alias("v"))
+        after = rows.join(onward, ["snapshot_id", "up"], "left")
+        w = F.struct((F.col("w.above") + F.coalesce("v.above", F.lit(0))).alias("above"), (F.col("w.deep") + F.coalesce("v.deep", F.lit(0))).alias("deep"))
+        kept = keep(after.select("snapshot_id", "path", F.coalesce("to", "up").alias("up"), w.alias("w"), F.col("to").isNotNull().alias("moved")))
+        if last is not None:
+            forget(last)
+        rows, last = kept.drop("moved"), kept
+        if kept.where("moved").isEmpty():
+            break
+    return rows.select("snapshot_id", "path", "up", "w.above", "w.deep")
+
+
+def _met_counts(edges: DataFrame, at: DataFrame, steps: DataFrame, far: DataFrame, met: DataFrame) -> DataFrame:
+    """(snapshot_id, path, radius) of the boxes at which arrows meet."""
+    S = "snapshot_id"
+    # Boxes of one chain, in order, have neighbouring numbers.
+    placed = at.select(S, "path", "size").join(far.select(S, "path", "up", "deep"), [S, "path"], "left").select(S, "path", "size", F.coalesce("up", "path").alias("up"), F.coalesce("deep", F.lit(0)).alias("deep"))
+    number = keep(ranked(placed, [S], [F.col("up"), F.col("deep"), F.col("path")], "id").select(S, "path", "size", (F.col("id") - 1).alias("id")))
+    into = edges.join(met.select(S, F.col("path").alias("dst")), [S, "dst"], "left_semi").select(S, F.col("dst").alias("path"), F.col("src").alias("at"))
+    # All boxes on the chains that end at a meeting: those found so far, and where as many steps more lead.
+    seen, jump = keep(into), steps.select(S, F.col("path").alias("at"), F.col("up").alias("to"))
+    while not jump.isEmpty():
+        more = seen.join(jump, [S, "at"]).select(S, "path", F.col("to").alias("at"))
+        both = keep(seen.unionByName(more).distinct())
+        jump = keep(jump.join(jump.select(S, F.col("at").alias("to"), F.col("to").alias("next")), [S, "to"]).select(S, "at", F.col("next").alias("to")))
+        seen = both
+    bit = F.expr(f"shiftleft(1L, cast(pmod(id, {_WORD}) as int))")
+    words = lambda df: df.groupBy(S, "path", "word").agg(F.bit_or("bits").alias("bits"))
+    own = words(seen.join(number.select(S, F.col("path").alias("at"), "id"), [S, "at"]).select(S, "path", F.floor(F.col("id") / _WORD).alias("word"), bit.alias("bits")))
+    begins = into.join(far.select(S, F.col("path").alias("at"), "up"), [S, "at"], "left").select(S, "path", F.coalesce("up", "at").alias("up"))
+    onward = keep(begins.join(met.withColumnRenamed("path", "up"), [S, "up"], "left_semi").select(S, F.col("up").alias("path"), F.col("path").alias("next")).distinct())
+    have = new = keep(own)
+    while True:
+        told = words(new.join(onward, [S, "path"]).select(S, F.col("next").alias("path"), "word", "bits"))
+        fresh = told.join(have.withColumnRenamed("bits", "old"), [S, "path", "word"], "left").withColumn("bits", F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce("old", F.lit(0).cast("long"))))).where("bits <> 0").select(S, "path", "word", "bits")
+        new = keep(fresh)
+        if new.isEmpty():
+            break
+        have = keep(words(have.unionByName(new)))
+    # A component counts with all its members.
+    heavy = number.where("size > 1").select(S, F.floor(F.col("id") / _WORD).alias("word"), bit.alias("bit"), (F.col("size") - 1).alias("extra"))
+    plain = have.groupBy(S, "path").agg(F.sum(F.bit_count("bits")).alias("radius"))
+    extra = have.join(heavy, [S, "word"]).where("(bits & bit) <> 0").groupBy(S, "path").agg(F.sum("extra").alias("extra"))
+    return plain.join(extra, [S, "path"], "left").select(S, "path", (F.col("radius") + F.coalesce("extra", F.lit(0))).alias("radius"))
 
 
 def hops(calls: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:

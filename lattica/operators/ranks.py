@@ -55,3 +55,30 @@ def ranked(df: DataFrame, by: list[str], order: list[Column], name: str = "rank"
     # A range's first group is the one whose first row is the range's first.
     first = F.col("_at") - F.col(name) + 1 == F.shiftleft(F.col("_part").cast("long"), _IN_RANGE)
     return out.withColumn(name, F.col(name) + F.when(first, F.coalesce("_base", F.lit(0))).otherwise(0)).select(*df.columns, name)
+
+
+def running(df: DataFrame, by: list[str], order: list[Column], column: str, name: str, how: str = "last") -> DataFrame:
+    """``df`` with the last value of ``column`` that is not null, or the greatest (``how``: last, max), at or before each row
+    of its group.  Each range scans its own rows; what earlier ranges leave to its first group is one value a range."""
+    s = in_ranges(df, by, order)
+    own = Window.partitionBy("_part", *by).orderBy("_at")
+    best = F.max_by(column, F.when(F.col(column).isNotNull(), F.col("_at"))) if how == "last" else F.max(column)
+    told = s.groupBy("_part", *by).agg(F.min("_at").alias("_first"), best.alias("_v"))
+    group = F.struct(*by) if by else F.lit(0)
+    ends = told.groupBy("_part").agg(F.min_by(group, "_first").alias("first"), F.max_by(group, "_first").alias("last"), F.max_by(F.struct("_v"), "_first").alias("tail"), F.count("*").alias("groups")).collect()
+    carry, before, last, any_yet = [], None, None, False
+    for r in sorted(ends, key=lambda r: r["_part"]):
+        passed = before if any_yet and r["first"] == last else None
+        if passed is not None:
+            carry.append((r["_part"], passed))
+        tail = r["tail"]["_v"]
+        if r["groups"] == 1 and passed is not None:
+            tail = passed if tail is None else tail if how == "last" else max(passed, tail)
+        before, last, any_yet = tail, r["last"], True
+    kind = df.schema[column].dataType.simpleString()
+    given = df.sparkSession.createDataFrame(carry, f"_part int, _carry {kind}")
+    here = F.last(column, ignorenulls=True).over(own) if how == "last" else F.max(column).over(own)
+    out = s.withColumn("_here", here).withColumn("_head", F.min("_at").over(Window.partitionBy("_part", *by))).join(F.broadcast(given), "_part", "left")
+    passed = F.when(F.col("_head") == F.shiftleft(F.col("_part").cast("long"), _IN_RANGE), F.col("_carry"))
+    value = F.coalesce("_here", passed) if how == "last" else F.greatest("_here", passed)
+    return out.withColumn(name, value).select(*df.columns, name)

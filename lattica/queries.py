@@ -15,7 +15,8 @@ from .operators import metrics as me
 from .plans import distance as pd
 from .projections import trade, trade_sql
 from .schema import Snapshots
-from .sources import golang, usage
+from .shared import written
+from .sources import expressions, golang, types, usage
 
 QUERIES, ORACLE = {}, {}
 
@@ -402,12 +403,12 @@ def gr_dependents(s, _):
 
 @query("SELECT sid, dst AS path, count(*) AS blast_radius FROM reach WHERE src <> dst GROUP BY ALL")
 def gr_all_blast(s, _):
-    return gr.blast(gr.closure(flt.dep_pairs(s)))
+    return gr.blast_radius(flt.dep_pairs(s))
 
 
 @query("SELECT a.sid, a.src AS path, least(a.src, min(a.dst)) AS cycle FROM reach a JOIN reach b ON a.sid = b.sid AND a.src = b.dst AND a.dst = b.src WHERE a.src <> a.dst GROUP BY a.sid, a.src")
 def gr_scc(s, _):
-    return gr.cycles(gr.closure(flt.dep_pairs(s)))
+    return gr.cycles(flt.dep_pairs(s))
 
 
 @query("""SELECT sid, path, min(hop)::INT AS hop FROM (SELECT sid, 'tpch/ASIA/p2/u0' AS path, 0 AS hop FROM dep UNION ALL SELECT sid, n, 1 FROM und WHERE m = 'tpch/ASIA/p2/u0' UNION ALL SELECT x.sid, y.n, 2 FROM und x JOIN und y ON x.sid = y.sid AND x.n = y.m WHERE x.m = 'tpch/ASIA/p2/u0') GROUP BY ALL""".replace("SELECT sid, path, min", ", und AS (SELECT sid, src AS m, dst AS n FROM dep UNION SELECT sid, dst, src FROM dep) SELECT sid, path, min", 1))
@@ -714,6 +715,118 @@ def _go_flow(facts, use):
 _go_query("ext_events", _go_flow, "f AS (SELECT * FROM (VALUES ('Tock', 'direct'), ('Done', 'indirect')) v(x, mode)) SELECT 'tpch/p' || k || '.Tick' AS src, 'tpch/p' || k || '.' || x AS dst, mode FROM g, f")
 
 
+# Sources in which types embed one another across packages: T of package k embeds T of k / 3, U embeds that and U of k / 2, so that
+# the same names come from several depths, and some twice from one.
+_CHAIN = """package pKEY
+
+import (
+	"flag"
+	THIRDIMPORT
+	HALFIMPORT
+)
+
+type T struct {
+	THIRDEMBED
+}
+
+func (t *T) MKIND() {}
+
+func (t *T) PKEY() {}
+
+type U struct {
+	THIRDVALUE
+	HALFEMBED
+}
+
+func (u *U) NSIZE() {}
+
+ABOVE
+
+type Box struct {
+	u *U
+	many []*U
+}
+
+func New() (*Box, error) { return &Box{u: &U{}}, nil }
+
+func (x *Box) Up() *U { return x.u }
+
+func Run() {
+	b, err := New()
+	b.u.N0()
+	b.Up().M1()
+	b.many[0].N2()
+	for _, y := range b.many {
+		y.M3()
+	}
+	set := flag.NewFlagSet("all", flag.ExitOnError)
+	set.Int("kSIZE", 1, "")
+}
+"""
+
+
+def _chain_files(spark, d):
+    k = F.col("p_partkey")
+    third, half = F.floor(k / 3).cast("string"), F.floor(k / 2).cast("string")
+    text = F.lit(_CHAIN)
+    for word, value in (
+        ("THIRDIMPORT", F.when(k >= 3, F.concat(F.lit('a "tpch/p'), third, F.lit('"'))).otherwise("")),
+        ("HALFIMPORT", F.when(k >= 2, F.concat(F.lit('b "tpch/p'), half, F.lit('"'))).otherwise("")),
+        ("THIRDEMBED", F.when(k >= 3, "*a.T").otherwise("")),
+        ("THIRDVALUE", F.when(k >= 3, "a.T").otherwise("")),
+        ("HALFEMBED", F.when(k >= 2, "b.U").otherwise("")),
+        ("ABOVE", F.when((k >= 3) & (k % 10 == 0), F.concat(F.lit("type Above interface {\n\tP"), third, F.lit("()\n}"))).otherwise("")),
+        ("MKIND", F.concat(F.lit("M"), (k % 5).cast("string"))),
+        ("SIZE", (F.col("p_size") % 4).cast("string")),
+        ("KEY", k.cast("string")),
+    ):
+        text = F.replace(text, F.lit(word), value)
+    return spark.read.parquet(f"{d}/part.parquet").select(F.concat(F.lit("/p"), k, F.lit("/a.go")).alias("path"), text.cast("binary").alias("content"))
+
+
+_MEMBERS = """WITH RECURSIVE g AS (SELECT p_partkey AS k, p_size % 4 AS z FROM part),
+e AS (SELECT 'T' AS t, k, 'T' AS u, k // 3 AS o FROM g WHERE k >= 3 UNION ALL SELECT 'U', k, 'T', k // 3 FROM g WHERE k >= 3 UNION ALL SELECT 'U', k, 'U', k // 2 FROM g WHERE k >= 2),
+paths AS (SELECT unnest(['T', 'U']) AS rt, k AS r, unnest(['T', 'U']) AS t, k, 0 AS depth FROM g UNION ALL SELECT p.rt, p.r, e.u, e.o, p.depth + 1 FROM paths p JOIN e ON e.t = p.t AND e.k = p.k),
+reach AS (SELECT rt, r, t, k, depth, count(*) AS n FROM paths GROUP BY rt, r, t, k, depth QUALIFY depth = min(depth) OVER (PARTITION BY rt, r, t, k)),
+own AS (SELECT 'T' AS t, k, unnest(['M' || k % 5, 'P' || k]) AS name FROM g UNION ALL SELECT 'U', k, 'N' || z FROM g),
+met AS (SELECT rt, r, name, depth, sum(n) AS n, any_value(t) AS t, any_value(k) AS k FROM reach JOIN own USING (t, k) GROUP BY rt, r, name, depth QUALIFY depth = min(depth) OVER (PARTITION BY rt, r, name)),
+members AS (SELECT rt, r, name, t, k, depth FROM met WHERE n = 1) """
+
+
+def ext_members(spark, d):
+    """Methods of all types through embedding, their declaring type and depth."""
+    shapes = written(expressions.of_files(_chain_files(spark, d), "tpch").withColumn("snapshot_id", F.lit("A")))
+    flat, _ = types.interface_methods(shapes)
+    own = types.members(shapes, flat).where("kind = 'method'").where(types.short("type").isin("T", "U"))
+    return own.select("type", "name", "owner", "depth")
+
+
+QUERIES["ext_members"], ORACLE["ext_members"] = ext_members, _MEMBERS + "SELECT 'tpch/p' || r || '.' || rt AS type, name, 'tpch/p' || k || '.' || t AS owner, depth FROM members"
+
+
+def ext_typed_calls(spark, d):
+    """Calls on fields, results, elements and embedded types."""
+    files = _chain_files(spark, d)
+    return usage.call_graph(usage.rows_of_files(files), golang.rows_of_files(files), "tpch", "A", expressions.of_files(files, "tpch"))[1].select("src", "dst")
+
+
+_RUN = "SELECT 'tpch/p' || r || '.Run' AS src, 'tpch/p' || k || '.' || t || '.' || name AS dst FROM members WHERE rt = 'U' AND name IN ('N0', 'M1', 'N2', 'M3')"
+QUERIES["ext_typed_calls"], ORACLE["ext_typed_calls"] = ext_typed_calls, _MEMBERS + _RUN + " UNION ALL SELECT 'tpch/p' || k || '.Run', 'tpch/p' || k || '.' || unnest(['New', 'Box.Up']) FROM g"
+
+
+def ext_typed_edges(spark, d):
+    """Witnesses of calls, flags and implemented interfaces that take types to find."""
+    files = _chain_files(spark, d)
+    s = golang.snapshot(golang.rows_of_files(files), "tpch", "A", expressions.of_files(files, "tpch"))
+    return s.witness.where("kind in ('call', 'implements', 'config')").select("src", "kind", "dst", "witness")
+
+
+QUERIES["ext_typed_edges"] = ext_typed_edges
+ORACLE["ext_typed_edges"] = _MEMBERS + """SELECT 'tpch/p' || r AS src, 'call' AS kind, 'tpch/p' || k AS dst, t || '.' || name AS witness FROM members WHERE rt = 'U' AND name IN ('N0', 'M1', 'N2', 'M3') AND r <> k
+UNION ALL SELECT 'tpch/p' || r, 'implements', 'tpch/p' || w.k, rt || ' |= Above' FROM members m JOIN g w ON w.k >= 3 AND w.k % 10 = 0 AND name = 'P' || w.k // 3
+UNION ALL SELECT 'tpch/p' || k, 'config', 'flag:k' || z, 'define@a.go' FROM g"""
+
+
 # Queries over the other tables
 
 

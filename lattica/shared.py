@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,3 +30,23 @@ def keep(df: DataFrame) -> DataFrame:
     """``df``, computed once and kept in the shared folder: later reads survive a lost executor."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the shared folder, for rounds of a loop: a plan over it knows its true size, while that of
+    a checkpoint is estimated from all rounds before and grows without end."""
+    spark = df.sparkSession
+    at = f"{shared_dir(spark)}/lattica-round-{uuid.uuid4().hex}"
+    df.write.parquet(at)
+    out = spark.read.schema(df.schema).parquet(at)
+    out._lattica_at = at
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Removes tables of ``written`` that nothing reads any more."""
+    for t in tables:
+        if at := getattr(t, "_lattica_at", None):
+            jvm = t.sparkSession.sparkContext._jvm
+            path = jvm.org.apache.hadoop.fs.Path(at)
+            path.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -1,8 +1,8 @@
 """Facts from Go sources, without a Go toolchain.
 
 ``scan`` reads ``.go`` files on the executors and lexes each into fact rows (``mapInPandas``); everything after that is
-relational.  References are resolved by a file's import names: exact for ``pkg.Func``, blind to method calls on
-values and to types from inference (a graph document from a typed extractor is the exact path).
+relational.  Given rows of ``expressions`` as well, method sets follow embedding, and calls and tests are resolved by the types of
+expressions (``types``).  Types of other modules are known by name alone.
 """
 
 from __future__ import annotations
@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from ..functions import paths as P
 from ..schema import Snapshots
+from ..shared import written as keep
+from . import types
 
 FACT = "file string, dir string, test boolean, fact string, a string, b string, c string"
 
@@ -170,10 +172,29 @@ def _literal(arg: str) -> str:
     return "".join(p[1:-1] for p in parts[::2])
 
 
+def sources(spark: SparkSession, root: str) -> DataFrame:
+    """(path, content) of all Go files under a folder; paths are relative to it."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.go").option("recursiveFileLookup", True).load(root)
+    base = re.sub(r"^file:/+", "/", root.rstrip("/"))
+    own = F.regexp_replace("path", "^file:/+", "/")
+    return files.select(F.ltrim(F.when(F.startswith(own, F.lit(base)), F.substr(own, F.lit(len(base) + 1))).otherwise(own), F.lit("/")).alias("path"), "content").where(built("path"))
+
+
+def built(path):
+    """Whether the toolchain takes files at this relative path for packages of the module."""
+    folders = F.concat(F.lit("/"), F.regexp_replace(path, "[^/]*$", ""))
+    return ~folders.rlike("/(testdata|vendor|[._][^/]*)/") & ~F.substring_index(path, "/", -1).rlike("^[._]")
+
+
+def placed_files(paths) -> dict:
+    """dir, file and test of a relative path."""
+    name = F.substring_index(paths, "/", -1)
+    return {"dir": F.when(F.contains(paths, F.lit("/")), F.regexp_replace(paths, "/[^/]*$", "")).otherwise(""), "file": name, "test": F.endswith(name, F.lit("_test.go"))}
+
+
 def scan(spark: SparkSession, root: str) -> DataFrame:
     """Fact rows of all Go files under a folder."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.go").option("recursiveFileLookup", True).load(root)
-    return rows_of_files(files.select("path", "content"), re.sub(r"^file:/+", "/", root.rstrip("/")))
+    return rows_of_files(sources(spark, root))
 
 
 def rows_of_files(files: DataFrame, base: str = "") -> DataFrame:
@@ -198,28 +219,62 @@ def module_of(spark: SparkSession, root: str) -> str:
     return row.m if row else ""
 
 
-def snapshot(rows: DataFrame, module: str, snapshot_id: str) -> Snapshots:
-    """The snapshot tables of fact rows."""
-    spark, m = rows.sparkSession, F.lit(module)
-    f = rows.withColumn("path", F.when(F.col("dir") == "", m).otherwise(F.concat_ws("/", m, "dir")))
+def snapshot(rows: DataFrame, module: str, snapshot_id: str, shapes: DataFrame | None = None) -> Snapshots:
+    """The snapshot tables of fact rows; ``shapes`` are the ``expressions`` rows of the same files (key: the path)."""
+    spark, lit = rows.sparkSession, F.lit(snapshot_id).alias("snapshot_id")
+    modules = spark.createDataFrame([(snapshot_id, module, "")], "snapshot_id string, module string, commit string")
+    return snapshots(rows.select(lit, "*"), modules, shapes if shapes is None else shapes.select(lit, "*"))
+
+
+def package_path(module, folder):
+    return F.when(folder == "", module).otherwise(F.concat_ws("/", module, folder))
+
+
+def snapshots(rows: DataFrame, modules: DataFrame, shapes: DataFrame | None = None) -> Snapshots:
+    """The tables of any number of snapshots: fact rows with ``snapshot_id``, modules(snapshot_id, module, commit), and
+    typed rows of the same snapshots (``types.placed``).  Without those, methods are known by what a type
+    declares, and calls and tests by package names alone."""
+    spark, S = rows.sparkSession, "snapshot_id"
+    f = rows.join(modules.select(S, "module"), S).withColumn("path", package_path(F.col("module"), F.col("dir"))).drop("module")
     code = f.where("not test")
     exported = lambda c: F.col(c).rlike("^[A-Z]")
-    imports = code.where("fact = 'import'").select("path", "file", F.col("a").alias("target"), F.col("b").alias("alias"))
-    own = code.select("path").distinct()
+    imports = code.where("fact = 'import'").select(S, "path", "file", F.col("a").alias("target"), F.col("b").alias("alias"))
+    own = code.select(S, "path").distinct()
 
     def arrows(df: DataFrame, kind: str, dst, witness) -> DataFrame:
-        return df.select(F.col("path").alias("src"), F.lit(kind).alias("kind"), dst.alias("dst"), witness.alias("witness")).distinct()
+        return df.select(S, F.col("path").alias("src"), F.lit(kind).alias("kind"), dst.alias("dst"), witness.alias("witness")).distinct()
 
     at = lambda role: F.concat(F.lit(f"{role}@"), F.col("file"))
-    funcs = code.where("fact = 'func'").select("path", F.col("a").alias("name"), F.col("b").alias("recv"), F.col("c").alias("sig"))
-    use = code.where("fact = 'use'").select("path", "file", F.col("a").alias("alias"), F.col("b").alias("name")).join(imports, ["path", "file", "alias"])
-    free = funcs.where("recv = ''").where(exported("name")).select(F.col("path").alias("target"), "name")
-    call = arrows(use.join(free, ["target", "name"], "left_semi"), "call", F.col("target"), F.col("name"))
-    calls = code.where("fact = 'call'").select("path", "file", F.split("a", r"\.")[0].alias("alias"), F.split("a", r"\.")[1].alias("name"), F.col("b").alias("x"), F.col("c").alias("y"))
-    known = calls.join(imports, ["path", "file", "alias"])
-    key = F.when(F.col("name").isin(*FLAG_KEY_FIRST), F.col("x")).when(F.col("name").isin(*FLAG_KEY_SECOND), F.col("y"))
+    funcs = code.where("fact = 'func'").select(S, "path", F.col("a").alias("name"), F.col("b").alias("recv"), F.col("c").alias("sig"))
+    calls = code.where("fact = 'call'").select(S, "path", "file", F.split("a", r"\.")[0].alias("alias"), F.split("a", r"\.")[1].alias("name"), F.col("b").alias("x"), F.col("c").alias("y"))
+    known = calls.join(imports, [S, "path", "file", "alias"])
     env = arrows(known.where("target = 'os' and name in ('Getenv', 'LookupEnv') and x <> ''"), "config", F.concat(F.lit("env:"), F.col("x")), at("read"))
-    flag = arrows(known.where("target = 'flag'").withColumn("k", key).where("k <> ''"), "config", F.concat(F.lit("flag:"), F.col("k")), at("define"))
+    flags = known.where("target = 'flag'").select(S, "path", "file", "name", "x", "y")
+    kinds = code.where("fact = 'type'").select(S, "path", F.col("a").alias("name"), F.col("b").alias("kind"))
+    sets = code.where("fact = 'method'").select(S, F.col("path").alias("ipath"), F.col("a").alias("iface"), F.col("b").alias("name"), F.col("c").alias("sig")).where(exported("iface"))
+    if shapes is None:
+        use = code.where("fact = 'use'").select(S, "path", "file", F.col("a").alias("alias"), F.col("b").alias("name")).join(imports, [S, "path", "file", "alias"])
+        free = funcs.where("recv = ''").where(exported("name")).select(S, F.col("path").alias("target"), "name")
+        call = arrows(use.join(free, [S, "target", "name"], "left_semi"), "call", F.col("target"), F.col("name"))
+        wanted = sets.groupBy(S, "ipath", "iface").agg(F.count("*").alias("n"))
+        # A type implements an interface if it has all of its methods: relational division by counting.
+        has = funcs.where("recv <> ''").where(exported("recv")).join(sets, [S, "name", "sig"]).groupBy(S, "path", "recv", "ipath", "iface").agg(F.count_distinct("name").alias("k")).join(wanted, [S, "ipath", "iface"]).where("k = n")
+        impl = has.select(S, F.col("path").alias("src"), F.lit("implements").alias("kind"), F.col("ipath").alias("dst"), F.concat_ws(" |= ", "recv", "iface").alias("witness"))
+        ifaces = sets.select(S, F.concat_ws(".", "ipath", "iface").alias("id")).distinct()
+    else:
+        shapes = keep(shapes)
+        flat, strange = (keep(x) for x in types.interface_methods(shapes))
+        inside = keep(types.members(shapes, flat))
+        typed = keep(types.propagate(shapes, inside))
+        refs = types.references(shapes.where("not test"), typed).where(exported("name") & (F.col("pkg") != F.col("target")))
+        seen = refs.join(own.withColumnRenamed("path", "target"), [S, "target"], "left_semi").withColumnRenamed("pkg", "path")
+        call = arrows(seen, "call", F.col("target"), F.when(F.col("recv") == "", F.col("name")).otherwise(F.concat_ws(".", "recv", "name")))
+        done = types.implements(shapes, flat, strange, inside)
+        impl = done.select(S, types.package_of("type").alias("src"), F.lit("implements").alias("kind"), types.package_of("iface").alias("dst"), F.concat_ws(" |= ", types.short("type"), types.short("iface")).alias("witness"))
+        ifaces = flat.where(types.short("iface").rlike("^[A-Z]")).select(S, F.col("iface").alias("id")).distinct()
+        flags = flags.unionByName(types.flag_names(shapes.where("not test"), typed).select(S, F.col("pkg").alias("path"), "file", "name", "x", "y"))
+    key = F.when(F.col("name").isin(*FLAG_KEY_FIRST), F.col("x")).when(F.col("name").isin(*FLAG_KEY_SECOND), F.col("y"))
+    flag = arrows(flags.withColumn("k", key).where("k <> ''"), "config", F.concat(F.lit("flag:"), F.col("k")), at("define"))
     verb = F.upper("name").isin(*HTTP_VERBS) & F.startswith("x", F.lit("/"))
     cut = F.split(F.trim("x"), r"\s+", 2)
     handle = F.col("name").isin("Handle", "HandleFunc") & cut[0].isin(*HTTP_VERBS) & F.startswith(F.get(cut, F.lit(1)), F.lit("/"))
@@ -231,47 +286,49 @@ def snapshot(rows: DataFrame, module: str, snapshot_id: str) -> Snapshots:
     t = F.col("target")
     cap = F.when(t.isin("unsafe", "reflect", "plugin"), t).when(t == "os/exec", "exec").when((t == "syscall") | F.startswith(t, F.lit("golang.org/x/sys")), "syscall").when((t == "net") | F.startswith(t, F.lit("net/")), "net")
     capability = arrows(imports.withColumn("cap", cap).where("cap is not null"), "capability", F.concat(F.lit("cap:"), F.col("cap")), at("import"))
-    kinds = code.where("fact = 'type'").select("path", F.col("a").alias("name"), F.col("b").alias("kind"))
-    sets = code.where("fact = 'method'").select(F.col("path").alias("ipath"), F.col("a").alias("iface"), F.col("b").alias("name"), F.col("c").alias("sig")).where(exported("iface"))
-    wanted = sets.groupBy("ipath", "iface").agg(F.count("*").alias("n"))
-    # A type implements an interface if it has all of its methods: relational division by counting.
-    has = funcs.where("recv <> ''").where(exported("recv")).join(sets, ["name", "sig"]).groupBy("path", "recv", "ipath", "iface").agg(F.count_distinct("name").alias("k")).join(wanted, ["ipath", "iface"]).where("k = n")
-    impl = has.select(F.col("path").alias("src"), F.lit("implements").alias("kind"), F.col("ipath").alias("dst"), F.concat_ws(" |= ", "recv", "iface").alias("witness"))
     witness = arrows(imports, "import", F.col("target"), F.col("file")).unionByName(call.where("src <> dst"))
     for x in (env, flag, api, service, capability):
         witness = witness.unionByName(x)
     witness = witness.unionByName(impl.where("src <> dst")).withColumn("scope", F.lit("cross")).unionByName(impl.where("src = dst").withColumn("scope", F.lit("local")))
-    lit = F.lit(snapshot_id).alias("snapshot_id")
-    witness = witness.select(lit, "src", "kind", "dst", "scope", "witness")
+    witness = witness.select(S, "src", "kind", "dst", "scope", "witness")
     zero = F.lit(0).alias("pos")
-    outside = witness.where("scope = 'cross'").select(F.col("dst").alias("path")).distinct().where(~F.startswith("path", m))
-    symbols = funcs.where("recv = ''").select("path", F.lit("func").alias("kind"), "name", "sig").unionByName(funcs.where("recv <> ''").where(exported("recv")).select("path", F.lit("method").alias("kind"), F.concat_ws(".", "recv", "name").alias("name"), "sig"))
-    symbols = symbols.where(F.substring_index("name", ".", -1).rlike("^[A-Z]")).unionByName(kinds.where(exported("name")).select("path", F.lit("type").alias("kind"), "name", F.lit(None).cast("string").alias("sig"))).unionByName(code.where("fact = 'value'").where(exported("a")).select("path", F.col("b").alias("kind"), F.col("a").alias("name"), F.lit(None).cast("string").alias("sig")))
+    # Whatever is not below the module's path is outside.
+    ends = witness.where("scope = 'cross'").select(S, F.col("dst").alias("path")).distinct().join(modules.select(S, "module"), S)
+    outside = ends.where(~F.startswith("path", F.col("module"))).select(S, "path")
+    none = F.lit(None).cast("string").alias("sig")
+    symbols = funcs.where("recv = ''").select(S, "path", F.lit("func").alias("kind"), "name", "sig").unionByName(funcs.where("recv <> ''").where(exported("recv")).select(S, "path", F.lit("method").alias("kind"), F.concat_ws(".", "recv", "name").alias("name"), "sig"))
+    symbols = symbols.where(F.substring_index("name", ".", -1).rlike("^[A-Z]")).unionByName(kinds.where(exported("name")).select(S, "path", F.lit("type").alias("kind"), "name", none)).unionByName(code.where("fact = 'value'").where(exported("a")).select(S, "path", F.col("b").alias("kind"), F.col("a").alias("name"), none))
     tagged = code.where("fact = 'field'").where(exported("a") & exported("b"))
     hit = F.lit(False)
     for x in SERDE_TAGS:
         hit = hit | F.contains("c", F.lit(x))
-    schema = tagged.where(hit).select("path", F.lit("field").alias("kind"), F.concat_ws(".", "a", "b").alias("name"), F.lit(None).cast("string").alias("sig"))
+    schema = tagged.where(hit).select(S, "path", F.lit("field").alias("kind"), F.concat_ws(".", "a", "b").alias("name"), none)
     both = symbols.withColumn("axis", F.lit("surface")).unionByName(schema.withColumn("axis", F.lit("schema")))
-    tests = f.where("test and fact = 'test'").select("path", F.col("a").alias("name"), "file", F.col("b").alias("hash"))
-    refs = f.where("test and fact = 'use'").select("path", "file", F.col("a").alias("alias"), F.col("b").alias("ref"), F.col("c").alias("name")).join(f.where("test and fact = 'import'").select("path", "file", F.col("a").alias("target"), F.col("b").alias("alias")), ["path", "file", "alias"])
-    refs = refs.join(tests.select("path", "name"), ["path", "name"], "left_semi").withColumn("id", F.concat_ws(".", "target", "ref"))
-    ids = lambda df: df.select(F.concat_ws(".", "path", "name").alias("id")).distinct()
-    ifaces = sets.select(F.concat_ws(".", "ipath", "iface").alias("id")).distinct()
-    concretes = ids(kinds.where(exported("name"))).join(ifaces, "id", "left_anti")
+    tests = f.where("test and fact = 'test'").select(S, "path", F.col("a").alias("name"), "file", F.col("b").alias("hash"))
+    if shapes is None:
+        named = f.where("test and fact = 'use'").select(S, "path", "file", F.col("a").alias("alias"), F.col("b").alias("ref"), F.col("c").alias("name")).join(f.where("test and fact = 'import'").select(S, "path", "file", F.col("a").alias("target"), F.col("b").alias("alias")), [S, "path", "file", "alias"])
+        met = named.select(S, "path", "name", F.concat_ws(".", "target", "ref").alias("id"))
+    else:
+        met = types.touched(shapes.where("test"), typed).select(S, F.col("pkg").alias("path"), F.col("fn").alias("name"), F.col("type").alias("id"))
+    met = met.join(tests.select(S, "path", "name"), [S, "path", "name"], "left_semi")
+    ids = lambda df: df.select(S, F.concat_ws(".", "path", "name").alias("id")).distinct()
+    concretes = ids(kinds.where(exported("name"))).join(ifaces, [S, "id"], "left_anti")
     return Snapshots.of(
         spark,
-        snapshot=spark.createDataFrame([(snapshot_id, module, "")], "snapshot_id string, module string, commit string"),
-        package=own.withColumn("internal", F.lit(True)).unionByName(outside.withColumn("internal", F.lit(False))).select(lit, "path", P.short("path").alias("name"), "internal", F.lit(False).alias("hole"), zero),
-        file=code.select(lit, "path", "file").distinct(),
-        symbol=both.select(lit, "path", "axis", "kind", "name", "sig", zero),
-        invariant=tests.select(lit, "path", "name", "file", "hash", zero),
-        guard=refs.join(ifaces, "id", "left_semi").select(lit, "path", "name", F.col("id").alias("iface")).distinct(),
-        exercise=refs.join(concretes, "id", "left_semi").select(lit, "path", "name", F.col("id").alias("concrete")).distinct(),
-        edge=witness.select("snapshot_id", "src", "kind", "dst", "scope", zero).distinct(),
+        snapshot=modules.select(S, "module", "commit"),
+        package=own.withColumn("internal", F.lit(True)).unionByName(outside.withColumn("internal", F.lit(False))).select(S, "path", P.short("path").alias("name"), "internal", F.lit(False).alias("hole"), zero),
+        file=code.select(S, "path", "file").distinct(),
+        symbol=both.select(S, "path", "axis", "kind", "name", "sig", zero),
+        invariant=tests.select(S, "path", "name", "file", "hash", zero),
+        guard=met.join(ifaces, [S, "id"], "left_semi").select(S, "path", "name", F.col("id").alias("iface")).distinct(),
+        exercise=met.join(concretes, [S, "id"], "left_semi").select(S, "path", "name", F.col("id").alias("concrete")).distinct(),
+        edge=witness.select(S, "src", "kind", "dst", "scope", zero).distinct(),
         witness=witness,
     )
 
 
 def extract(spark: SparkSession, root: str, snapshot_id: str = "HEAD") -> Snapshots:
-    return snapshot(scan(spark, root), module_of(spark, root), snapshot_id)
+    from . import expressions
+
+    module, files = module_of(spark, root), sources(spark, root)
+    return snapshot(rows_of_files(files), module, snapshot_id, expressions.of_files(files, module))

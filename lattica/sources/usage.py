@@ -13,6 +13,8 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import written as keep
+from . import types
 from .golang import _LEX, _spell
 
 USE = "file string, dir string, test boolean, fact string, a string, b string, c string, line int"
@@ -357,32 +359,45 @@ def interface_usage(usage: DataFrame, facts: DataFrame, implements: DataFrame, m
     return out.withColumn("n_consumers", F.size("consumers")).withColumn("candidate_unconsumed", (F.size("implementers") <= 1) & (F.size("consumers") == 0))
 
 
-def call_graph(usage: DataFrame, facts: DataFrame, module: str, snapshot_id: str = "HEAD") -> tuple[DataFrame, DataFrame]:
+def call_graph(usage: DataFrame, facts: DataFrame, module: str, snapshot_id: str = "HEAD", shapes: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """functions(snapshot_id, path, file, lo, hi) and calls(snapshot_id, src, dst): direct calls of functions and methods
-    whose bodies are in the module, inside a package and across; ``path`` is ``package.Function`` or ``package.Type.Method``."""
+    whose bodies are in the module, inside a package and across; ``path`` is ``package.Function`` or ``package.Type.Method``.
+
+    With ``shapes`` (``expressions.of_files``) callees are resolved by the types of expressions: on fields, results, elements,
+    chains and embedded types; without, where a variable's type is stated."""
     u, imports, sid = _packages(usage, module), _imports(facts, module), F.lit(snapshot_id).alias("snapshot_id")
     body = u.where("fact = 'body'")
     path = F.concat_ws(".", "pkg", F.when(F.col("b") == "", F.col("a")).otherwise(F.concat_ws(".", "b", "a")))
     span = F.split("c", ":")
     fn = body.select(sid, path.alias("path"), "file", span[0].cast("int").alias("lo"), span[1].cast("int").alias("hi"))
+    if shapes is not None:
+        shapes = keep(shapes.where("not test").select(sid, "*"))
+        flat, _ = types.interface_methods(shapes)
+        told = types.references(shapes, types.propagate(shapes, types.members(shapes, keep(flat)))).where("called and fn <> ''")
+        every = told.select("snapshot_id", F.concat_ws(".", "pkg", "fn").alias("src"), F.concat_ws(".", "target", F.when(F.col("recv") != "", F.col("recv")), "name").alias("dst")).distinct()
+        return fn, _between(every, fn)
     calls = u.where("fact = 'calls' and c <> ''").select("pkg", "file", F.col("a").alias("alias"), F.col("b").alias("name"), F.col("c").alias("fn"))
     caller = F.concat_ws(".", "pkg", "fn").alias("src")
     plain = _resolved(calls, imports).select(caller, F.concat_ws(".", "target", "name").alias("dst"))
     # Methods of variables: where their type is stated, or is what a function of the module returns.
-    typed = u.where("fact = 'vtype'").select("pkg", "file", F.col("a").alias("var"), F.col("b").alias("type"), F.col("c").alias("fn"))
+    stated = u.where("fact = 'vtype'").select("pkg", "file", F.col("a").alias("var"), F.col("b").alias("type"), F.col("c").alias("fn"))
     made = u.where("fact = 'vcall'").select("pkg", "file", F.col("a").alias("var"), F.col("b").alias("callee"), F.col("c").alias("fn"))
     cut = lambda c: (F.when(F.contains(c, F.lit(".")), F.substring_index(c, ".", 1)).otherwise(""), F.substring_index(c, ".", -1))
-    types = _resolved(typed.select("pkg", "file", "var", "fn", cut("type")[0].alias("alias"), cut("type")[1].alias("name")), imports).select("pkg", "file", "var", "fn", F.concat_ws(".", "target", "name").alias("type"))
+    known = _resolved(stated.select("pkg", "file", "var", "fn", cut("type")[0].alias("alias"), cut("type")[1].alias("name")), imports).select("pkg", "file", "var", "fn", F.concat_ws(".", "target", "name").alias("type"))
     returns = u.where("fact = 'returns' and b <> ''").select(F.col("pkg").alias("home"), F.concat_ws(".", "pkg", "a").alias("callee"), F.col("b").alias("result"))
     called = _resolved(made.select("pkg", "file", "var", "fn", cut("callee")[0].alias("alias"), cut("callee")[1].alias("name")), imports).withColumn("callee", F.concat_ws(".", "target", "name")).join(returns, "callee")
     # A result type of another package would need that file's imports; types of the function's own package are resolved.
-    types = types.unionByName(called.where(~F.contains("result", F.lit("."))).select("pkg", "file", "var", "fn", F.concat_ws(".", "home", "result").alias("type"))).distinct()
-    on = calls.where("alias <> ''").withColumnRenamed("alias", "var").join(types, ["pkg", "file", "var", "fn"])
+    known = known.unionByName(called.where(~F.contains("result", F.lit("."))).select("pkg", "file", "var", "fn", F.concat_ws(".", "home", "result").alias("type"))).distinct()
+    on = calls.where("alias <> ''").withColumnRenamed("alias", "var").join(known, ["pkg", "file", "var", "fn"])
     methods = on.select(caller, F.concat_ws(".", "type", "name").alias("dst"))
-    every = plain.unionByName(methods).distinct().select(sid, "src", "dst")
+    return fn, _between(plain.unionByName(methods).distinct().select(sid, "src", "dst"), fn)
+
+
+def _between(calls: DataFrame, functions: DataFrame) -> DataFrame:
+    """Calls whose ends both have a body."""
     for end in ("src", "dst"):
-        every = every.join(fn.select("snapshot_id", F.col("path").alias(end)), ["snapshot_id", end], "left_semi")
-    return fn, every.select("snapshot_id", "src", "dst")
+        calls = calls.join(functions.select("snapshot_id", F.col("path").alias(end)), ["snapshot_id", end], "left_semi")
+    return calls.select("snapshot_id", "src", "dst")
 
 
 def events(usage: DataFrame, facts: DataFrame, module: str, snapshot_id: str = "HEAD") -> tuple[DataFrame, DataFrame, DataFrame]:
