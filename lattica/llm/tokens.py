@@ -24,7 +24,7 @@ if sys.byteorder != "little":
 #: Bytes of text that are cut at once; longer texts are taken apart first.
 BLOCK = 4 << 20
 #: Bytes that a worker remembers at most, about; beyond half of it only what was met since is kept.
-MEMO_BYTES = 160 << 20
+MEMO_BYTES = 96 << 20
 _PER_ENTRY = 190
 #: Where a long text may be taken apart: a blank after a visible ASCII character.
 _BREAK = re.compile(rb"(?<=[!-~])[ \t\n]")
