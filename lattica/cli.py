@@ -91,8 +91,8 @@ def main(argv: list[str] | None = None) -> int:
         s, pairs = united(load(spark, at[0], "A"), load(spark, at[1], "B")), dl.pair(spark)
         off = dl.violations(s, pairs, *documents.allow_list(spark, a.allow)) if a.allow else None
         wider = cf.surface_widenings(s, pairs, *documents.surface_policy(spark, a.fixed)) if a.fixed else None
-        text = pictures.triage(s, pairs, off) if a.summary else pictures.delta_text(s, pairs) if cmd == "delta" else pictures.review(s, pairs, a.depth, off, wider)
-        if off is not None:
+        text = pictures.triage(s, pairs, off) if a.summary else pictures.delta_text(s, pairs, off) if cmd == "delta" else pictures.review(s, pairs, a.depth, off, wider)
+        if off is not None and cmd != "delta":
             text += "".join(f"off the allow-list: {r.src} -> {r.dst} ({r.kind}){' introduced' if r.introduced else ''}\n" for r in off.orderBy("src", "dst", "kind").collect())
         if wider is not None:
             text += "".join(f"surface widened: {r.path}: {r.kind} {r.name}\n" for r in wider.orderBy("path", "kind", "name").collect())

@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 from ..functions import paths as P
 from ..schema import Snapshots
+from ..shared import written as keep
 from . import filters as flt
+from .ranks import ranked
 
 
 def pair(spark, a: str = "A", b: str = "B") -> DataFrame:
@@ -144,26 +146,115 @@ def witness_verdict(rows: DataFrame) -> DataFrame:
     return rows.groupBy("pair_id").agg(F.count_if(F.col("status") == "REMOVED").alias("full"), F.count_if(F.col("status") == "WEAKENED").alias("partial"))
 
 
+def tallies(s: Snapshots, pairs: DataFrame, arrows: bool = True) -> DataFrame:
+    """One row a pair with the sizes of all axes, from one pass: the keys of all axes are united, grouped once by key, then by
+    what they belong to (a package, an interface, an arrow), then by pair.  Without ``arrows`` contracts and witnesses are
+    left out."""
+    none, zero = F.lit(None).cast("string"), F.lit(0)
+
+    def tagged(df, tag, axis, g, k=(), v=none, pos=zero):
+        own = [*[F.col(c) for c in g], *[none] * (3 - len(g))], [*[F.col(c) for c in k], *[none] * (2 - len(k))]
+        return df.select("snapshot_id", F.lit(tag).alias("tag"), *[c.alias(f"g{i}") for i, c in enumerate(own[0])], axis.alias("axis"), *[c.alias(f"k{i}") for i, c in enumerate(own[1])], v.alias("v"), pos.alias("pos"))
+
+    rows = [
+        tagged(s.package, "path", F.lit("package"), ["path"], v=F.col("internal").cast("string"), pos=F.col("pos")),
+        tagged(s.edge.where("scope = 'cross'"), "path", F.lit("edge"), ["src"], ["kind", "dst"]),
+        tagged(s.symbol, "path", F.col("axis"), ["path"], ["kind", "name"]),
+        tagged(s.invariant, "path", F.lit("invariant"), ["path"], ["name"], F.col("hash"), F.col("pos")),
+    ]
+    if arrows:
+        own, key = flt.internal_edges(s).distinct(), ["snapshot_id", "src", "kind", "dst"]
+        seen = s.witness.where("scope = 'cross'").select(*key, "witness").join(own, key, "left_semi")
+        rows += [tagged(implementers(s), "iface", F.lit("impl"), ["iface"], ["impl"]), tagged(own, "arrow", F.lit("arrow"), key[1:]), tagged(seen, "arrow", F.lit("witness"), key[1:], ["witness"])]
+    every = rows[0]
+    for x in rows[1:]:
+        every = every.unionByName(x)
+    last = lambda end: F.max_by("v", F.when(end, F.col("pos")))  # noqa: E731  of rows with equal keys the last
+    each = both(every, pairs, ["tag", "g0", "g1", "g2", "axis", "k0", "k1"], last(~F.col("_b")).alias("va"), last(F.col("_b")).alias("vb"))
+    on, moved = (lambda a: F.col("axis") == a), F.col("in_a") != F.col("in_b")
+    of_axis = lambda a, c: F.max(F.when(on(a), F.col(c)))
+    g = each.groupBy("pair_id", "tag", "g0", "g1", "g2").agg(
+        *[of_axis(a, f"in_{e}").alias(f"{a}_{e}") for a in ("package", "arrow") for e in "ab"],
+        F.max(F.when(on("package"), F.greatest("va", "vb"))).alias("internal"),
+        F.count_if(on("edge") & ~F.col("in_a")).alias("edges_added"), F.count_if(on("edge") & ~F.col("in_b")).alias("edges_removed"),
+        *[F.count_if(on(a) & moved).alias(a) for a in ("surface", "schema", "impl")],
+        F.count_if(on("invariant") & (moved | ~F.col("va").eqNullSafe(F.col("vb")))).alias("invariant"),
+        F.count_if(on("witness") & F.col("in_a") & ~F.col("in_b")).alias("less"), F.count_if(on("witness") & ~F.col("in_a") & F.col("in_b")).alias("more"),
+    )
+    common, only = F.col("package_a") & F.col("package_b"), lambda x, y: F.col(x) & ~F.col(y)
+    whole = F.col("arrow_a") & F.col("arrow_b")
+    n = g.groupBy("pair_id").agg(
+        F.count_if(only("package_b", "package_a")).alias("packages_added"), F.count_if(only("package_a", "package_b")).alias("packages_removed"),
+        F.sum("edges_added").alias("edges_added"), F.sum("edges_removed").alias("edges_removed"),
+        *[F.count_if(common & (F.col(a) > 0)).alias(name) for a, name in (("surface", "surface"), ("schema", "schema"), ("invariant", "invariants"))],
+        F.count_if((F.col("tag") == "iface") & (F.col("impl") > 0)).alias("contracts"),
+        F.count_if(only("arrow_a", "arrow_b")).alias("decoupled"), F.count_if(whole & (F.col("less") > 0) & (F.col("more") == 0)).alias("weakened"),
+        F.sum(F.when(common, F.col("surface")).otherwise(0)).alias("surface_items"),
+        F.count_if((F.col("package_a") != F.col("package_b")) & (F.col("internal") == "true")).alias("internal_moved"),
+    )
+    return pairs.select("pair_id").join(n, "pair_id", "left").fillna(0)
+
+
 def counts(s: Snapshots, pairs: DataFrame, off_list: DataFrame | None = None, widenings: DataFrame | None = None) -> DataFrame:
     """One row a pair: sizes of all axes; surface, schema and invariants count packages.  ``violations`` counts the rows
     of off_list(pair_id, ...), ``surface_widenings`` those of widenings(pair_id, ...), as far as they are given."""
-    p, e, w, c = packages(s, pairs), edges(s, pairs), witnesses(s, pairs), contracts(s, pairs)
-    total = lambda df, name: df.groupBy("pair_id").agg(F.count("*").alias(name))
-    parts = [
-        p.groupBy("pair_id").agg(F.count_if(F.col("change") == "added").alias("packages_added"), F.count_if(F.col("change") == "removed").alias("packages_removed")),
-        e.groupBy("pair_id").agg(F.count_if(F.col("change") == "added").alias("edges_added"), F.count_if(F.col("change") == "removed").alias("edges_removed")),
-        *[symbols(s, pairs, axis).groupBy("pair_id").agg(F.count_distinct("path").alias(axis)) for axis in ("surface", "schema")],
-        invariants(s, pairs).groupBy("pair_id").agg(F.count_distinct("path").alias("invariants")),
-        total(c, "contracts"),
-        witness_verdict(w).withColumnsRenamed({"full": "decoupled", "partial": "weakened"}),
-        *[total(df, name) for df, name in ((off_list, "violations"), (widenings, "surface_widenings")) if df is not None],
-    ]
-    out = pairs.select("pair_id")
-    for x in parts:
-        out = out.join(x, "pair_id", "left")
+    out = tallies(s, pairs).drop("surface_items", "internal_moved")
     for df, name in ((off_list, "violations"), (widenings, "surface_widenings")):
-        out = out if df is not None else out.withColumn(name, F.lit(0).cast("long"))
-    return out.fillna(0)
+        out = out.withColumn(name, F.lit(0).cast("long")) if df is None else out.join(df.groupBy("pair_id").agg(F.count("*").alias(name)), "pair_id", "left").fillna(0)
+    return out
+
+
+def mentioned(s: Snapshots, pairs: DataFrame) -> DataFrame:
+    """(pair_id, section, k0, k1, k2, nth, path): the paths that a delta's report names, in its order: boxes added and removed,
+    both ends of arrows added and removed, packages with changed surface."""
+    p, e = packages(s, pairs), edges(s, pairs)
+    none = F.lit("")
+    boxes = p.select("pair_id", F.when(F.col("change") == "added", 0).otherwise(1).alias("section"), F.col("path").alias("k0"), none.alias("k1"), none.alias("k2"), F.lit(0).alias("nth"), "path")
+    ends = F.posexplode(F.array("src", "dst")).alias("nth", "path")
+    arrows = e.select("pair_id", F.when(F.col("change") == "added", 2).otherwise(3).alias("section"), F.col("src").alias("k0"), F.col("kind").alias("k1"), F.col("dst").alias("k2"), ends)
+    surface = symbols(s, pairs, "surface").select("pair_id", "path").distinct().select("pair_id", F.lit(4).alias("section"), F.col("path").alias("k0"), none.alias("k1"), none.alias("k2"), F.lit(0).alias("nth"), "path")
+    return boxes.unionByName(arrows).unionByName(surface)
+
+
+def shared_prefix(paths: DataFrame, order: list[str]) -> DataFrame:
+    """(pair_id, prefix) of paths(pair_id, path, *order): what a fold over the paths in order leaves, which keeps the leading
+    segments that the path has in common with what is left so far, and begins anew at the path after one that had none.
+
+    The fold depends on order, but only through first segments.  Stretches of paths with one first segment either go on, or end
+    what was left: their first path does, and the next begins anew, if there is one.  So the last stretch and the number of
+    single paths before it say where the last beginning is; from there on the prefix is that of the least and the
+    greatest path.  No pass over a pair's paths in one task is needed."""
+    at = keep(ranked(paths.select("pair_id", "path", *order), ["pair_id"], [F.col(c) for c in order], "i").select("pair_id", "i", "path", F.split("path", "/").alias("own")))
+    before = at.select("pair_id", (F.col("i") + 1).alias("i"), F.col("own")[0].alias("last"))
+    begins = at.join(before, ["pair_id", "i"], "left").where("last is null or last <> own[0]").select("pair_id", "i")
+    n = at.groupBy("pair_id").agg(F.max("i").alias("n"))
+    starts = keep(ranked(begins, ["pair_id"], [F.col("i")], "r"))
+    onward = starts.select("pair_id", (F.col("r") - 1).alias("r"), F.col("i").alias("next"))
+    sized = starts.join(onward, ["pair_id", "r"], "left").join(n, "pair_id").select("pair_id", "r", "i", (F.coalesce("next", F.col("n") + 1) - F.col("i")).alias("m"), F.col("next").isNull().alias("last"))
+    # Before the last stretch something is left after a stretch of several paths, and after every second single one.
+    told = sized.groupBy("pair_id").agg(F.max(F.when(F.col("last"), F.struct("i", "m", "r"))).alias("z"), F.max(F.when(~F.col("last") & (F.col("m") > 1), F.col("r"))).alias("b"))
+    singles = F.col("z.r") - 1 - F.coalesce("b", F.lit(0))
+    left = F.when(F.col("b").isNull(), singles % 2 == 1).otherwise(singles % 2 == 0)
+    begin = F.when(left & (F.col("z.m") == 1), None).otherwise(F.col("z.i") + left.cast("long"))
+    where = told.select("pair_id", begin.alias("begin"))
+    ends = at.join(where, "pair_id").where("i >= begin").groupBy("pair_id").agg(F.min("own").alias("x"), F.max("own").alias("y"))
+    differs = F.array_position(F.zip_with("x", "y", lambda a, b: a.eqNullSafe(b)), False)
+    common = F.when(differs == 0, F.size("x")).otherwise(differs - 1).cast("int")
+    return where.select("pair_id").join(ends.select("pair_id", F.array_join(F.slice("x", F.lit(1), common), "/").alias("prefix")), "pair_id", "left").select("pair_id", F.coalesce("prefix", F.lit("")).alias("prefix"))
+
+
+def shortened(path, prefix):
+    """A path without the prefix that a report leaves out."""
+    return F.when((prefix != "") & F.startswith(path, F.concat(prefix, F.lit("/"))), F.substr(path, F.length(prefix) + 2)).otherwise(path)
+
+
+REPORT_ORDER = ["section", "k0", "k1", "k2", "nth"]
+
+
+def report_prefix(s: Snapshots, pairs: DataFrame) -> DataFrame:
+    """(pair_id, prefix) that a delta's report leaves out."""
+    found = shared_prefix(mentioned(s, pairs), REPORT_ORDER)
+    return pairs.select("pair_id").join(found, "pair_id", "left").select("pair_id", F.coalesce("prefix", F.lit("")).alias("prefix"))
 
 
 def synthetic_added(s: Snapshots, pairs: DataFrame, prefix: str) -> DataFrame:

@@ -18,13 +18,11 @@ def consecutive(order: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
 
 
 def sizes(s: Snapshots, pairs: DataFrame) -> DataFrame:
-    """(pair_id, d_boxes, d_arrows, d_surface, d_items, empty)."""
-    n = lambda df, name: df.groupBy("pair_id").agg(F.count("*").alias(name))
-    out = pairs.select("pair_id")
-    for df, name in ((dl.packages(s, pairs), "d_boxes"), (dl.edges(s, pairs), "d_arrows"), (dl.symbols(s, pairs, "surface"), "d_surface")):
-        out = out.join(n(df, name), "pair_id", "left")
-    out = out.fillna(0).withColumn("d_items", F.col("d_boxes") + F.col("d_arrows") + F.col("d_surface"))
-    return out.join(dl.verdict(s, pairs).select("pair_id", "empty"), "pair_id")
+    """(pair_id, d_boxes, d_arrows, d_surface, d_items, empty), all from one pass over the axes."""
+    n = dl.tallies(s, pairs, arrows=False)
+    out = n.select("pair_id", (F.col("packages_added") + F.col("packages_removed")).alias("d_boxes"), (F.col("edges_added") + F.col("edges_removed")).alias("d_arrows"), F.col("surface_items").alias("d_surface"), "internal_moved")
+    out = out.withColumn("d_items", F.col("d_boxes") + F.col("d_arrows") + F.col("d_surface"))
+    return out.select("pair_id", "d_boxes", "d_arrows", "d_surface", "d_items", (F.col("internal_moved") + F.col("d_arrows") + F.col("d_surface") == 0).alias("empty"))
 
 
 def summary(rows: DataFrame) -> DataFrame:

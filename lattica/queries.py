@@ -12,6 +12,7 @@ from .operators import filters as flt
 from .operators import graph as gr
 from .operators import history as hs
 from .operators import metrics as me
+from .operators.ranks import ranked
 from .plans import distance as pd
 from .projections import trade, trade_sql
 from .schema import Snapshots
@@ -827,6 +828,55 @@ UNION ALL SELECT 'tpch/p' || r, 'implements', 'tpch/p' || w.k, rt || ' |= Above'
 UNION ALL SELECT 'tpch/p' || k, 'config', 'flag:k' || z, 'define@a.go' FROM g"""
 
 
+# A graph with a long path, a large ring and hubs: orders one after the other, suppliers in a ring behind them, customers below
+# their nations, and all below one box.
+
+
+def _routes(spark, d):
+    t = lambda n: spark.read.parquet(f"{d}/{n}.parquet")
+    orders = ranked(t("orders").select("o_orderkey"), [], [F.col("o_orderkey")], "i").select("i")
+    rings = ranked(t("supplier").select("s_suppkey"), [], [F.col("s_suppkey")], "i").select("i")
+    last, around = orders.agg(F.max("i").alias("n")), rings.agg(F.max("i").alias("n"))
+    box = lambda c, i: F.concat(F.lit(c), i.cast("string"))
+    path = orders.join(F.broadcast(last)).select(box("o", F.col("i")).alias("src"), F.when(F.col("i") == F.col("n"), "s1").otherwise(box("o", F.col("i") + 1)).alias("dst"))  # one row, one number
+    ring = rings.join(F.broadcast(around)).select(box("s", F.col("i")).alias("src"), box("s", F.col("i") % F.col("n") + 1).alias("dst"))
+    below = t("customer").select(box("c", F.col("c_custkey")).alias("src"), box("n", F.col("c_nationkey")).alias("dst"))
+    top = t("nation").select(box("n", F.col("n_nationkey")).alias("src"), F.lit("world").alias("dst")).unionByName(spark.createDataFrame([("s1", "world")], "src string, dst string"))
+    return written(path.unionByName(ring).unionByName(below).unionByName(top).withColumn("snapshot_id", F.lit("R")))
+
+
+QUERIES["gr_route_blast"] = lambda spark, d: gr.blast_radius(_routes(spark, d)).select("path", "blast_radius")
+ORACLE["gr_route_blast"] = """WITH o AS (SELECT row_number() OVER (ORDER BY o_orderkey) AS i, count(*) OVER () AS n FROM orders), s AS (SELECT row_number() OVER (ORDER BY s_suppkey) AS i, count(*) OVER () AS n FROM supplier)
+SELECT 'o' || i AS path, i - 1 AS blast_radius FROM o WHERE i > 1 UNION ALL SELECT 's' || i, (SELECT count(*) FROM orders) + n - 1 FROM s
+UNION ALL SELECT 'n' || c_nationkey, count(*) FROM customer GROUP BY c_nationkey UNION ALL SELECT 'world', (SELECT count(*) FROM orders) + (SELECT count(*) FROM supplier) + (SELECT count(*) FROM nation) + (SELECT count(*) FROM customer)"""
+QUERIES["gr_route_cycles"] = lambda spark, d: gr.cycles(_routes(spark, d)).select("path", "cycle")
+ORACLE["gr_route_cycles"] = "SELECT 's' || row_number() OVER (ORDER BY s_suppkey) AS path, 's1' AS cycle FROM supplier"
+
+_COMMON = "array_to_string(string_split({a}, '/')[1:len(list_filter(range(1, least(len(string_split({a}, '/')), len(string_split({b}, '/'))) + 1), lambda i: string_split({a}, '/')[1:i] = string_split({b}, '/')[1:i]))], '/')"
+_FOLD = f"list_reduce({{}}, lambda a, b: CASE WHEN a = '' THEN b ELSE {_COMMON.format(a='a', b='b')} END)"
+
+
+_MENTIONED = """(SELECT list(path ORDER BY section, k0, k1, k2, nth) FROM (SELECT CASE change WHEN 'added' THEN 0 ELSE 1 END AS section, path AS k0, '' AS k1, '' AS k2, 0 AS nth, path FROM d_apkg
+UNION ALL SELECT CASE change WHEN 'added' THEN 2 ELSE 3 END, src, kind, dst, x.n, x.p FROM d_edge, LATERAL (SELECT 0 AS n, src AS p UNION ALL SELECT 1, dst) x UNION ALL SELECT DISTINCT 4, path, '', '', 0, path FROM d_sym WHERE axis = 'surface'))"""
+
+
+@query(f"SELECT {_FOLD.format(_MENTIONED)} AS prefix")
+def dl_report_prefix(s, pairs):
+    """What the report of a delta leaves out of its paths."""
+    return dl.report_prefix(s, pairs)
+
+
+def prj_common_prefix(spark, d):
+    """The fold over many lists of paths: a customer's orders, in order, whose first segments now and then differ."""
+    o, k = spark.read.parquet(f"{d}/orders.parquet"), F.col("o_orderkey")
+    first = F.when(F.floor(k / 3) % 5 == 0, "y").otherwise("x")
+    return dl.shared_prefix(o.select(F.col("o_custkey").alias("pair_id"), "o_orderkey", F.concat_ws("/", first, F.concat(F.lit("q"), F.floor(k / 32) % 2), (k % 4).cast("string")).alias("path")), ["o_orderkey"])
+
+
+QUERIES["prj_common_prefix"] = prj_common_prefix
+ORACLE["prj_common_prefix"] = f"SELECT pair_id, {_FOLD.format('ps')} AS prefix FROM (SELECT o_custkey AS pair_id, list(CASE WHEN o_orderkey // 3 % 5 = 0 THEN 'y' ELSE 'x' END || '/q' || (o_orderkey // 32 % 2) || '/' || (o_orderkey % 4) ORDER BY o_orderkey) AS ps FROM orders GROUP BY o_custkey)"
+
+
 # Queries over the other tables
 
 

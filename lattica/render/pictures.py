@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import paths as P
 from ..operators import delta as dl
 from ..operators import filters as flt
 from ..operators import metrics as me
@@ -291,18 +292,82 @@ def distance(row, unmet: list) -> str:
     return "\n".join([*out, *([""] if unmet else []), *[f"  [{u['class']}] {u['detail']}" for u in unmet]]) + "\n"
 
 
-def delta_text(s: Snapshots, pairs: DataFrame) -> str:
-    """All axes of one pair."""
-    v = dl.verdict(s, pairs).first()
-    out = [f"verdict: {v.verdict}"]
-    say = lambda title, rows: out.extend([f"{title}:", *rows] if rows else [])
-    sign = {"added": "+", "removed": "-", "modified": "~"}
-    say("packages", [f"  {sign[r.change]} {r.path}" for r in _rows(dl.packages(s, pairs), "path")])
-    say("arrows", [f"  {sign[r.change]} {r.src} -> {r.dst} ({r.kind})" for r in _rows(dl.edges(s, pairs), "src", "kind", "dst")])
-    for axis in ("surface", "schema"):
-        say(axis, [f"  {sign[r.change]} {r.path}: {r.kind} {r.name}" for r in _rows(dl.symbols(s, pairs, axis), "path", "kind", "name")])
-    say("tests", [f"  {sign[r.change]} {r.path}: {r.name}" for r in _rows(dl.invariants(s, pairs), "path", "name")])
-    say("contracts", [f"  {r.iface} +{len(r.added)} -{len(r.removed)} uncovered: {', '.join(r.uncovered) or 'none'}" for r in _rows(dl.contracts(s, pairs), "iface")])
+# The sentences of the delta report.
+DELTA_SAYS = {
+    "empty": "ARCHITECTURAL DELTA: empty at package altitude\n  -> internal change; no package boundary moved; no architecture review required.",
+    "moved": "ARCHITECTURAL DELTA: boundary changed — review required",
+    "schema": "SCHEMA CHANGED — a serialized data contract (wire/DB payload) changed shape",
+    "touched": "INVARIANTS TOUCHED — review required (a system promise changed)",
+    "guards": "INVARIANTS: new guards added (additive)",
+    "violations": "CONTRACT VIOLATIONS — review required (a box depends on something it is not allowed to)",
+    "contracts": "CONTRACT COVERAGE — every implementer of a changed contract must be covered by that contract's test",
+    "covered": "  + {impl} now implements {iface} — covered by {tests} ✓",
+    "gap": "  ! {impl} now implements {iface} — NOT covered by {tests} (evidence gap)",
+    "unconfirmed": "  ? {impl} now implements {iface} — {tests} exercises this contract via a factory, so coverage of this implementer is unconfirmed",
+    "no-test": "  ! {impl} now implements {iface} — no contract test guards this interface (evidence gap)",
+    "gone": "  - {impl} no longer implements {iface}",
+    "standing": "    (also uncovered on {iface}: {impls})",
+    "removed": "  - invariant {test} (guard removed)",
+    "modified": "  ~ invariant {test} (guard changed)",
+    "added": "  + invariant {test} (new guard)",
+    "promise": "    → promise on {ifaces} changed",
+}
+
+
+def _short(ref: str) -> str:
+    return ref.rsplit("/", 1)[-1]
+
+
+def _shorts(refs) -> str:
+    return ", ".join(map(_short, refs))
+
+
+def _signed(s: Snapshots, pairs: DataFrame, axis: str) -> list:
+    """Changed symbols with their signatures, as of the side that has them."""
+    moved = dl.symbols(s, pairs, axis)
+    own = s.symbol.where(F.col("axis") == axis)
+    sigs = [dl.of(own, pairs, end).groupBy("pair_id", "path", "kind", "name").agg(F.max_by(F.struct("sig"), "pos").alias("x")).withColumn("change", F.lit(change)) for end, change in (("b", "added"), ("a", "removed"))]
+    with_sig = moved.join(sigs[0].unionByName(sigs[1]), ["pair_id", "path", "kind", "name", "change"], "left").select("path", "change", "kind", "name", F.coalesce("x.sig", F.lit("")).alias("sig"))
+    return _rows(with_sig, "path", "change", "kind", "name")
+
+
+def delta_text(s: Snapshots, pairs: DataFrame, off_list: DataFrame | None = None) -> str:
+    """The report of one pair: boxes, arrows and surface in paths without what they have in common, then schema, tests,
+    breaches of off_list(pair_id, src, kind, dst, introduced) and coverage of contracts."""
+    empty, prefix = dl.verdict(s, pairs).first().empty, dl.report_prefix(s, pairs).first().prefix
+    cut = lambda p: p[len(prefix) + 1 :] if prefix and p.startswith(f"{prefix}/") else p
+    out = [DELTA_SAYS["empty" if empty else "moved"]]
+    sign = {"added": "+", "removed": "-"}
+    if not empty:
+        tagged = dl.packages(s, pairs).select("change", "path", F.when(F.col("internal"), "").otherwise(P.node_tag(F.col("path"), F.col("internal"))).alias("tag"))
+        out += [f"  {sign[r.change]} box   {cut(r.path)}{f' ({r.tag})' if r.tag else ''}" for r in _rows(tagged, "change", "path")]
+        seen = dl.of(s.witness.where("scope = 'cross'"), pairs, "b").groupBy("pair_id", "src", "kind", "dst").agg(F.count_distinct("witness").alias("n"))
+        arrows = dl.edges(s, pairs).join(seen, ["pair_id", "src", "kind", "dst"], "left").fillna(0, ["n"])
+        out += [f"  {sign[r.change]} arrow {cut(r.src)} -> {cut(r.dst)} [{r.kind}]" + (f" ({r.n} witness file(s))" if r.change == "added" else "") for r in _rows(arrows, "change", "src", "kind", "dst")]
+        out += [f"  {sign[r.change]} surface {cut(r.path)}.{r.name} ({r.kind})" for r in _rows(dl.symbols(s, pairs, "surface"), "path", "change", "kind", "name")]
+    if schema := _signed(s, pairs, "schema"):
+        out += [DELTA_SAYS["schema"], *[f"  {sign[r.change]} field {_short(r.path)}.{r.name} {r.sig}" for r in schema]]
+    tests = _rows(dl.invariants(s, pairs), "path", "name")
+    if tests:
+        out.append(DELTA_SAYS["touched" if any(r.change != "added" for r in tests) else "guards"])
+        promised = {}
+        for r in _rows(dl.touched_promises(s, pairs), "path", "iface"):
+            promised.setdefault(r.path, []).append(r.iface)
+        for path in dict.fromkeys(r.path for r in tests):
+            out += [DELTA_SAYS[c].format(test=f"{_short(path)}.{r.name}") for c in ("removed", "modified", "added") for r in tests if r.path == path and r.change == c]
+            if path in promised:
+                out.append(DELTA_SAYS["promise"].format(ifaces=_shorts(promised[path])))
+    if off_list is not None and (off := _rows(off_list, "src", "kind", "dst")):
+        out += [DELTA_SAYS["violations"], *[f"  ! {cut(r.src)} -> {cut(r.dst)} [{r.kind}] not in allow-list{' (introduced by this change)' if r.introduced else ''}" for r in off]]
+    if contracts := _rows(dl.contracts(s, pairs), "iface"):
+        out.append(DELTA_SAYS["contracts"])
+        for r in contracts:
+            for impl in r.added:
+                kind = "covered" if impl in r.covered else "no-test" if not r.tests else "gap" if r.names_concretes else "unconfirmed"
+                out.append(DELTA_SAYS[kind].format(impl=_short(impl), iface=_short(r.iface), tests=_shorts(r.tests)))
+            out += [DELTA_SAYS["gone"].format(impl=_short(x), iface=_short(r.iface)) for x in r.removed]
+            if standing := [x for x in r.uncovered if x not in r.added]:
+                out.append(DELTA_SAYS["standing"].format(iface=_short(r.iface), impls=_shorts(standing)))
     return "\n".join(out) + "\n"
 
 
