@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +10,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from ..shared import keep as cut
-from ..shared import shared_dir
+from ..shared import new_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,7 +34,25 @@ def lookup(rows: DataFrame, table: DataFrame, on: list[str], n: str, how: str =
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/lattica-{name}-{uuid.uuid4().hex}"
+    return new_path(spark, name)
+
+
+def released(run):
+    """``run`` over a task's batches; at its end what the worker does not use any more goes back to the system.  Workers live on
+    from stage to stage, and allocators keep what texts once took."""
+
+    def whole(batches):
+        import ctypes
+
+        import pyarrow as pa
+
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+        if trim is not None:
+            trim(0)
+
+    return whole
 
 
 #: Texts that an operator's function sees at once.  Spark bounds the bytes of a batch, not the work on it.
@@ -62,7 +79,7 @@ def per_text(df: DataFrame, text: str, fn, kinds: str, carried: dict | None = No
                 arrays = [x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip(made, types, strict=True)]
                 yield pa.RecordBatch.from_arrays([*b.columns[:-1], *arrays], names=names)
 
-    return kept.mapInArrow(run, whole)
+    return kept.mapInArrow(released(run), whole)
 
 
 def id_of(key: str):
@@ -87,7 +104,7 @@ def rows_where(df: DataFrame, text: str, accept) -> DataFrame:
                 b = batch.slice(i, SLICE)
                 yield b.filter(pa.array([bool(x) for x in accept([t or "" for t in b.column(at).to_pylist()])], pa.bool_()))
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(released(run), df.schema)
 
 
 def numbered(df: DataFrame, name: str = "_row") -> DataFrame:

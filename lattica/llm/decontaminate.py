@@ -20,7 +20,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE, cut, id_of
+from .common import SLICE, cut, id_of, released
 
 WINDOW = 13
 #: (window, item) pairs of one automaton: 13 nodes of some 30 bytes each, at most.
@@ -161,7 +161,7 @@ def _scanned(rows: DataFrame, found: dict[str, set]) -> DataFrame:
                     items.append(list(who.union(i)))
                 yield pa.RecordBatch.from_arrays([*b.columns[:-3], pa.array(n, pa.int64()), pa.array(ranges, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.int64()))], names=b.schema.names)
 
-    return rows.mapInArrow(run, rows.schema)
+    return rows.mapInArrow(released(run), rows.schema)
 
 
 def _judged(kept: DataFrame, benchmark: DataFrame, item: str, item_text: str, window: int, part_windows: int) -> DataFrame:

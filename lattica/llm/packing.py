@@ -21,7 +21,7 @@ from math import isqrt
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, id_of
+from .common import cut, id_of, released
 from .tokens import encoder, vocabulary
 
 WINDOW = 1024
@@ -124,7 +124,7 @@ def token_pieces(documents: DataFrame, path: str, end_id: int, window: int = WIN
                     columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(own), "<i4"))))
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", *["ids"] * keep_ids])
 
-    return rows.mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * keep_ids)
+    return rows.mapInArrow(released(run), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * keep_ids)
 
 
 def place(pieces: DataFrame, window: int = WINDOW) -> DataFrame:

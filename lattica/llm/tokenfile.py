@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import fresh_path, id_of
+from .common import fresh_path, id_of, released
 from .tokens import encoder
 
 ROW_GROUP = 16 << 20
@@ -49,7 +49,7 @@ def write(documents: DataFrame, to: str, path: str, end_id: int, key: str = "doc
     ranged = documents.select(*[c.alias(n) for n, c in id_of(key).items()], F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text")).withColumn("nth", F.monotonically_increasing_id())
     # The last tells copies of one row apart, so that they can be dealt to several files.
     ranged = ranged.repartitionByRange("doc_id", "h", "nth").sortWithinPartitions("doc_id", "h").select("doc_id", "text")
-    out = ranged.mapInArrow(run, FIELDS).write.option("parquet.block.size", ROW_GROUP).option("parquet.page.size", PAGE).option("compression", "zstd")
+    out = ranged.mapInArrow(released(run), FIELDS).write.option("parquet.block.size", ROW_GROUP).option("parquet.page.size", PAGE).option("compression", "zstd")
     out = out.option("parquet.enable.dictionary", "true") if encoding == "dictionary" else out.option("parquet.enable.dictionary", "false").option("parquet.writer.version", "PARQUET_2_0")
     out.parquet(to)
 
