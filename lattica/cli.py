@@ -20,7 +20,7 @@ from .plans import distance as pd
 from .plans import dsl
 from .render import pictures
 from .schema import Snapshots
-from .shared import shared_dir
+from .shared import clean, shared_dir
 from .sources import documents, git, golang, usage
 
 
@@ -46,6 +46,14 @@ def rows(df) -> str:
 
 
 def main(argv: list[str] | None = None) -> int:
+    try:
+        return command(argv)
+    finally:
+        if (spark := SparkSession.getActiveSession()) is not None:
+            clean(spark)
+
+
+def command(argv: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="lattica")
     sub = p.add_subparsers(dest="command", required=True)
     for name, places in {"extract": 1, "render": 1, "contract": 1, "health": 1, "evidence": 1, "delta": 2, "pr-review": 2, "impact": 2, "reflexion": 2, "plan-compile": 1, "plan-stats": 1, "plan-render": 1, "plan-slice": 2, "plan-dist": 2, "consumes": 1, "callgraph": 1, "eventflow": 1, "surface": 2, "contracts": 1, "history": 1}.items():

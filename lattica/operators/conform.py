@@ -36,7 +36,7 @@ def layered(s: Snapshots, layers: DataFrame, directory_layer: DataFrame) -> Data
     directory_layer(seg, layer).  A layer that is not listed has ordinal 0."""
     module = s.snapshot.select("snapshot_id", "module")
     where = directory_layer.join(layers, "layer", "left").select("seg", "layer", F.coalesce("ord", F.lit(0)).alias("ord"))
-    d = flt.dep_pairs(s).join(F.broadcast(module), "snapshot_id")
+    d = flt.dep_pairs(s).join(module, "snapshot_id")
     for end, p in (("src", "f"), ("dst", "t")):
         seg = F.split(P.rel(F.col(end), F.col("module")), "/")[0]
         d = d.withColumn(f"{p}seg", F.when(seg == "", "(root)").otherwise(seg)).join(where.select(F.col("seg").alias(f"{p}seg"), F.col("layer").alias(f"{p}layer"), F.col("ord").alias(f"{p}ord")), f"{p}seg", "left")

@@ -49,6 +49,49 @@ def closure(pairs: DataFrame, seeds: DataFrame | None = None) -> DataFrame:
     return seen.all()
 
 
+def closure_after(reach: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
+    """The closure of ``after``, from that of ``before`` (all snapshot_id, src, dst; a snapshot_id is one history): what moved
+    between two versions is taken out and put in, and the rest is not derived again.
+
+    Arrows that went take all pairs with them that a path through them may have made; of these, pairs that other arrows still
+    make come back, round by round.  Arrows that came bring the pairs that they make with what is there.  Only pairs that were
+    taken out or are new are joined in rounds."""
+    stay = keep(before.join(after, _PAIR, "left_semi").select(*_PAIR).distinct())
+    gone, come = before.join(stay, _PAIR, "left_anti"), after.join(stay, _PAIR, "left_anti")
+    now = reach.select(*_PAIR)
+    gone = keep(gone.select(*_PAIR).distinct())
+    if not gone.isEmpty():
+        ends = lambda c: gone.select("snapshot_id", F.col(c)).distinct()
+        heads = now.join(ends("src").withColumnRenamed("src", "dst"), ["snapshot_id", "dst"], "left_semi").select("snapshot_id", F.col("src").alias("x"), F.col("dst").alias("src")).unionByName(ends("src").select("snapshot_id", F.col("src").alias("x"), "src"))
+        tails = now.join(ends("dst").withColumnRenamed("dst", "src"), ["snapshot_id", "src"], "left_semi").select("snapshot_id", F.col("src").alias("dst"), F.col("dst").alias("y")).unionByName(ends("dst").select("snapshot_id", "dst", F.col("dst").alias("y")))
+        through = heads.join(gone, ["snapshot_id", "src"]).select("snapshot_id", "x", "dst").distinct().join(tails, ["snapshot_id", "dst"])
+        out = keep(through.select("snapshot_id", F.col("x").alias("src"), F.col("y").alias("dst")).distinct())
+        kept = keep(now.join(out, _PAIR, "left_anti"))
+        # An arrow that stays, or one to where the pair's end is still reached from, makes a pair again.
+        step = stay.select("snapshot_id", "src", F.col("dst").alias("mid")).join(out, ["snapshot_id", "src"]).select("snapshot_id", "src", "mid", "dst").distinct()
+        step = keep(step)
+        held = kept.select("snapshot_id", F.col("src").alias("mid"), "dst")
+        again = step.where("mid = dst").unionByName(step.join(held, ["snapshot_id", "mid", "dst"], "left_semi").select(*step.columns))
+        new = keep(again.select(*_PAIR).distinct())
+        back = _Seen(new)
+        while not new.isEmpty():
+            onward = new.select("snapshot_id", F.col("src").alias("mid"), "dst")
+            more = step.join(onward, ["snapshot_id", "mid", "dst"], "left_semi").select(*_PAIR).distinct()
+            new = keep(more.join(back.all(), _PAIR, "left_anti"))
+            back.add(new)
+        now = keep(kept.unionByName(back.all()))
+    new = keep(come.select(*_PAIR).distinct().join(now, _PAIR, "left_anti"))
+    seen = _Seen(now)
+    while not new.isEmpty():
+        # New pairs are lengthened on either side by all that is there, themselves included.
+        seen.add(new)
+        every = seen.all()
+        right = new.select("snapshot_id", "src", F.col("dst").alias("mid")).join(every.select("snapshot_id", F.col("src").alias("mid"), "dst"), ["snapshot_id", "mid"]).select(*_PAIR)
+        left = every.select("snapshot_id", "src", F.col("dst").alias("mid")).join(new.select("snapshot_id", F.col("src").alias("mid"), "dst"), ["snapshot_id", "mid"]).select(*_PAIR)
+        new = keep(left.unionByName(right).distinct().join(every, _PAIR, "left_anti"))
+    return seen.all()
+
+
 def dependents(pairs: DataFrame, target: str) -> DataFrame:
     """(snapshot_id, path, direct): what depends on the target, itself excluded."""
     back = pairs.select("snapshot_id", F.col("dst").alias("src"), F.col("src").alias("dst"))

@@ -397,6 +397,15 @@ def gr_closure(s, _):
     return gr.closure(flt.dep_pairs(s))
 
 
+@query("SELECT src, dst FROM reach WHERE sid = 'B'")
+def gr_closure_after(s, _):
+    """The closure of the later snapshot, from that of the earlier one and what moved."""
+    deps = flt.dep_pairs(s)
+    of = lambda sid: written(deps.where(F.col("snapshot_id") == sid).withColumn("snapshot_id", F.lit("history")))
+    before, after = of("A"), of("B")
+    return gr.closure_after(gr.closure(before), before, after).drop("snapshot_id")
+
+
 @query("SELECT sid, src AS path, (sid, src, dst) IN (SELECT (sid, src, dst) FROM dep) AS direct FROM reach WHERE dst = 'tpch/ASIA/p2/u0' AND src <> dst")
 def gr_dependents(s, _):
     return gr.dependents(flt.dep_pairs(s), "tpch/ASIA/p2/u0")

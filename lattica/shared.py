@@ -32,11 +32,33 @@ def keep(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing else has; ``clean`` removes it."""
+    at = f"{shared_dir(spark)}/lattica-{name}-{uuid.uuid4().hex}"
+    sc = spark.sparkContext
+    sc._lattica_made = [*getattr(sc, "_lattica_made", []), at]
+    return at
+
+
+def clean(spark: SparkSession) -> None:
+    """Removes all that this session has written on the way, at the end of a run: results that still read it must have been
+    written elsewhere.  Checkpoints are removed by Spark, where ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set."""
+    sc = spark.sparkContext
+    for at in getattr(sc, "_lattica_made", []):
+        _delete(spark, at)
+    sc._lattica_made = []
+
+
+def _delete(spark: SparkSession, at: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def written(df: DataFrame) -> DataFrame:
     """``df`` as a table in the shared folder, for rounds of a loop: a plan over it knows its true size, while that of
     a checkpoint is estimated from all rounds before and grows without end."""
     spark = df.sparkSession
-    at = f"{shared_dir(spark)}/lattica-round-{uuid.uuid4().hex}"
+    at = new_path(spark, "round")
     df.write.parquet(at)
     out = spark.read.schema(df.schema).parquet(at)
     out._lattica_at = at
@@ -47,6 +69,4 @@ def forget(*tables: DataFrame) -> None:
     """Removes tables of ``written`` that nothing reads any more."""
     for t in tables:
         if at := getattr(t, "_lattica_at", None):
-            jvm = t.sparkSession.sparkContext._jvm
-            path = jvm.org.apache.hadoop.fs.Path(at)
-            path.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            _delete(t.sparkSession, at)
