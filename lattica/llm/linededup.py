@@ -57,29 +57,29 @@ def candidates(places: DataFrame, sites: int = SITES, times: int = TIMES) -> Dat
 
 
 def estimates(places: DataFrame, lines: DataFrame) -> DataFrame:
-    """(h1, h2, n, est): the sites of the given lines, by sketches of all their places."""
-    hit = lookup(places.select("h1", "h2", "site"), lines.select("h1", "h2", "n"), ["h1", "h2"], "n", "inner")
-    sketched = hit.groupBy("h1", "h2").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", LG_K)).alias("est"))
-    return sketched.join(lines.select("h1", "h2", "n"), ["h1", "h2"])
+    """(h1, h2, est, own): the sites of the given lines, by sketches of all their places, and what ``lines`` says of them."""
+    said = lines.select("h1", "h2", "n", F.struct("n", "size", "first", "first_text").alias("own"))
+    hit = lookup(places.select("h1", "h2", "site"), said, ["h1", "h2"], "n", "inner")
+    return hit.groupBy("h1", "h2").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", LG_K)).alias("est"), F.first("own").alias("own"))
 
 
 def near_sites(places: DataFrame, near: DataFrame) -> DataFrame:
     """Distinct (h1, h2, site) of the lines whose estimate is near a threshold, and of no others."""
-    hit = lookup(places.select("h1", "h2", "site"), near.select("h1", "h2", "n"), ["h1", "h2"], "n", "inner")
+    hit = lookup(places.select("h1", "h2", "site"), near.select("h1", "h2", "own.n"), ["h1", "h2"], "n", "inner")
     return hit.groupBy("h1", "h2", "site").agg(F.lit(1).alias("one")).drop("one")
 
 
 def repeated(documents: DataFrame, text: str = "text", site: str = "source", key: str = "doc_id", sites: int = SITES, times: int = TIMES) -> DataFrame:
     """(h1, h2, n, all, first, first_text) of lines to remove: places, whether all go, and else the first document's id or text hash."""
     places = places_of(documents, text, site, key)
-    spread = cut(candidates(places, sites, times))
-    told = cut(estimates(places, spread))
+    told = cut(estimates(places, cut(candidates(places, sites, times))))
     low, high = sites * (1 - MARGIN), sites * (1 + MARGIN)
-    near = told.where((F.col("est") >= low) & (F.col("est") <= high))
+    # A passage needs two sites, which all that are left have.
+    sure = (F.col("est") > high) | (F.col("own.size") == 2) & F.lit(LONG_SITES <= 2)
+    near = told.where(~sure & (F.col("est") >= low))
     exact = near_sites(places, near).groupBy("h1", "h2").agg(F.count("*").alias("d")).where(F.col("d") >= sites).select("h1", "h2")
-    wide = told.where(F.col("est") > high).select("h1", "h2").unionByName(exact).withColumn("wide", F.lit(True))
-    found = spread.join(wide, ["h1", "h2"], "left").where(F.col("wide") | (F.col("size") == 2) & F.lit(LONG_SITES <= 2))
-    return cut(found.select("h1", "h2", "n", (F.col("size") == 0).alias("all"), "first", "first_text"))
+    found = told.where(sure).unionByName(near.join(exact, ["h1", "h2"], "left_semi"))
+    return cut(found.select("h1", "h2", "own.n", (F.col("own.size") == 0).alias("all"), "own.first", "own.first_text"))
 
 
 def remove(documents: DataFrame, lines: DataFrame, text: str = "text", key: str = "doc_id", counted: bool = False) -> DataFrame:
