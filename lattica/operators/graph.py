@@ -41,10 +41,12 @@ def closure(pairs: DataFrame, seeds: DataFrame | None = None) -> DataFrame:
     step = keep(pairs.select(*_PAIR).distinct())
     new = step if seeds is None else keep(step.join(seeds.select("snapshot_id", F.col("path").alias("src")), ["snapshot_id", "src"], "left_semi"))
     seen = _Seen(new)
-    while not new.isEmpty():
+    going = not new.isEmpty()
+    while going:
         onward = step if seeds is not None else seen.all()
         ahead = new.select("snapshot_id", "src", F.col("dst").alias("mid")).join(onward.select("snapshot_id", F.col("src").alias("mid"), "dst"), ["snapshot_id", "mid"]).select(*_PAIR).distinct()
-        new = keep(ahead.join(seen.all(), _PAIR, "left_anti"))
+        new = keep(ahead.join(seen.all(), _PAIR, "left_anti"), n=F.count(F.lit(1)))
+        going = new._lattica_told["n"]
         seen.add(new)
     return seen.all()
 
@@ -111,35 +113,32 @@ def _heights(edges: DataFrame) -> DataFrame:
     return ends.groupBy("snapshot_id", "path").agg(F.sum("i").alias("n_in"), F.sum("o").alias("n_out"), F.min("p").alias("a_in"), F.min("s").alias("a_out"))
 
 
-def jumped(pointers: DataFrame, ends: list[str], least: bool = False, add: str | None = None) -> DataFrame:
+def jumped(pointers: DataFrame, n: int, ends: list[str], least: bool = False) -> tuple[DataFrame, bool]:
     """Pointer jumping: rows (snapshot_id, path, *ends), each end another row's path or a place that is no row's.  Each round takes
     every end to where its row's end leads, so that distances double, until all lead to places without a row.  Ends that run in a
     circle stop after as many rounds as the number of rows allows; with ``least``, column ``m`` is then the least path of the
-    circle.  ``add`` names a number that is summed along the first end."""
-    rows, last, n = pointers, None, pointers.count()
+    circle.  ``n`` is the number of rows; also tells whether some run in circles."""
+    rows, last, going = pointers, None, False
     rounds = max(1, n).bit_length() + 1
     for _ in range(rounds if n else 0):
         after = rows
         for k, end in enumerate(ends):
             more = ["m"] if least and k == 0 else []
-            more += [add] if add and k == 0 else []
             onward = rows.select("snapshot_id", F.col("path").alias(end), F.col(end).alias("_to"), *[F.col(c).alias(f"_{c}") for c in more])
             after = after.join(onward, ["snapshot_id", end], "left")
             if "m" in more:
                 after = after.withColumn("m", F.least("m", F.coalesce("_m", "m")))
-            if add in more:
-                after = after.withColumn(add, F.col(add) + F.coalesce(f"_{add}", F.lit(0)))
             after = after.withColumn(f"_moved{k}", F.col("_to").isNotNull()).withColumn(end, F.coalesce("_to", end)).drop("_to", *[f"_{c}" for c in more])
         moved = F.lit(False)
         for k in range(len(ends)):
             moved = moved | F.col(f"_moved{k}")
-        kept = keep(after.withColumn("_moved", moved).select(*pointers.columns, "_moved"))
+        kept = keep(after.withColumn("_moved", moved).select(*pointers.columns, "_moved"), moved=F.count_if("_moved"))
         if last is not None:
             forget(last)
-        rows, last = kept.drop("_moved"), kept
-        if kept.where("_moved").isEmpty():
+        rows, last, going = kept.drop("_moved"), kept, kept._lattica_told["moved"] > 0
+        if not going:
             break
-    return rows
+    return rows, going
 
 
 def _contracted(edges: DataFrame) -> tuple[DataFrame, list[DataFrame], list[DataFrame]]:
@@ -149,24 +148,28 @@ def _contracted(edges: DataFrame) -> tuple[DataFrame, list[DataFrame], list[Data
     of rings that stood alone."""
     paths, rings, n = [], [], edges.count()
     while n:
-        at = keep(_heights(edges))
+        # Loops apart, one arrow in and one out means: on a path.
+        on_path = (F.col("n_in") == 1) & (F.col("n_out") == 1)
+        at = keep(_heights(edges), through=F.count_if(on_path))
+        some = at._lattica_told["through"]
         ends = at.where("n_in = 0 or n_out = 0").select("snapshot_id", "path")
-        through = keep(at.where("n_in = 1 and n_out = 1").select("snapshot_id", "path", F.col("a_out").alias("x"), F.col("a_in").alias("u"), F.col("path").alias("m")))
-        some = not through.isEmpty()
         live = edges
         for end in ("src", "dst"):
             live = live.join(ends.withColumnRenamed("path", end), ["snapshot_id", end], "left_anti")
         if some:
-            far = keep(jumped(through, ["x", "u"], least=True))
-            lone = far.join(far.select("snapshot_id", F.col("path").alias("x")), ["snapshot_id", "x"], "left_semi")  # led nowhere: a ring
-            rings.append(keep(lone.select("snapshot_id", "path", F.col("m").alias("cycle"))))
-            on = keep(far.join(lone.select("snapshot_id", "path"), ["snapshot_id", "path"], "left_anti").select("snapshot_id", "path", "u", "x"))
+            through = at.where(on_path).select("snapshot_id", "path", F.col("a_out").alias("x"), F.col("a_in").alias("u"), F.col("path").alias("m"))
+            on, circles = jumped(through, some, ["x", "u"], least=True)
+            if circles:
+                lone = keep(on.join(on.select("snapshot_id", F.col("path").alias("x")), ["snapshot_id", "x"], "left_semi"))  # led nowhere: a ring
+                rings.append(lone.select("snapshot_id", "path", F.col("m").alias("cycle")))
+                on = keep(on.join(lone.select("snapshot_id", "path"), ["snapshot_id", "path"], "left_anti"))
+            on = on.select("snapshot_id", "path", "u", "x")
             paths.append(on)
             for end in ("src", "dst"):
                 live = live.join(through.select("snapshot_id", F.col("path").alias(end)), ["snapshot_id", end], "left_anti")
             live = live.select(*_PAIR).unionByName(on.where("u <> x").select("snapshot_id", F.col("u").alias("src"), F.col("x").alias("dst"))).distinct()
-        edges = keep(live.select(*_PAIR))
-        left = edges.count()
+        edges = keep(live.select(*_PAIR), n=F.count(F.lit(1)))
+        left = edges._lattica_told["n"]
         if left == n and not some:
             break
         n = left
@@ -179,18 +182,18 @@ def _coloured(edges: DataFrame) -> DataFrame:
     graph, and what remains is contracted by its caller."""
     nodes = edges.select("snapshot_id", F.col("src").alias("path")).distinct()  # each has an arrow out, or it were taken away
     names = keep(nodes.withColumn("cycle", F.col("path")))
-    news = names
-    while not news.isEmpty():
+    news, going = names, 1
+    while going:
         told = edges.join(news.withColumnRenamed("path", "src"), ["snapshot_id", "src"]).groupBy("snapshot_id", F.col("dst").alias("path")).agg(F.min("cycle").alias("told"))
-        after = keep(names.join(told, ["snapshot_id", "path"], "left").select("snapshot_id", "path", F.least("cycle", F.coalesce("told", "cycle")).alias("cycle"), (F.col("told") < F.col("cycle")).alias("moved")))
-        names, news = after.drop("moved"), after.where("moved").drop("moved")
+        after = keep(names.join(told, ["snapshot_id", "path"], "left").select("snapshot_id", "path", F.least("cycle", F.coalesce("told", "cycle")).alias("cycle"), (F.col("told") < F.col("cycle")).alias("moved")), moved=F.count_if("moved"))
+        names, news, going = after.drop("moved"), after.where("moved").drop("moved"), after._lattica_told["moved"]
     name = lambda end, c: names.select("snapshot_id", F.col("path").alias(end), F.col("cycle").alias(c))
     within = keep(edges.join(name("src", "cs"), ["snapshot_id", "src"]).join(name("dst", "cd"), ["snapshot_id", "dst"]).where("cs = cd").select(*_PAIR, F.col("cs").alias("cycle")))
-    new = keep(names.where("path = cycle"))
+    new = keep(names.where("path = cycle"), n=F.count(F.lit(1)))
     mine = _Seen(new)
-    while not new.isEmpty():
+    while new._lattica_told["n"]:
         back = within.join(new.select("snapshot_id", "cycle", F.col("path").alias("dst")), ["snapshot_id", "cycle", "dst"]).select("snapshot_id", F.col("src").alias("path"), "cycle").distinct()
-        new = keep(back.join(mine.all(), ["snapshot_id", "path"], "left_anti"))
+        new = keep(back.join(mine.all(), ["snapshot_id", "path"], "left_anti"), n=F.count(F.lit(1)))
         mine.add(new)
     return keep(mine.all())
 
@@ -259,7 +262,7 @@ def blast_radius(pairs: DataFrame, cycle: DataFrame | None = None) -> DataFrame:
     # (path, up, above): the nearest box further up with none or several arrows in, and the boxes from there on, itself included.
     chains = at.where("n_in = 1").select(S, "path", F.col("a_in").alias("up")).join(sizes, [S, "up"])
     steps = keep(chains.select(S, "path", "up", "above", F.lit(1).cast("long").alias("deep")))
-    far = keep(_summed(steps))
+    far = _summed(steps)
     met = keep(at.where("n_in > 1").select(S, "path"))
     counted = at.where("n_in = 0").select(S, "path", F.lit(0).cast("long").alias("radius"))
     if not met.isEmpty():
@@ -281,11 +284,11 @@ def _summed(steps: DataFrame) -> DataFrame:
         onward = rows.select("snapshot_id", F.col("path").alias("up"), F.col("up").alias("to"), F.col("w").alias("v"))
         after = rows.join(onward, ["snapshot_id", "up"], "left")
         w = F.struct((F.col("w.above") + F.coalesce("v.above", F.lit(0))).alias("above"), (F.col("w.deep") + F.coalesce("v.deep", F.lit(0))).alias("deep"))
-        kept = keep(after.select("snapshot_id", "path", F.coalesce("to", "up").alias("up"), w.alias("w"), F.col("to").isNotNull().alias("moved")))
+        kept = keep(after.select("snapshot_id", "path", F.coalesce("to", "up").alias("up"), w.alias("w"), F.col("to").isNotNull().alias("moved")), moved=F.count_if("moved"))
         if last is not None:
             forget(last)
         rows, last = kept.drop("moved"), kept
-        if kept.where("moved").isEmpty():
+        if not kept._lattica_told["moved"]:
             break
     return rows.select("snapshot_id", "path", "up", "w.above", "w.deep")
 
@@ -313,8 +316,8 @@ def _met_counts(edges: DataFrame, at: DataFrame, steps: DataFrame, far: DataFram
     while True:
         told = words(new.join(onward, [S, "path"]).select(S, F.col("next").alias("path"), "word", "bits"))
         fresh = told.join(have.withColumnRenamed("bits", "old"), [S, "path", "word"], "left").withColumn("bits", F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce("old", F.lit(0).cast("long"))))).where("bits <> 0").select(S, "path", "word", "bits")
-        new = keep(fresh)
-        if new.isEmpty():
+        new = keep(fresh, n=F.count(F.lit(1)))
+        if not new._lattica_told["n"]:
             break
         have = keep(words(have.unionByName(new)))
     # A component counts with all its members.

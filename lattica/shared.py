@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -54,14 +54,18 @@ def _delete(spark: SparkSession, at: str) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, **told) -> DataFrame:
     """``df`` as a table in the shared folder, for rounds of a loop: a plan over it knows its true size, while that of
-    a checkpoint is estimated from all rounds before and grows without end."""
+    a checkpoint is estimated from all rounds before and grows without end.
+
+    ``told`` are aggregates, named, that are taken while it is written; their values are in the dict ``_lattica_told``, so that
+    a loop need not read a table to see whether to go on."""
     spark = df.sparkSession
     at = new_path(spark, "round")
-    df.write.parquet(at)
+    seen = Observation() if told else None
+    (df.observe(seen, *[c.alias(n) for n, c in told.items()]) if told else df).write.parquet(at)
     out = spark.read.schema(df.schema).parquet(at)
-    out._lattica_at = at
+    out._lattica_at, out._lattica_told = at, seen.get if told else {}
     return out
 
 
