@@ -291,6 +291,8 @@ def snapshots(rows: DataFrame, modules: DataFrame, shapes: DataFrame | None = No
         witness = witness.unionByName(x)
     witness = witness.unionByName(impl.where("src <> dst")).withColumn("scope", F.lit("cross")).unionByName(impl.where("src = dst").withColumn("scope", F.lit("local")))
     witness = witness.select(S, "src", "kind", "dst", "scope", "witness")
+    if shapes is not None:
+        witness = keep(witness)  # packages, arrows and witnesses all read it
     zero = F.lit(0).alias("pos")
     # Whatever is not below the module's path is outside.
     ends = witness.where("scope = 'cross'").select(S, F.col("dst").alias("path")).distinct().join(modules.select(S, "module"), S)
