@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import Snapshots
-from ..shared import keep
+from ..shared import written as keep
 from . import filters as flt
 from . import graph as gr
 
@@ -49,8 +49,10 @@ def health(s: Snapshots, p: float = 0.75) -> DataFrame:
     pairs = keep(flt.dep_pairs(s))
     base = keep(fan(s, pairs).join(surface_size(s), ["snapshot_id", "path"]))
     cut = cutoffs(base, "fan_in", p).withColumnRenamed("cut", "cf").join(cutoffs(base, "surface", p).withColumnRenamed("cut", "cs"), "snapshot_id")
-    cycle = keep(gr.cycles(pairs))
-    base = base.join(gr.blast_radius(pairs, cycle), ["snapshot_id", "path"], "left").fillna(0, ["blast_radius"])
+    parts = gr.pieces(pairs)
+    cycle = gr.cycles(pairs, parts)
+    cycle = cycle if parts[1] is None else keep(cycle)
+    base = base.join(gr.blast_radius(pairs, cycle, parts), ["snapshot_id", "path"], "left").fillna(0, ["blast_radius"])
     god = (F.col("fan_in") >= F.col("cf")) & (F.col("surface") >= F.col("cs")) & (F.col("cf") > 0)
     out = base.join(cut, "snapshot_id").join(cycle, ["snapshot_id", "path"], "left")
     return out.select("snapshot_id", "path", "fan_in", "fan_out", instability(F.col("fan_in"), F.col("fan_out")).alias("instability"), "surface", "blast_radius", god.alias("god"), "cycle")
