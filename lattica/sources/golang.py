@@ -265,7 +265,9 @@ def snapshots(rows: DataFrame, modules: DataFrame, shapes: DataFrame | None = No
     else:
         shapes = keep(shapes)
         flat, strange = (keep(x) for x in types.interface_methods(shapes))
-        inside = keep(types.members(shapes, flat))
+        # Members that neither a step selects nor an interface wants are not followed.
+        names = types.selected(shapes).unionByName(flat.select("snapshot_id", "name")).distinct()
+        inside = keep(types.members(shapes, flat, names))
         typed = keep(types.propagate(shapes, inside))
         refs = types.references(shapes.where("not test"), typed).where(exported("name") & (F.col("pkg") != F.col("target")))
         seen = refs.join(own.withColumnRenamed("path", "target"), [S, "target"], "left_semi").withColumnRenamed("pkg", "path")

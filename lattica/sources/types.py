@@ -3,8 +3,8 @@
 Input are rows of ``expressions`` for any number of snapshots, as ``placed`` makes them.  Everything is keyed by
 ``snapshot_id``, so that a whole history is one job.
 
-* ``members``: what can be selected from a type.  Embedded types are followed depth by depth, all types of all snapshots at
-  once; the least depth wins, and a name that meets twice at one depth is gone.  Interfaces are flattened.
+* ``members``: what can be selected from a type.  Types are looked at from those that embed nothing upwards, all of one height in
+  all snapshots at once; the least depth wins, and a name that meets twice at one depth is gone.  Interfaces are flattened.
 * ``implements``: relational division by the method sets.  A candidate pair must share the interface's rarest method, so
   that a method which very many types have multiplies nothing.
 * ``propagate``: constraints (node, operation, argument, node) and known types; a semi-naive fixpoint, in which each round
@@ -41,8 +41,12 @@ def placed(rows: DataFrame, files: DataFrame) -> DataFrame:
 
     Test files of a package ``x_test`` are a package of their own, ``pkg_test``."""
     outer = rows.where("fact = 'package' and endswith(a, '_test')").select("key", F.lit("_test").alias("outer"))
-    at = files.join(outer, "key", "left").withColumn("own", F.concat("pkg", F.when(F.col("test"), F.coalesce("outer", F.lit(""))).otherwise("")))
-    x = at.join(rows, "key")
+    return put_in(files.join(outer, "key", "left").join(rows, "key"))
+
+
+def put_in(x: DataFrame) -> DataFrame:
+    """``placed``, of rows that stand beside what is told of their file, with ``outer``: ``_test``, or null."""
+    x = x.withColumn("own", F.concat("pkg", F.when(F.col("test"), F.coalesce("outer", F.lit(""))).otherwise("")))
     put = lambda c: F.replace(c, F.lit("§"), F.col("own"))
     return x.select(_S, "pkg", "own", "file", "test", "fact", *[put(c).alias(c) for c in "abcd"])
 
@@ -70,12 +74,10 @@ def interface_methods(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return flat, strange
 
 
-def embedded(rows: DataFrame) -> DataFrame:
-    """(snapshot_id, root, type, depth, n): types whose members count as the root's, the depth at which they are met first,
-    and whether they are met once (n = 1) or more often (2) there."""
-    edges = keep(rows.where("fact in ('embed', 'alias')").select(_S, F.col("a").alias("type"), F.col("b").alias("next")).distinct())
-    roots = rows.where("fact in ('struct', 'named', 'alias', 'iface')").select(_S, F.col("a").alias("root")).distinct()
-    new = keep(roots.select(_S, "root", F.col("root").alias("type"), F.lit(0).alias("depth"), F.lit(1).alias("n")))
+def embedded(rows: DataFrame, edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """(snapshot_id, root, type, depth, n): types whose members count as a root's, the depth at which they are met first,
+    and whether they are met once (n = 1) or more often (2) there; by rounds, for roots from which embedding leads into a circle."""
+    new = keep(roots.select(_S, F.col("type").alias("root"), "type", F.lit(0).alias("depth"), F.lit(1).alias("n")))
     seen = Seen(new)
     while True:
         ahead = new.join(edges, [_S, "type"]).groupBy(_S, "root", F.col("next").alias("type")).agg((F.max("depth") + 1).alias("depth"), F.least(F.sum("n"), F.lit(2)).cast("int").alias("n"))
@@ -85,18 +87,93 @@ def embedded(rows: DataFrame) -> DataFrame:
         seen.add(new)
 
 
-def members(rows: DataFrame, flat: DataFrame) -> DataFrame:
+def _heights(edges: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(t, h): of edges(t, n), numbers, the longest way down from each t; and (t) of those from which a circle can be reached, if
+    there are any.  Edges whose end leads nowhere any more are taken away, round by round."""
+    live, rounds, left = edges, [], None
+    while True:
+        rounds.append(live.select("t", F.lit(len(rounds) + 1).alias("h")))
+        live = keep(live.join(live.select(F.col("t").alias("n")).distinct(), "n", "left_semi").select("t", "n"), n=F.count(F.lit(1)))
+        n = live._lattica_told["n"]
+        if not n or n == left:
+            break
+        left = n
+    every = rounds[0]
+    for x in rounds[1:]:
+        every = every.unionByName(x)
+    return every.groupBy("t").agg(F.max("h").alias("h")), live.select("t").distinct() if n else None
+
+
+def _merged(found: DataFrame) -> DataFrame:
+    """(snapshot_id, type, members): of found(snapshot_id, type, members), own members at depth -1 and those of what is embedded,
+    each name at its least depth, one deeper; a name that meets there again is marked, and hides what lies deeper."""
+    at = found.groupBy(_S, "type").agg(F.sort_array(F.flatten(F.collect_list("members"))).alias("m"))
+    again = "m[i + 1].name = x.name and m[i + 1].depth = x.depth"
+    at = at.select(_S, "type", F.expr(f"transform(m, (x, i) -> struct(x.name, x.depth + 1 as depth, if(i + 1 < size(m) and {again}, 2, x.n) as n, x.kind, x.value, x.sig, x.owner, i = 0 or m[i - 1].name <> x.name as first))").alias("m"))
+    return at.select(_S, "type", F.expr("transform(filter(m, x -> x.first), x -> struct(x.name, x.depth, x.n, x.kind, x.value, x.sig, x.owner))").alias("members"))
+
+
+def members(rows: DataFrame, flat: DataFrame, names: DataFrame | None = None) -> DataFrame:
     """(snapshot_id, type, name, kind, value, sig, owner, depth): fields and methods that can be selected from a type, through
-    embedding; ``value`` is the type of what is selected, ``func:OWNER.NAME`` for methods."""
+    embedding; ``value`` is the type of what is selected, ``func:OWNER.NAME`` for methods.  Of some names(snapshot_id, name) only, if given.
+
+    From the bottom up: a type's members are its own and those of the types that it embeds, which are whole by then, in one row.
+    Each type is looked at once, however many embed it; only what embeds itself goes through rounds from each root."""
     methods = rows.where("fact = 'method'").select(_S, F.col("a").alias("owner"), F.col("b").alias("name"), F.col("c").alias("sig")).distinct()
     methods = methods.withColumn("maker", F.col("owner"))
     of_interfaces = flat.select(_S, F.col("iface").alias("owner"), "name", "sig", F.col("owner").alias("maker"))
-    own = methods.unionByName(of_interfaces).select(_S, F.col("owner").alias("type"), "name", F.lit("method").alias("kind"), F.concat(F.lit("func:"), "maker", F.lit("."), "name").alias("value"), "sig", F.col("maker").alias("owner"))
-    fields = rows.where("fact = 'field'").select(_S, F.col("a").alias("type"), F.col("b").alias("name"), F.lit("field").alias("kind"), F.col("c").alias("value"), F.lit(None).cast("string").alias("sig"), F.col("a").alias("owner")).distinct()
-    found = embedded(rows).join(own.unionByName(fields), [_S, "type"])
-    at_depth = found.groupBy(_S, "root", "name", "depth").agg(F.sum("n").alias("n"), F.first(F.struct("kind", "value", "sig", "owner")).alias("m"))
-    least = at_depth.groupBy(_S, F.col("root").alias("type"), "name").agg(F.min_by(F.struct("n", "m", "depth"), "depth").alias("x"))
-    return least.where("x.n = 1").select(_S, "type", "name", "x.m.kind", "x.m.value", "x.m.sig", "x.m.owner", "x.depth")
+    none = F.lit(None).cast("string")
+    own = methods.unionByName(of_interfaces).select(_S, F.col("owner").alias("type"), "name", F.lit("method").alias("kind"), none.alias("value"), "sig", F.col("maker").alias("owner"))
+    own = own.unionByName(rows.where("fact = 'field'").select(_S, F.col("a").alias("type"), F.col("b").alias("name"), F.lit("field").alias("kind"), F.col("c").alias("value"), none.alias("sig"), F.col("a").alias("owner")).distinct())
+    if names is not None:
+        own = own.join(names, [_S, "name"], "left_semi")
+    # Heights are of hashes: types that share one are as high as the higher, which changes no result.
+    number = lambda c: F.xxhash64(_S, c)
+    edges = keep(rows.where("fact in ('embed', 'alias')").select(_S, F.col("a").alias("type"), F.col("b").alias("next")).distinct(), n=F.count(F.lit(1)))
+    entry = F.struct("name", F.lit(-1).alias("depth"), F.lit(1).alias("n"), "kind", "value", "sig", "owner")
+    mine = own.groupBy(_S, "type").agg(F.collect_list(entry).alias("members"))
+    roots = rows.where("fact in ('struct', 'named', 'alias', 'iface')").select(_S, F.col("a").alias("type")).distinct()
+    round_about = None
+    if not edges._lattica_told["n"]:
+        done = [_merged(mine)]
+    else:
+        high, circles = _heights(keep(edges.select(number("type").alias("t"), number("next").alias("n"))))
+        high = keep(high, h=F.max("h"))
+        if circles is not None:
+            circles = keep(circles)
+            round_about = roots.withColumn("t", number("type")).join(circles, "t", "left_semi").drop("t")
+            high = keep(high.join(circles, "t", "left_anti"), h=F.max("h"))
+        level = lambda df, c, h: df.withColumn("t", number(c)).join(high.withColumnRenamed("h", h), "t", "left").drop("t")
+        down = edges if circles is None else edges.withColumn("t", number("type")).join(circles, "t", "left_anti").drop("t")
+        down = keep(level(level(down, "type", "h"), "next", "below").fillna(0, ["below"]))
+        asked = down.groupBy(_S, F.col("next").alias("type")).agg(F.lit(True).alias("embedded"))
+        placed_ = mine if circles is None else mine.withColumn("t", number("type")).join(circles, "t", "left_anti").drop("t")
+        mine_at = keep(level(placed_, "type", "h").fillna(0, ["h"]))
+        need: dict[int, list[int]] = {}
+        for r in down.select("h", "below").distinct().collect():
+            need.setdefault(r.h, []).append(r.below)
+        done = []
+        for h in range((high._lattica_told["h"] or 0) + 1):
+            found = mine_at.where(F.col("h") == h).select(_S, "type", "members")
+            for below in sorted(need.get(h, [])):
+                lower = done[below].where("embedded").select(_S, F.col("type").alias("next"), "members")
+                found = found.unionByName(down.where((F.col("h") == h) & (F.col("below") == below)).select(_S, "type", "next").join(lower, [_S, "next"]).select(_S, "type", "members"))
+            done.append(keep(_merged(found).join(asked, [_S, "type"], "left")))
+    whole = done[0].select(_S, "type", "members")
+    for x in done[1:]:
+        whole = whole.unionByName(x.select(_S, "type", "members"))
+    if round_about is not None:
+        met = embedded(rows, edges, round_about).join(mine, [_S, "type"])
+        deep = F.expr("transform(members, x -> struct(x.name, depth - 1 as depth, n, x.kind, x.value, x.sig, x.owner))")
+        whole = whole.unionByName(_merged(met.select(_S, F.col("root").alias("type"), deep.alias("members"))))
+    each = whole.join(roots, [_S, "type"], "left_semi").select(_S, "type", F.inline("members")).where("n = 1")
+    value = F.when(F.col("kind") == "method", F.concat(F.lit("func:"), "owner", F.lit("."), "name")).otherwise(F.col("value"))
+    return each.select(_S, "type", "name", "kind", value.alias("value"), "sig", "owner", "depth")
+
+
+def selected(rows: DataFrame) -> DataFrame:
+    """(snapshot_id, name): what some step selects."""
+    return rows.where("fact = 'step' and c = 'sel'").select(_S, F.col("d").alias("name")).distinct()
 
 
 def package_of(name) -> Column:

@@ -373,7 +373,7 @@ def call_graph(usage: DataFrame, facts: DataFrame, module: str, snapshot_id: str
     if shapes is not None:
         shapes = keep(shapes.where("not test").select(sid, "*"))
         flat, _ = types.interface_methods(shapes)
-        told = types.references(shapes, types.propagate(shapes, types.members(shapes, keep(flat)))).where("called and fn <> ''")
+        told = types.references(shapes, types.propagate(shapes, types.members(shapes, keep(flat), types.selected(shapes)))).where("called and fn <> ''")
         every = told.select("snapshot_id", F.concat_ws(".", "pkg", "fn").alias("src"), F.concat_ws(".", "target", F.when(F.col("recv") != "", F.col("recv")), "name").alias("dst")).distinct()
         return fn, _between(every, fn)
     calls = u.where("fact = 'calls' and c <> ''").select("pkg", "file", F.col("a").alias("alias"), F.col("b").alias("name"), F.col("c").alias("fn"))
